@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import op4_mixing
 from .sharding import op6_sharding
+from .token_files import op2_token_files
 
-QUERIES = {"op4_mixing": op4_mixing, "op6_sharding": op6_sharding}
+QUERIES = {"op2_token_files": op2_token_files, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding}
 ORACLES: dict[str, str] = {}
