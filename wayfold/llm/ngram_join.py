@@ -79,26 +79,28 @@ def set_key(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def _shingled(texts: list[str | None], known: _WordHash) -> list[np.ndarray]:
-    if len(known) > MEMO_SIZE:
-        known.clear()
-    return [shingles(t, known) for t in texts]
+#: Words that a Python worker has hashed, over all its tasks; the bound is of memory only.
+_known = _WordHash()
+
+
+def _shingled(texts: list[str | None]) -> list[np.ndarray]:
+    if len(_known) > MEMO_SIZE:
+        _known.clear()
+    return [shingles(t, _known) for t in texts]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _WordHash()
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
-            sets = _shingled(b.column(1).to_pylist(), known)
+            sets = _shingled(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(g) if len(g) else None for g in sets], "binary"), pa.array([len(g) for g in sets], "int32"), pa.array([signature(g) if len(g) else None for g in sets], "binary")], ["doc_id", "key", "n", "sig"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _WordHash()
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
-            sets = _shingled(whole.slice(at, 500).column(0).to_pylist(), known)
+            sets = _shingled(whole.slice(at, 500).column(0).to_pylist())
             sets = [g for g in sets if len(g)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in sets], "binary"), pa.array([g.tobytes() for g in sets], "binary")], ["key", "grams"])
 
