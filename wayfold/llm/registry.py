@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .additive_search import op9_additive_search
 from .language import op10_language_id
 from .mixing import op4_mixing
 from .ngram_join import op7_ngram_join
 from .sentencepieces import op3_sentencepieces
 from .sharding import op6_sharding
 from .token_files import op2_token_files
+from .topk_search import op5_topk_search
 
-QUERIES = {"op3_sentencepieces": op3_sentencepieces, "op7_ngram_join": op7_ngram_join, "op10_language_id": op10_language_id, "op2_token_files": op2_token_files, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding}
+QUERIES = {"op5_topk_search": op5_topk_search, "op9_additive_search": op9_additive_search, "op3_sentencepieces": op3_sentencepieces, "op7_ngram_join": op7_ngram_join, "op10_language_id": op10_language_id, "op2_token_files": op2_token_files, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding}
 ORACLES: dict[str, str] = {}

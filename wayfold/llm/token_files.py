@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -85,6 +86,12 @@ class Encoder:
         return out
 
 
+@cache
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that its memory carries over."""
+    return Encoder(path)
+
+
 def list_array(values: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(v) // 4 for v in values], dtype="int32")
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), "<i4")))
@@ -94,7 +101,7 @@ def encoder(path: str, end_id: int, per_call: int = 1000):
     """For mapInArrow over (doc_id, text) in file order: rows of ``FILE_SCHEMA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, before = worker_encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<i4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, per_call):
