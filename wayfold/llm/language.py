@@ -140,8 +140,8 @@ def sample(labelled: DataFrame, key: str, max_rows: int = SAMPLE_ROWS) -> pd.Dat
 def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``, predicted from the whole ``text`` alone."""
     model_bytes = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # BINS floats a machine
-    given = docs.select(F.col("text").cast("string"), *keep)
-    schema = given.drop("text").schema if "text" not in keep else docs.select(*keep).schema
+    given = docs.select(F.col("text").cast("string").alias("read"), *keep)
+    schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(model_bytes.value)
@@ -172,3 +172,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     return identify(docs, fit_on(docs), ["doc_id", "held_out"])
+
+
+def known_language(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with ``lang`` as predicted, all other columns as they are.
+
+    Rejected are texts without a letter, and those whose score is below ``least_score``.
+    """
+    # The row travels in one struct, so that no column of it can clash with the prediction's.
+    found = identify(docs.select("text", F.struct("*").alias("row")), fit_on(docs), ["row"])
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])

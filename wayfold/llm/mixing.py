@@ -54,15 +54,10 @@ def refine(rows: DataFrame, goals: DataFrame, level: int) -> DataFrame:
     return over.select("source", "budget", (F.col("upto") - F.col("size")).alias("done"), "upto", F.shiftleft("bucket", shift).alias("lo"), F.shiftleft(F.col("bucket") + 1, shift).alias("hi"), (F.col("h0") == F.col("h1")).alias("one"))
 
 
-def mix(rows: DataFrame, source: Column, row_id: Column, size: Column, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
-    """Each row's (doc_id, source, size, source_size, target, copies): how often the mix takes it, 0 to 2 times.
-
-    Whole copies of a source come first; the rest of its target is met by the rows below the threshold, and
-    the boundary row is taken if that lands nearer the target. Null sources form one source, after all
-    others; null ids hash like a value; rows with one id and source are taken together; an empty table
-    gives an empty result. The same rows give the same mix in any order and partitioning.
-    """
-    digest = stage(rows.select(row_id.alias("doc_id"), source.alias("source"), size.cast("long").alias("size"), F.shiftrightunsigned(F.xxhash64(row_id, F.lit(SEED)), 64 - HASH_BITS).alias("h")), "mix-digest")
+def limits(digest: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
+    """(source, source_size, target, whole, below) of staged rows (source, size, h): how often all of a source
+    is taken, and the hash below which its rows are taken once more. The boundary row is taken if that lands
+    nearer the target."""
     sizes = digest.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stage(targets(sizes, weights, budget).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")), "mix-goals")
     open_ = stage(goals.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("done")), "mix-open")
@@ -81,9 +76,37 @@ def mix(rows: DataFrame, source: Column, row_id: Column, size: Column, weights:
         near = left.alias("r").join(small(open_).alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.h") >= F.col("e.lo")) & (F.col("r.h") < F.col("e.hi"))).select("r.source", "r.size", "r.h")
         left, open_ = stage(near, f"mix-left{level}"), open_.select("source", "budget", "done")
 
-    limits = stage(goals.alias("g").join(found.alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left").select("g.source", "source_size", "target", "whole", F.coalesce("below", F.lit(0).cast("long")).alias("below")), "mix-limits")
-    extra = (F.col("d.h") < F.col("l.below")).cast("int")
-    return digest.alias("d").join(small(limits).alias("l"), F.col("d.source").eqNullSafe(F.col("l.source"))).select("d.doc_id", "d.source", "d.size", "l.source_size", "l.target", (F.col("l.whole") + extra).alias("copies"))
+    return stage(goals.alias("g").join(found.alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left").select("g.source", "source_size", "target", "whole", F.coalesce("below", F.lit(0).cast("long")).alias("below")), "mix-limits")
+
+
+def hashed(row_id: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(row_id, F.lit(SEED)), 64 - HASH_BITS)
+
+
+def copies() -> Column:
+    """How often the mix takes a row of alias ``d`` (with h), given its source's limits of alias ``l``."""
+    return F.col("l.whole") + (F.col("d.h") < F.col("l.below")).cast("int")
+
+
+def mix(rows: DataFrame, source: Column, row_id: Column, size: Column, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
+    """Each row's (doc_id, source, size, source_size, target, copies): how often the mix takes it, 0 to 2 times.
+
+    Whole copies of a source come first; the rest of its target is met by the rows below the threshold.
+    Null sources form one source, after all others; null ids hash like a value; rows with one id and source
+    are taken together; an empty table gives an empty result. The same rows give the same mix in any order
+    and partitioning.
+    """
+    digest = stage(rows.select(row_id.alias("doc_id"), source.alias("source"), size.cast("long").alias("size"), hashed(row_id).alias("h")), "mix-digest")
+    bounds = limits(digest, weights, budget)
+    return digest.alias("d").join(small(bounds).alias("l"), F.col("d.source").eqNullSafe(F.col("l.source"))).select("d.doc_id", "d.source", "d.size", "l.source_size", "l.target", copies().alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source and any more), each as often as the mix takes it."""
+    digest = stage(docs.select("source", words(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h")), "mix-digest")
+    own = docs.select(F.struct("*").alias("kept"), "source", hashed(F.col("doc_id")).alias("h"))
+    joined = own.alias("d").join(small(limits(digest, weights, budget)).alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")))
+    return joined.select("d.kept", F.explode(F.array_repeat(F.lit(0), copies()))).select("kept.*")
 
 
 def words(text: Column) -> Column:

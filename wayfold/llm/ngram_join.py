@@ -93,8 +93,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
-            sets = _shingled(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(g) if len(g) else None for g in sets], "binary"), pa.array([len(g) for g in sets], "int32"), pa.array([signature(g) if len(g) else None for g in sets], "binary")], ["doc_id", "key", "n", "sig"])
+            sets = _shingled(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_key(g) if len(g) else None for g in sets], "binary"), pa.array([len(g) for g in sets], "int32"), pa.array([signature(g) if len(g) else None for g in sets], "binary")], ["doc_id", "text_hash", "key", "n", "sig"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,18 +251,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], "binary"), pa.array(links[some], "int64"), pa.array([keys[i] for i in root[some]], "binary")], ["key", "links", "root"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links) for each row of ``docs`` (doc_id, text).
+def linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, class_id, n_links, first) for each row of ``docs`` (doc_id, text).
 
-    ``n_links`` counts the other rows whose shingle sets have a Jaccard similarity of 0.8 or more; links
-    join rows to classes, named by their least doc_id. Rows of equal shingle sets count as one set with
-    copies. Null and blank texts have no shingles: such a row has no link and is its own class, as is a row
-    without near copies. Repeated doc_ids are separate rows; nulls are the greatest id, so a class of rows
-    with null ids alone has a null class_id. An empty table gives an empty result.
+    ``first`` tells whether the row's (doc_id, text_hash) is the least of its class, nulls last.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    digest = stage(docs.mapInArrow(_digests, docs.select("doc_id").schema.add("key", "binary").add("n", "integer").add("sig", "binary")), "near-digest")
-    reps = stage(digest.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-sets")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
+    digest = stage(docs.mapInArrow(_digests, docs.select("doc_id", "text_hash").schema.add("key", "binary").add("n", "integer").add("sig", "binary")), "near-digest")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    reps = stage(digest.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(row).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-sets")
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     members = reps.select("key", "sig", band).select("key", "band", F.xxhash64(F.substring("sig", F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS)), "band").alias("b"))
@@ -274,8 +271,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stage(cells, "near-cells").join(reps.select("key", "n", "sig"), "key").repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj", "key")
     kept = stage(rows.mapInArrow(_prune, rows.schema), "near-kept")
 
-    need = kept.select("key").distinct().join(reps.select("key", "first_doc", "copies"), "key")
-    texts = docs.join(need.select(F.col("first_doc").alias("doc_id")), "doc_id", "left_semi").select("text")
+    # One text of each set that is still in play, read again from the documents.
+    need = kept.select("key").distinct().join(reps.select("key", "least", "copies"), "key")
+    wanted = need.select(F.col("least.doc_id").alias("w_id"), F.col("least.text_hash").alias("w_hash"))
+    texts = docs.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
     grams = texts.mapInArrow(_grams, "key binary, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
     sets = need.select("key", "copies").join(grams, "key")
     rows = kept.join(sets, "key").repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj", "key")
@@ -283,14 +282,62 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    named = reps.select("key", "first_doc", "copies").join(links, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left").select("key", "first_doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("label", "key").alias("label"))
+    named = reps.select("key", "least", "copies").join(links, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left").select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("label", "key").alias("label"))
     named = stage(named, "near-named")
-    classes = named.groupBy("label").agg(F.min("first_doc").alias("class_id"))
-    of_key = named.join(classes, "label").select("key", "class_id", "n_links")
-    out = digest.where("n > 0").select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id", "n_links")
-    return out.unionByName(digest.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    classes = named.groupBy("label").agg(F.min("least").alias("head"))
+    of_key = named.join(classes, "label").select("key", "head", "n_links")
+    is_first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    out = digest.where("n > 0").select("doc_id", "text_hash", "key").join(of_key, "key").select("doc_id", "text_hash", F.col("head.doc_id").alias("class_id"), "n_links", is_first.alias("first"))
+    return out.unionByName(digest.where("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links) for each row of ``docs`` (doc_id, text).
+
+    ``n_links`` counts the other rows whose shingle sets have a Jaccard similarity of 0.8 or more; links
+    join rows to classes, named by their least doc_id. Rows of equal shingle sets count as one set with
+    copies. Null and blank texts have no shingles: such a row has no link and is its own class, as is a row
+    without near copies. Repeated doc_ids are separate rows; nulls are the greatest id, so a class of rows
+    with null ids alone has a null class_id. An empty table gives an empty result.
+    """
+    return linked(docs).select("doc_id", "class_id", "n_links")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: the one of the least doc_id. Rows without shingles all stay."""
+    found = stage(linked(docs).select("doc_id", "text_hash", "first"), "near-found")
+    mine = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
+        return rows.join(keys, (F.col("text_hash") == F.col("k_hash")) & F.col("doc_id").eqNullSafe(F.col("k_id")), how)
+
+    kept = among(mine, found.where(~F.col("first")), "left_anti")
+    # Rows that share id and text with another: of those with shingles one stays.
+    has_words = F.regexp_count(F.col("text"), F.lit("\\S")) > 0
+    twice = stage(found.where("first").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "near-twice")
+    if twice.take(1):
+        again = among(kept, twice, "left_semi").where(F.coalesce(has_words, F.lit(False)))
+        rest = among(kept, twice, "left_anti").unionByName(among(kept, twice, "left_semi").where(~F.coalesce(has_words, F.lit(False))))
+        kept = rest.unionByName(again.dropDuplicates(["doc_id", "text_hash"]))
+    return kept.drop("text_hash")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the class of near copies of each, and the number of its links."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = f"""
+with recursive words as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') as w from documents),
+grams as (
+  select distinct doc_id, array_to_string(w[i : i + {SHINGLE_WORDS - 1}], ' ') as g
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - {SHINGLE_WORDS - 1}, 1))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as common from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+near as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where {NEAR[1]} * common >= {NEAR[0]} * (x.n + y.n - common)),
+reach(a, b) as (select a, b from near union select reach.a, near.b from reach join near on reach.b = near.a)
+select d.doc_id, least(d.doc_id, coalesce(c.low, d.doc_id)) as class_id, coalesce(l.n, 0)::bigint as n_links
+from documents d left join (select a, min(b) as low from reach group by a) c on c.a = d.doc_id left join (select a, count(*) as n from near group by a) l on l.a = d.doc_id
+"""

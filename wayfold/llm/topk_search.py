@@ -58,3 +58,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose vec_id is divisible by 20 against all rows."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP5_SQL = f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, (row_number() over w)::int as rank, vec_id, score from s
+window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= {K}
+"""
