@@ -1,15 +1,31 @@
-"""Queries of this subpackage and their SQL; modules are added as operators land."""
+"""Queries of this subpackage and their SQL."""
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
+
 from .additive_search import op9_additive_search
 from .language import op10_language_id
+from .licences import OP1_SQL, op1_licence_scan
 from .mixing import op4_mixing
-from .ngram_join import op7_ngram_join
+from .ngram_join import OP7_SQL, op7_ngram_join
+from .perspectives import OP8_SQL, op8_perspectives
 from .sentencepieces import op3_sentencepieces
 from .sharding import op6_sharding
 from .token_files import op2_token_files
-from .topk_search import op5_topk_search
+from .topk_search import OP5_SQL, op5_topk_search
 
-QUERIES = {"op5_topk_search": op5_topk_search, "op9_additive_search": op9_additive_search, "op3_sentencepieces": op3_sentencepieces, "op7_ngram_join": op7_ngram_join, "op10_language_id": op10_language_id, "op2_token_files": op2_token_files, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_licence_scan": op1_licence_scan,
+    "op2_token_files": op2_token_files,
+    "op3_sentencepieces": op3_sentencepieces,
+    "op4_mixing": op4_mixing,
+    "op5_topk_search": op5_topk_search,
+    "op6_sharding": op6_sharding,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_perspectives": op8_perspectives,
+    "op9_additive_search": op9_additive_search,
+    "op10_language_id": op10_language_id,
+    "pipeline": pipeline,
+}
+ORACLES: dict[str, str] = {"op1_licence_scan": OP1_SQL, "op5_topk_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_perspectives": OP8_SQL}
