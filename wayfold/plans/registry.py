@@ -5,7 +5,288 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions import json as js
+from ..functions import values
+from ..operators import delta, events, fold, lineage, ordered, quality, upsert
+from ..streaming import ingest
+from . import domain as d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "q07_episode_fold"
+
+
+def query(sql: str):
+    """Register a query by its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def stored(spark: SparkSession, sf_dir: str, run: int | None = None) -> DataFrame:
+    return d.recorded(d.trajectories(spark, sf_dir, run))
+
+
+URI = "'runs/' || run_id || '/spans/' || span_id || '/events/' || lpad(t::varchar, 8, '0') || '.json'"
+SPAN_EVENTS = f"span_ev as (select run_id, span_id, run_id || '-box' as sandbox_id, t::int as t, 0.0::double as ts, action, status, cost, {URI} as event_uri, observation, 1 as protocol from traj)"
+
+
+@query(f"with {d.TRAJECTORIES}, {SPAN_EVENTS} select * from span_ev where run_id = 'r7' and action = 'inc'")
+def q01_query_events(spark, sf_dir):
+    return events.query_events(events.span_events(stored(spark, sf_dir, 7)), run_id="r7", span_id="", action="inc")
+
+
+@query(f"with {d.TRAJECTORIES}, {SPAN_EVENTS} select * from span_ev where span_id = 'r7-p0' and t = 2")
+def q02_get_event(spark, sf_dir):
+    return events.span_events(stored(spark, sf_dir, 7)).where((F.col("span_id") == "r7-p0") & (F.col("t") == 2))
+
+
+@query(f"with {d.TRAJECTORIES}, {SPAN_EVENTS} select span_id, count(*) as n, string_agg(action || ':' || status, '>' order by t) as path from span_ev group by span_id")
+def q03_span_events(spark, sf_dir):
+    rows = ordered.stage(stored(spark, sf_dir), "events")
+    found = events.span_index(rows).select("span_id", "t").join(rows, ["span_id", "t"])
+    # A span ends with the budget's steps at the latest, so but for the last of a run its list is short.
+    steps = F.array_sort(F.collect_list(F.struct("t", F.concat("action", F.lit(":"), "status").alias("s"))))
+    return found.groupBy("span_id").agg(F.count("*").alias("n"), F.array_join(F.transform(steps, lambda x: x["s"]), ">").alias("path"))
+
+
+@query("with said as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as prompt from conversations where role <> 'system') select conv_id::varchar || '-s' || turn as state_id, (turn + 1)::int as t, 'runs/' || conv_id || '/prompts/' || conv_id || '-s' || turn || '.json' as prompt_uri, text as prompt from conversations where role = 'user' union all select conv_id::varchar || '-s' || turn, (turn + 1)::int, 'runs/' || conv_id || '/prompts/' || conv_id || '-s' || turn || '.json', null from conversations where role <> 'user'")
+def q04_state_with_prompt(spark, sf_dir):
+    turns = d.table(spark, sf_dir, "conversations")
+    run, state = F.col("conv_id").cast("string"), F.concat(F.col("conv_id").cast("string"), F.lit("-s"), F.col("turn").cast("string"))
+    states = turns.select(state.alias("state_id"), (F.col("turn") + 1).cast("int").alias("t"), values.prompt_uri(run, state).alias("prompt_uri"))
+    prompts = turns.where("role = 'user'").select(values.prompt_uri(run, state).alias("prompt_uri"), F.col("text").alias("prompt"))
+    return events.with_prompts(states, prompts)
+
+
+KEPT, CHANGED = ["l_quantity", "l_returnflag"], ["l_shipdate", "l_linestatus", "l_extendedprice"]
+_SEQ = f"row({', '.join(d.WRITE_ORDER)})"
+_UPSERT_SQL = f"select l_orderkey, l_linenumber, {', '.join(f'arg_min_null({c}, {_SEQ}) as {c}' for c in KEPT)}, {', '.join(f'arg_max_null({c}, {_SEQ}) as {c}' for c in CHANGED)} from ({d.WRITES}) group by all"
+
+
+@query(_UPSERT_SQL)
+def q05_partial_upsert(spark, sf_dir):
+    return upsert.partial_upsert(d.writes(spark, sf_dir), ["l_orderkey", "l_linenumber"], d.WRITE_ORDER, KEPT, CHANGED)
+
+
+@query(f"with {d.TRAJECTORIES}, {SPAN_EVENTS} select * replace (case when action = 'peek' then null else observation end as observation, case when action = 'peek' then 'error' else status end as status) from span_ev")
+def q06_rebuild_analytics(spark, sf_dir):
+    rows = ordered.stage(stored(spark, sf_dir), "events")
+    # All peeks are written again, as errors: status and observation follow the later write.
+    again = rows.where("action = 'peek'").withColumns({"status": F.lit("error"), "observation": F.lit(None).cast("string"), "cost": F.lit(9), "version": F.lit(2)})
+    return events.rebuild(rows.withColumn("version", F.lit(1)).unionByName(again), ["version"])
+
+
+@query(f"with {d.TRAJECTORIES} select run_id, event_id, t, action, status, error, cost, steps, value, observation from traj")
+def q07_episode_fold(spark, sf_dir):
+    return fold.fold(d.actions(spark, sf_dir), ["ts", "event_id"]).select("run_id", "event_id", "t", "action", "status", "error", "cost", "steps", "value", "observation")
+
+
+@query(f"with {d.TRAJECTORIES} select run_id, count(*) as events, sum(cost)::bigint as charged, (20 - min(steps))::int as spent, max(value) as value from traj group by run_id")
+def q08_budget_spent(spark, sf_dir):
+    rows = fold.fold(d.actions(spark, sf_dir), ["ts", "event_id"])
+    return rows.groupBy("run_id").agg(F.count("*").alias("events"), F.sum("cost").alias("charged"), (fold.STEPS - F.min("steps")).cast("int").alias("spent"), F.max("value").alias("value"))
+
+
+@query(f"with {d.TRAJECTORIES} select span_id, run_id, run_id || '-s' || span_no as from_state_id, case when max(commits_here) = 1 then run_id || '-s' || (span_no + 1) end as to_state_id, min(t) as t_start, max(t) as t_end, count(*) as n_events from traj group by run_id, span_id, span_no")
+def q09_spans_from_commits(spark, sf_dir):
+    return lineage.spans(d.trajectories(spark, sf_dir))
+
+
+@query(f"with {d.TRAJECTORIES} select e.run_id, e.t as event_t, s.state_id, s.t::bigint as state_t from traj e join states s on s.run_id = e.run_id and s.t < e.t where e.action = 'submit' and e.status = 'ok' qualify row_number() over (partition by e.run_id, e.t order by s.t desc) = 1")
+def q10_restore_point(spark, sf_dir):
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    return lineage.restore_points(rows, (F.col("action") == "submit") & (F.col("status") == "ok"))
+
+
+_REPLAYED = "case when k = 13 and status = 'ok' and action in ('inc', 'peek') then '{\"value\":-1}' else observation end"
+
+
+@query(f"""with {d.TRAJECTORIES}, both_ as (select span_id, t, observation as o, {_REPLAYED} as r from traj),
+bad as (select span_id, min(t) as from_t, min(case when o is distinct from r then t end) as diverged_at from both_ group by span_id)
+select span_id, from_t, max(case when diverged_at is null or t < diverged_at then t end) as last_t, count(*) filter (diverged_at is null or t < diverged_at) as events_applied, diverged_at
+from both_ join bad using (span_id) group by span_id, from_t, diverged_at""")
+def q11_replay_verify(spark, sf_dir):
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    tampered = (F.col("k") == 13) & (F.col("status") == "ok") & F.col("action").isin("inc", "peek")
+    return lineage.replay(rows.withColumn("observation", F.when(tampered, '{"value":-1}').otherwise(F.col("observation"))), rows)
+
+
+@query(f"with {d.TRAJECTORIES} select span_id, min(t) as t_lo, max(t) + 1 as t_hi, 5 between min(t) and max(t) + 1 as may_stop_at_5 from traj group by span_id")
+def q12_replay_range_check(spark, sf_dir):
+    return lineage.bounds(d.trajectories(spark, sf_dir)).withColumn("may_stop_at_5", F.lit(5).between(F.col("t_lo"), F.col("t_hi")))
+
+
+@query(f"with {d.TRAJECTORIES} select run_id, state_id as from_state_id, case when n % 2 = 0 then state_id end as parent_state_id, i::int as index, state_id || '-b' || i as sandbox_id, (t + 1)::bigint as t_start from (select *, unnest(range(3)) as i from states)")
+def q13_branch_fanout(spark, sf_dir):
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    return lineage.branch(lineage.states(rows), 3, dirty=F.col("n") % 2 == 1)
+
+
+@query("select conv_id, turn, case when length(text) > 400 then left(text, 400) || '...[' || length(text) || ' chars]' else text end as summary from conversations")
+def q14_summary_string(spark, sf_dir):
+    return d.table(spark, sf_dir, "conversations").select("conv_id", "turn", js.summary_text(F.col("text")).alias("summary"))
+
+
+@query("with w as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, array_to_string(case when len(w) > 5 then list_append(w[1:5], '...' || (len(w) - 5) || ' more') else w end, '|') as summary from w")
+def q15_summary_list(spark, sf_dir):
+    return d.table(spark, sf_dir, "documents").select("doc_id", F.array_join(js.summary_list(F.split("text", " ")), "|").alias("summary"))
+
+
+@query("select event_id, event_type = 'error' as hidden from events")
+def q16_hidden_keys(spark, sf_dir):
+    key = F.when(F.col("event_type") == "error", "_k").otherwise("k_")
+    text = F.concat(F.lit('{ "v": "_x", "a": [1, {"'), key, F.lit('": '), F.col("event_id").cast("string"), F.lit("}], \"q\": \"\\\"_z\"}"))
+    return d.table(spark, sf_dir, "events").select("event_id", js.has_hidden_key(text).alias("hidden"))
+
+
+@query("select event_id, coalesce(nullif((props->>'$.k')::int, 0), 3) as n, contains(props, '1') as has_1, '...' || right(props, 3) as tail from events")
+def q17_json_extract(spark, sf_dir):
+    n = values.falsy(F.get_json_object("props", "$.k").cast("int"), 3)
+    return d.table(spark, sf_dir, "events").select("event_id", n.alias("n"), F.contains("props", F.lit("1")).alias("has_1"), F.concat(F.lit("..."), F.right("props", F.lit(3))).alias("tail"))
+
+
+@query("select a.event_id, (a.props->>'$.k')::int = (b.props->>'$.k')::int as same from events a join events b on b.event_id = a.event_id + 1")
+def q18_json_equal(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    # The same value written with other spacing, order and form of number.
+    other = rows.select((F.col("event_id") - 1).alias("event_id"), F.concat(F.lit('{"b":[1, 2],  "k" : '), k, F.lit(".0}")).alias("other"))
+    mine = F.concat(F.lit('{"k":'), k, F.lit(',"b":[1,2]}'))
+    return rows.join(other, "event_id").select("event_id", js.json_equal(mine, F.col("other")).alias("same"))
+
+
+_DIGITS = values.ID_DIGITS
+_ID = f"array_to_string(list_transform(range(10), lambda i: substring('{_DIGITS}', (((1704067200000 + event_id * 977) // (32::bigint ** (9 - i))::bigint) % 32 + 1)::int, 1)), '') || 'AAAAAAAAAAAAAAAA'"
+
+
+@query(f"select event_id, {_ID} as id, 1704067200000 + event_id * 977 as millis, true as valid from events")
+def q19_id_decode(spark, sf_dir):
+    millis = F.lit(1704067200000) + F.col("event_id") * 977
+    text = F.concat(*[F.substring(F.lit(_DIGITS), (F.shiftright(millis, 5 * (9 - i)).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for i in range(10)], F.lit("A" * 16))
+    rows = d.table(spark, sf_dir, "events").select("event_id", text.alias("id"))
+    return rows.select("event_id", "id", values.id_millis(F.col("id")).alias("millis"), values.is_id(F.col("id")).alias("valid"))
+
+
+@query(f"with {d.DISKS} select disk, idx, data from upper")
+def q20_block_diff(spark, sf_dir):
+    return d.upper(spark, sf_dir).select("disk", "idx", F.lower(F.hex("data")).alias("data"))
+
+
+@query(f"with {d.DISKS}, wanted as (select disk, unnest([0, 3, 7, 1000])::bigint as idx from sizes) select disk, idx, coalesce(u.data, b.data, repeat('0', 32)) as data, case when u.data is not null then 'upper' when b.data is not null then 'base' else 'zero' end as layer from wanted left join upper u using (disk, idx) left join base b using (disk, idx)")
+def q21_overlay_read(spark, sf_dir):
+    wanted = d.sizes(d.disk(spark, sf_dir, 1)).select("disk", F.explode(F.array(*[F.lit(i).cast("long") for i in (0, 3, 7, 1000)])).alias("idx"))
+    return delta.read_blocks(wanted, d.upper(spark, sf_dir), d.disk(spark, sf_dir, 0), 16).select("disk", "idx", F.lower(F.hex("data")).alias("data"), "layer")
+
+
+@query(f"with {d.DISKS} select disk, idx, data from working")
+def q22_materialize(spark, sf_dir):
+    # Base overlaid by the differences gives the working disk again.
+    out = delta.whole(d.sizes(d.disk(spark, sf_dir, 1)), d.upper(spark, sf_dir), d.disk(spark, sf_dir, 0), 16)
+    return out.select("disk", "idx", F.lower(F.hex("data")).alias("data"))
+
+
+@query(f"with {d.DISKS} select disk, idx, 'upper' as layer, (row_number() over (partition by disk order by idx) - 1) * 4096 as \"offset\" from upper")
+def q23_block_map(spark, sf_dir):
+    return delta.block_map(d.upper(spark, sf_dir))
+
+
+@query(f"with {d.DISKS}, kids as (select disk, unnest(range(3))::int as child from sizes), own as (select child, disk, child::bigint as idx, md5(disk || child) as data from kids) select * from own union all select child, disk, idx, data from kids join upper using (disk) where not exists (from own where own.child = kids.child and own.disk = kids.disk and own.idx = upper.idx)")
+def q24_fork_isolation(spark, sf_dir):
+    kids = d.sizes(d.disk(spark, sf_dir, 1)).select("disk", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("child"))
+    own = kids.select("child", "disk", F.col("child").cast("long").alias("idx"), F.unhex(F.md5(F.concat("disk", F.col("child").cast("string")))).alias("data"))
+    return delta.fork(d.upper(spark, sf_dir), kids, own).select("child", "disk", "idx", F.lower(F.hex("data")).alias("data"))
+
+
+@query("with r as (select p_partkey::int as region, p_partkey * 70000 as base, (p_size * 2000)::bigint as size, p_partkey * 4096 as off from part), a as (select event_id * 13577 as address from events) select address, region, page::bigint as page from (select address, region, (off + (address // 4096) * 4096 - base) // 4096 as page from a left join r on address >= base and address < base + size qualify row_number() over (partition by address order by region) = 1)")
+def q25_region_lookup(spark, sf_dir):
+    regions = d.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("region"), (F.col("p_partkey") * 70000).alias("base"), (F.col("p_size") * 2000).cast("long").alias("size"), (F.col("p_partkey") * 4096).alias("offset"), F.lit(4096).cast("long").alias("page_size"))
+    return delta.locate(d.table(spark, sf_dir, "events").select((F.col("event_id") * 13577).alias("address")), regions)
+
+
+@query("select 'orders to customer' as reference, count(*) as n from orders where o_custkey not in (select c_custkey from customer) union all select 'documents to labels', count(*) from documents where doc_id not in (select doc_id from labels) union all select 'backend', count(*) from orders where o_orderstatus not in ('episode', 'firecracker')")
+def q26_reference_check(spark, sf_dir):
+    t = lambda name: d.table(spark, sf_dir, name)
+    found = {"orders to customer": quality.orphans(t("orders"), "o_custkey", t("customer"), "c_custkey"), "documents to labels": quality.orphans(t("documents"), "doc_id", t("labels"), "doc_id"), "backend": quality.outside(t("orders"), "o_orderstatus", schemas.BACKENDS)}
+    out = [df.agg(F.lit(name).alias("reference"), F.count("*").alias("n")) for name, df in found.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
+def q27_key_check(spark, sf_dir):
+    return quality.repeated_keys(d.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("with x as (select conv_id, turn as t, lag(turn) over (partition by conv_id order by turn) as before from conversations where role <> 'assistant') select conv_id, before as after, t - before - 1 as missing from x where t - before > 1")
+def q28_gaps(spark, sf_dir):
+    return quality.gaps(d.table(spark, sf_dir, "conversations").where("role <> 'assistant'"), "conv_id", "turn")
+
+
+@query("with a as (select o_orderkey as k, o_orderstatus as s from orders where o_orderkey % 7 <> 0), b as (select o_orderkey as k, case when o_orderkey % 5 = 0 then 'X' else o_orderstatus end as s from orders where o_orderkey % 11 <> 0) select k, case when b.s is null then 'only first' when a.s is null then 'only second' else 'differ' end as wrong from a full join b using (k) where a.s is distinct from b.s")
+def q29_cross_layer(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    other = rows.where("k % 11 <> 0").withColumn("s", F.when(F.col("k") % 5 == 0, "X").otherwise(F.col("s")))
+    return quality.disagreements(rows.where("k % 7 <> 0"), other, ["k"], ["s"])
+
+
+_CODES = "case event_type when 'click' then 'StateNotFound' when 'view' then 'ReplayDivergence' when 'signup' then 'VmmFailed' when 'purchase' then 'BranchFailed' end"
+
+
+@query(f"select event_id, {_CODES} as code, case event_type when 'click' then 404 when 'view' then 409 when 'signup' then 503 when 'purchase' then 400 else 200 end as http from events")
+def q30_error_status_map(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "events").select("event_id", F.expr(_CODES).alias("code"))
+    return rows.withColumn("http", values.http_status(F.col("code")))
+
+
+@query(f"with {d.TRAJECTORIES} select state_id, run_id, n, parent_state_id, from_span_id, t::bigint as t, steps, snapshot_uri from states")
+def q31_states(spark, sf_dir):
+    return lineage.states(ordered.stage(d.trajectories(spark, sf_dir), "events"))
+
+
+@query(f"with {d.TRAJECTORIES} select run_id, value from traj where action = 'submit' and status = 'ok'")
+def q32_scores(spark, sf_dir):
+    return fold.results(fold.fold(d.actions(spark, sf_dir), ["ts", "event_id"]))
+
+
+@query(f"with {d.DISKS} select s.disk, s.n_blocks, s.n_blocks * 4096 as size, count(u.idx) as n_dirty, count(u.idx) * 4096 as dirty_bytes from sizes s left join upper u using (disk) group by all")
+def q33_disk_headers(spark, sf_dir):
+    return delta.headers(d.sizes(d.disk(spark, sf_dir, 1)), d.upper(spark, sf_dir))
+
+
+@query(f"with {d.DISKS}, w as (select disk, 0::bigint as idx, md5('b' || disk) as data from sizes union all select disk, n_blocks, md5('c' || disk) from sizes) select * from w union all select * from upper where not exists (from w where w.disk = upper.disk and w.idx = upper.idx)")
+def q34_point_writes(spark, sf_dir):
+    rows = d.sizes(d.disk(spark, sf_dir, 1))
+    each = [(F.lit(0).cast("long"), "a", 1), (F.lit(0).cast("long"), "b", 2), (F.col("n_blocks"), "c", 3)]
+    writes = rows.select("disk", F.explode(F.array(*[F.struct(i.alias("idx"), F.unhex(F.md5(F.concat(F.lit(x), "disk"))).alias("data"), F.lit(s).alias("seq")) for i, x, s in each])).alias("w")).select("disk", "w.*")
+    return delta.write_blocks(d.upper(spark, sf_dir), writes).select("disk", "idx", F.lower(F.hex("data")).alias("data"))
+
+
+@query("select event_id, case when event_type = 'error' then 'error' when event_type = 'view' then 'error' when k % 3 = 0 then 'ok' else 'error' end as status, case when event_type = 'error' then 'UnknownAction' when event_type = 'view' then 'ActionRefused' when k % 3 > 0 then 'ExecFailed' end as error, case when event_type = 'error' then 'only exec is known' when event_type = 'view' then 'exec needs cmd' when k % 3 > 0 then 'exit ' || (k % 3) end as message, 0 as cost from (select *, (props->>'$.k')::int as k from events)")
+def q35_recorded_commands(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", "stop").otherwise("exec").alias("action"), F.when(F.col("event_type") != "view", "ls").alias("cmd"), (F.get_json_object("props", "$.k").cast("int") % 3).alias("exit"))
+    return fold.recorded_commands(rows).select("event_id", "status", "error", "message", "cost")
+
+
+@query(_UPSERT_SQL)
+def q36_stream_upsert(spark, sf_dir):
+    """The writes of q05 as a stream of files, upserted batch by batch."""
+    at = ordered.shared_path(spark, "stream")
+    arrived = d.writes(spark, sf_dir).repartition(6)
+    arrived.write.parquet(f"{at}/arrived")
+    stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/arrived")
+    keys = ["l_orderkey", "l_linenumber"]
+    last = ingest.run_upserts(stream, f"{at}/table", f"{at}/checkpoint", keys, d.WRITE_ORDER, KEPT, CHANGED)
+    return ingest.current(spark, f"{at}/table", last, keys, d.WRITE_ORDER, KEPT, CHANGED)
+
+
+@query(f"""with recursive {d.TRAJECTORIES}, up(state_id, ancestor_id, distance) as (select state_id, parent_state_id, 1 from states where parent_state_id is not null
+union all select up.state_id, s.parent_state_id, up.distance + 1 from up join states s on s.state_id = up.ancestor_id where s.parent_state_id is not null) select * from up""")
+def x01_lineage(spark, sf_dir):
+    """All ancestors of each state; a run takes at most as many states as it has steps."""
+    return lineage.lineage(lineage.states(ordered.stage(d.trajectories(spark, sf_dir), "events")), fold.STEPS)
