@@ -15,7 +15,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,10 +25,10 @@ from .common import new_path, small, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Distinct strings that a worker remembers, and the longest that it remembers; both bound memory only.
+#: Distinct words that a worker remembers, and the longest that it remembers; both bound memory only.
 MEMO_SIZE, MEMO_CHARS = 1_000_000, 64
-#: Fixed value: the words of the vocabulary's pattern. Runs beyond Latin letters are left to the library.
-WORDS, LATIN_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "\u0250"
+#: Fixed value: the words of the vocabulary's pattern. Runs beyond Latin letters and with marks are left to the library whole.
+WORD, WHOLE = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+)", r"[^\x{00}-\x{24F}]|<\|"
 SPECIAL = "<|endoftext|>"
 #: Characters at which Python's split() breaks and the vocabulary's pattern does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -47,7 +47,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.runs, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
 
     def encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -59,31 +59,46 @@ class Encoder:
         ends, raw = (4 * np.flatnonzero(ids == self.tokenizer.token_to_id(SPECIAL))).tolist(), ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
 
-    def learn(self, new: list[str]) -> None:
-        """Remember runs: those of plain letters by their words, others whole."""
-        parts = [WORDS.findall(r) if "<|" not in r and max(r) < LATIN_END else [r] for r in new]
-        fresh = list({w for ws in parts for w in ws}.difference(self.words))
-        self.words.update(zip(plain := [w for w in fresh if "<|" not in w], self.encode_joined(plain)))
-        self.words.update(zip(other := [w for w in fresh if "<|" in w], self.encode(other)))
-        look = self.words.__getitem__
-        self.runs.update(zip(new, [b"".join(map(look, ws)) for ws in parts]))
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null text has none."""
-        for memo in (self.runs, self.words):
-            if len(memo) > MEMO_SIZE:
-                memo.clear()
+    def lists_of(self, words: pa.StringArray) -> pa.ListArray:
+        """The ids of each of some distinct words; new ones are encoded and remembered."""
+        if len(self.memo) > MEMO_SIZE:
+            self.memo.clear()
+        distinct = words.to_pylist()
+        known = list(map(self.memo.get, distinct))
+        new = [i for i, v in enumerate(known) if v is None]
+        plain, marked = ([i for i in new if ("<|" in distinct[i]) == odd] for odd in (False, True))
+        found = [*self.encode_joined([distinct[i] for i in plain]), *self.encode([distinct[i] for i in marked])]
+        for i, v in zip([*plain, *marked], found):
+            known[i] = v
+            if len(distinct[i]) <= MEMO_CHARS:
+                self.memo[distinct[i]] = v
+        ends = np.cumsum(np.fromiter(map(len, known), "int64", len(known)) // 4)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(np.frombuffer(b"".join(known), "<i4")))
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text by text, and how many each text has; a null text has none.
+
+        Arrow numbers the distinct runs of the texts, then the distinct words of those, so that Python sees
+        each word once.
+        """
         lower = [(t or "").lower() for t in texts]
         odd = [bool(t) and (not t.isascii()) and (not is_normalized("NFC", t) or not is_normalized("NFC", s) or "\u03a3" in t) or any(c in s for c in NOT_SPACE) for t, s in zip(texts, lower)]
-        runs = [[] if o else s.split() for s, o in zip(lower, odd)]
-        self.learn(list({r for rs in runs for r in rs}.difference(self.runs)))
-        whole = iter(self.encode([t for t, o in zip(texts, odd) if o]))
-        look = self.runs.__getitem__
-        out = [next(whole) if o else b"".join(map(look, rs)) for rs, o in zip(runs, odd)]
-        for r in {r for rs in runs for r in rs if len(r) > MEMO_CHARS}:
-            self.runs.pop(r, None)
-            self.words.pop(r, None)
-        return out
+        cut = pc.utf8_split_whitespace(pa.array(["" if o else s for s, o in zip(lower, odd)], "string"))
+        runs = cut.flatten().dictionary_encode()
+        mixed = pc.invert(pc.utf8_is_alpha(runs.dictionary))
+        some = runs.dictionary.filter(mixed)
+        spaced = pc.if_else(pc.match_substring_regex(some, WHOLE), some, pc.replace_substring_regex(some, WORD, "\\1 "))
+        parts = pc.utf8_split_whitespace(pc.replace_with_mask(runs.dictionary, mixed, spaced))
+        words = parts.flatten().dictionary_encode()
+        by_word = self.lists_of(words.dictionary).take(words.indices)
+        by_run = pa.ListArray.from_arrays(by_word.offsets.take(parts.offsets), by_word.values)
+        taken = by_run.take(runs.indices)
+        values, bounds = taken.values.to_numpy(), taken.offsets.to_numpy()[cut.offsets.to_numpy()]
+        if any(odd):
+            parts, whole = np.split(values, bounds[1:-1]), iter(self.encode([t for t, o in zip(texts, odd) if o]))
+            parts = [np.frombuffer(next(whole), "<i4") if o else v for v, o in zip(parts, odd)]
+            return np.concatenate(parts), np.array([len(v) for v in parts])
+        return values, np.diff(bounds)
 
 
 @cache
@@ -92,23 +107,19 @@ def worker_encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def list_array(values: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0] + [len(v) // 4 for v in values], dtype="int32")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), "<i4")))
-
-
-def encoder(path: str, end_id: int, per_call: int = 1000):
+def encoder(path: str, end_id: int, per_call: int = 2000):
     """For mapInArrow over (doc_id, text) in file order: rows of ``FILE_SCHEMA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = worker_encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<i4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, per_call):
                 b = whole.slice(at, per_call)
-                ids = list_array([v + end for v in encode.batch(b.column(1).to_pylist())])
-                n = np.diff(ids.offsets.to_numpy())
-                ahead = before + np.cumsum(n) - n
+                values, counts = encode.batch(b.column(1).to_pylist())
+                n = counts + 1
+                ends = np.cumsum(n)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(np.insert(values, np.cumsum(counts), end_id)))
+                ahead = before + ends - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, "int32")), pa.array(ahead.astype("int64")), b.column(0), pa.array(n.astype("int32")), ids], ["part", "before", "doc_id", "n_tokens", "ids"])
 
