@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: A piece with a space after another character would let merges cross words; the constructor rejects such models.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-MEMO_SIZE, MEMO_CHARS = 600_000, 64
+MEMO_SIZE, MEMO_CHARS = 1_200_000, 64
 #: Characters indexed at once; longer words are cut nowhere, a batch holds at least one word.
 INDEX_CHARS = 1 << 20
 UNKNOWN = 0xFFFF
@@ -50,6 +51,8 @@ class Pieces:
         chars = sorted({c for p in self.id_of for c in p})
         #: Numbers of the characters from 1 on; 0 ends a word.
         self.codes = {c: k for k, c in enumerate(chars, 1)}
+        self.code_of = np.full(0x110000, UNKNOWN, "uint16")
+        self.code_of[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
         self.width = max(map(len, self.id_of))
         ordered = sorted(self.id_of)
         self.ids = np.array([self.id_of[p] for p in ordered])
@@ -149,9 +152,10 @@ class Encoder:
     def index(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, which are concatenated and matched together."""
         p = self.pieces
-        codes = np.array([c for w in words for c in (*(p.codes.get(ch, UNKNOWN) for ch in w), 0)], "int64")
         lengths = np.array([len(w) for w in words])
         starts = np.cumsum(lengths + 1) - lengths - 1
+        codes = p.code_of[np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), "<u4")].astype("int64")
+        codes[starts + lengths] = 0
         last, back = relax(codes, starts, occurrences(codes.astype("uint16"), p), p)
         last, back, out = last.tolist(), back.tolist(), []
         for w, s, n in zip(words, starts.tolist(), lengths.tolist()):
@@ -165,25 +169,47 @@ class Encoder:
             out.append(np.array(ids[::-1], "<i4").tobytes())
         return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Null and empty texts have no ids. A text gets one space in front; spaces become U+2581."""
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; new ones are indexed together and remembered."""
         if len(self.memo) > MEMO_SIZE:
             self.memo.clear()
-        runs = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new, size = [], 0
-        for w in {w for ws in runs for w in ws}.difference(self.memo):
-            new.append(w)
-            size += len(w) + 1
-            if size >= INDEX_CHARS:
-                self.memo.update(zip(new, self.index(new)))
-                new, size = [], 0
-        if new:
-            self.memo.update(zip(new, self.index(new)))
-        look = self.memo.__getitem__
-        out = [b"".join(map(look, ws)) for ws in runs]
-        for w in {w for ws in runs for w in ws if len(w) > MEMO_CHARS}:
-            self.memo.pop(w, None)
-        return out
+        known = list(map(self.memo.get, words))
+        lost = [i for i, v in enumerate(known) if v is None]
+        at = 0
+        while at < len(lost):
+            size, upto = 0, at
+            while upto < len(lost) and (upto == at or size < INDEX_CHARS):
+                size += len(words[lost[upto]]) + 1
+                upto += 1
+            for i, v in zip(lost[at:upto], self.index([words[i] for i in lost[at:upto]])):
+                known[i] = v
+                if len(words[i]) <= MEMO_CHARS:
+                    self.memo[words[i]] = v
+            at = upto
+        return known
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text by text, and the bounds of each text's. Null and empty texts have no ids.
+
+        A text gets one space in front; spaces become U+2581. Where single spaces part the words, Arrow cuts
+        the texts and numbers their distinct words.
+        """
+        odd = [bool(t) and (t[0] == " " or "  " in t or SPACE in t) for t in texts]
+        cut = pc.split_pattern(pa.array([None if o or not t else t for t, o in zip(texts, odd)], "string"), " ")
+        words = cut.flatten().dictionary_encode()
+        known = self.ids_of([SPACE + w for w in words.dictionary.to_pylist()])
+        ends = np.cumsum(np.fromiter(map(len, known), "int64", len(known)) // 4)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(np.frombuffer(b"".join(known), "<i4")))
+        taken = lists.take(words.indices)
+        values, bounds = taken.values.to_numpy(), taken.offsets.to_numpy()[cut.offsets.to_numpy()]
+        if any(odd):
+            runs = [WORD.findall(SPACE + t.replace(" ", SPACE)) for t, o in zip(texts, odd) if o]
+            distinct = list({w for ws in runs for w in ws})
+            look = dict(zip(distinct, self.ids_of(distinct))).__getitem__
+            other = iter([np.frombuffer(b"".join(map(look, ws)), "<i4") for ws in runs])
+            parts = [next(other) if o else v for v, o in zip(np.split(values, bounds[1:-1]), odd)]
+            return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return values, bounds
 
 
 @cache
@@ -193,15 +219,19 @@ def worker_encoder(path: str) -> Encoder:
 
 
 class Decoder:
-    """``text(ids)``: pieces put together, byte pieces decoded, the space in front removed."""
+    """``texts(ids, bounds)``: pieces put together, byte pieces decoded, the space in front removed."""
 
     def __init__(self, pieces: Pieces):
         by_id = {i: b for b, i in pieces.bytes.items()}
-        self.raw = [bytes([by_id[i]]) if i in by_id else b"" if i in pieces.skip else s.replace(SPACE, " ").encode() for i, s in enumerate(pieces.strings)]
+        self.raw = pa.array([bytes([by_id[i]]) if i in by_id else b"" if i in pieces.skip else s.replace(SPACE, " ").encode() for i, s in enumerate(pieces.strings)], "large_binary")
 
-    def text(self, ids: list[int]) -> str:
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if out[:1] == " " else out
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        taken = self.raw.take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, "int64")[: len(ids) + 1][bounds].tolist() if len(ids) else [0] * len(bounds)
+        data = memoryview(data or b"")
+        out = [str(data[a:b], "utf-8", "replace") for a, b in zip(at, at[1:])]
+        return [t[1:] if t[:1] == " " else t for t in out]
 
 
 def encode(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
@@ -213,9 +243,8 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                ids = enc.batch(b.column(0).to_pylist())
-                ends = pa.array(np.cumsum([0] + [len(v) // 4 for v in ids], dtype="int32"))
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4")))], [*keep, "ids"])
+                values, bounds = enc.batch(b.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(bounds.astype("int32")), pa.array(values))], [*keep, "ids"])
 
     return docs.select(F.col("text").cast("string").alias("text"), *[F.col(c) for c in keep]).mapInArrow(run, schema)
 
@@ -227,8 +256,11 @@ def decode(rows: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = Decoder(Pieces(vocabulary))
         for b in batches:
-            texts = [None if ids is None else dec.text(ids) for ids in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, "string")], [*keep, "text"])
+            ids = b.column(0)
+            flat = ids.flatten()
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+            texts = pa.array(dec.texts(flat.to_numpy(), bounds), "string")
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pc.if_else(ids.is_valid(), texts, None)], [*keep, "text"])
 
     return rows.select("ids", *keep).mapInArrow(run, schema)
 
@@ -248,9 +280,9 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 texts = b.column(1).to_pylist()
-                ids = enc.batch(texts)
-                back = [dec.text(np.frombuffer(v, "<i4").tolist()) for v in ids]
-                columns = [[len(v) // 4 for v in ids], [zlib.crc32(v) for v in ids], [len(t) for t in back], [zlib.crc32(t.encode("utf-8", "replace")) for t in back]]
+                values, bounds = enc.batch(texts)
+                back, raw, at = dec.texts(values, bounds), memoryview(np.ascontiguousarray(values, "<i4")).cast("B"), bounds.tolist()
+                columns = [[j - i for i, j in zip(at, at[1:])], [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at, at[1:])], [len(t) for t in back], [zlib.crc32(t.encode("utf-8", "replace")) for t in back]]
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, "int64") for c in columns], pa.array([t == (o or "") for t, o in zip(back, texts)])], schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
