@@ -43,3 +43,13 @@ def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+_memories: dict[str, dict] = {}
+
+
+def worker_memory(name: str) -> dict:
+    """What an operator remembers in this Python worker, over all its tasks; what other operators remembered is let go."""
+    for other in _memories.keys() - {name}:
+        _memories.pop(other).clear()
+    return _memories.setdefault(name, {})

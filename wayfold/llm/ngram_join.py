@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, worker_memory
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -32,17 +32,19 @@ N_HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 30, 1e-7
 #: Members of a bucket are dealt to blocks of about this size; each two blocks meet in a task.
 BLOCK = 256
-MEMO_SIZE = 1_000_000
+#: Words whose hashes a Python worker remembers; the bound is of memory only.
+MEMO_SIZE = 500_000
 
 _random = np.random.RandomState(20240607)
 FACTORS = _random.randint(0, 1 << 31, N_HASHES).astype("uint32") * np.uint32(2) + np.uint32(1)
 OFFSETS = _random.randint(0, 1 << 31, N_HASHES).astype("uint32") * np.uint32(2) + _random.randint(0, 2, N_HASHES).astype("uint32")
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words; ``known`` remembers them."""
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), "uint64", len(words))
 
 
 def shingles(text: str | None, known: dict[str, int]) -> np.ndarray:
@@ -53,7 +55,7 @@ def shingles(text: str | None, known: dict[str, int]) -> np.ndarray:
     words = (text or "").lower().split()
     if not words:
         return np.empty(0, "uint64")
-    w = np.fromiter(map(known.__getitem__, words), "uint64", len(words))
+    w = word_hashes(words, known)
     n = min(SHINGLE_WORDS, len(w))
     h = np.full(len(w) - n + 1, n, "uint64")
     for i in range(n):
@@ -79,14 +81,11 @@ def set_key(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-#: Words that a Python worker has hashed, over all its tasks; the bound is of memory only.
-_known = _WordHash()
-
-
 def _shingled(texts: list[str | None]) -> list[np.ndarray]:
-    if len(_known) > MEMO_SIZE:
-        _known.clear()
-    return [shingles(t, _known) for t in texts]
+    known = worker_memory("word hashes")
+    if len(known) > MEMO_SIZE:
+        known.clear()
+    return [shingles(t, known) for t in texts]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

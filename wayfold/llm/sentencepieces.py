@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, worker_memory
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: A piece with a space after another character would let merges cross words; the constructor rejects such models.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-MEMO_SIZE, MEMO_CHARS = 1_200_000, 64
+MEMO_SIZE, MEMO_CHARS = 600_000, 64
+#: Pairs of pieces whose fit a worker remembers.
+PAIRS = 500_000
 #: Characters indexed at once; longer words are cut nowhere, a batch holds at least one word.
 INDEX_CHARS = 1 << 20
 UNKNOWN = 0xFFFF
@@ -75,6 +77,8 @@ class Pieces:
 
     def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each two pieces, side by side, stay as they are; distinct pairs are decided once and remembered."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         both = left.astype("int64") * len(self.strings) + right
         kinds, inverse = np.unique(both, return_inverse=True)
         out = np.empty(len(kinds), bool)
@@ -213,9 +217,15 @@ class Encoder:
 
 
 @cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def worker_encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker, so that its memory carries over."""
-    return Encoder(path)
+    out = _encoder(path)
+    out.memo = worker_memory(f"pieces {path}")
+    return out
 
 
 class Decoder:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, small, table
+from .common import new_path, small, table, worker_memory
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -102,9 +102,15 @@ class Encoder:
 
 
 @cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def worker_encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker, so that its memory carries over."""
-    return Encoder(path)
+    out = _encoder(path)
+    out.memo = worker_memory(f"tokens {path}")
+    return out
 
 
 def encoder(path: str, end_id: int, per_call: int = 2000):
