@@ -26,11 +26,13 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: A piece with a space after another character would let merges cross words; the constructor rejects such models.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-MEMO_SIZE, MEMO_CHARS = 600_000, 64
+MEMO_SIZE, MEMO_CHARS = 400_000, 64
+#: Texts encoded at a time.
+PER_CALL = 500
 #: Pairs of pieces whose fit a worker remembers.
 PAIRS = 500_000
 #: Characters indexed at once; longer words are cut nowhere, a batch holds at least one word.
-INDEX_CHARS = 1 << 20
+INDEX_CHARS = 1 << 18
 UNKNOWN = 0xFFFF
 
 
@@ -251,8 +253,8 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(vocabulary)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, PER_CALL):
+                b = whole.slice(at, PER_CALL)
                 values, bounds = enc.batch(b.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(bounds.astype("int32")), pa.array(values))], [*keep, "ids"])
 
@@ -287,8 +289,8 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         enc = worker_encoder(vocabulary)
         dec = Decoder(enc.pieces)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, PER_CALL):
+                b = whole.slice(at, PER_CALL)
                 texts = b.column(1).to_pylist()
                 values, bounds = enc.batch(texts)
                 back, raw, at = dec.texts(values, bounds), memoryview(np.ascontiguousarray(values, "<i4")).cast("B"), bounds.tolist()
