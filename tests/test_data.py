@@ -93,6 +93,13 @@ def test_ids_and_scalars(spark):
     assert one(spark.range(1).select(values.exit_code(F.lit(False), F.lit(0), F.lit(9)), values.exit_code(F.lit(True), F.lit(3), F.lit(None)), values.exit_code(F.lit(False), F.lit(0), F.lit(None)))) == [(137, 3, 1)]
 
 
+def test_budget_snapshots_and_bytes(spark):
+    df = spark.createDataFrame([({"b": 3.0, 'a"]': 0.123456, "c": -1.5},), ({},), (None,)], "m map<string,double>")
+    assert [r[0] for r in df.select(values.budget_snapshot(F.col("m"))).collect()] == ['{"a\\"]":0.1235,"b":3,"c":-1.5}', "{}", None]
+    raw = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray("ü".encode()),), (None,)], "d binary")
+    assert [r[0] for r in raw.select(values.decoded(F.col("d"))).collect()] == ["a\ufffdb", "ü", None]
+
+
 B = "disk string, idx long, data binary"
 
 
@@ -163,6 +170,20 @@ def test_checks(spark):
     assert sorted(one(quality.disagreements(a, b, ["k"], ["v"]))) == [(3, "only first"), (4, "only second")]
 
 
+def test_cut_observations_and_counts(spark):
+    long, short = "x" * 401, "y"
+    cut = "x" * 400 + "...[401 chars]"
+    df = spark.createDataFrame([(1, long, cut), (2, cut, cut), (3, short, short), (4, None, cut), (5, None, None)], "k int, observation string, obs_summary string")
+    assert sorted(r.k for r in quality.cut_observations(df).collect()) == [2, 4]
+    assert one(quality.row_counts({"a": df, "none": df.limit(0)})) == [("a", 5), ("none", 0)]
+
+
+def test_memory_headers(spark):
+    images = spark.createDataFrame([("d", 64, True), ("e", 64, True), ("f", 3, False)], "disk string, n_blocks long, packed boolean")
+    out = {r.disk: (r.len, r.n_pages, r.n_dirty) for r in delta.memory_headers(images, blocks(spark, (9, b"a"), (20, b"b"))).collect()}
+    assert out == {"d": (64 * 4096, 64, 2), "e": (64 * 4096, 64, 0), "f": (3 * 4096, 3, 3)}
+
+
 def test_json_objects(spark, tmp_path):
     at = tmp_path / "runs/r/spans/s/events"
     at.mkdir(parents=True)

@@ -83,6 +83,42 @@ def test_stop_out_of_range(spark):
     lineage.check_stop(lineage.bounds(df), "nowhere", 4, t_start=4)
 
 
+def test_restore_and_replay(spark):
+    df = lineage.in_spans(folded(spark, [("a", i, a, n) for i, (a, n) in enumerate(SCRIPT, 1)]), fold.F.col("t") == 2)
+    bad = df.withColumn("observation", fold.F.when(fold.F.col("t") == 4, '{"value":-1}').otherwise(fold.F.col("observation")))
+    asked = spark.createDataFrame([("a-s1", "a-p1", 5), ("a-s1", "a-p1", 5), ("a-s1", None, None), ("a-s0", "a-p0", None), ("a-s1", "a-p1", 99), ("a-s1", "empty", None), ("lost", None, None)], "state_id string, span_id string, stop_before_t long")
+
+    def run(recorded):
+        found = lineage.restore_and_replay(lineage.states(df), recorded, df, asked).collect()
+        return {(r.span_id, r.stop_before_t): (r.restored_t, r.from_t, r.last_t, r.events_applied, r.error, r.t) for r in found}
+
+    whole = run(df)
+    assert whole == {("a-p1", 5): (2, 3, 4, 2, None, 4), (None, None): (2, None, None, None, None, 2), ("a-p0", 3): (0, 1, 2, 2, None, 2), ("a-p1", 99): (2, 3, None, None, "StopBeforeTOutOfRange", None), ("empty", 3): (2, 3, 2, 0, None, 2)}
+    assert run(bad) == whole | {("a-p1", 5): (2, 3, 3, 1, "ReplayDivergence", None)}
+    assert lineage.restore_and_replay(lineage.states(df), df, df, asked.limit(0)).count() == 0
+
+
+def test_start_runs(spark):
+    asked = spark.createDataFrame([("r", "box", "counter", 3, "episode", 1.5)], "run_id string, sandbox_id string, task_id string, seed int, backend string, created_at double")
+    runs, states, spans = lineage.start_runs(asked)
+    assert runs.columns == ["run_id", "task_id", "seed", "backend", "created_at"]
+    state, span = states.first(), spans.first()
+    assert (state.state_id, state.t, state.parent_state_id, state.budget) == ("r-s0", 0, None, None)
+    assert (span.from_state_id, span.to_state_id, span.t_start, span.t_end, span.sandbox_id) == ("r-s0", None, 1, None, "box")
+
+
+def test_partial_branch(spark):
+    states = spark.createDataFrame([("s", "r", 4)], "state_id string, run_id string, t int")
+    kids = lineage.branch(states, 3, broken=fold.F.when(fold.F.col("index") == 1, True)).collect()
+    assert [(k["index"], k.sandbox_id, k.error) for k in kids] == [(0, "s-b0", None), (1, None, "BranchFailed"), (2, "s-b2", None)]
+
+
+def test_messages(spark):
+    df = folded(spark, [("a", i, "inc", None) for i in range(21)] + [("a", 21, "bogus", None), ("a", 22, None, None), ("a", 23, "submit", None), ("a", 24, "inc", None)])
+    said = [r[0] for r in df.orderBy("t").select(fold.messages(fold.F.col("steps"), fold.F.col("error"), fold.F.col("action"))).collect()]
+    assert said[19:] == [None, "steps exhausted: 0 left, 1 needed", "no action 'bogus'; available: inc, list_items, peek, sample, submit", "no action None; available: inc, list_items, peek, sample, submit", None, "this episode has already finished"]
+
+
 @pytest.mark.parametrize("n", [0, 101])
 def test_branch_limits(spark, n):
     with pytest.raises(WayfoldError):

@@ -66,6 +66,24 @@ def fixed_width(data: Column, width: int) -> Column:
     return F.rpad(F.substring(data, 1, width), width, F.lit(b"\x00"))
 
 
+def budget_snapshot(counters: Column) -> Column:
+    """Canonical JSON of named counters: whole ones as integers, others to four places. Null for null."""
+    by_name = F.array_sort(F.map_entries(counters))
+    number = lambda v: F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(F.round(v, 4).cast("string"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(by_name, lambda e: F.concat(_json_string(e["key"]), F.lit(":"), number(e["value"]))), ","), F.lit("}"))
+
+
+def _json_string(text: Column) -> Column:
+    """A string as JSON: what stands between the brackets of the array of it alone."""
+    quoted = F.to_json(F.array(text))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
+def decoded(data: Column) -> Column:
+    """Bytes as UTF-8, with U+FFFD for what is not."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def event_uri(run_id: Column, span_id: Column, t: Column) -> Column:
     return F.concat(F.lit("runs/"), run_id, F.lit("/spans/"), span_id, F.lit("/events/"), F.format_string("%08d", t), F.lit(".json"))
 

@@ -61,6 +61,16 @@ def headers(sizes: DataFrame, upper: DataFrame, size: int = BLOCK_SIZE) -> DataF
     return sizes.join(n, "disk", "left").select("disk", "n_blocks", (F.col("n_blocks") * size).alias("size"), F.coalesce("n_dirty", F.lit(0)).alias("n_dirty"), (F.coalesce("n_dirty", F.lit(0)) * size).alias("dirty_bytes"))
 
 
+def memory_headers(images: DataFrame, dirty: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
+    """(disk, page_size, len, n_pages, n_dirty) of each image of ``images`` (disk, n_blocks, packed).
+
+    All pages of a dense image count as dirty; which pages of a packed one are is in the rows of ``dirty``.
+    """
+    rows = headers(images.select("disk", "n_blocks"), dirty, size).select("disk", "n_dirty")
+    n = F.when(F.col("packed"), F.col("n_dirty")).otherwise(F.col("n_blocks"))
+    return images.join(rows, "disk").select("disk", F.lit(size).alias("page_size"), (F.col("n_blocks") * size).alias("len"), F.col("n_blocks").alias("n_pages"), n.alias("n_dirty"))
+
+
 def fork(upper: DataFrame, children: DataFrame, writes: DataFrame) -> DataFrame:
     """(child, disk, idx, data): each child's upper, the parent's overlaid by the child's own ``writes``.
 

@@ -86,6 +86,17 @@ def results(folded: DataFrame) -> DataFrame:
     return folded.where(_is("submit") & (F.col("status") == "ok")).select("run_id", "value")
 
 
+def messages(steps: Column, error: Column, action: Column) -> Column:
+    """What an event's error says, given the steps that are left; null without one."""
+    names = ", ".join(sorted(COUNTER))
+    called = F.coalesce(F.concat(F.lit("'"), action, F.lit("'")), F.lit("None"))
+    return (
+        F.when(error == "EpisodeComplete", "this episode has already finished")
+        .when(error == "UnknownAction", F.concat(F.lit("no action "), called, F.lit(f"; available: {names}")))
+        .when(error == "ActionRefused", F.concat(F.lit("steps exhausted: "), steps.cast("string"), F.lit(" left, 1 needed")))
+    )
+
+
 def recorded_commands(commands: DataFrame) -> DataFrame:
     """Events of recorded command results (action, cmd, exit): only exec is known, an empty command is refused, all is free."""
     from ..functions.values import exec_status

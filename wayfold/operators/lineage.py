@@ -20,6 +20,20 @@ def span_id(run_id: Column, n: Column) -> Column:
     return F.concat(run_id, F.lit("-p"), n.cast("string"))
 
 
+def start_runs(requests: DataFrame, budget: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows for the tables of runs, states and spans that new runs begin with.
+
+    ``requests`` has (run_id, sandbox_id, task_id, seed, backend, created_at). Each run gets its root state, at
+    t = 0 with the task's ``budget`` and without a parent, and a first span, open and from t = 1 on.
+    """
+    root, none = state_id(F.col("run_id"), F.lit(0)), F.lit(None).cast("string")
+    budget = F.lit(None).cast("map<string,double>") if budget is None else budget
+    runs = requests.select("run_id", "task_id", "seed", "backend", "created_at")
+    roots = requests.select(root.alias("state_id"), "run_id", none.alias("parent_state_id"), none.alias("from_span_id"), F.lit(0).alias("t"), "backend", snapshot_uri(root).alias("snapshot_uri"), none.alias("prompt_uri"), budget.alias("budget"), "created_at")
+    first = requests.select(span_id(F.col("run_id"), F.lit(0)).alias("span_id"), "run_id", root.alias("from_state_id"), none.alias("to_state_id"), "sandbox_id", F.lit(1).alias("t_start"), F.lit(None).cast("int").alias("t_end"), "created_at")
+    return runs, roots, first
+
+
 def in_spans(folded: DataFrame, commit: Column) -> DataFrame:
     """Rows of ``fold`` with their span's number and id; ``commit`` marks the events after which a state is taken."""
     rows = running(folded.withColumn("commits_here", F.coalesce(commit, F.lit(False)).cast("int")), ["run_id"], {"commits": F.col("commits_here")})
@@ -69,25 +83,34 @@ def replay(recorded: DataFrame, recomputed: DataFrame, stop_before_t: Column | N
     ``diverged_at`` is null; at one the replay ends. Events from ``stop_before_t`` on are not replayed.
     """
     kept = recorded if stop_before_t is None else recorded.where(F.col("t") < stop_before_t)
+    return _compared(kept.select("span_id", "t", "status", "observation"), recomputed, ["span_id"])
+
+
+def _compared(recorded: DataFrame, recomputed: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, from_t, last_t, events_applied, diverged_at) of the replays that ``keys``, span_id among them, name."""
     new = recomputed.select("span_id", "t", F.col("status").alias("n_status"), F.col("observation").alias("n_observation"))
-    both = kept.select("span_id", "t", "status", "observation").join(new, ["span_id", "t"], "left")
+    both = recorded.join(new, ["span_id", "t"], "left")
     same = F.col("status").eqNullSafe(F.col("n_status")) & F.col("observation").eqNullSafe(F.col("n_observation"))
-    first_bad = both.groupBy("span_id").agg(F.min("t").alias("from_t"), F.min(F.when(~same, F.col("t"))).alias("diverged_at"))
-    good = both.join(first_bad.select("span_id", "diverged_at"), "span_id").where(F.col("diverged_at").isNull() | (F.col("t") < F.col("diverged_at")))
-    done = good.groupBy("span_id").agg(F.max("t").alias("last_t"), F.count("*").alias("events_applied"))
-    return first_bad.join(done, "span_id", "left").select("span_id", "from_t", "last_t", F.coalesce("events_applied", F.lit(0)).alias("events_applied"), "diverged_at")
+    first_bad = both.groupBy(*keys).agg(F.min("t").alias("from_t"), F.min(F.when(~same, F.col("t"))).alias("diverged_at"))
+    good = both.join(first_bad.select(*keys, "diverged_at"), keys).where(F.col("diverged_at").isNull() | (F.col("t") < F.col("diverged_at")))
+    done = good.groupBy(*keys).agg(F.max("t").alias("last_t"), F.count("*").alias("events_applied"))
+    return first_bad.join(done, keys, "left").select(*keys, "from_t", "last_t", F.coalesce("events_applied", F.lit(0)).alias("events_applied"), "diverged_at")
 
 
-def branch(states_: DataFrame, n: int, dirty: Column | None = None) -> DataFrame:
+def branch(states_: DataFrame, n: int, dirty: Column | None = None, broken: Column | None = None) -> DataFrame:
     """``n`` children of each state: (run_id, from_state_id, parent_state_id, index, sandbox_id, t_start).
 
-    They share the run and the state; a dirty parent names no parent state. Nothing is copied.
+    They share the run and the state; a dirty parent names no parent state. Nothing is copied. With ``broken``
+    (over the state and ``index``) a child for which it holds has an ``error`` and no sandbox; the others go on.
     """
     if not 1 <= n <= MOST_BRANCHES:
         raise WayfoldError("BranchFailed", f"n must be 1..{MOST_BRANCHES}, got {n}")
     dirty = F.lit(False) if dirty is None else dirty
+    failed = F.lit(False) if broken is None else F.coalesce(broken, F.lit(False))
     each = states_.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("index"))
-    return each.select("run_id", F.col("state_id").alias("from_state_id"), F.when(~dirty, F.col("state_id")).alias("parent_state_id"), "index", F.concat("state_id", F.lit("-b"), F.col("index").cast("string")).alias("sandbox_id"), (F.col("t") + 1).alias("t_start"))
+    error = [] if broken is None else [F.when(failed, "BranchFailed").alias("error")]
+    box = F.when(~failed, F.concat("state_id", F.lit("-b"), F.col("index").cast("string")))
+    return each.select("run_id", F.col("state_id").alias("from_state_id"), F.when(~dirty, F.col("state_id")).alias("parent_state_id"), "index", box.alias("sandbox_id"), (F.col("t") + 1).alias("t_start"), *error)
 
 
 def restore(states_: DataFrame, prompts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -97,6 +120,30 @@ def restore(states_: DataFrame, prompts: DataFrame, wanted: DataFrame) -> DataFr
     return found.select("run_id", F.col("state_id").alias("from_state_id"), "sandbox_id", (F.col("t") + 1).alias("t_start"), "snapshot_uri", "prompt")
 
 
+def restore_and_replay(states_: DataFrame, recorded: DataFrame, recomputed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What each distinct request of ``wanted`` (state_id, span_id, stop_before_t) gives: the state restored, then the span replayed.
+
+    Returns (state_id, span_id, run_id, restored_t, stop_before_t, from_t, last_t, events_applied, diverged_at,
+    error, t). A null span only restores. A null ``stop_before_t`` means one past the span's last event; a span
+    without events allows its first t alone, which is one past the state's. A stop out of range and a divergence
+    are named in ``error`` and leave ``t`` null, where the run else stands. Unknown states are left out.
+    """
+    known = wanted.distinct().join(states_.select("state_id", "run_id", F.col("t").alias("restored_t")), "state_id").join(bounds(recorded), "span_id", "left")
+    start = F.col("restored_t") + 1
+    lo, hi = F.coalesce("t_lo", start), F.coalesce("t_hi", start)
+    replays = F.col("span_id").isNotNull()
+    asked = known.withColumns({"stop_before_t": F.when(replays, F.coalesce("stop_before_t", hi)), "from_t": F.when(replays, lo)}).withColumn("fits", F.col("stop_before_t").between(lo, hi))
+    keys = ["state_id", "span_id", "stop_before_t"]
+    kept = asked.where("fits").select(*keys).join(recorded.select("span_id", "t", "status", "observation"), "span_id").where(F.col("t") < F.col("stop_before_t"))
+    done = _compared(kept, recomputed, keys).drop("from_t")
+    error = F.when(~F.col("fits"), "StopBeforeTOutOfRange").when(F.col("diverged_at").isNotNull(), "ReplayDivergence")
+    last = F.when(F.col("fits"), F.coalesce("last_t", "restored_t"))
+    return asked.join(done, keys, "left").select(
+        *keys[:2], "run_id", "restored_t", "stop_before_t", "from_t", last.alias("last_t"), F.when(F.col("fits"), F.coalesce("events_applied", F.lit(0))).alias("events_applied"),
+        "diverged_at", error.alias("error"), F.when(error.isNull(), F.coalesce(last, "restored_t")).alias("t"),
+    )
+
+
 def lineage(states_: DataFrame, levels: int = 100) -> DataFrame:
     """(state_id, ancestor_id, distance) up to ``levels`` parents above each state, by one join a doubling.
 

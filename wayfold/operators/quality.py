@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import summary_text
 from .ordered import ordered, running
 
 
@@ -41,3 +44,14 @@ def disagreements(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str
         same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     wrong = F.when(F.col("b").isNull(), "only first").when(F.col("a").isNull(), "only second").when(~same, "differ")
     return left.join(right, keys, "full").select(*keys, wrong.alias("wrong")).where("wrong is not null")
+
+
+def cut_observations(events: DataFrame) -> DataFrame:
+    """Events whose stored observation is not whole: the summary made of it is not the stored one."""
+    return events.where(F.col("obs_summary").isNotNull() & ~summary_text(F.col("observation")).eqNullSafe(F.col("obs_summary")))
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table."""
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)

@@ -285,6 +285,79 @@ def q36_stream_upsert(spark, sf_dir):
     return ingest.current(spark, f"{at}/table", last, keys, d.WRITE_ORDER, KEPT, CHANGED)
 
 
+@query("select distinct conv_id::varchar || '-s0' as state_id, conv_id::varchar as run_id, 0::int as t, 'episode' as backend, 'snapshots/' || conv_id || '-s0' as snapshot_uri, conv_id::varchar || '-p0' as span_id, conv_id::varchar || '-box' as sandbox_id, 1::int as t_start from conversations")
+def q37_start_runs(spark, sf_dir):
+    run = F.col("conv_id").cast("string")
+    asked = d.table(spark, sf_dir, "conversations").select(run.alias("run_id"), F.concat(run, F.lit("-box")).alias("sandbox_id"), F.lit("counter").alias("task_id"), F.lit(3).alias("seed"), F.lit(schemas.BACKENDS[0]).alias("backend"), F.lit(0.0).alias("created_at")).distinct()
+    _, states, spans = lineage.start_runs(asked, F.create_map(F.lit("steps"), F.lit(float(fold.STEPS))))
+    first = spans.select(F.col("from_state_id").alias("state_id"), "span_id", "sandbox_id", "t_start")
+    return states.join(first, "state_id").select("state_id", "run_id", "t", "backend", "snapshot_uri", "span_id", "sandbox_id", "t_start")
+
+
+@query(f"""with {d.TRAJECTORIES}, lim as (select span_id, min(t) as lo, max(t) + 1 as hi from traj group by span_id),
+wanted as (select state_id, run_id, t::bigint as restored_t, case when n % 2 = 0 then run_id || '-p' || n end as span_id, case when n % 4 = 0 then t + 4 end as asked from states),
+ranged as (select w.*, coalesce(lo, restored_t + 1) as lo, coalesce(hi, restored_t + 1) as hi, case when span_id is not null then coalesce(asked, hi, restored_t + 1) end as stop from wanted w left join lim using (span_id)),
+ev as (select r.state_id, traj.t as step, traj.observation is distinct from {_REPLAYED} as bad from ranged r join traj on traj.span_id = r.span_id where traj.t < stop and stop between lo and hi),
+bad as (select state_id, min(case when bad then step end) as diverged_at from ev group by state_id),
+good as (select state_id, count(*) as applied, max(step) as last_at from ev join bad using (state_id) where diverged_at is null or step < diverged_at group by state_id)
+select r.state_id, span_id, run_id, restored_t, stop as stop_before_t, case when span_id is not null then lo end as from_t,
+  case when stop between lo and hi then coalesce(last_at, restored_t) end as last_t, case when stop between lo and hi then coalesce(applied, 0) end as events_applied, diverged_at,
+  case when not stop between lo and hi then 'StopBeforeTOutOfRange' when diverged_at is not null then 'ReplayDivergence' end as error,
+  case when span_id is null then restored_t when stop between lo and hi and diverged_at is null then coalesce(last_at, restored_t) end as t
+from ranged r left join bad using (state_id) left join good using (state_id)""")
+def q38_restore_and_replay(spark, sf_dir):
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    states = lineage.states(rows)
+    # Every other state is only restored; of the rest every other names a stop, which may be out of range.
+    wanted = states.select("state_id", F.when(F.col("n") % 2 == 0, lineage.span_id(F.col("run_id"), F.col("n"))).alias("span_id"), F.when(F.col("n") % 4 == 0, F.col("t") + 4).alias("stop_before_t"))
+    tampered = (F.col("k") == 13) & (F.col("status") == "ok") & F.col("action").isin("inc", "peek")
+    return lineage.restore_and_replay(states, rows.withColumn("observation", F.when(tampered, '{"value":-1}').otherwise(F.col("observation"))), rows, wanted)
+
+
+@query("select conv_id, turn from conversations where turn % 5 = 0 and length(text) > 400")
+def q39_cut_observations(spark, sf_dir):
+    # Of every fifth turn only the summary was stored as the observation.
+    short = js.summary_text(F.col("text"))
+    rows = d.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 0, short).otherwise(F.col("text")).alias("observation"), short.alias("obs_summary"))
+    return quality.cut_observations(rows).select("conv_id", "turn")
+
+
+@query(f"with {d.TRAJECTORIES} select 'runs' as name, count(distinct run_id) as n from traj union all select 'states', count(*) from states union all select 'spans', count(distinct span_id) from traj union all select 'span_index', count(*) from traj")
+def q40_row_counts(spark, sf_dir):
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    return quality.row_counts({"runs": rows.select("run_id").distinct(), "states": lineage.states(rows), "spans": lineage.spans(rows), "span_index": events.span_index(d.recorded(rows))})
+
+
+@query("select o_orderkey, '{\"steps\":' || o_orderkey || ',\"usd\":' || case when o_orderkey % 4 = 0 then (o_orderkey // 4)::varchar else (o_orderkey / 4)::varchar end || '}' as budget from orders")
+def q41_budget_snapshot(spark, sf_dir):
+    counters = F.create_map(F.lit("usd"), F.col("o_orderkey") / 4, F.lit("steps"), F.col("o_orderkey").cast("double"))
+    return d.table(spark, sf_dir, "orders").select("o_orderkey", values.budget_snapshot(counters).alias("budget"))
+
+
+@query("select doc_id, text || chr(65533) || '.' as output from documents")
+def q42_decoded_output(spark, sf_dir):
+    """Output with a byte that is no UTF-8."""
+    return d.table(spark, sf_dir, "documents").select("doc_id", values.decoded(F.concat(F.col("text").cast("binary"), F.lit(b"\xff."))).alias("output"))
+
+
+@query(f"with {d.TRAJECTORIES} select event_id, error, case error when 'EpisodeComplete' then 'this episode has already finished' when 'UnknownAction' then 'no action ''' || action || '''; available: inc, list_items, peek, sample, submit' when 'ActionRefused' then 'steps exhausted: ' || steps || ' left, 1 needed' end as message from traj")
+def q43_error_messages(spark, sf_dir):
+    rows = fold.fold(d.actions(spark, sf_dir), ["ts", "event_id"])
+    return rows.select("event_id", "error", fold.messages(F.col("steps"), F.col("error"), F.col("action")).alias("message"))
+
+
+@query(f"with {d.DISKS} select s.disk, 4096 as page_size, s.n_blocks * 4096 as len, s.n_blocks as n_pages, case when s.disk::bigint % 2 = 0 then count(u.idx) else s.n_blocks end as n_dirty from sizes s left join upper u using (disk) group by s.disk, s.n_blocks")
+def q44_memory_headers(spark, sf_dir):
+    images = d.sizes(d.disk(spark, sf_dir, 1)).withColumn("packed", F.col("disk").cast("long") % 2 == 0)
+    return delta.memory_headers(images, d.upper(spark, sf_dir))
+
+
+@query(f"with {d.TRAJECTORIES} select run_id, state_id as from_state_id, state_id as parent_state_id, i::int as index, case when n % 3 <> i then state_id || '-b' || i end as sandbox_id, (t + 1)::bigint as t_start, case when n % 3 = i then 'BranchFailed' end as error from (select *, unnest(range(3)) as i from states)")
+def q45_partial_branches(spark, sf_dir):
+    states = lineage.states(ordered.stage(d.trajectories(spark, sf_dir), "events"))
+    return lineage.branch(states, 3, broken=F.col("n") % 3 == F.col("index"))
+
+
 @query(f"""with recursive {d.TRAJECTORIES}, up(state_id, ancestor_id, distance) as (select state_id, parent_state_id, 1 from states where parent_state_id is not null
 union all select up.state_id, s.parent_state_id, up.distance + 1 from up join states s on s.state_id = up.ancestor_id where s.parent_state_id is not null) select * from up""")
 def x01_lineage(spark, sf_dir):
