@@ -113,7 +113,7 @@ def worker_encoder(path: str) -> Encoder:
     return out
 
 
-def encoder(path: str, end_id: int, per_call: int = 2000):
+def encoder(path: str, end_id: int, per_call: int = 800):
     """For mapInArrow over (doc_id, text) in file order: rows of ``FILE_SCHEMA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
