@@ -210,6 +210,17 @@ def test_ngram_join_equals_all_pairs(spark, seed):
     assert sorted((tuple(r) for r in ngram_join.near_duplicates(df).collect()), key=str) == jaccard_classes(docs)
 
 
+def test_chains_in_large_buckets_stay_whole(spark):
+    # A common core puts over 1,000 different sets into a bucket; only neighbours of a chain are near (207 of 245 shingles, else 196 of 256).
+    core, given, wanted = " ".join(f"c{i}" for i in range(200)), [], []
+    for i in range(2400):
+        at = 15 * i + 100 * (i // 100)
+        given.append((i, core + "".join(f" w{k}" for k in range(at, at + 30))))
+        wanted.append((i, i - i % 100, 2 - (i % 100 in (0, 99))))
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(df).collect()) == wanted
+
+
 def test_one_of_each_class_stays(spark):
     words = " ".join(f"w{i}" for i in range(40))
     given = [(3, words, "a"), (1, words + " more", "b"), (1, words + " more", "c"), (2, "alone here", "d"), (None, words, "e"), (9, None, "f"), (9, None, "g"), (8, "", "h")]

@@ -243,9 +243,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(links, x, copies[y])
                 np.add.at(links, y, copies[x])
                 if len(x):
-                    lo = int(min(x.min(), y.min()))
-                    local = least_linked(int(max(x.max(), y.max())) - lo + 1, np.append(x, np.arange(lo, lo + 1)) - lo, np.append(y, np.arange(lo, lo + 1)) - lo) + lo
-                    np.minimum.at(root, np.concatenate([x, y]), np.concatenate([local[x - lo], local[y - lo]]))
+                    # The cell's earlier chunks are in its roots; they join as edges.
+                    at = cell[part[0]] - 1
+                    lo, here = starts[at], np.arange(sizes[at])
+                    root[lo + here] = lo + least_linked(len(here), np.append(x - lo, here), np.append(y - lo, root[lo + here] - lo))
         some = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], "binary"), pa.array(links[some], "int64"), pa.array([keys[i] for i in root[some]], "binary")], ["key", "links", "root"])
 
