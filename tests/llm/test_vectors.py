@@ -80,3 +80,27 @@ def test_recall_on_the_table(spark):
         hits += len(found[ids[at]] & set(best.tolist()))
         total += 5
     assert hits / total >= 0.9
+
+
+def test_recall_beyond_the_sample(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 100_000
+    x = np.random.RandomState(11).randn(n, 64).astype("float32")
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    unseen = {r.vec_id for r in df.where((F.col("vec_id") % 500 == 0) & ~additive_search.trained_on(n)).select("vec_id").collect()}
+    assert len(unseen) > 100
+    found = {}
+    for r in additive_search.search(df, F.col("vec_id").isin(*unseen)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in unseen:
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(found[q] & set(np.argsort(-s)[:5].tolist()))
+    print("recall", hits, 5 * len(unseen))
+    assert hits / (5 * len(unseen)) >= 0.95
+    assert additive_search.reranked(n) == additive_search.RERANK and additive_search.reranked(4 * n) == 2 * additive_search.RERANK

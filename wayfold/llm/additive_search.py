@@ -19,11 +19,13 @@ from .common import stage, table
 from .vectors import QUERY_ROWS, SHARD_ROWS, matrix, merged, packed, tiles, usable
 
 K = 5
-BOOKS, WORDS, BEAM = 12, 256, 4
+BOOKS, WORDS, BEAM = 24, 256, 4
+#: Sweeps of a least-squares fit; each fits every book to what the others leave.
+SWEEPS = 8
 #: Vectors that codebooks are trained on, at most about; all vectors are indexed.
-SAMPLE_ROWS = 8192
-#: Candidates of each query that are ranked again exactly.
-RERANK = 200
+SAMPLE_ROWS = 16384
+#: Candidates of each query that are ranked again exactly; beyond ``RERANK_ROWS`` rows they grow with the root of the rows.
+RERANK, RERANK_ROWS = 200, 100_000
 SLICE = 64
 
 
@@ -33,14 +35,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
 
 
+def summed(x: np.ndarray, to: np.ndarray, k: int) -> np.ndarray:
+    """Sums of the rows of ``x`` by their group ``to`` of ``k``."""
+    order, out = np.argsort(to, kind="stable"), np.zeros((k, x.shape[1]), x.dtype)
+    found, first = np.unique(to[order], return_index=True)
+    out[found] = np.add.reduceat(x[order], first, axis=0)
+    return out
+
+
 def kmeans(x: np.ndarray, k: int, rng: np.random.RandomState, rounds: int = 8) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
         near = np.argmax(x @ centres.T - 0.5 * (centres * centres).sum(1), axis=1)
-        sums, counts = np.zeros_like(centres), np.bincount(near, minlength=k)
-        np.add.at(sums, near, x)
-        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], x[rng.choice(len(x), k)])
-    return centres.astype("float32")
+        sums, counts = summed(x, near, k), np.bincount(near, minlength=k)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], x[rng.choice(len(x), k)]).astype("float32")
+    return centres
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM, per_slice: int = 2048) -> np.ndarray:
@@ -69,7 +78,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 1) -> np.ndarray:
-    """Codebooks: k-means on residuals, book by book, then joint least squares for all books on beam codes."""
+    """Codebooks: k-means on residuals, book by book, then least squares on beam codes, by sweeps over the books."""
     rng, x = np.random.RandomState(seed), x.astype("float32")
     rest, out = x.copy(), []
     for _ in range(books):
@@ -77,17 +86,26 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2
         rest = rest - out[-1][np.argmax(rest @ out[-1].T - 0.5 * (out[-1] ** 2).sum(1), axis=1)]
     found = np.stack(out)
     for _ in range(rounds):
-        codes = encode(x, found).astype(int) + words * np.arange(books)
-        hits, gram = np.zeros((books * words, x.shape[1])), np.zeros((books * words, books * words))
-        for m in range(books):
-            np.add.at(hits, codes[:, m], x)
-            for other in range(books):
-                np.add.at(gram, (codes[:, m], codes[:, other]), 1.0)
-        gram[np.diag_indices(len(gram))] += 0.05
-        found = np.linalg.solve(gram, hits + 0.05 * found.reshape(len(hits), -1)).reshape(found.shape).astype("float32")
+        codes = encode(x, found)
+        rest = x - decode(codes, found)
+        for _ in range(SWEEPS):
+            for m in range(books):
+                step = summed(rest, codes[:, m], words) / (np.bincount(codes[:, m], minlength=words)[:, None] + 0.05).astype("float32")
+                found[m] += step
+                rest -= step[codes[:, m]]
     return found
 
 
+def trained_on(n: int) -> Column:
+    """Whether a row of ``n`` is of the sample."""
+    return F.pmod(F.xxhash64(F.col("vec_id").cast("long"), F.lit("train")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE_ROWS / max(n, 1))))
+
+
+def reranked(n: int, rerank: int = RERANK) -> int:
+    """Candidates of each query over ``n`` rows."""
+    return int(np.ceil(rerank * max(1.0, n / RERANK_ROWS) ** 0.5))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found of each query by cosine, in double precision.
 
@@ -95,16 +113,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERAN
     and rows with a null vec_id, take no part. A query's own vec_id is left out with all rows that bear it;
     other repeated ids are candidates of their own, and a repeated query has a list for each of its rows.
     Shorter vectors count as filled up with zeros. Ties go to smaller vec_ids. An empty table gives an
-    empty result. Codebooks are fitted on a bounded sample; every vector is indexed and scored.
+    empty result. Codebooks are fitted on a bounded sample; every vector is indexed and scored. ``rerank``
+    candidates are ranked exactly, more beyond ``RERANK_ROWS`` rows.
     """
     spark = vectors.sparkSession
     nonzero = F.exists("embedding", lambda x: x != 0)
     rows = vectors.where(usable(F.col("embedding")) & nonzero & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     rows = stage(rows, "ann-vectors")
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    rerank = reranked(n, rerank)
     asked = rows.where(is_query)
-    share = F.pmod(F.xxhash64("vec_id", F.lit("train")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE_ROWS / max(n, 1))))
-    sample = rows.where(share).select("v").limit(2 * SAMPLE_ROWS).toPandas()["v"]
+    sample = rows.where(trained_on(n)).select("v").limit(2 * SAMPLE_ROWS).toPandas()["v"]
     x = np.zeros((max(len(sample), 1), width or 1))
     for i, v in enumerate(sample):
         x[i, : len(v)] = v
