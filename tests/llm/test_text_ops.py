@@ -154,6 +154,18 @@ def test_shards(spark):
     assert sharding.shard_by_slots(df.limit(0), text, F.col("doc_id"), F.lit(1), 8, keep={"id": F.col("doc_id")}).count() == 0
 
 
+def test_heavy_texts_that_fit_stay_whole(spark):
+    # In mean shards: three texts of 0.8 and one of 1.6; the last alone must part.
+    given = [f"text {c} " * 4 for c in "abc" for _ in range(80)] + ["text d " * 4] * 160 + [f"{i:05d} " + "z" * 22 for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(given)), "i long, t string")
+    load, by_text = Counter(), defaultdict(set)
+    for r in sharding.shard_by_slots(df, F.col("t"), F.col("i"), F.lit(1), 8, keep={"t": F.col("t")}).collect():
+        load[r.shard] += 1
+        by_text[r.t].add(r.shard)
+    assert {t[:6] for t, s in by_text.items() if len(s) > 1} == {"text d"}
+    assert max(load.values()) - min(load.values()) <= 2
+
+
 def test_slot_map_edits():
     rng = random.Random(4)
     weights = [rng.randrange(100) for _ in range(512)]

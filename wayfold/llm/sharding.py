@@ -15,24 +15,25 @@ from .common import new_path, stage, table
 N_SLOTS = 4096
 #: Parts of a slot that are numbered side by side, so that no window holds more than a share of a slot.
 SUB_SLOTS = 16
-#: A text whose copies weigh more than this share of a mean shard is spread over all slots by id.
-SPREAD_SHARE = 0.5
+#: A text whose copies weigh more than this share of a mean shard is heavy: a shard holds at most one whole.
+HEAVY_SHARE = 0.5
 
 
 def first_map(n_slots: int, n_shards: int) -> list[int]:
     return [s % n_shards for s in range(n_slots)]
 
 
-def rebalance(held: list[int], slot_bytes: list[int], n_shards: int, tolerance: float = 1e-4) -> list[int]:
+def rebalance(held: list[int], slot_bytes: list[int], n_shards: int, tolerance: float = 1e-4, fixed: frozenset[int] = frozenset()) -> list[int]:
     """Edit a map: move single slots from the fullest shard to the emptiest while that narrows the gap.
 
-    ``held[s]`` is the shard of slot ``s``. The loop is over ``n_slots`` numbers, whatever the input's size.
+    ``held[s]`` is the shard of slot ``s``; slots of ``fixed`` stay. The loop is over ``n_slots`` numbers, whatever the input's size.
     """
     to, load = list(held), [0] * n_shards
     of: list[set[int]] = [set() for _ in range(n_shards)]
     for s, shard in enumerate(to):
         load[shard] += slot_bytes[s]
-        of[shard].add(s)
+        if s not in fixed:
+            of[shard].add(s)
     mean = sum(load) / n_shards
     for _ in range(8 * len(to)):
         full, empty = max(range(n_shards), key=load.__getitem__), min(range(n_shards), key=load.__getitem__)
@@ -51,6 +52,15 @@ def rebalance(held: list[int], slot_bytes: list[int], n_shards: int, tolerance:
     return to
 
 
+def apart(held: list[int], slots: list[int], n_shards: int) -> list[int]:
+    """The map with each of ``slots``, of which there are ``n_shards`` at most, on a shard of its own."""
+    to, free = list(held), set(range(n_shards))
+    for s in slots:
+        to[s] = held[s] if held[s] in free else min(free)
+        free.remove(to[s])
+    return to
+
+
 def grow(held: list[int], slot_bytes: list[int], n_shards: int) -> list[int]:
     """The map for one more shard: slots leave the fullest shards for the new one, and none moves elsewhere."""
     to, load = list(held), [0] * (n_shards + 1)
@@ -79,8 +89,10 @@ def shard_by_slots(rows: DataFrame, key: Column, row_id: Column, size: Column, n
     """Deal ``rows`` to shards of near equal ``size``; equal ``key`` values share a slot and so a shard.
 
     Returns the columns of ``keep``, with ``size``, ``virtual_slot``, ``map_version``, ``shard`` and ``slot``
-    (the row's place in its shard, gapless from 0). A key that weighs more than half a mean shard is spread
-    over all slots by ``row_id``: sizes stay near equal though its copies part. Null keys and ids hash like
+    (the row's place in its shard, gapless from 0). A key that weighs more than half a mean shard is heavy.
+    Heavy keys are placed first, each whole on a shard of its own, as long as shards are left and the key's slot
+    weighs a mean shard at most; the others are spread over all slots by ``row_id``: sizes stay near equal though
+    their copies part. Null keys and ids hash like
     any value; rows equal in all that is hashed stay together; an empty table gives an empty result. The
     input is read once; every later step reads its staged digest.
     """
@@ -88,9 +100,17 @@ def shard_by_slots(rows: DataFrame, key: Column, row_id: Column, size: Column, n
     # The hashed names cannot clash with the caller's columns: only what is kept and hashed goes on.
     digest = stage(rows.select(F.struct(*[c.alias(n) for n, c in keep.items()]).alias("kept"), size.cast("long").alias("size"), F.xxhash64(key).alias("k"), F.xxhash64(row_id, key).alias("r")), "shard-digest")
     total = digest.agg(F.sum("size")).first()[0] or 0
-    # At most 2 * n_shards keys can each weigh over half a mean shard, so this side is bounded.
-    heavy = digest.groupBy("k").agg(F.sum("size").alias("w")).where(F.col("w") > F.lit(SPREAD_SHARE * total / n_shards)).select("k", F.lit(True).alias("heavy"))
-    slotted = digest.join(F.broadcast(heavy), "k", "left").select("kept", "size", "r", F.pmod(F.when(F.col("heavy"), F.col("r")).otherwise(F.col("k")), F.lit(n_slots)).cast("int").alias("virtual_slot"), F.pmod(F.shiftright("r", 20), F.lit(SUB_SLOTS)).cast("int").alias("sub"))
+    limit, of_slot = HEAVY_SHARE * total / n_shards, F.pmod("k", F.lit(n_slots)).cast("int").alias("slot")
+    keys = digest.groupBy("k").agg(F.sum("size").alias("w"))
+    by_slot = keys.groupBy(of_slot).agg(F.sum(F.when(F.col("w") <= limit, F.col("w")).otherwise(0)).alias("light"), F.collect_list(F.when(F.col("w") > limit, F.struct("w", "k"))).alias("heavy")).where(F.size("heavy") > 0)
+    # At most 2 * n_shards keys can each weigh over half a mean shard, so these lists are bounded.
+    heavy_keys = sorted((w, k, slot, light) for slot, light, found in by_slot.collect() for w, k in found)
+    whole: dict[int, int] = {}
+    for w, k, slot, light in heavy_keys:
+        if len(whole) < n_shards and slot not in whole and (w + light) * n_shards <= total:
+            whole[slot] = k
+    spread = [k for _, k, slot, _ in heavy_keys if whole.get(slot) != k]
+    slotted = digest.select("kept", "size", "r", F.pmod(F.when(F.col("k").isin(spread), F.col("r")).otherwise(F.col("k")), F.lit(n_slots)).cast("int").alias("virtual_slot"), F.pmod(F.shiftright("r", 20), F.lit(SUB_SLOTS)).cast("int").alias("sub"))
     slotted = stage(slotted, "shard-slotted")
     counts = stage(slotted.groupBy("virtual_slot", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-slots")
 
@@ -98,7 +118,7 @@ def shard_by_slots(rows: DataFrame, key: Column, row_id: Column, size: Column, n
     for virtual_slot, n_bytes in counts.groupBy("virtual_slot").agg(F.sum("bytes")).collect():  # n_slots rows at most
         slot_bytes[virtual_slot] = n_bytes
     held = first_map(n_slots, n_shards)
-    versions = [held, rebalance(held, slot_bytes, n_shards)]
+    versions = [held, rebalance(apart(held, list(whole), n_shards), slot_bytes, n_shards, fixed=frozenset(whole))]
     path = new_path(spark, "shard-map")
     map_table(spark, versions).write.parquet(path)
     latest = spark.read.parquet(path).where(F.col("version") == len(versions)).select("version", F.col("slot").alias("virtual_slot"), "shard")
