@@ -60,13 +60,13 @@ def test_get_span(spark):
     assert row["t_start"] == 1 and [r.t for r in mine.collect()] == [1, 2]
 
 
-@pytest.mark.parametrize("a, b, same", [('{"a":1,"b":2}', '{ "b":2, "a":1 }', True), ("1", "1.0", True), ("true", "1", False), ("null", None, False), (None, None, True), ("[1,2]", "[2,1]", False)])
+@pytest.mark.parametrize("a, b, same", [('{"a":1,"b":2}', '{ "b":2, "a":1 }', True), ("1", "1.0", True), ("true", "1", False), ("null", None, False), (None, None, True), ("[1,2]", "[2,1]", False), ("{bad", "[worse", None), ("{bad", "1", None), ('{"a":1,"a":2}', '{"a":2}', None), (None, "{bad", None)])
 def test_json_equal(spark, a, b, same):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     assert df.select(js.json_equal(F.col("a"), F.col("b"))).first()[0] is same
 
 
-@pytest.mark.parametrize("text, path", [('{"_k":1}', "observation._k"), ('{"a":[1,{"b":0},{"_k":1}]}', "observation.a[2]._k"), ('{"a":"_x"}', None), ('{"a":"\\",\\"_x\\":1"}', None), ("[1,2]", None), (None, None), ('{"a":{"_":1}}', "observation.a._")])
+@pytest.mark.parametrize("text, path", [('{"_k":1}', "observation._k"), ('{"a":[1,{"b":0},{"_k":1}]}', "observation.a[2]._k"), ('{"a":"_x"}', None), ('{"a":"\\",\\"_x\\":1"}', None), ("[1,2]", None), (None, None), ('{"a":{"_":1}}', "observation.a._"), ("{bad", None), ('{"b":{"c":[{"_x":{"_y":1}}]},"_a":2}', "observation.b.c[0]._x")])
 def test_hidden_keys(spark, text, path):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(js.hidden_key_path("t")).first()[0] == path
@@ -94,8 +94,8 @@ def test_ids_and_scalars(spark):
 
 
 def test_budget_snapshots_and_bytes(spark):
-    df = spark.createDataFrame([({"b": 3.0, 'a"]': 0.123456, "c": -1.5},), ({},), (None,)], "m map<string,double>")
-    assert [r[0] for r in df.select(values.budget_snapshot(F.col("m"))).collect()] == ['{"a\\"]":0.1235,"b":3,"c":-1.5}', "{}", None]
+    df = spark.createDataFrame([({"b": 3.0, 'a"]': 0.123456, "c": -1.5},), ({},), (None,), ({"x": 0.0001, "y": 1e20, "z": 12345678.5, "w": -0.5},)], "m map<string,double>")
+    assert [r[0] for r in df.select(values.budget_snapshot(F.col("m"))).collect()] == ['{"a\\"]":0.1235,"b":3,"c":-1.5}', "{}", None, '{"w":-0.5,"x":0.0001,"y":100000000000000000000,"z":12345678.5}']
     raw = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray("ü".encode()),), (None,)], "d binary")
     assert [r[0] for r in raw.select(values.decoded(F.col("d"))).collect()] == ["a\ufffdb", "ü", None]
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from wayfold.operators import fold, lineage
+from wayfold.operators import fold, lineage, ordered
 from wayfold.operators.errors import WayfoldError
 from wayfold.streaming.episodes import counter_tasks, step
 
@@ -40,6 +40,21 @@ def test_window_fold_equals_loop(spark, seed):
     assert got(folded(spark, actions)) == by_loop(actions)
 
 
+def test_large_runs_in_parts_equal_loop(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "LARGE", 50)
+    rng = random.Random(9)
+    kinds = ["inc", "peek", "list_items", "sample", "bogus", None] * 6 + ["submit"]
+    actions = [(rng.choice(["a", "a", "a", "b", "c", None, None]), i, rng.choice(kinds), rng.choice([None, 0, 1, 5, 40])) for i in range(400)] + [("d", i, "peek", None) for i in range(60)]
+    df = folded(spark, actions)
+    assert got(df) == by_loop(actions)
+    # Prefix, then the rest from the states that the prefix leaves: as if it had gone on.
+    cut = {"a": 100, "b": 90, "c": 400, "d": 30}
+    head, tail = ([x for x in actions if (x[1] < cut.get(x[0], 200)) == first] for first in (True, False))
+    last = folded(spark, head).groupBy("run_id").agg(*[fold.F.max_by(c, "t").alias(c) for c in lineage.STATE])
+    again = fold.fold(spark.createDataFrame(tail, SCHEMA), ["seq"], start=last)
+    assert sorted(got(folded(spark, head)) + got(again), key=str) == by_loop(actions)
+
+
 def test_script(spark):
     rows = folded(spark, [("a", i, a, n) for i, (a, n) in enumerate(SCRIPT, 1)]).orderBy("t").collect()
     assert [r.status for r in rows] == ["ok"] * 8
@@ -56,46 +71,105 @@ def test_budget_runs_out_and_refusals_are_charged(spark):
 
 def test_empty(spark):
     df = folded(spark, [])
-    assert df.count() == 0 and lineage.states(lineage.in_spans(df, fold._is("submit"))).count() == 0
+    rows = lineage.in_spans(df, fold._is("submit"))
+    assert df.count() == 0 and lineage.states(rows).count() == 0 and lineage.spans(rows).count() == 0
 
 
-def test_replay_prefix_then_suffix(spark):
-    df = lineage.in_spans(folded(spark, [("a", i, a, n) for i, (a, n) in enumerate(SCRIPT, 1)]), fold.F.col("t") == 2)
-    states = {r.n: r for r in lineage.states(df).collect()}
-    assert states[1].parent_state_id == "a-s0" and states[1].t == 2 and states[1].from_span_id == "a-p0"
-    done = {r.span_id: r for r in lineage.replay(df, df, fold.F.lit(5)).collect()}["a-p1"]
-    assert (done.from_t, done.last_t, done.events_applied, done.diverged_at) == (3, 4, 2, None)
+def scripted(spark, commit, script=SCRIPT):
+    """(rows, states, spans) of one run of the script."""
+    rows = lineage.in_spans(folded(spark, [("a", i, a, n) for i, (a, n) in enumerate(script, 1)]), commit).cache()
+    states = lineage.states(rows).cache()
+    return rows, states, lineage.spans(rows, states).cache()
 
 
-def test_tampered_event_is_found(spark):
-    df = lineage.in_spans(folded(spark, [("a", i, "inc", None) for i in range(3)]), fold.F.lit(False))
-    bad = df.withColumn("observation", fold.F.when(fold.F.col("t") == 1, '{"value":-1}').otherwise(fold.F.col("observation")))
-    assert lineage.replay(bad, df).first().asDict() == {"span_id": "a-p0", "from_t": 1, "last_t": None, "events_applied": 0, "diverged_at": 1}
+def test_replay_prefix_then_suffix(spark):
+    rows, states, spans = scripted(spark, fold.F.col("t") == 2)
+    kept = {r.n: r for r in states.collect()}
+    assert kept[1].parent_state_id == "a-s0" and kept[1].t == 2 and kept[1].from_span_id == "a-p0" and (kept[1].value, kept[1].steps, kept[0].steps) == (2, 18, 20)
+    done = lambda stop=None: {r.span_id: (r.from_t, r.last_t, r.events_applied, r.diverged_at) for r in lineage.replay(rows, spans, states, stop).collect()}
+    assert done(fold.F.lit(5)) == {"a-p0": (1, 2, 2, None), "a-p1": (3, 4, 2, None)}
+    # A stop at a span's first event applies none; the run stands where the state does.
+    assert done(fold.F.lit(3))["a-p1"] == (3, 2, 0, None)
+    assert done()["a-p1"] == (3, 8, 6, None)
+
+
+def test_spans_without_events(spark):
+    # Two states after event 2, one after the last: an empty span that stays open, and an empty last one.
+    rows, states, spans = scripted(spark, fold.F.when(fold.F.col("t") == 2, 2).when(fold.F.col("t") == 8, 1))
+    kept = {r.n: (r.t, r.parent_state_id, r.from_span_id) for r in states.collect()}
+    assert kept == {0: (0, None, None), 1: (2, "a-s0", "a-p0"), 2: (2, "a-s1", None), 3: (8, "a-s2", "a-p2")}
+    found = {r.span_id: (r.from_state_id, r.to_state_id, r.t_start, r.t_end, r.n_events) for r in spans.collect()}
+    assert found == {"a-p0": ("a-s0", "a-s1", 1, 2, 2), "a-p1": ("a-s1", None, 3, None, 0), "a-p2": ("a-s2", "a-s3", 3, 8, 6), "a-p3": ("a-s3", None, 9, None, 0)}
+    assert {r.span_id: (r.t_lo, r.t_hi) for r in lineage.bounds(spans).collect()} == {"a-p0": (1, 3), "a-p1": (3, 3), "a-p2": (3, 9), "a-p3": (9, 9)}
+    replays = {r.span_id: (r.from_t, r.last_t, r.events_applied) for r in lineage.replay(rows, spans, states).collect()}
+    assert replays == {"a-p0": (1, 2, 2), "a-p1": (3, 2, 0), "a-p2": (3, 8, 6), "a-p3": (9, 8, 0)}
+
+
+def test_tampered_events_are_found(spark):
+    rows, states, spans = scripted(spark, fold.F.lit(False), [("inc", None)] * 4)
+    seen = rows.withColumn("observation", fold.F.when(fold.F.col("t") == 1, '{"value":-1}').otherwise(fold.F.col("observation")))
+    assert lineage.replay(seen, spans, states).first().asDict() == {"span_id": "a-p0", "from_t": 1, "last_t": 0, "events_applied": 0, "diverged_at": 1}
+    # An action that was changed shows in what it observes when done again.
+    did = rows.withColumn("action", fold.F.when(fold.F.col("t") == 3, "peek").otherwise(fold.F.col("action")))
+    assert lineage.replay(did, spans, states).first().asDict() == {"span_id": "a-p0", "from_t": 1, "last_t": 2, "events_applied": 2, "diverged_at": 3}
+    # One that was left out shows in the next.
+    assert lineage.replay(rows.where("t <> 2"), spans, states).first().diverged_at == 3
 
 
 def test_stop_out_of_range(spark):
-    df = lineage.in_spans(folded(spark, [("a", 1, "inc", None)]), fold.F.lit(False))
+    rows, states, spans = scripted(spark, fold.F.lit(False), [("inc", None)])
     with pytest.raises(WayfoldError) as e:
-        lineage.check_stop(lineage.bounds(df), "a-p0", 99)
+        lineage.check_stop(lineage.bounds(spans), "a-p0", 99)
     assert e.value.as_dict() == {"error": "StopBeforeTOutOfRange", "message": "stop_before_t=99 not in [1, 2]", "stop_before_t": 99, "t_lo": 1, "t_hi": 2}
     with pytest.raises(WayfoldError):
-        lineage.check_stop(lineage.bounds(df), "nowhere", 1)
-    lineage.check_stop(lineage.bounds(df), "nowhere", 4, t_start=4)
+        lineage.check_stop(lineage.bounds(spans), "nowhere", 1)
+    lineage.check_stop(lineage.bounds(spans), "a-p0", 2)
 
 
 def test_restore_and_replay(spark):
-    df = lineage.in_spans(folded(spark, [("a", i, a, n) for i, (a, n) in enumerate(SCRIPT, 1)]), fold.F.col("t") == 2)
-    bad = df.withColumn("observation", fold.F.when(fold.F.col("t") == 4, '{"value":-1}').otherwise(fold.F.col("observation")))
-    asked = spark.createDataFrame([("a-s1", "a-p1", 5), ("a-s1", "a-p1", 5), ("a-s1", None, None), ("a-s0", "a-p0", None), ("a-s1", "a-p1", 99), ("a-s1", "empty", None), ("lost", None, None)], "state_id string, span_id string, stop_before_t long")
-
-    def run(recorded):
-        found = lineage.restore_and_replay(lineage.states(df), recorded, df, asked).collect()
-        return {(r.span_id, r.stop_before_t): (r.restored_t, r.from_t, r.last_t, r.events_applied, r.error, r.t) for r in found}
-
-    whole = run(df)
-    assert whole == {("a-p1", 5): (2, 3, 4, 2, None, 4), (None, None): (2, None, None, None, None, 2), ("a-p0", 3): (0, 1, 2, 2, None, 2), ("a-p1", 99): (2, 3, None, None, "StopBeforeTOutOfRange", None), ("empty", 3): (2, 3, 2, 0, None, 2)}
-    assert run(bad) == whole | {("a-p1", 5): (2, 3, 3, 1, "ReplayDivergence", None)}
-    assert lineage.restore_and_replay(lineage.states(df), df, df, asked.limit(0)).count() == 0
+    rows, states, spans = scripted(spark, fold.F.col("t").isin(2, 8))
+    bad = rows.withColumn("observation", fold.F.when(fold.F.col("t") == 4, '{"value":-1}').otherwise(fold.F.col("observation")))
+    asked = [("a-s1", "a-p1", 5), ("a-s1", "a-p1", 5), ("a-s1", None, None), ("a-s0", "a-p0", None), ("a-s1", "a-p1", 99), ("a-s2", "a-p2", None), ("a-s1", "nowhere", None), ("lost", None, None)]
+    asked = spark.createDataFrame(asked, "state_id string, span_id string, stop_before_t long")
+
+    def run(recorded, asked=asked):
+        found = lineage.restore_and_replay(states, spans, recorded, asked).collect()
+        return {(r.state_id, r.span_id, r.stop_before_t): (r.restored_t, r.from_t, r.last_t, r.events_applied, r.error, r.t) for r in found}
+
+    whole = run(rows)
+    assert whole == {
+        ("a-s1", "a-p1", 5): (2, 3, 4, 2, None, 4), ("a-s1", None, None): (2, None, None, None, None, 2), ("a-s0", "a-p0", 3): (0, 1, 2, 2, None, 2), ("a-s1", "a-p1", 99): (2, 3, None, None, "StopBeforeTOutOfRange", None),
+        ("a-s2", "a-p2", 9): (8, 9, 8, 0, None, 8), ("a-s1", "nowhere", None): (2, None, None, None, "SpanNotFound", None), ("lost", None, None): (None, None, None, None, "StateNotFound", None),
+    }
+    assert run(bad) == whole | {("a-s1", "a-p1", 5): (2, 3, 3, 1, "ReplayDivergence", None)}
+    # A span replayed from a state that it did not start at diverges at once: an inc from value 2 gives 3.
+    other = spark.createDataFrame([("a-s1", "a-p0", None)], "state_id string, span_id string, stop_before_t long")
+    assert run(rows, other) == {("a-s1", "a-p0", 3): (2, 1, 2, 0, "ReplayDivergence", None)}
+    assert lineage.restore_and_replay(states, spans, rows, asked.limit(0)).count() == 0
+
+
+def test_children_act_on_their_own(spark):
+    rows, states, _ = scripted(spark, fold.F.col("t") == 5)
+    kids = lineage.branch(states.where("n = 1"), 2)
+    script = [("a-s1-b0", 1, "inc", None), ("a-s1-b0", 2, "peek", None), ("a-s1-b1", 1, "peek", None), ("a-s1-b1", 2, "sample", 2), ("nobody", 1, "inc", None)]
+    out = lineage.go_on(kids, states, spark.createDataFrame(script, "sandbox_id string, seq int, action string, n int"), ["seq"])
+    got = {(r.run_id, r.t): (r.observation, r.steps) for r in out.collect()}
+    assert got == {
+        ("a-s1-b0", 6): ('{"value":3}', 15), ("a-s1-b0", 7): ('{"value":3}', 15), ("a-s1-b1", 6): ('{"value":2}', 16), ("a-s1-b1", 7): ('{"items":["id_03_0003","id_03_0004"]}', 15),
+    }
+    # The same actions as the parent took give what the parent saw.
+    same = [("a-s1-b0", i, a, n) for i, (a, n) in enumerate(SCRIPT[5:], 1)]
+    out = lineage.go_on(kids, states, spark.createDataFrame(same, "sandbox_id string, seq int, action string, n int"), ["seq"])
+    assert sorted((r.t, r.observation) for r in out.collect()) == sorted((r.t, r.observation) for r in rows.where("t > 5").collect())
+
+
+def test_lineage(spark):
+    states = spark.createDataFrame([(f"s{i}", f"s{i - 1}" if i else None) for i in range(150)] + [("t", "s3"), ("u", None)], "state_id string, parent_state_id string")
+    got = {(r.state_id, r.ancestor_id): r.distance for r in lineage.lineage(states).collect()}
+    assert got == {(f"s{i}", f"s{j}"): i - j for i in range(150) for j in range(i)} | {("t", f"s{j}"): 4 - j for j in range(4)}
+    with pytest.raises(WayfoldError):
+        lineage.lineage(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "state_id string, parent_state_id string"))
+    assert lineage.lineage(states.limit(0)).count() == 0
 
 
 def test_start_runs(spark):

@@ -20,8 +20,11 @@ def canonical(text: Column) -> Column:
 
 
 def json_equal(a: Column, b: Column) -> Column:
-    """Whether two JSON texts hold one value; two nulls are equal. ``1`` and ``1.0`` are, ``1`` and ``true`` are not."""
-    return canonical(a).eqNullSafe(canonical(b))
+    """Whether two JSON texts hold one value; two nulls are equal. ``1`` and ``1.0`` are, ``1`` and ``true`` are not.
+
+    Null where a text that is not null has no canonical form: what it holds is not known."""
+    unknown = (a.isNotNull() & canonical(a).isNull()) | (b.isNotNull() & canonical(b).isNull())
+    return F.when(~unknown, canonical(a).eqNullSafe(canonical(b)))
 
 
 def summary_text(text: Column, limit: int = TEXT_LIMIT) -> Column:
@@ -39,18 +42,32 @@ def has_hidden_key(text: Column) -> Column:
     return canonical(text).rlike(HIDDEN_KEY)
 
 
-def _walk(value: object, path: str) -> str | None:
-    below = ((f"{path}.{k}", k, v) for k, v in value.items()) if isinstance(value, dict) else ((f"{path}[{i}]", "", v) for i, v in enumerate(value)) if isinstance(value, list) else ()
-    for at, key, v in below:
-        if key.startswith("_") or (at := _walk(v, at)):
-            return at
+def _parsed(text: str) -> object:
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _walk(value: object) -> str | None:
+    """The first path, in order of the text, to a key with an underscore; a stack in place of recursion, since depth is unbounded."""
+    todo: list[tuple[object, str, bool]] = [(value, "observation", False)]
+    while todo:
+        at, path, hidden = todo.pop()
+        if hidden:
+            return path
+        if isinstance(at, dict):
+            todo.extend((v, f"{path}.{k}", k.startswith("_")) for k, v in reversed(at.items()))
+        elif isinstance(at, list):
+            todo.extend((at[i], f"{path}[{i}]", False) for i in range(len(at) - 1, -1, -1))
     return None
 
 
 @F.pandas_udf(T.StringType())
 def hidden_key_path(texts: pd.Series) -> pd.Series:
-    """The path of the first hidden key, as ``observation.a[2]._k``; null if there is none. Depth is unbounded, so no built-in fits."""
-    return texts.map(lambda t: None if t is None else _walk(json.loads(t), "observation"))
+    """The path of the first hidden key, as ``observation.a[2]._k``; null if there is none, or no JSON (or JSON nested
+    deeper than Python's parser takes). Depth is unbounded, so no built-in fits."""
+    return texts.map(lambda t: None if t is None else _walk(_parsed(t)))
 
 
 def _shortened(value: object) -> object:
@@ -62,7 +79,14 @@ def _shortened(value: object) -> object:
     return value if not isinstance(value, str) or len(value) <= TEXT_LIMIT else f"{value[:TEXT_LIMIT]}...[{len(value)} chars]"
 
 
+def _summary(text: str | None) -> str | None:
+    try:
+        return None if text is None else json.dumps(_shortened(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def summary_json(texts: pd.Series) -> pd.Series:
-    """The summary of a whole JSON value, at any depth."""
-    return texts.map(lambda t: None if t is None else json.dumps(_shortened(json.loads(t)), ensure_ascii=False, separators=(",", ":")))
+    """The summary of a whole JSON value, at any depth that Python's parser takes; null for what is no JSON."""
+    return texts.map(_summary)

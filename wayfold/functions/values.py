@@ -69,7 +69,10 @@ def fixed_width(data: Column, width: int) -> Column:
 def budget_snapshot(counters: Column) -> Column:
     """Canonical JSON of named counters: whole ones as integers, others to four places. Null for null."""
     by_name = F.array_sort(F.map_entries(counters))
-    number = lambda v: F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(F.round(v, 4).cast("string"))
+    # Doubles come as text with an exponent beyond seven digits; decimals never do.
+    whole = lambda v: F.when(F.abs(v) < 1e18, v.cast("long").cast("string")).otherwise(v.cast("decimal(38,0)").cast("string"))
+    part = lambda v: F.regexp_replace(F.round(v, 4).cast("decimal(38,4)").cast("string"), "([.][0-9]+?)0+$", "$1")
+    number = lambda v: F.when(v == F.rint(v), whole(v)).otherwise(part(v))
     return F.concat(F.lit("{"), F.array_join(F.transform(by_name, lambda e: F.concat(_json_string(e["key"]), F.lit(":"), number(e["value"]))), ","), F.lit("}"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import fixed_width, page_of
-from .ordered import ordered, running
+from .ordered import numbered, stage
 
 BLOCK_SIZE = PAGE_SIZE = 4096
 
@@ -51,7 +51,7 @@ def whole(sizes: DataFrame, upper: DataFrame, base: DataFrame, size: int = BLOCK
 
 def block_map(upper: DataFrame, size: int = BLOCK_SIZE) -> DataFrame:
     """(disk, idx, layer, offset): where each block of a packed upper lies, in order of idx."""
-    rows = running(ordered(upper.select("disk", "idx"), ["disk"], ["idx"]), ["disk"], {"nth": F.lit(1)})
+    rows = numbered(stage(upper.select("disk", "idx"), "block-map"), ["disk"], ["idx"])
     return rows.select("disk", "idx", F.lit("upper").alias("layer"), ((F.col("nth") - 1) * size).alias("offset"))
 
 

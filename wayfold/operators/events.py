@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import event_uri, falsy
 from .errors import WayfoldError
+from .ordered import numbered
 from .upsert import SPAN_EVENTS_RULE, partial_upsert
 
 
@@ -49,6 +50,11 @@ def get_span(spans: DataFrame, index: DataFrame, events: DataFrame, span_id: str
     return one(spans, "SpanNotFound", span_id=span_id), mine.join(events, ["span_id", "t"]).orderBy("t")
 
 
+def span_steps(events: DataFrame) -> DataFrame:
+    """All events in their spans with their place there, ``nth``, by t: rows, since one span may hold most events."""
+    return numbered(events, ["span_id"], ["t"])
+
+
 def with_prompts(states: DataFrame, prompts: DataFrame) -> DataFrame:
     """Every state, with its prompt where there is one."""
     return states.join(prompts, "prompt_uri", "left")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import snapshot_uri
+from ..schemas import PROTOCOL
 from .errors import WayfoldError
-from .ordered import running
+from .fold import SEED, STEPS, fold
+from .ordered import by_size, stage
 
 MOST_BRANCHES = 100
+#: What a fold goes on from.
+STATE = ("t", "steps", "value", "cursor", "done")
 
 
 def state_id(run_id: Column, n: Column) -> Column:
@@ -34,26 +40,40 @@ def start_runs(requests: DataFrame, budget: Column | None = None) -> tuple[DataF
     return runs, roots, first
 
 
-def in_spans(folded: DataFrame, commit: Column) -> DataFrame:
-    """Rows of ``fold`` with their span's number and id; ``commit`` marks the events after which a state is taken."""
-    rows = running(folded.withColumn("commits_here", F.coalesce(commit, F.lit(False)).cast("int")), ["run_id"], {"commits": F.col("commits_here")})
+def in_spans(folded: DataFrame, commit: Column | None = None) -> DataFrame:
+    """Rows of ``fold`` with their span's number and id; ``commit`` says how many states are taken after an event.
+
+    Without it ``folded`` has counted the commits already. The first state taken after an event ends its span;
+    each further one finds an empty span, which stays open for good.
+    """
+    rows = folded if commit is None else by_size(folded.withColumn("commits_here", F.coalesce(commit.cast("int"), F.lit(0))), ["run_id"], ["t"], lambda some, add: add(some, {"commits": F.col("commits_here")}))
     return rows.withColumn("span_no", F.col("commits") - F.col("commits_here")).withColumn("span_id", span_id(F.col("run_id"), F.col("span_no")))
 
 
-def states(rows: DataFrame) -> DataFrame:
-    """The state after each commit, its parent and the span it ends; number 0 is the run's root, at t = 0."""
-    commits = rows.where("commits_here = 1").select("run_id", F.col("commits").alias("n"), "t", "steps")
-    roots = rows.select("run_id").distinct().select("run_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"), F.lit(None).cast("int").alias("steps"))
-    both = roots.unionByName(commits)
-    later = F.col("n") > 0
-    me = state_id(F.col("run_id"), F.col("n"))
-    return both.select(me.alias("state_id"), "run_id", "n", F.when(later, state_id(F.col("run_id"), F.col("n") - 1)).alias("parent_state_id"), F.when(later, span_id(F.col("run_id"), F.col("n") - 1)).alias("from_span_id"), "t", "steps", snapshot_uri(me).alias("snapshot_uri"))
+def states(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """The state after each commit, with all that a fold can go on from; number 0 is the run's root, at t = 0.
+
+    Each names its parent, the state before it, and the span that it ends: none for the root and for a commit
+    without an event since the last. Every state opens the span of its number.
+    """
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("commits_here").cast("long"))).alias("nth")
+    commits = rows.where("commits_here > 0").select("*", nth).select("run_id", (F.col("span_no") + F.col("nth")).alias("n"), (F.col("nth") == 1).alias("ends"), "t", "steps", "value", "cursor", "done")
+    zero = F.lit(0).cast("long")
+    roots = rows.select("run_id").distinct().select("run_id", zero.alias("n"), F.lit(False).alias("ends"), zero.alias("t"), F.lit(steps).alias("steps"), zero.alias("value"), zero.alias("cursor"), F.lit(False).alias("done"))
+    me, last = state_id(F.col("run_id"), F.col("n")), F.col("n") - 1
+    return roots.unionByName(commits).select(
+        me.alias("state_id"), "run_id", "n", F.when(F.col("n") > 0, state_id(F.col("run_id"), last)).alias("parent_state_id"), F.when(F.col("ends"), span_id(F.col("run_id"), last)).alias("from_span_id"),
+        "t", "steps", "value", "cursor", "done", snapshot_uri(me).alias("snapshot_uri"),
+    )
 
 
-def spans(rows: DataFrame) -> DataFrame:
-    """A row for each span that has events; open spans have no end state."""
-    each = rows.groupBy("run_id", "span_no").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n_events"), F.max("commits_here").alias("closed"))
-    return each.select(span_id(F.col("run_id"), F.col("span_no")).alias("span_id"), "run_id", state_id(F.col("run_id"), F.col("span_no")).alias("from_state_id"), F.when(F.col("closed") == 1, state_id(F.col("run_id"), F.col("span_no") + 1)).alias("to_state_id"), "t_start", "t_end", "n_events")
+def spans(rows: DataFrame, states_: DataFrame | None = None) -> DataFrame:
+    """A row for each span, empty ones included: every state opens one, one past its t. Open spans have no end state,
+    spans without events no ``t_lo`` and ``t_end`` (their first and last event)."""
+    states_ = states(rows) if states_ is None else states_
+    each = rows.groupBy("run_id", F.col("span_no").alias("n")).agg(F.min("t").alias("t_lo"), F.max("t").alias("t_end"), F.count("*").alias("n_events"), (F.max("commits_here") > 0).alias("closed"))
+    both = states_.select("state_id", "run_id", "n", (F.col("t") + 1).alias("t_start")).join(each.withColumnRenamed("run_id", "of_run"), F.col("run_id").eqNullSafe(F.col("of_run")) & (states_["n"] == each["n"]), "left").drop(each["n"])
+    return both.select(span_id(F.col("run_id"), F.col("n")).alias("span_id"), "run_id", F.col("state_id").alias("from_state_id"), F.when(F.col("closed"), state_id(F.col("run_id"), F.col("n") + 1)).alias("to_state_id"), "t_start", "t_lo", "t_end", F.coalesce("n_events", F.lit(0).cast("long")).alias("n_events"))
 
 
 def restore_points(rows: DataFrame, at: Column) -> DataFrame:
@@ -62,39 +82,49 @@ def restore_points(rows: DataFrame, at: Column) -> DataFrame:
     return wanted.join(states(rows).select("run_id", "n", "state_id", F.col("t").alias("state_t")), ["run_id", "n"]).select("run_id", "event_t", "state_id", "state_t")
 
 
-def bounds(rows: DataFrame) -> DataFrame:
-    """(span_id, t_lo, t_hi): where a replay of each span may stop."""
-    return rows.groupBy("span_id").agg(F.min("t").alias("t_lo"), (F.max("t") + 1).alias("t_hi"))
+def bounds(spans_: DataFrame) -> DataFrame:
+    """(span_id, t_lo, t_hi): where a replay of each span may stop; of an empty one at its start alone."""
+    return spans_.select("span_id", F.coalesce("t_lo", "t_start").alias("t_lo"), F.coalesce(F.col("t_end") + 1, F.col("t_start")).alias("t_hi"))
 
 
-def check_stop(span_bounds: DataFrame, span: str, stop_before_t: int, t_start: int | None = None) -> None:
-    """Raise if a replay of the span cannot stop there; an empty span allows its ``t_start`` alone."""
+def check_stop(span_bounds: DataFrame, span: str, stop_before_t: int) -> None:
+    """Raise if there is no such span, or a replay of it cannot stop there."""
     found = span_bounds.where(F.col("span_id") == span).take(1)
-    if not found and t_start is None:
+    if not found:
         raise WayfoldError("SpanNotFound", f"no span {span}")
-    lo, hi = (found[0]["t_lo"], found[0]["t_hi"]) if found else (t_start, t_start)
+    lo, hi = found[0]["t_lo"], found[0]["t_hi"]
     if not lo <= stop_before_t <= hi:
         raise WayfoldError("StopBeforeTOutOfRange", f"stop_before_t={stop_before_t} not in [{lo}, {hi}]", stop_before_t=stop_before_t, t_lo=lo, t_hi=hi)
 
 
-def replay(recorded: DataFrame, recomputed: DataFrame, stop_before_t: Column | None = None) -> DataFrame:
-    """(span_id, from_t, last_t, events_applied, diverged_at) of each span: recorded events, in order, against
-    what the fold gives anew. Status and observation count; both must be canonical. Without a divergence
-    ``diverged_at`` is null; at one the replay ends. Events from ``stop_before_t`` on are not replayed.
+def _replayed(asked: DataFrame, recorded: DataFrame, seed: int) -> DataFrame:
+    """(key, applied, last_t, diverged_at) of each of ``asked`` (key, span_id, stop_before_t, t, steps, value, cursor, done)
+    that has events to replay: what was recorded (span_id, t, action, n, status, observation) is done again, from the
+    state given, and compared. Status and observation count; observations must be canonical."""
+    events = recorded.select("span_id", F.col("t").alias("r_t"), "action", "n", F.col("status").alias("r_status"), F.col("observation").alias("r_observation"))
+    due = asked.select("key", "span_id", "stop_before_t").join(events, "span_id").where(F.col("stop_before_t").isNull() | (F.col("r_t") < F.col("stop_before_t")))
+    start = asked.select(F.col("key").alias("run_id"), "t", "steps", "value", "cursor", "done")
+    anew = fold(due.withColumnRenamed("key", "run_id"), ["r_t"], seed=seed, start=start)
+    same = F.col("status").eqNullSafe(F.col("r_status")) & F.col("observation").eqNullSafe(F.col("r_observation"))
+    anew = stage(anew.select(F.col("run_id").alias("key"), "r_t", same.alias("same")), "replayed")
+    first_bad = anew.groupBy("key").agg(F.min(F.when(~F.col("same"), F.col("r_t"))).alias("diverged_at"))
+    good = anew.join(first_bad, "key").where(F.col("diverged_at").isNull() | (F.col("r_t") < F.col("diverged_at")))
+    done = good.groupBy("key").agg(F.count("*").alias("applied"), F.max("r_t").alias("last_t"))
+    return first_bad.join(done, "key", "left")
+
+
+def replay(recorded: DataFrame, spans_: DataFrame, states_: DataFrame, stop_before_t: Column | None = None, seed: int = SEED) -> DataFrame:
+    """(span_id, from_t, last_t, events_applied, diverged_at) of each span, done again from the state it starts at.
+
+    The recorded actions are folded anew; where status or observation come out differently the replay ends and
+    ``diverged_at`` says so. ``from_t`` is the span's start, ``last_t`` the last event applied, else the state's t.
+    Events from ``stop_before_t`` on, over the span's columns, are not replayed; a null stop replays all.
     """
-    kept = recorded if stop_before_t is None else recorded.where(F.col("t") < stop_before_t)
-    return _compared(kept.select("span_id", "t", "status", "observation"), recomputed, ["span_id"])
-
-
-def _compared(recorded: DataFrame, recomputed: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, from_t, last_t, events_applied, diverged_at) of the replays that ``keys``, span_id among them, name."""
-    new = recomputed.select("span_id", "t", F.col("status").alias("n_status"), F.col("observation").alias("n_observation"))
-    both = recorded.join(new, ["span_id", "t"], "left")
-    same = F.col("status").eqNullSafe(F.col("n_status")) & F.col("observation").eqNullSafe(F.col("n_observation"))
-    first_bad = both.groupBy(*keys).agg(F.min("t").alias("from_t"), F.min(F.when(~same, F.col("t"))).alias("diverged_at"))
-    good = both.join(first_bad.select(*keys, "diverged_at"), keys).where(F.col("diverged_at").isNull() | (F.col("t") < F.col("diverged_at")))
-    done = good.groupBy(*keys).agg(F.max("t").alias("last_t"), F.count("*").alias("events_applied"))
-    return first_bad.join(done, keys, "left").select(*keys, "from_t", "last_t", F.coalesce("events_applied", F.lit(0)).alias("events_applied"), "diverged_at")
+    stop = F.lit(None).cast("long") if stop_before_t is None else stop_before_t.cast("long")
+    of = states_.select(F.col("state_id").alias("from_state_id"), *STATE)
+    asked = stage(spans_.select("span_id", "from_state_id", "t_start", stop.alias("stop_before_t")).join(of, "from_state_id").withColumn("key", F.col("span_id")), "replays")
+    done = _replayed(asked, recorded, seed)
+    return asked.join(done, "key", "left").select("span_id", F.col("t_start").alias("from_t"), F.coalesce("last_t", "t").alias("last_t"), F.coalesce("applied", F.lit(0)).alias("events_applied"), "diverged_at")
 
 
 def branch(states_: DataFrame, n: int, dirty: Column | None = None, broken: Column | None = None) -> DataFrame:
@@ -120,40 +150,70 @@ def restore(states_: DataFrame, prompts: DataFrame, wanted: DataFrame) -> DataFr
     return found.select("run_id", F.col("state_id").alias("from_state_id"), "sandbox_id", (F.col("t") + 1).alias("t_start"), "snapshot_uri", "prompt")
 
 
-def restore_and_replay(states_: DataFrame, recorded: DataFrame, recomputed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """What each distinct request of ``wanted`` (state_id, span_id, stop_before_t) gives: the state restored, then the span replayed.
+def metadata(states_: DataFrame, runs: DataFrame) -> DataFrame:
+    """What is stored beside each state's snapshot: the state with its run's task, seed and backend."""
+    of_run = runs.select("run_id", "task_id", "seed", "backend")
+    return states_.select("state_id", "run_id", "t").join(of_run, "run_id").select("state_id", "run_id", "backend", "task_id", "seed", F.col("t").cast("int").alias("t"), F.lit(PROTOCOL).alias("protocol"))
+
+
+def restore_and_replay(states_: DataFrame, spans_: DataFrame, recorded: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
+    """What each distinct request of ``wanted`` (state_id, span_id, stop_before_t) gives: the state restored, then the
+    span's recorded actions done again from it, whichever state the span itself started at.
 
     Returns (state_id, span_id, run_id, restored_t, stop_before_t, from_t, last_t, events_applied, diverged_at,
     error, t). A null span only restores. A null ``stop_before_t`` means one past the span's last event; a span
-    without events allows its first t alone, which is one past the state's. A stop out of range and a divergence
-    are named in ``error`` and leave ``t`` null, where the run else stands. Unknown states are left out.
+    without events allows its first t alone. A stop out of range, an unknown span and a divergence are named in
+    ``error`` and leave ``t`` null, where the run else stands. Unknown states give a row with the error StateNotFound.
     """
-    known = wanted.distinct().join(states_.select("state_id", "run_id", F.col("t").alias("restored_t")), "state_id").join(bounds(recorded), "span_id", "left")
-    start = F.col("restored_t") + 1
-    lo, hi = F.coalesce("t_lo", start), F.coalesce("t_hi", start)
-    replays = F.col("span_id").isNotNull()
-    asked = known.withColumns({"stop_before_t": F.when(replays, F.coalesce("stop_before_t", hi)), "from_t": F.when(replays, lo)}).withColumn("fits", F.col("stop_before_t").between(lo, hi))
-    keys = ["state_id", "span_id", "stop_before_t"]
-    kept = asked.where("fits").select(*keys).join(recorded.select("span_id", "t", "status", "observation"), "span_id").where(F.col("t") < F.col("stop_before_t"))
-    done = _compared(kept, recomputed, keys).drop("from_t")
-    error = F.when(~F.col("fits"), "StopBeforeTOutOfRange").when(F.col("diverged_at").isNotNull(), "ReplayDivergence")
-    last = F.when(F.col("fits"), F.coalesce("last_t", "restored_t"))
-    return asked.join(done, keys, "left").select(
-        *keys[:2], "run_id", "restored_t", "stop_before_t", "from_t", last.alias("last_t"), F.when(F.col("fits"), F.coalesce("events_applied", F.lit(0))).alias("events_applied"),
-        "diverged_at", error.alias("error"), F.when(error.isNull(), F.coalesce(last, "restored_t")).alias("t"),
+    asked = wanted.distinct().select(F.col("state_id").alias("w_state"), F.col("span_id").alias("w_span"), F.col("stop_before_t").cast("long").alias("w_stop"))
+    known = asked.join(states_.select("state_id", "run_id", *STATE), F.col("w_state") == F.col("state_id"), "left")
+    known = known.join(bounds(spans_).join(spans_.select("span_id", "t_start"), "span_id"), F.col("w_span") == F.col("span_id"), "left")
+    key = F.concat_ws("|", "w_state", "w_span", F.coalesce(F.col("w_stop").cast("string"), F.lit("")))
+    known = known.withColumns({"key": key, "stop_before_t": F.coalesce("w_stop", "t_hi"), "fits": F.coalesce(F.coalesce("w_stop", "t_hi").between(F.col("t_lo"), F.col("t_hi")), F.lit(False))})
+    known = stage(known.drop("state_id", "span_id"), "requests")
+    done = _replayed(known.where(F.col("run_id").isNotNull() & F.col("fits")).withColumnRenamed("w_span", "span_id"), recorded, seed)
+    error = (
+        F.when(F.col("run_id").isNull(), "StateNotFound").when(F.col("w_span").isNull(), F.lit(None).cast("string")).when(F.col("t_lo").isNull(), "SpanNotFound")
+        .when(~F.col("fits"), "StopBeforeTOutOfRange").when(F.col("diverged_at").isNotNull(), "ReplayDivergence")
     )
+    replays = F.col("run_id").isNotNull() & F.col("w_span").isNotNull() & F.col("fits")
+    last = F.when(replays, F.coalesce("last_t", "t"))
+    return known.join(done, "key", "left").select(
+        F.col("w_state").alias("state_id"), F.col("w_span").alias("span_id"), "run_id", F.col("t").alias("restored_t"), F.when(F.col("w_span").isNotNull(), F.col("stop_before_t")).alias("stop_before_t"),
+        F.when(F.col("w_span").isNotNull(), F.col("t_start")).alias("from_t"), last.alias("last_t"), F.when(replays, F.coalesce("applied", F.lit(0))).alias("events_applied"),
+        "diverged_at", error.alias("error"), F.when(error.isNull(), F.coalesce(last, F.col("t"))).alias("t"),
+    )
+
+
+def go_on(children: DataFrame, states_: DataFrame, actions: DataFrame, order: list[str], seed: int = SEED) -> DataFrame:
+    """What each child of ``branch`` or ``restore`` records when it acts: ``actions`` (sandbox_id, action, n and ``order``)
+    folded from the state the child was made of. Children of one state share its past and nothing later.
+
+    Rows of ``fold`` with the sandbox as run_id; actions of no child are left out. A child that failed has no
+    sandbox and so no rows.
+    """
+    of = states_.select(F.col("state_id").alias("from_state_id"), *STATE)
+    start = stage(children.where("sandbox_id is not null").select("sandbox_id", "from_state_id").join(of, "from_state_id").select(F.col("sandbox_id").alias("run_id"), *STATE), "children")
+    mine = actions.withColumnRenamed("sandbox_id", "run_id").join(start.select("run_id"), "run_id", "left_semi")
+    return fold(mine, order, seed=seed, start=start)
 
 
-def lineage(states_: DataFrame, levels: int = 100) -> DataFrame:
-    """(state_id, ancestor_id, distance) up to ``levels`` parents above each state, by one join a doubling.
+def lineage(states_: DataFrame) -> DataFrame:
+    """(state_id, ancestor_id, distance): all that are above each state. An extension.
 
-    An extension: each round joins the paths found so far with each other, so depth costs its logarithm.
+    Each round joins the paths found so far, staged, with each other and so doubles their reach; it ends with the
+    round that finds nothing. A state above itself is an error, LineageCycle.
     """
-    steps = states_.where("parent_state_id is not null").select("state_id", F.col("parent_state_id").alias("ancestor_id"), F.lit(1).alias("distance"))
-    paths, reach = steps, 1
-    while reach < levels:
-        far = paths.where(F.col("distance") == reach).select("state_id", F.col("ancestor_id").alias("mid"))
-        on = paths.select(F.col("state_id").alias("mid"), "ancestor_id", "distance")
-        paths = paths.unionByName(far.join(on, "mid").select("state_id", "ancestor_id", (F.col("distance") + reach).alias("distance")))
+    paths = stage(states_.where("parent_state_id is not null").select("state_id", F.col("parent_state_id").alias("ancestor_id"), F.lit(1).alias("distance")), "lineage")
+    reach, found = 1, [paths]
+    while True:
+        far = reduce(DataFrame.unionByName, found)
+        # Paths of the greatest length so far, each put in front of all others.
+        tips = far.where(F.col("distance") == reach).select("state_id", F.col("ancestor_id").alias("mid"))
+        new = stage(tips.join(far.select(F.col("state_id").alias("mid"), "ancestor_id", F.col("distance").alias("more")), "mid").select("state_id", "ancestor_id", (F.col("more") + reach).alias("distance")), "lineage")
+        if not new.take(1):
+            return far
+        if new.where("state_id = ancestor_id").take(1):
+            raise WayfoldError("LineageCycle", "a state is its own ancestor")
+        found.append(new)
         reach *= 2
-    return paths.where(F.col("distance") <= levels)

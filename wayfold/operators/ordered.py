@@ -1,26 +1,51 @@
-"""Running sums over ordered groups of any size.
+"""Staging, and running sums over ordered groups of any size.
 
-Rows are range partitioned by key and order, so that a large group spans many tasks; sums run within each
-part, and what earlier parts of the same group hold is added from a table of at most one group a part.
+Groups of up to ``LARGE`` rows are summed by a window each. The rows of larger ones are range partitioned by key
+and order, so that a group spans many tasks; sums run within each part, and what earlier parts of the same group
+hold is added from a table of at most one group a part.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .errors import WayfoldError
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder, ``spark.checkpoint.dir``; where that is unset (tests), in one of our own."""
+#: Rows of a group that one task may sort and sum; larger groups are cut into parts. The rows that result are the same.
+LARGE = 1_000_000
+#: Keys that hold more than this share of all rows are hot: there are fewer than a thousand of them.
+HOT_SHARE = 1e-3
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all of this session's staged files are under, in the cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Where that is unset a local session (tests, bench) gets a folder of its own; on a cluster, whose executors
+    do not see the driver's disk, it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise WayfoldError("NoSharedFolder", "set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="wayfold-")
         spark.sparkContext.setCheckpointDir(at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove what this session has staged. Results that were not written elsewhere can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +55,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it holds at most ``max_rows`` rows, else as it is (a shuffle join follows).
+
+    ``df`` should be staged: the count is an action of its own.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, hot: Column) -> DataFrame:
+    """``rows`` joined with ``facts``, one row a key, where a hot key's rows stay in the tasks that hold them.
+
+    ``hot`` tells from the facts which keys hold more than ``HOT_SHARE`` of all rows: fewer than a thousand, so
+    these are broadcast; all others meet in a shuffle, where none can fill a task.
+    """
+    often = facts.where(hot)
+    rare = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(facts.where(~hot), key)
+    return rows.join(F.broadcast(often), key).unionByName(rare)
+
+
 def ordered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``rows`` with ``_part`` and ``_seq``: sorted by key and order over all parts. The order should be total."""
     by = [F.col(c).asc_nulls_last() for c in (*keys, *order)]
@@ -48,3 +92,36 @@ def running(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFr
     # In sorted order a part goes on with one key at most: no more rows than parts.
     both = rows.select("*", *[F.sum(c).over(within).alias(f"w_{n}") for n, c in sums.items()]).join(F.broadcast(carried), on, "left")
     return both.select(*rows.columns, *[(F.col(f"w_{n}") + F.coalesce(f"c_{n}", F.lit(0))).cast("long").alias(n) for n in sums])
+
+
+#: Adds to rows the sums, by name, up to and with each row of its key.
+Add = Callable[[DataFrame, dict[str, Column]], DataFrame]
+
+
+def by_size(rows: DataFrame, keys: list[str], order: list[str], body: Callable[[DataFrame, Add], DataFrame]) -> DataFrame:
+    """``body`` over all groups of ``rows``, with the way of summing that a group's size asks for.
+
+    ``body`` gets rows and a function that adds running sums to them, which it may call again and again. The order
+    should be total. The sizes are counted first, from the keys alone.
+    """
+    window = W.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(W.unboundedPreceding, 0)
+
+    def by_window(some: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        return some.select("*", *[F.sum(c).over(window).cast("long").alias(n) for n, c in sums.items()])
+
+    def by_parts(some: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        return stage(running(some, keys, sums), "sums")
+
+    large = rows.groupBy(*[F.col(k).alias(f"l_{k}") for k in keys]).count().where(F.col("count") > LARGE).drop("count")
+    if not large.take(1):
+        return body(rows, by_window)
+    large, on = small(stage(large, "large")), F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"l_{k}"))
+    rest, parts = body(rows.join(large, on, "left_anti"), by_window), body(ordered(rows.join(large, on, "left_semi"), keys, order), by_parts)
+    return rest.unionByName(parts.drop("_part", "_seq"))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """``rows`` with their place in their group, from 1."""
+    return by_size(rows, keys, order, lambda some, add: add(some, {name: F.lit(1)}))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import summary_text
-from .ordered import ordered, running
+from .ordered import numbered
 
 
 def repeated_keys(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +29,7 @@ def gaps(events: DataFrame, key: str = "span_id", t: str = "t") -> DataFrame:
 
     Distinct values are numbered; where value less number changes, some are missing.
     """
-    rows = running(ordered(events.select(F.col(key).alias("key"), F.col(t).cast("long").alias("t")).distinct(), ["key"], ["t"]), ["key"], {"nth": F.lit(1)})
+    rows = numbered(events.select(F.col(key).alias("key"), F.col(t).cast("long").alias("t")).distinct(), ["key"], ["t"])
     islands = rows.groupBy("key", (F.col("t") - F.col("nth")).alias("shift")).agg(F.max("t").alias("last"), F.max("nth").alias("last_nth"), F.min("t").alias("first"), F.min("nth").alias("first_nth"))
     # The island before is the one whose last number is one less than this one's first.
     before = islands.select("key", F.col("last").alias("after"), (F.col("last_nth") + 1).alias("first_nth"))

@@ -28,8 +28,13 @@ def actions(spark: SparkSession, sf_dir: str, run: int | None = None) -> DataFra
 
 def trajectories(spark: SparkSession, sf_dir: str, run: int | None = None) -> DataFrame:
     """What the episodes record, in spans that end with each accepted list_items: there a state is taken."""
-    folded = fold.fold(actions(spark, sf_dir, run), ["ts", "event_id"])
-    return lineage.in_spans(folded, (F.col("action") == "list_items") & (F.col("status") == "ok"))
+    return lineage.in_spans(fold.fold(actions(spark, sf_dir, run), ["ts", "event_id"], commit=(F.col("action") == "list_items") & (F.col("status") == "ok")))
+
+
+def tampered(rows: DataFrame) -> DataFrame:
+    """Trajectories as someone changed them: some observations, and some actions under their old observations."""
+    at = lambda k, *names: (F.col("k") == k) & (F.col("status") == "ok") & F.col("action").isin(*names)
+    return rows.select("span_id", "t", F.when(at(17, "inc"), "peek").otherwise(F.col("action")).alias("action"), "n", "status", F.when(at(13, "inc", "peek"), '{"value":-1}').otherwise(F.col("observation")).alias("observation"))
 
 
 TRAJECTORIES = """
@@ -61,8 +66,12 @@ traj as (
       else '{"items":[' || coalesce(array_to_string(list_transform(range(cursor - n, least(cursor, 64)), lambda i: '"id_03_' || lpad(i::varchar, 4, '0') || '"'), ','), '') || ']}' end end as observation
   from valued),
 states as (
-  select run_id || '-s' || n as state_id, run_id, n, case when n > 0 then run_id || '-s' || (n - 1) end as parent_state_id, case when n > 0 then run_id || '-p' || (n - 1) end as from_span_id, t, steps, 'snapshots/' || run_id || '-s' || n as snapshot_uri
-  from (select run_id, span_no + 1 as n, t, steps from traj where commits_here = 1 union all select distinct run_id, 0, 0, null from traj))
+  select run_id || '-s' || n as state_id, run_id, n, case when n > 0 then run_id || '-s' || (n - 1) end as parent_state_id, case when n > 0 then run_id || '-p' || (n - 1) end as from_span_id, t::bigint as t, steps, value::bigint as value, cursor::bigint as cursor, done, 'snapshots/' || run_id || '-s' || n as snapshot_uri
+  from (select run_id, span_no + 1 as n, t, steps, value, cursor, closed as done from traj where commits_here = 1 union all select distinct run_id, 0, 0, 20, 0, 0, false from traj)),
+spans as (
+  select s.run_id || '-p' || s.n as span_id, s.run_id, s.n, s.state_id as from_state_id, s.t + 1 as t_start, min(e.t) as t_lo, max(e.t) as t_end, count(e.t) as n_events,
+    case when max(e.commits_here) = 1 then s.run_id || '-s' || (s.n + 1) end as to_state_id
+  from states s left join traj e on e.run_id = s.run_id and e.span_no = s.n group by s.run_id, s.n, s.state_id, s.t)
 """
 
 

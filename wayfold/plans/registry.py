@@ -47,13 +47,9 @@ def q02_get_event(spark, sf_dir):
     return events.span_events(stored(spark, sf_dir, 7)).where((F.col("span_id") == "r7-p0") & (F.col("t") == 2))
 
 
-@query(f"with {d.TRAJECTORIES}, {SPAN_EVENTS} select span_id, count(*) as n, string_agg(action || ':' || status, '>' order by t) as path from span_ev group by span_id")
+@query(f"with {d.TRAJECTORIES} select span_id, t::int as t, row_number() over (partition by span_id order by t) as nth, action || ':' || status as step from traj")
 def q03_span_events(spark, sf_dir):
-    rows = ordered.stage(stored(spark, sf_dir), "events")
-    found = events.span_index(rows).select("span_id", "t").join(rows, ["span_id", "t"])
-    # A span ends with the budget's steps at the latest, so but for the last of a run its list is short.
-    steps = F.array_sort(F.collect_list(F.struct("t", F.concat("action", F.lit(":"), "status").alias("s"))))
-    return found.groupBy("span_id").agg(F.count("*").alias("n"), F.array_join(F.transform(steps, lambda x: x["s"]), ">").alias("path"))
+    return events.span_steps(stored(spark, sf_dir)).select("span_id", "t", "nth", F.concat("action", F.lit(":"), "status").alias("step"))
 
 
 @query("with said as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as prompt from conversations where role <> 'system') select conv_id::varchar || '-s' || turn as state_id, (turn + 1)::int as t, 'runs/' || conv_id || '/prompts/' || conv_id || '-s' || turn || '.json' as prompt_uri, text as prompt from conversations where role = 'user' union all select conv_id::varchar || '-s' || turn, (turn + 1)::int, 'runs/' || conv_id || '/prompts/' || conv_id || '-s' || turn || '.json', null from conversations where role <> 'user'")
@@ -94,9 +90,9 @@ def q08_budget_spent(spark, sf_dir):
     return rows.groupBy("run_id").agg(F.count("*").alias("events"), F.sum("cost").alias("charged"), (fold.STEPS - F.min("steps")).cast("int").alias("spent"), F.max("value").alias("value"))
 
 
-@query(f"with {d.TRAJECTORIES} select span_id, run_id, run_id || '-s' || span_no as from_state_id, case when max(commits_here) = 1 then run_id || '-s' || (span_no + 1) end as to_state_id, min(t) as t_start, max(t) as t_end, count(*) as n_events from traj group by run_id, span_id, span_no")
+@query(f"with {d.TRAJECTORIES} select span_id, run_id, from_state_id, to_state_id, t_start, t_lo, t_end, n_events from spans")
 def q09_spans_from_commits(spark, sf_dir):
-    return lineage.spans(d.trajectories(spark, sf_dir))
+    return lineage.spans(ordered.stage(d.trajectories(spark, sf_dir), "events"))
 
 
 @query(f"with {d.TRAJECTORIES} select e.run_id, e.t as event_t, s.state_id, s.t::bigint as state_t from traj e join states s on s.run_id = e.run_id and s.t < e.t where e.action = 'submit' and e.status = 'ok' qualify row_number() over (partition by e.run_id, e.t order by s.t desc) = 1")
@@ -105,22 +101,25 @@ def q10_restore_point(spark, sf_dir):
     return lineage.restore_points(rows, (F.col("action") == "submit") & (F.col("status") == "ok"))
 
 
-_REPLAYED = "case when k = 13 and status = 'ok' and action in ('inc', 'peek') then '{\"value\":-1}' else observation end"
+_RECORDED = "case when k = 13 and status = 'ok' and action in ('inc', 'peek') then '{\"value\":-1}' else observation end"
+#: What comes out when it is done again, up to the first divergence: where an inc was changed to a peek, the value stays.
+_ANEW = "case when k = 17 and status = 'ok' and action = 'inc' then '{\"value\":' || (value - 1) || '}' else observation end"
+_BOTH = f"both_ as (select span_id, t, {_ANEW} is distinct from {_RECORDED} as bad from traj)"
 
 
-@query(f"""with {d.TRAJECTORIES}, both_ as (select span_id, t, observation as o, {_REPLAYED} as r from traj),
-bad as (select span_id, min(t) as from_t, min(case when o is distinct from r then t end) as diverged_at from both_ group by span_id)
-select span_id, from_t, max(case when diverged_at is null or t < diverged_at then t end) as last_t, count(*) filter (diverged_at is null or t < diverged_at) as events_applied, diverged_at
-from both_ join bad using (span_id) group by span_id, from_t, diverged_at""")
+@query(f"""with {d.TRAJECTORIES}, {_BOTH}, bad as (select span_id, min(case when bad then t end) as diverged_at from both_ group by span_id),
+good as (select span_id, max(t) as last_t, count(*) as n from both_ join bad using (span_id) where diverged_at is null or t < diverged_at group by span_id)
+select p.span_id, p.t_start as from_t, coalesce(good.last_t, p.t_start - 1) as last_t, coalesce(good.n, 0) as events_applied, diverged_at from spans p left join bad using (span_id) left join good using (span_id)""")
 def q11_replay_verify(spark, sf_dir):
     rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
-    tampered = (F.col("k") == 13) & (F.col("status") == "ok") & F.col("action").isin("inc", "peek")
-    return lineage.replay(rows.withColumn("observation", F.when(tampered, '{"value":-1}').otherwise(F.col("observation"))), rows)
+    states = ordered.stage(lineage.states(rows), "states")
+    return lineage.replay(d.tampered(rows), lineage.spans(rows, states), states)
 
 
-@query(f"with {d.TRAJECTORIES} select span_id, min(t) as t_lo, max(t) + 1 as t_hi, 5 between min(t) and max(t) + 1 as may_stop_at_5 from traj group by span_id")
+@query(f"with {d.TRAJECTORIES} select span_id, coalesce(t_lo, t_start) as t_lo, coalesce(t_end + 1, t_start) as t_hi, 5 between coalesce(t_lo, t_start) and coalesce(t_end + 1, t_start) as may_stop_at_5 from spans")
 def q12_replay_range_check(spark, sf_dir):
-    return lineage.bounds(d.trajectories(spark, sf_dir)).withColumn("may_stop_at_5", F.lit(5).between(F.col("t_lo"), F.col("t_hi")))
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    return lineage.bounds(lineage.spans(rows)).withColumn("may_stop_at_5", F.lit(5).between(F.col("t_lo"), F.col("t_hi")))
 
 
 @query(f"with {d.TRAJECTORIES} select run_id, state_id as from_state_id, case when n % 2 = 0 then state_id end as parent_state_id, i::int as index, state_id || '-b' || i as sandbox_id, (t + 1)::bigint as t_start from (select *, unnest(range(3)) as i from states)")
@@ -244,9 +243,9 @@ def q30_error_status_map(spark, sf_dir):
     return rows.withColumn("http", values.http_status(F.col("code")))
 
 
-@query(f"with {d.TRAJECTORIES} select state_id, run_id, n, parent_state_id, from_span_id, t::bigint as t, steps, snapshot_uri from states")
+@query(f"with {d.TRAJECTORIES} select state_id, run_id, n, parent_state_id, from_span_id, t, steps, value, cursor, done, snapshot_uri from states")
 def q31_states(spark, sf_dir):
-    return lineage.states(ordered.stage(d.trajectories(spark, sf_dir), "events"))
+    return lineage.states(d.trajectories(spark, sf_dir))
 
 
 @query(f"with {d.TRAJECTORIES} select run_id, value from traj where action = 'submit' and status = 'ok'")
@@ -294,24 +293,25 @@ def q37_start_runs(spark, sf_dir):
     return states.join(first, "state_id").select("state_id", "run_id", "t", "backend", "snapshot_uri", "span_id", "sandbox_id", "t_start")
 
 
-@query(f"""with {d.TRAJECTORIES}, lim as (select span_id, min(t) as lo, max(t) + 1 as hi from traj group by span_id),
+@query(f"""with {d.TRAJECTORIES}, {_BOTH}, lim as (select span_id, t_start, coalesce(t_lo, t_start) as lo, coalesce(t_end + 1, t_start) as hi from spans),
 wanted as (select state_id, run_id, t::bigint as restored_t, case when n % 2 = 0 then run_id || '-p' || n end as span_id, case when n % 4 = 0 then t + 4 end as asked from states),
-ranged as (select w.*, coalesce(lo, restored_t + 1) as lo, coalesce(hi, restored_t + 1) as hi, case when span_id is not null then coalesce(asked, hi, restored_t + 1) end as stop from wanted w left join lim using (span_id)),
-ev as (select r.state_id, traj.t as step, traj.observation is distinct from {_REPLAYED} as bad from ranged r join traj on traj.span_id = r.span_id where traj.t < stop and stop between lo and hi),
+ranged as (select w.*, t_start, lo, hi, coalesce(asked, hi) as stop, coalesce(asked, hi) between lo and hi as fits from wanted w left join lim using (span_id)),
+ev as (select r.state_id, b.t as step, b.bad from ranged r join both_ b using (span_id) where b.t < stop and fits),
 bad as (select state_id, min(case when bad then step end) as diverged_at from ev group by state_id),
 good as (select state_id, count(*) as applied, max(step) as last_at from ev join bad using (state_id) where diverged_at is null or step < diverged_at group by state_id)
-select r.state_id, span_id, run_id, restored_t, stop as stop_before_t, case when span_id is not null then lo end as from_t,
-  case when stop between lo and hi then coalesce(last_at, restored_t) end as last_t, case when stop between lo and hi then coalesce(applied, 0) end as events_applied, diverged_at,
-  case when not stop between lo and hi then 'StopBeforeTOutOfRange' when diverged_at is not null then 'ReplayDivergence' end as error,
-  case when span_id is null then restored_t when stop between lo and hi and diverged_at is null then coalesce(last_at, restored_t) end as t
-from ranged r left join bad using (state_id) left join good using (state_id)""")
+select r.state_id, span_id, run_id, restored_t, case when span_id is not null then stop end as stop_before_t, t_start as from_t,
+  case when fits then coalesce(last_at, restored_t) end as last_t, case when fits then coalesce(applied, 0) end as events_applied, diverged_at,
+  case when span_id is null then null when not fits then 'StopBeforeTOutOfRange' when diverged_at is not null then 'ReplayDivergence' end as error,
+  case when span_id is null then restored_t when fits and diverged_at is null then coalesce(last_at, restored_t) end as t
+from ranged r left join bad using (state_id) left join good using (state_id)
+union all select 'lost', null, null, null, null, null, null, null, null, 'StateNotFound', null""")
 def q38_restore_and_replay(spark, sf_dir):
     rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
-    states = lineage.states(rows)
-    # Every other state is only restored; of the rest every other names a stop, which may be out of range.
+    states = ordered.stage(lineage.states(rows), "states")
+    # Every other state is only restored; of the rest every other names a stop, which may be out of range. One state is unknown.
     wanted = states.select("state_id", F.when(F.col("n") % 2 == 0, lineage.span_id(F.col("run_id"), F.col("n"))).alias("span_id"), F.when(F.col("n") % 4 == 0, F.col("t") + 4).alias("stop_before_t"))
-    tampered = (F.col("k") == 13) & (F.col("status") == "ok") & F.col("action").isin("inc", "peek")
-    return lineage.restore_and_replay(states, rows.withColumn("observation", F.when(tampered, '{"value":-1}').otherwise(F.col("observation"))), rows, wanted)
+    lost = spark.range(1).select(F.lit("lost").alias("state_id"), F.lit(None).cast("string").alias("span_id"), F.lit(None).cast("long").alias("stop_before_t"))
+    return lineage.restore_and_replay(states, lineage.spans(rows, states), d.tampered(rows), wanted.unionByName(lost))
 
 
 @query("select conv_id, turn from conversations where turn % 5 = 0 and length(text) > 400")
@@ -322,7 +322,7 @@ def q39_cut_observations(spark, sf_dir):
     return quality.cut_observations(rows).select("conv_id", "turn")
 
 
-@query(f"with {d.TRAJECTORIES} select 'runs' as name, count(distinct run_id) as n from traj union all select 'states', count(*) from states union all select 'spans', count(distinct span_id) from traj union all select 'span_index', count(*) from traj")
+@query(f"with {d.TRAJECTORIES} select 'runs' as name, count(distinct run_id) as n from traj union all select 'states', count(*) from states union all select 'spans', count(*) from spans union all select 'span_index', count(*) from traj")
 def q40_row_counts(spark, sf_dir):
     rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
     return quality.row_counts({"runs": rows.select("run_id").distinct(), "states": lineage.states(rows), "spans": lineage.spans(rows), "span_index": events.span_index(d.recorded(rows))})
@@ -362,4 +362,4 @@ def q45_partial_branches(spark, sf_dir):
 union all select up.state_id, s.parent_state_id, up.distance + 1 from up join states s on s.state_id = up.ancestor_id where s.parent_state_id is not null) select * from up""")
 def x01_lineage(spark, sf_dir):
     """All ancestors of each state; a run takes at most as many states as it has steps."""
-    return lineage.lineage(lineage.states(ordered.stage(d.trajectories(spark, sf_dir), "events")), fold.STEPS)
+    return lineage.lineage(lineage.states(d.trajectories(spark, sf_dir)))

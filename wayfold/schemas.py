@@ -12,5 +12,6 @@ METADATA = "state_id string, run_id string, backend string, task_id string, seed
 EPISODE = f"task_id string, seed int, t int, done boolean, result string, budget map<string,double>, rows array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>"
 PROMPT = "system string, transcript array<struct<role:string,content:string>>"
 BLOCKS = "disk string, idx long, data binary"
-#: Where a run may be executed.
+#: The version of events, and where a run may be executed.
+PROTOCOL = 1
 BACKENDS = ("episode", "firecracker")
