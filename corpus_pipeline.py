@@ -16,22 +16,27 @@ LEAST_SCORE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; ``lang`` is the one predicted."""
+    """Documents whose language can be told; ``lang`` is the one predicted. Null and letterless texts go; equal rows go or stay together."""
     return known_language(docs, LEAST_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that of the least doc_id."""
+    """One document of each class of near copies, that of the least doc_id, nulls last. Documents without words all stay."""
     return without_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: not at all, once or twice."""
+    """Documents as often as the mix of sources takes them: not at all, once or twice.
+
+    A null source is one of its own; a null text has size 0; of documents alike in id and text as many are taken as are due.
+    """
     return mixed(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_chars, n_tokens, ids): the piece ids of every text."""
+    """(doc_id, lang, source, n_chars, n_tokens, ids): the piece ids of every text; none for a null or empty one.
+
+    Repeated documents give repeated rows."""
     out = encode(docs, vocabulary_path(), ["doc_id", "lang", "source", "n_chars"])
     return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids")
 

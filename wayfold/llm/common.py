@@ -1,48 +1,18 @@
-"""Tables, staging and size-checked broadcasts that the operators share."""
+"""Tables and the memory of Python workers; staging and size-checked broadcasts are the engine's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="wayfold-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
 
+from ..operators.ordered import HOT_SHARE, by_size, numbered, ordered, running, shared_path, small, stage, with_facts
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["HOT_SHARE", "by_size", "new_path", "numbered", "ordered", "running", "small", "stage", "table", "with_facts", "worker_memory"]
 
+new_path = shared_path
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it holds at most ``max_rows`` rows, else as it is (a shuffle join follows).
-
-    ``df`` should be staged: the count is an action of its own.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _memories: dict[str, dict] = {}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, worker_memory
+from .common import HOT_SHARE, stage, table, with_facts, worker_memory
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -32,6 +32,8 @@ N_HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 30, 1e-7
 #: Members of a bucket are dealt to blocks of about this size; each two blocks meet in a task.
 BLOCK = 256
+#: The shingles of a block at most, about: a cell's sets are held in memory while its pairs are verified.
+BLOCK_SHINGLES = 1 << 20
 #: Words whose hashes a Python worker remembers; the bound is of memory only.
 MEMO_SIZE = 500_000
 
@@ -262,10 +264,10 @@ def linked(docs: DataFrame) -> DataFrame:
     reps = stage(digest.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(row).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-sets")
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    members = reps.select("key", "sig", band).select("key", "band", F.xxhash64(F.substring("sig", F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS)), "band").alias("b"))
-    buckets = members.groupBy("b").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(buckets, "b").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members = reps.select("key", "n", "sig", band).select("key", "n", "band", F.xxhash64(F.substring("sig", F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS)), "band").alias("b"))
+    buckets = members.groupBy("b").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least(F.col("size"), F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    dealt = with_facts(members, buckets, "b", F.col("size") > HOT_SHARE * BANDS * reps.count()).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = dealt.select("key", "band", "b", "mine", other).select("key", "band", "b", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine")
     rows = stage(cells, "near-cells").join(reps.select("key", "n", "sig"), "key").repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj", "key")
@@ -304,23 +306,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one of the least doc_id. Rows without shingles all stay."""
+    """``docs`` with one row of each class: the one of the least doc_id. Rows without shingles all stay.
+
+    All columns stay as they are, whatever their names; of rows alike in id and text, but for those without
+    shingles, any one stays.
+    """
     found = stage(linked(docs).select("doc_id", "text_hash", "first"), "near-found")
-    mine = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    # The row travels in one struct, so that no column of it can clash with these.
+    has_words = F.coalesce(F.regexp_count(F.col("text"), F.lit("\\S")) > 0, F.lit(False))
+    mine = docs.select(F.struct("*").alias("kept"), F.col("doc_id").alias("m_id"), F.xxhash64(F.col("text").cast("string")).alias("m_hash"), has_words.alias("has_words"))
 
     def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = keys.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
-        return rows.join(keys, (F.col("text_hash") == F.col("k_hash")) & F.col("doc_id").eqNullSafe(F.col("k_id")), how)
+        return rows.join(keys, (F.col("m_hash") == F.col("k_hash")) & F.col("m_id").eqNullSafe(F.col("k_id")), how)
 
     kept = among(mine, found.where(~F.col("first")), "left_anti")
     # Rows that share id and text with another: of those with shingles one stays.
-    has_words = F.regexp_count(F.col("text"), F.lit("\\S")) > 0
     twice = stage(found.where("first").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "near-twice")
     if twice.take(1):
-        again = among(kept, twice, "left_semi").where(F.coalesce(has_words, F.lit(False)))
-        rest = among(kept, twice, "left_anti").unionByName(among(kept, twice, "left_semi").where(~F.coalesce(has_words, F.lit(False))))
-        kept = rest.unionByName(again.dropDuplicates(["doc_id", "text_hash"]))
-    return kept.drop("text_hash")
+        again = among(kept, twice, "left_semi")
+        once = again.where("has_words").dropDuplicates(["m_id", "m_hash"])
+        kept = among(kept, twice, "left_anti").unionByName(again.where("not has_words")).unionByName(once)
+    return kept.select("kept.*")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
