@@ -1,22 +1,22 @@
 """Sharding by fixed virtual slots (operator 6, DataFrame functions only).
 
 Records are hashed into a fixed number of virtual slots, bytes are summed per slot, and a versioned
-slot-to-shard map says where each slot lives. Rebalancing edits the map and leaves the hash alone.
+slot-to-shard map says where each slot lives. Rebalancing edits the map and leaves the hash alone. A key that
+weighs as much as many slots has a slot of its own in the map, so that it can be placed by itself.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, stage, table
+from .common import new_path, numbered, ordered, running, stage, table
 
 N_SLOTS = 4096
-#: Parts of a slot that are numbered side by side, so that no window holds more than a share of a slot.
-SUB_SLOTS = 16
-#: A text whose copies weigh more than this share of a mean shard is heavy: a shard holds at most one whole.
-HEAVY_SHARE = 0.5
+#: A key that weighs more than this share of a mean shard is heavy; there are fewer than its inverse for each shard.
+HEAVY_SHARE = 1 / 8
+MAP = "version int, slot int, key long, shard int"
 
 
 def first_map(n_slots: int, n_shards: int) -> list[int]:
@@ -52,12 +52,17 @@ def rebalance(held: list[int], slot_bytes: list[int], n_shards: int, tolerance:
     return to
 
 
-def apart(held: list[int], slots: list[int], n_shards: int) -> list[int]:
-    """The map with each of ``slots``, of which there are ``n_shards`` at most, on a shard of its own."""
-    to, free = list(held), set(range(n_shards))
-    for s in slots:
-        to[s] = held[s] if held[s] in free else min(free)
-        free.remove(to[s])
+def packed(heavy: dict[int, int], held: dict[int, int], n_shards: int, mean: float) -> dict[int, int]:
+    """Shards for the keys of ``heavy`` (key to weight) that can stay whole: the heaviest first, each where it was
+    held if it fits there, else on the emptiest shard. Keys that no shard has room for, up to the mean, are left out."""
+    load, to = [0] * n_shards, {}
+    for key, weight in sorted(heavy.items(), key=lambda x: (-x[1], x[0])):
+        best = min(range(n_shards), key=lambda s: (load[s], s))
+        at = held.get(key, best)
+        at = at if at < n_shards and load[at] + weight <= mean else best
+        if load[at] + weight <= mean:
+            to[key] = at
+            load[at] += weight
     return to
 
 
@@ -75,60 +80,81 @@ def grow(held: list[int], slot_bytes: list[int], n_shards: int) -> list[int]:
     return to
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """Rows (version, slot, shard), version counting from 1."""
-    out = None
-    for version, to in enumerate(versions, 1):
-        shards = F.split(F.lit(",".join(map(str, to))), ",")
-        one = spark.range(len(to)).select(F.lit(version).alias("version"), F.col("id").cast("int").alias("slot"), F.element_at(shards, (F.col("id") + 1).cast("int")).cast("int").alias("shard"))
-        out = one if out is None else out.unionByName(one)
-    return out.coalesce(1)
+def write_map(spark: SparkSession, path: str, version: int, to: list[int], heavy: dict[int, int]) -> None:
+    """Add a version to the map at ``path``: rows (version, slot, key, shard). Hashed slots have no key; heavy keys
+    have slots from ``len(to)`` on. A version that is there already is an error."""
+    keys, shards = [None] * len(to) + list(heavy), to + list(heavy.values())
+    # A few thousand numbers, whatever the input's size.
+    text = ",".join(f"{'' if k is None else k}:{s}" for k, s in zip(keys, shards))
+    each = F.split(F.element_at(F.split(F.lit(text), ","), (F.col("id") + 1).cast("int")), ":")
+    rows = spark.range(len(shards)).select(F.col("id").cast("int").alias("slot"), each.alias("e"))
+    rows.select("slot", F.nullif(F.element_at("e", 1), F.lit("")).cast("long").alias("key"), F.element_at("e", 2).cast("int").alias("shard")).coalesce(1).write.parquet(f"{path}/version={version}")
 
 
-def shard_by_slots(rows: DataFrame, key: Column, row_id: Column, size: Column, n_shards: int, n_slots: int = N_SLOTS, keep: dict[str, Column] | None = None) -> DataFrame:
+def read_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest version of the map at ``path``; None if there is none."""
+    try:
+        rows = spark.read.schema(MAP).parquet(path)
+    except AnalysisException:
+        return None
+    latest = rows.agg(F.max("version")).first()[0]
+    return None if latest is None else rows.where(F.col("version") == latest)
+
+
+def held_map(rows: DataFrame | None) -> tuple[int, list[int], dict[int, int]]:
+    """(version, shard of each hashed slot, shard of each heavy key); version 0 if there is no map yet."""
+    found = [] if rows is None else sorted(rows.collect(), key=lambda r: r["slot"])
+    return found[0]["version"] if found else 0, [r["shard"] for r in found if r["key"] is None], {r["key"]: r["shard"] for r in found if r["key"] is not None}
+
+
+def shard_by_slots(rows: DataFrame, key: Column, row_id: Column, size: Column, n_shards: int, n_slots: int = N_SLOTS, keep: dict[str, Column] | None = None, map_path: str | None = None) -> DataFrame:
     """Deal ``rows`` to shards of near equal ``size``; equal ``key`` values share a slot and so a shard.
 
     Returns the columns of ``keep``, with ``size``, ``virtual_slot``, ``map_version``, ``shard`` and ``slot``
-    (the row's place in its shard, gapless from 0). A key that weighs more than half a mean shard is heavy.
-    Heavy keys are placed first, each whole on a shard of its own, as long as shards are left and the key's slot
-    weighs a mean shard at most; the others are spread over all slots by ``row_id``: sizes stay near equal though
-    their copies part. Null keys and ids hash like
-    any value; rows equal in all that is hashed stay together; an empty table gives an empty result. The
-    input is read once; every later step reads its staged digest.
+    (the row's place in its shard, gapless from 0). Every key that weighs a mean shard at most stays whole: heavy
+    ones are placed first, the heaviest before the others, then the slots of all others are moved until sizes are
+    near equal. A key is spread over all slots, by its rows' numbers within it, only if it weighs more than a
+    mean shard or if the heavier ones leave no shard with room for it; else no near equal sizes exist.
+
+    The map at ``map_path`` (a new one if None) is read, edited and stored as its next version, so that a slot
+    moves only where the sizes ask for it. Null keys and ids hash like any value; rows that are alike in all are
+    told apart by number alone; an empty table gives an empty result. The input is read once; every later step
+    reads its staged digest. Places are counted over range partitions, so neither a shard nor a key is one task's.
     """
-    spark, keep = rows.sparkSession, keep or {}
+    spark, path = rows.sparkSession, map_path or new_path(rows.sparkSession, "shard-map")
     # The hashed names cannot clash with the caller's columns: only what is kept and hashed goes on.
-    digest = stage(rows.select(F.struct(*[c.alias(n) for n, c in keep.items()]).alias("kept"), size.cast("long").alias("size"), F.xxhash64(key).alias("k"), F.xxhash64(row_id, key).alias("r")), "shard-digest")
+    kept = F.struct(F.lit(0).alias("_"), *[c.alias(n) for n, c in (keep or {}).items()])
+    digest = stage(rows.select(kept.alias("kept"), size.cast("long").alias("size"), F.xxhash64(key).alias("k"), F.xxhash64(row_id, key).alias("r"), F.monotonically_increasing_id().alias("row")), "shard-digest")
     total = digest.agg(F.sum("size")).first()[0] or 0
-    limit, of_slot = HEAVY_SHARE * total / n_shards, F.pmod("k", F.lit(n_slots)).cast("int").alias("slot")
-    keys = digest.groupBy("k").agg(F.sum("size").alias("w"))
-    by_slot = keys.groupBy(of_slot).agg(F.sum(F.when(F.col("w") <= limit, F.col("w")).otherwise(0)).alias("light"), F.collect_list(F.when(F.col("w") > limit, F.struct("w", "k"))).alias("heavy")).where(F.size("heavy") > 0)
-    # At most 2 * n_shards keys can each weigh over half a mean shard, so these lists are bounded.
-    heavy_keys = sorted((w, k, slot, light) for slot, light, found in by_slot.collect() for w, k in found)
-    whole: dict[int, int] = {}
-    for w, k, slot, light in heavy_keys:
-        if len(whole) < n_shards and slot not in whole and (w + light) * n_shards <= total:
-            whole[slot] = k
-    spread = [k for _, k, slot, _ in heavy_keys if whole.get(slot) != k]
-    slotted = digest.select("kept", "size", "r", F.pmod(F.when(F.col("k").isin(spread), F.col("r")).otherwise(F.col("k")), F.lit(n_slots)).cast("int").alias("virtual_slot"), F.pmod(F.shiftright("r", 20), F.lit(SUB_SLOTS)).cast("int").alias("sub"))
+    mean = total / n_shards
+    keys = digest.groupBy("k").agg(F.sum("size").alias("w")).where(F.col("w") > HEAVY_SHARE * mean)
+    heavy = {k: w for k, w in keys.collect()}  # fewer than n_shards / HEAVY_SHARE
+    version, held, held_heavy = held_map(read_map(spark, path))
+    whole = packed(heavy, held_heavy, n_shards, mean)
+    spread = [k for k in heavy if k not in whole]
+
+    columns = ["kept", "size", "k", "r", "row"]
+    hashed = lambda c: F.pmod(c, F.lit(n_slots)).cast("int").alias("virtual_slot")
+    own = F.lit(None).cast("int")
+    for n, k in enumerate(whole):
+        own = F.when(F.col("k") == k, n_slots + n).otherwise(own)
+    slotted = digest.where(~F.col("k").isin(spread)).select(*columns, F.coalesce(own, hashed(F.col("k"))).alias("virtual_slot"))
+    if spread:
+        parted = numbered(digest.where(F.col("k").isin(spread)), ["k"], ["r", "row"])
+        slotted = slotted.unionByName(parted.select(*columns, hashed(F.col("nth"))))
     slotted = stage(slotted, "shard-slotted")
-    counts = stage(slotted.groupBy("virtual_slot", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-slots")
 
-    slot_bytes = [0] * n_slots
-    for virtual_slot, n_bytes in counts.groupBy("virtual_slot").agg(F.sum("bytes")).collect():  # n_slots rows at most
+    slot_bytes = [0] * n_slots + [heavy[k] for k in whole]
+    for virtual_slot, n_bytes in slotted.where(F.col("virtual_slot") < n_slots).groupBy("virtual_slot").agg(F.sum("size")).collect():  # n_slots rows at most
         slot_bytes[virtual_slot] = n_bytes
-    held = first_map(n_slots, n_shards)
-    versions = [held, rebalance(apart(held, list(whole), n_shards), slot_bytes, n_shards, fixed=frozenset(whole))]
-    path = new_path(spark, "shard-map")
-    map_table(spark, versions).write.parquet(path)
-    latest = spark.read.parquet(path).where(F.col("version") == len(versions)).select("version", F.col("slot").alias("virtual_slot"), "shard")
-
-    before = W.partitionBy("shard").orderBy("virtual_slot", "sub").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.join(F.broadcast(latest), "virtual_slot").select("virtual_slot", "sub", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = W.partitionBy("virtual_slot", "sub").orderBy("r", "size", "kept")
-    placed = slotted.withColumn("place", F.row_number().over(place))
-    # n_slots * SUB_SLOTS rows at most.
-    return placed.join(F.broadcast(starts), ["virtual_slot", "sub"]).select("kept.*", "size", "virtual_slot", "map_version", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"))
+    held = held if len(held) == n_slots and max(held) < n_shards else first_map(n_slots, n_shards)
+    to = rebalance(held + list(whole.values()), slot_bytes, n_shards, fixed=frozenset(range(n_slots, len(slot_bytes))))
+    write_map(spark, path, version + 1, to[:n_slots], whole)
+    latest = read_map(spark, path).select(F.col("version").alias("map_version"), F.col("slot").alias("virtual_slot"), "shard")
+
+    # As many rows as the map: a few thousand.
+    placed = running(ordered(slotted.join(F.broadcast(latest), "virtual_slot"), ["shard"], ["virtual_slot", "r", "row"]), ["shard"], {"nth": F.lit(1)})
+    return placed.select(*[F.col("kept")[n].alias(n) for n in keep or {}], "size", "virtual_slot", "map_version", "shard", (F.col("nth") - 1).cast("long").alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFrame:
