@@ -7,7 +7,7 @@ from corpus_pipeline import run as pipeline
 from .additive_search import op9_additive_search
 from .language import op10_language_id
 from .licences import OP1_SQL, op1_licence_scan
-from .mixing import op4_mixing
+from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .perspectives import OP8_SQL, op8_perspectives
 from .sentencepieces import op3_sentencepieces
@@ -28,4 +28,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op1_licence_scan": OP1_SQL, "op5_topk_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_perspectives": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_licence_scan": OP1_SQL, "op4_mixing": OP4_SQL, "op5_topk_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_perspectives": OP8_SQL}
