@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, stage, table
+from .common import HOT_SHARE, small, stage, table, with_facts
 
 #: The marks of the format. In texts their first character is set apart, so that no text can pose as a mark.
 START, END, MARK, SET_APART = "<|im_start|>", "<|im_end|>", "<|", "< |"
@@ -21,36 +21,53 @@ INSTRUCTIONS = ("system",)
 NOBODY = "unknown"
 
 
+def set_apart(text: Column) -> Column:
+    """Text that holds no mark."""
+    return F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(MARK), F.lit(SET_APART))
+
+
 def in_order(turns: DataFrame, conversation: Column, turn: Column, speaker: Column, text: Column) -> DataFrame:
     """(conv, turn, speaker, text, part, seq): sorted over all; ``part`` numbers the sorted parts, ``seq`` rises.
 
     One conversation may span parts, also where all of its turns have one number. Staged, so that the parts
     and numbers stay as they are.
     """
-    said = turns.select(conversation.alias("conv"), turn.alias("turn"), speaker.cast("string").alias("speaker"), F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(MARK), F.lit(SET_APART)).alias("text"))
+    said = turns.select(conversation.alias("conv"), turn.alias("turn"), speaker.cast("string").alias("speaker"), set_apart(text).alias("text"))
     keys = [F.col("conv").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("speaker").asc_nulls_last(), F.col("tie"), F.col("row")]
     numbered = said.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ordered = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return stage(ordered.select("conv", "turn", "speaker", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")), "chat-order")
 
 
+def views(said: DataFrame) -> DataFrame:
+    """The rows of ``in_order`` once for each participant of their conversation, with ``perspective``."""
+    per = stage(said.groupBy("conv", "speaker").agg(F.count("*").alias("n")), "chat-speakers")
+    total = per.agg(F.sum("n")).first()[0] or 0
+    turns = per.groupBy(F.col("conv").alias("of")).agg(F.sum("n").alias("turns"))
+    who = per.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*INSTRUCTIONS)).join(turns, F.col("conv").eqNullSafe(F.col("of"))).select("conv", F.col("speaker").alias("perspective"), "turns")
+    who = stage(who, "chat-views")
+    # Long conversations keep their place where their participants are few enough to be broadcast; else the result itself is larger by that number.
+    long_ = F.col("turns") > (HOT_SHARE * total if who.where(F.col("turns") > HOT_SHARE * total).count() <= 100_000 else total)
+    return with_facts(said, who, "conv", long_).drop("turns")
+
+
 def rotate(turns: DataFrame, conversation: Column, turn: Column, speaker: Column, text: Column) -> DataFrame:
     """(conv, perspective, position, turn, speaker, segment, start, mask_start, mask_end): a row for each
     participant and turn.
 
     Participants are a conversation's distinct speakers but for ``INSTRUCTIONS`` and null; a conversation
     without one gives no row. Turns go by number, nulls last, equal numbers by speaker and text; a null
-    speaker is a user named ``unknown``; a null text is empty. ``start`` is the segment's first character in
+    speaker is a user named ``unknown``; a null text is empty. Marks in texts and in names are set apart, and
+    line ends in names are spaces, so neither can pose as a turn. ``start`` is the segment's first character in
     the whole rendering; the mask's bounds count likewise and are null where nothing is learned. A null
     conversation is one of its own. Repeated rows are turns of their own. An empty table gives an empty
     result.
     """
-    said = in_order(turns, conversation, turn, speaker, text)
-    who = said.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*INSTRUCTIONS)).select("conv", F.col("speaker").alias("perspective")).distinct()
-    each = said.alias("s").join(who.alias("w"), F.col("s.conv").eqNullSafe(F.col("w.conv"))).select("s.*", "perspective")
+    each = views(in_order(turns, conversation, turn, speaker, text))
     mine = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     instructs = F.coalesce(F.col("speaker").isin(*INSTRUCTIONS), F.lit(False))
-    head = F.when(mine, F.lit(f"{START}assistant\n")).when(instructs, F.concat(F.lit(START), "speaker", F.lit("\n"))).otherwise(F.concat(F.lit(f"{START}user name="), F.coalesce("speaker", F.lit(NOBODY)), F.lit("\n")))
+    name = F.translate(set_apart(F.coalesce("speaker", F.lit(NOBODY))), "\r\n", "  ")
+    head = F.when(mine, F.lit(f"{START}assistant\n")).when(instructs, F.concat(F.lit(START), "speaker", F.lit("\n"))).otherwise(F.concat(F.lit(f"{START}user name="), name, F.lit("\n")))
     each = each.withColumn("mine", mine).withColumn("head", head).withColumn("size", F.length("head") + F.length("text") + len(END) + 1)
 
     # Places within a part, and for the one conversation that goes on from an earlier part what lies before.
@@ -81,7 +98,7 @@ who as (select distinct conv_id, role as perspective from said where role is not
 each as (
   select said.*, perspective, role is not distinct from perspective as mine,
     case when role is not distinct from perspective then '{START}assistant' || chr(10) when role = 'system' then '{START}system' || chr(10)
-      else '{START}user name=' || coalesce(role, '{NOBODY}') || chr(10) end as head
+      else '{START}user name=' || translate(replace(coalesce(role, '{NOBODY}'), '{MARK}', '{SET_APART}'), chr(13) || chr(10), '  ') || chr(10) end as head
   from said join who on said.conv_id is not distinct from who.conv_id),
 sized as (select *, length(head) + length(body) + {len(END) + 1} as size from each),
 placed as (
