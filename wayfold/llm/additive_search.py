@@ -97,8 +97,8 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2
 
 
 def trained_on(n: int) -> Column:
-    """Whether a row of ``n`` is of the sample."""
-    return F.pmod(F.xxhash64(F.col("vec_id").cast("long"), F.lit("train")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE_ROWS / max(n, 1))))
+    """Whether a row (vec_id, v) of ``n`` is of the sample: by a hash of all of it, since ids may repeat."""
+    return F.pmod(F.xxhash64(F.col("vec_id").cast("long"), "v", F.lit("train")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE_ROWS / max(n, 1))))
 
 
 def reranked(n: int, rerank: int = RERANK) -> int:
@@ -109,7 +109,7 @@ def reranked(n: int, rerank: int = RERANK) -> int:
 def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found of each query by cosine, in double precision.
 
-    ``vectors`` has (vec_id, embedding). Vectors that are null, zero or hold null or non-finite components,
+    ``vectors`` has (vec_id, embedding) and what ``is_query`` needs. Vectors that are null, zero or hold null or non-finite components,
     and rows with a null vec_id, take no part. A query's own vec_id is left out with all rows that bear it;
     other repeated ids are candidates of their own, and a repeated query has a list for each of its rows.
     Shorter vectors count as filled up with zeros. Ties go to smaller vec_ids. An empty table gives an
@@ -118,12 +118,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERAN
     """
     spark = vectors.sparkSession
     nonzero = F.exists("embedding", lambda x: x != 0)
-    rows = vectors.where(usable(F.col("embedding")) & nonzero & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.where(usable(F.col("embedding")) & nonzero & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = stage(rows, "ann-vectors")
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     rerank = reranked(n, rerank)
-    asked = rows.where(is_query)
+    asked = rows.where("asks")
     sample = rows.where(trained_on(n)).select("v").limit(2 * SAMPLE_ROWS).toPandas()["v"]
+    if not len(sample):  # rows alike are all of the sample or none is
+        sample = rows.select("v").limit(SAMPLE_ROWS).toPandas()["v"]
     x = np.zeros((max(len(sample), 1), width or 1))
     for i, v in enumerate(sample):
         x[i, : len(v)] = v

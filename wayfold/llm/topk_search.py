@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,41 +19,51 @@ SLICE = 256
 
 
 def _whole(x: np.ndarray) -> dict[str, bytes]:
-    return {"data": np.floor(SCALE * x).tobytes()}
+    return {"data": x.tobytes()}
+
+
+def _exact(x: np.ndarray) -> np.ndarray:
+    """floor(64 x) in Python's numbers; beyond 2**52 a double is whole, and 64 times it may be too large for one."""
+    return np.array([[math.floor(SCALE * v) if abs(v) < 2**52 else SCALE * int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
 
 
 def _products(q: dict, s: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Integer inner products of a tile; in doubles where those hold every sum exactly, else in whole numbers."""
+    """Integer inner products of a tile: in doubles where those hold every sum, else in 64 bits, else in Python's numbers."""
     width = min(q["width"], s["width"])
     x, y = (np.frombuffer(b["data"]).reshape(-1, b["width"])[:, :width] if b["width"] else np.zeros((len(b["ids"]) // 8, 0)) for b in (q, s))
-    exact = width * float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) < 2**53
+    most = max(width, 1) * (SCALE * float(np.abs(x).max(initial=0)) + 1) * (SCALE * float(np.abs(y).max(initial=0)) + 1)
+    if most < 2**53:
+        x, y = np.floor(SCALE * x), np.floor(SCALE * y)
+    elif most < 2**62:
+        x, y = np.floor(SCALE * x).astype("int64"), np.floor(SCALE * y).astype("int64")
     for at in range(0, len(x), SLICE):
         of = np.arange(at, min(at + SLICE, len(x)))
-        if exact:
-            yield of, x[of] @ y.T
-        else:
-            big = np.array([[int(v) for v in row] for row in x[of]], object).reshape(len(of), width) @ np.array([[int(v) for v in row] for row in y], object).reshape(len(y), width).T
-            yield of, np.clip(big, -(2**63), 2**63 - 1).astype("float64")
+        yield of, x[of] @ y.T if most < 2**62 else _exact(x[of]) @ _exact(y).T
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` highest integer inner products of each query with all rows.
 
-    ``vectors`` has (vec_id, embedding); components become floor(64 x). Vectors that are null or hold null
-    or non-finite components, and rows with a null vec_id, take no part. A query's own vec_id is left out
-    with all rows that bear it; other repeated ids are candidates of their own, and a repeated query has a
-    list for each of its rows. Shorter vectors count as filled up with zeros. Ties go to smaller vec_ids.
-    Scores are exact; sums beyond 2**53 are exact up to the double that holds them.
+    ``vectors`` has (vec_id, embedding) and what ``is_query`` needs; components become floor(64 x). Vectors that are
+    null or hold null or non-finite components, and rows with a null vec_id, take no part. A query's own vec_id is
+    left out with all rows that bear it; other repeated ids are candidates of their own, and a repeated query has a
+    list for each of its rows. Shorter vectors count as filled up with zeros. Ties go to smaller vec_ids. An empty
+    table gives an empty result. Ranks are by exact sums of any size; a score beyond 64 bits is given as the
+    nearest number of 64 bits.
     """
-    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").alias("v"))
+    good = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
+    rows = vectors.where(good).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = stage(rows, "search-vectors")
-    asked = rows.where(is_query)
+    asked = rows.where("asks")
     n, n_asked = rows.count(), asked.count()
     shards = packed(rows, SHARD_ROWS, _whole, ["data"], n)
     blocks = packed(asked, QUERY_ROWS, _whole, ["data"], n_asked)
-    best = merged(tiles(blocks, shards, _products, k), k, -(-n // SHARD_ROWS))
+    best = merged(tiles(blocks, shards, _products, k, whole=True), k, -(-n // SHARD_ROWS))
     each = best.select("query_id", F.posexplode("best").alias("rank", "hit"))
-    return each.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.low")).cast("long").alias("score"))
+    # The least number of 64 bits has no negative; it stands for scores beyond the greatest.
+    most = F.lit(2**63 - 1)
+    score = F.when(F.col("hit.low") < -most, most).otherwise(-F.greatest(F.col("hit.low"), -most))
+    return each.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), score.alias("score"))
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
