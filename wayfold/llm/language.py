@@ -22,8 +22,11 @@ from .common import table
 BINS = 1 << 13
 N_GRAMS = (1, 2, 3, 4)
 UNDETERMINED = "und"
+#: Bytes of a text that are counted at a time.
+SLICE = 1 << 20
 #: The bound of the labelled sample that the machines are fitted on: about so many rows, of whole texts of so
-#: many characters at most, in the so many most frequent languages.
+#: many characters at most, in the so many most frequent languages; rarer ones are unknown to the model. It also
+#: bounds the model: at most so many choose two machines of ``BINS`` numbers (650 MB if no two share a family).
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS = 3200, 20_000, 200
 LETTER = regex.compile(r"\p{L}")
 #: Language families by code. A language that is missing here is a family of its own.
@@ -41,16 +44,17 @@ PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], "uint32")
 
 
 def features(text: str) -> np.ndarray:
-    """Unit vector of the roots of hashed byte n-gram counts of the lower-cased text."""
-    data = np.frombuffer(f" {text.lower()} ".encode(errors="replace"), "uint8").astype("uint32")
+    """Unit vector of the roots of hashed byte n-gram counts of the lower-cased text, counted in slices of it."""
+    data = np.frombuffer(f" {text.lower()} ".encode(errors="replace"), "uint8")
     counts = np.zeros(BINS, "float32")
-    code = np.zeros(len(data), "uint32")
-    for n in N_GRAMS:
-        code = (code[: len(data) - n + 1] + data[n - 1 :] + np.uint32(n)) * PRIMES[n - 1] if n > 1 else (data + np.uint32(1)) * PRIMES[0]
-        if not len(code):
-            break
-        mixed = (code ^ (code >> np.uint32(15))) * PRIMES[1]
-        counts += np.bincount(mixed >> np.uint32(32 - 13), minlength=BINS)
+    for at in range(0, len(data), SLICE):
+        # n-grams that begin in the slice; they end in the next.
+        part = data[at : at + SLICE + N_GRAMS[-1] - 1].astype("uint32")
+        code = np.zeros(len(part), "uint32")
+        for n in N_GRAMS:
+            code = (code[: len(part) - n + 1] + part[n - 1 :] + np.uint32(n)) * PRIMES[n - 1] if len(part) >= n else code[:0]
+            mixed = (code[:SLICE] ^ (code[:SLICE] >> np.uint32(15))) * PRIMES[1]
+            counts += np.bincount(mixed >> np.uint32(32 - 13), minlength=BINS)
     v = np.sqrt(counts)
     return v / max(float(np.sqrt(v @ v)), 1e-9)
 

@@ -7,6 +7,7 @@ Files are range partitioned and sorted by doc_id.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,17 +31,29 @@ MEMO_SIZE, MEMO_CHARS = 1_000_000, 64
 #: Fixed value: the words of the vocabulary's pattern. Runs beyond Latin letters and with marks are left to the library whole.
 WORD, WHOLE = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+)", r"[^\x{00}-\x{24F}]|<\|"
 SPECIAL = "<|endoftext|>"
+#: How a vocabulary must normalise and cut for words to be encoded one by one.
+NORMALISES = ["NFC", "Replace", "Lowercase"]
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters at which Python's split() breaks and the vocabulary's pattern does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 FILE_SCHEMA = "part int, before long, doc_id long, n_tokens int, ids array<int>"
 
 
+def cuts_words(made: dict) -> bool:
+    """Whether a vocabulary's file lets words be encoded one by one, as ``Encoder`` does."""
+    normalises = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    special = any(t["content"] == SPECIAL for t in made.get("added_tokens", []))
+    return normalises == NORMALISES and first.get("type") == "Split" and first["pattern"].get("Regex") == CUTS and first.get("invert") is True and special and made.get("post_processor") is None
+
+
 class Encoder:
     """``batch(texts)``: ids as little-endian 32-bit integers, equal to the tokenizers library's encodings.
 
     The vocabulary's pattern never crosses white space, and normalisation acts within its limits, so a text's
     ids are those of its space-free runs in turn, and a run's are those of its words. Each distinct word is
-    encoded by the library once and remembered. Texts for which that could differ go to the library whole.
+    encoded by the library once and remembered. Texts for which that could differ go to the library whole, as
+    do all texts with a vocabulary that normalises or cuts in another way.
     """
 
     def __init__(self, path: str):
@@ -48,6 +61,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            self.by_word = cuts_words(json.load(f))
 
     def encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -81,6 +96,9 @@ class Encoder:
         Arrow numbers the distinct runs of the texts, then the distinct words of those, so that Python sees
         each word once.
         """
+        if not self.by_word:
+            found = [np.frombuffer(v, "<i4") for v in self.encode([t or "" for t in texts])]
+            return np.concatenate([*found, np.empty(0, "<i4")]), np.array([len(v) for v in found], "int64")
         lower = [(t or "").lower() for t in texts]
         odd = [bool(t) and (not t.isascii()) and (not is_normalized("NFC", t) or not is_normalized("NFC", s) or "\u03a3" in t) or any(c in s for c in NOT_SPACE) for t, s in zip(texts, lower)]
         cut = pc.utf8_split_whitespace(pa.array(["" if o else s for s, o in zip(lower, odd)], "string"))
