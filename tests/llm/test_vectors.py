@@ -1,6 +1,10 @@
 """Operators 5 and 9 against brute force."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -36,10 +40,31 @@ def test_exact_top_k(spark):
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2, 3]
 
 
-def test_products_beyond_doubles(spark):
-    df = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e7, 3.0]), (2, [-1e8, 0.0])], "vec_id long, embedding array<double>")
-    out = {(r.query_id, r.vec_id): r.score for r in topk_search.search(df, F.lit(True)).collect()}
-    assert out[(0, 1)] == (64 * 10**8) * (64 * 10**7) + 64 * 192 or abs(out[(0, 1)] - (64 * 10**8) * (64 * 10**7)) < 2**15
+@pytest.mark.parametrize("size", [1e5, 1e8, 1e13, 1e160])
+def test_products_beyond_doubles(spark, size):
+    rng = np.random.RandomState(3)
+    given = [(i, [float(size * v) for v in rng.randn(2)] + [float(rng.randint(3))]) for i in range(30)] + [(30 + i, [size, size, 1.0 + i / 64]) for i in range(4)]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    exact = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in given}
+    out = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.search(df, F.col("vec_id") >= 0, k=6).collect()}
+    for q, x in exact.items():
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in exact.items() if i != q)[:6]
+        for rank, (low, i) in enumerate(best, 1):
+            found, score = out[(q, rank)]
+            assert (found, score) == (i, max(1 - 2**63, min(2**63 - 1, -low)))
+
+
+def test_queries_by_any_column(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "q"), (2, [1.0, 1.0], "c"), (3, [0.0, 1.0], None)], "vec_id long, embedding array<float>, kind string")
+    assert [(r.query_id, r.vec_id) for r in topk_search.search(df, F.col("kind") == "q", k=1).collect()] == [(1, 2)]
+    assert [(r.query_id, r.vec_id) for r in additive_search.search(df, F.col("kind") == "q", k=1).collect()] == [(1, 2)]
+
+
+def test_one_repeated_id(spark):
+    df = spark.createDataFrame([(7, [1.0, 2.0])] * 50 + [(8, [2.0, 1.0]), (50, [1.0, 1.9])], "vec_id long, embedding array<float>")
+    out = additive_search.search(df, F.col("vec_id") % 50 == 0, k=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in out) == [(50, 1, 7), (50, 2, 7), (50, 3, 7)]
+    assert additive_search.search(df.where("vec_id = 7"), F.col("vec_id") == 7).count() == 0
 
 
 def cosines(good, q, x):
@@ -82,16 +107,17 @@ def test_recall_on_the_table(spark):
     assert hits / total >= 0.9
 
 
-def test_recall_beyond_the_sample(spark, tmp_path):
+@pytest.mark.parametrize("n", [30_000, 150_000])
+def test_recall_beyond_the_sample(spark, tmp_path, n):
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    n = 100_000
     x = np.random.RandomState(11).randn(n, 64).astype("float32")
     pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
     df = spark.read.parquet(str(tmp_path / "v.parquet"))
-    unseen = {r.vec_id for r in df.where((F.col("vec_id") % 500 == 0) & ~additive_search.trained_on(n)).select("vec_id").collect()}
-    assert len(unseen) > 100
+    rows = df.where(F.col("vec_id") % (n // 200) == 0).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    unseen = {r.vec_id for r in rows.where(~additive_search.trained_on(n)).select("vec_id").collect()}
+    assert len(unseen) > 60
     found = {}
     for r in additive_search.search(df, F.col("vec_id").isin(*unseen)).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
@@ -101,6 +127,10 @@ def test_recall_beyond_the_sample(spark, tmp_path):
         s = x @ x[q]
         s[q] = -9
         hits += len(found[q] & set(np.argsort(-s)[:5].tolist()))
-    print("recall", hits, 5 * len(unseen))
+    print("recall", n, hits, 5 * len(unseen))
     assert hits / (5 * len(unseen)) >= 0.95
+
+
+def test_reranking_grows():
+    n = additive_search.RERANK_ROWS
     assert additive_search.reranked(n) == additive_search.RERANK and additive_search.reranked(4 * n) == 2 * additive_search.RERANK
