@@ -64,18 +64,19 @@ def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, key: str, hot: Column) -> DataFrame:
-    """``rows`` joined with ``facts`` on ``key``, nulls alike, where a hot key's rows stay in the tasks that hold them.
+    """``rows`` joined with ``facts``, which are staged, on ``key``, nulls alike; a hot key's rows stay in the tasks that hold them.
 
     ``hot`` tells from the facts which keys hold more than ``HOT_SHARE`` of all rows: at most a thousand, so these
     are broadcast, if a key has one row of facts or few; all others meet in a shuffle, where none fills a task.
     """
-    hot = F.coalesce(hot, F.lit(False))
-    often, rest = (facts.where(h).select(*[F.col(c).alias(f"_f_{c}") for c in facts.columns], F.lit(True).alias("_found")) for h in (hot, ~hot))
     on = F.col(key).eqNullSafe(F.col(f"_f_{key}"))
     out = [*[F.col(c) for c in rows.columns], *[F.col(f"_f_{c}").alias(c) for c in facts.columns if c != key]]
-    both = rows.join(F.broadcast(often), on, "left")
-    rare = both.where("_found is null").select(*rows.columns).join(rest, on)
-    return both.where("_found").select(*out).unionByName(rare.select(*out))
+    named = facts.select(*[F.col(c).alias(f"_f_{c}") for c in facts.columns], F.coalesce(hot, F.lit(False)).alias("_hot"))
+    if not named.where("_hot").take(1):
+        return rows.join(named, on).select(*out)
+    both = rows.join(F.broadcast(named.where("_hot")), on, "left")
+    rare = both.where("_hot is null").select(*rows.columns).join(named.where("not _hot"), on)
+    return both.where("_hot").select(*out).unionByName(rare.select(*out))
 
 
 def ordered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
