@@ -13,7 +13,7 @@ MOST_ROUNDS = 200
 
 def _least(edges: DataFrame, key: str, value: str, most: float) -> DataFrame:
     """``edges`` with ``m``, the least ``value`` of their ``key``; hubs' edges stay where they are."""
-    facts = edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"))
+    facts = stage(edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), "star-least")
     return with_facts(edges, facts, key, F.col("n") > most).drop("n")
 
 
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
         mark, most = seen, HOT_SHARE * seen[0]
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _least(both, "u", "v", most).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        large = stage(_least(both, "u", "v", most).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct(), "star-large")
         small = _least(large, "a", "b", most).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = stage(small, "star")
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -79,7 +79,7 @@ def fit_pairs(x: np.ndarray, names: np.ndarray) -> dict:
     machines = []
     for i, j in combinations(range(len(kinds)), 2):
         of = (names == kinds[i]) | (names == kinds[j])
-        machines.append((i, j, *fit_svm(x[of], np.where(names[of] == kinds[i], 1, -1).astype("float32"))))
+        machines.append((i, j, *fit_svm(x if of.all() else x[of], np.where(names[of] == kinds[i], 1, -1).astype("float32"))))
     return {"kinds": kinds, "pairs": [(i, j) for i, j, _, _ in machines], "w": np.stack([m[2] for m in machines], 1) if machines else np.zeros((x.shape[1], 0), "float32"), "b": np.array([m[3] for m in machines], "float32")}
 
 
@@ -88,9 +88,17 @@ def fit(labelled: pd.DataFrame) -> dict:
     rows = labelled[[bool(t) and bool(LETTER.search(t)) for t in labelled["text"]]]
     if not len(rows):
         return {"families": None, "within": {}}
-    x, langs = np.stack([features(t) for t in rows["text"]]), rows["lang"].to_numpy(object)
+    langs = rows["lang"].to_numpy(object)
     family = np.array([FAMILY_OF.get(v, v) for v in langs], object)
-    return {"families": fit_pairs(x, family), "within": {f: fit_pairs(x[family == f], langs[family == f]) for f in set(family)}}
+    # The sample's matrix is the driver's largest value: it is made once, in order of family, and cut without copies.
+    order = np.argsort(family, kind="stable")
+    langs, family, texts = langs[order], family[order], rows["text"].to_numpy(object)[order]
+    x = np.empty((len(texts), BINS), "float32")
+    for i, t in enumerate(texts):
+        x[i] = features(t)
+    names, first = np.unique(family, return_index=True)
+    parts = zip(names, first, [*first[1:], len(family)])
+    return {"families": fit_pairs(x, family), "within": {f: fit_pairs(x[a:b], langs[a:b]) for f, a, b in parts}}
 
 
 def vote(x: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:

@@ -217,7 +217,7 @@ def scan(files: DataFrame, path: Column, text: Column, keep: dict[str, Column],
     of_dirs = stage(speaks.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("low"), "licence")).alias("b")).select(F.col("dir").alias("above"), "b.licence", (-F.col("b.low")).alias("score")), "licence-dirs")
     # The top is above every directory, and others are above many: these meet their lines where the lines are.
     up = stage(digest.select("dir").distinct().select("dir", F.explode(ancestors(F.col("dir"))).alias("a")).select("dir", "a.*"), "licence-lines")
-    below = up.groupBy("above").agg(F.count("*").alias("dirs")).join(of_dirs, "above")
+    below = stage(up.groupBy("above").agg(F.count("*").alias("dirs")).join(of_dirs, "above"), "licence-above")
     nearest = with_facts(up, below, "above", F.col("dirs") > HOT_SHARE * up.count()).groupBy("dir").agg(F.max(F.struct("depth", "above", "licence", "score")).alias("b")).select("dir", F.col("b.licence").alias("dir_licence"), F.col("b.score").alias("dir_score"), F.col("b.above").alias("declared_in"))
     nearest = stage(nearest, "licence-nearest")
 

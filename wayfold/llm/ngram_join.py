@@ -265,7 +265,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     members = reps.select("key", "n", "sig", band).select("key", "n", "band", F.xxhash64(F.substring("sig", F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS)), "band").alias("b"))
-    buckets = members.groupBy("b").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    buckets = stage(members.groupBy("b").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "near-buckets")
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least(F.col("size"), F.col("shingles") / BLOCK_SHINGLES))).cast("int")
     dealt = with_facts(members, buckets, "b", F.col("size") > HOT_SHARE * BANDS * reps.count()).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
