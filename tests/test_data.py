@@ -1,6 +1,7 @@
 """Upserts, lookups, JSON and scalars, deltas, checks, sources and streams on small frames."""
 
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from wayfold import schemas
 from wayfold.functions import json as js
 from wayfold.functions import values
-from wayfold.operators import delta, events, quality, upsert
+from wayfold.operators import delta, events, lineage, quality, upsert
 from wayfold.operators.errors import WayfoldError
 from wayfold.sources import objects, packed
 from wayfold.streaming import episodes, ingest
@@ -150,13 +151,44 @@ def test_packed_files_round_trip(spark, tmp_path):
     made = packed.packed(blocks(spark, (9, b"NINTH"), (0, b"FIRST")), spark.createDataFrame([("d", 16), ("none", 3)], "disk string, n_blocks long"), 8, packed.MEMORY)
     for r in made.collect():
         (tmp_path / r.disk).write_bytes(r.content)
-    out = packed.read_packed(spark, str(tmp_path)).collect()
+    out = packed.read_packed(spark, str(tmp_path), kind=packed.MEMORY).collect()
     assert sorted((r.idx, bytes(r.data), r.n_blocks) for r in out) == [(0, b"FIRST\0\0\0", 16), (9, b"NINTH\0\0\0", 16)]
     (tmp_path / "dense").write_bytes(b"abcdefghij")
     dense = packed.read_packed(spark, str(tmp_path / "dense"), 8).orderBy("idx").collect()
     assert [bytes(r.data) for r in dense] == [b"abcdefgh", b"ij\0\0\0\0\0\0"]
-    with pytest.raises(Exception, match="no packed file"):
-        packed.read_packed(spark, str(tmp_path / "dense")).collect()
+    for name in ("dense", "d"):  # a memory file is no disk
+        with pytest.raises(Exception, match="does not begin with OVBD"):
+            packed.read_packed(spark, str(tmp_path / name)).collect()
+
+
+def test_packed_pieces_make_the_file(spark):
+    given = [(i, bytes([i % 251]) * 4) for i in range(0, 40, 3)]
+    sizes = spark.createDataFrame([("d", 40), ("none", 2)], "disk string, n_blocks long")
+    rows = packed.pieces(blocks(spark, *given), sizes, 4, per_piece=5).collect()
+    file = b"".join(bytes(r.content) for r in sorted((r for r in rows if r.disk == "d"), key=lambda r: r.piece))
+    n = len(given)
+    assert file == b"OVBD" + struct.pack("<IIQQ", 1, 4, 40, n) + struct.pack(f"<{n}Q", *[i for i, _ in given]) + b"".join(x for _, x in given)
+    assert sorted(r.piece for r in rows if r.disk == "d") == [0, 1, 2, 3, 4, 5, 6]
+    whole = {r.disk: bytes(r.content) for r in packed.packed(blocks(spark, *given), sizes, 4).collect()}
+    assert whole == {"d": file, "none": b"OVBD" + struct.pack("<IIQQ", 1, 4, 2, 0)}
+    old = file[:4] + struct.pack("<I", 2) + file[8:]
+    with pytest.raises(Exception, match="has version 2"):
+        packed.unpack(spark.createDataFrame([("x", bytearray(old))], "path string, content binary")).collect()
+    memory = spark.createDataFrame([("x", bytearray(b"TDIF" + old[4:]))], "path string, content binary")
+    assert packed.unpack(memory, kind=packed.MEMORY).count() == n
+
+
+def test_stored_batches(spark, tmp_path):
+    states = spark.createDataFrame([("r-s0", "r", 0), ("r-s1", "r", 4), ("q-s0", "q", 0)], "state_id string, run_id string, t int")
+    runs = spark.createDataFrame([("r", "counter", 3, "episode", 0.0), ("q", "counter", 5, "episode", 0.0)], schemas.RUNS)
+    rows = lineage.metadata(states.where("state_id <> 'r-s1'"), runs)
+    objects.write_snapshots(rows, str(tmp_path))
+    found = objects.with_snapshots(states, objects.read_snapshot_batches(spark, str(tmp_path))).collect()
+    assert {r.state_id: (r.snapshot and (r.snapshot.seed, r.snapshot.protocol), r.error) for r in found} == {"r-s0": ((3, 1), None), "r-s1": (None, "StateNotFound"), "q-s0": ((5, 1), None)}
+    objects.write_prompts(states.select("run_id", "state_id", F.when(F.col("t") == 0, '{"system":"x"}').alias("prompt")), str(tmp_path))
+    assert sorted(r.prompt_uri for r in objects.read_prompt_batches(spark, str(tmp_path)).collect()) == ["runs/q/prompts/q-s0.json", "runs/r/prompts/r-s0.json"]
+    looked = events.found(spark.createDataFrame([("r-s0",), ("lost",)], "state_id string"), "state_id", states, "StateNotFound").collect()
+    assert {r.state_id: (r.t, r.error) for r in looked} == {"r-s0": (0, None), "lost": (None, "StateNotFound")}
 
 
 def test_checks(spark):
@@ -220,12 +252,19 @@ def test_stream_of_events_is_upserted(spark, tmp_path):
         (at / name).write_text(json.dumps({"t": 1, "ts": 1.0, "action": "inc", "status": "ok", "cost": 1, "run_id": "r", "span_id": "s", **given}, indent=2))
         return ingest.run_upserts(events.span_events(ingest.event_stream(spark, str(tmp_path / "in"))), *args)
 
-    arrive("1.json")
-    n = arrive("2.json", ts=2.0, status="error", cost=9)
-    row = ingest.current(spark, args[0], n, keys, ["ts"], first, last).first()
-    assert (row.status, row.cost) == ("error", 1)
+    now = lambda: ingest.current(spark, args[0], keys, ["ts"], first, last)
+    assert now() is None
+    assert arrive("1.json") == 1 and now().count() == 1
+    arrive("2.json", ts=2.0, status="error", cost=9)
+    assert [(r.status, r.cost) for r in now().collect()] == [("error", 1)]
+    ingest.compact(spark, args[0], keys, ["ts"])
+    assert [(r.status, r.cost) for r in now().collect()] == [("error", 1)]
     arrive("3.json", t=2)
-    assert ingest.current(spark, args[0], n + 1, keys, ["ts"], first, last).count() == 2
+    # A write that comes late but was first keeps what it gave.
+    arrive("4.json", ts=0.5, status="ok", cost=4)
+    assert sorted((r.t, r.status, r.cost) for r in now().collect()) == [(1, "error", 4), (2, "ok", 1)]
+    # Nothing new: nothing changes.
+    assert ingest.run_upserts(events.span_events(ingest.event_stream(spark, str(tmp_path / "in"))), *args) == 0 and now().count() == 2
 
 
 def test_stateful_episodes(spark, tmp_path):

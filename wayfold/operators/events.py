@@ -40,6 +40,12 @@ def one(table: DataFrame, code: str, **key: object) -> dict:
     return found[0].asDict(recursive=True)
 
 
+def found(wanted: DataFrame, key: str, table: DataFrame, code: str) -> DataFrame:
+    """``wanted`` keys with their rows of ``table`` and ``error``, the code where there is none: lookups in bulk."""
+    there = table.withColumn("_there", F.lit(True))
+    return wanted.join(there, key, "left").withColumn("error", F.when(F.col("_there").isNull(), code)).drop("_there")
+
+
 def get_event(table: DataFrame, span_id: str, t: int) -> dict:
     return one(table, "SpanNotFound", span_id=span_id, t=t)
 

@@ -11,7 +11,8 @@ from .. import schemas
 from ..functions import json as js
 from ..functions import values
 from ..operators import delta, events, fold, lineage, ordered, quality, upsert
-from ..streaming import ingest
+from ..sources import objects, packed
+from ..streaming import episodes, ingest
 from . import domain as d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,8 +281,8 @@ def q36_stream_upsert(spark, sf_dir):
     arrived.write.parquet(f"{at}/arrived")
     stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/arrived")
     keys = ["l_orderkey", "l_linenumber"]
-    last = ingest.run_upserts(stream, f"{at}/table", f"{at}/checkpoint", keys, d.WRITE_ORDER, KEPT, CHANGED)
-    return ingest.current(spark, f"{at}/table", last, keys, d.WRITE_ORDER, KEPT, CHANGED)
+    ingest.run_upserts(stream, f"{at}/table", f"{at}/checkpoint", keys, d.WRITE_ORDER, KEPT, CHANGED)
+    return ingest.current(spark, f"{at}/table", keys, d.WRITE_ORDER, KEPT, CHANGED)
 
 
 @query("select distinct conv_id::varchar || '-s0' as state_id, conv_id::varchar as run_id, 0::int as t, 'episode' as backend, 'snapshots/' || conv_id || '-s0' as snapshot_uri, conv_id::varchar || '-p0' as span_id, conv_id::varchar || '-box' as sandbox_id, 1::int as t_start from conversations")
@@ -363,3 +364,159 @@ union all select up.state_id, s.parent_state_id, up.distance + 1 from up join st
 def x01_lineage(spark, sf_dir):
     """All ancestors of each state; a run takes at most as many states as it has steps."""
     return lineage.lineage(lineage.states(d.trajectories(spark, sf_dir)))
+
+
+@query(f"with {d.TRAJECTORIES} select run_id, span_id, t::int as t, action, status, observation, {URI} as event_uri, steps::double as steps from traj")
+def q46_event_batches(spark, sf_dir):
+    """Whole events, stored and read again."""
+    at = ordered.shared_path(spark, "events")
+    objects.write_events(stored(spark, sf_dir), at)
+    rows = objects.read_batches(spark, at)
+    return rows.select("run_id", "span_id", "t", "action", "status", "observation", "event_uri", F.col("budget_remaining")["steps"].alias("steps"))
+
+
+@query(f"with {d.TRAJECTORIES} select span_id, t::int as t, action, status, error, cost, observation from traj")
+def q47_trajectory_file(spark, sf_dir):
+    at = ordered.shared_path(spark, "trajectory")
+    objects.write_trajectory(stored(spark, sf_dir), at)
+    return objects.read_trajectory(spark, at).select("span_id", "t", "action", "status", "error", "cost", "observation")
+
+
+@query(f"with {d.TRAJECTORIES} select state_id, run_id, t::int as t, case when n % 5 <> 4 then 'counter' end as task_id, case when n % 5 <> 4 then 3 end as seed, case when n % 5 <> 4 then 'episode' end as backend, case when n % 5 = 4 then 'StateNotFound' end as error from states")
+def q48_snapshots(spark, sf_dir):
+    """Metadata from the states' runs, stored and read again; of every fifth state a run has, it is lost."""
+    at, states = ordered.shared_path(spark, "snapshots"), ordered.stage(lineage.states(d.trajectories(spark, sf_dir)), "states")
+    runs = states.select("run_id", F.lit("counter").alias("task_id"), F.lit(fold.SEED).alias("seed"), F.lit(schemas.BACKENDS[0]).alias("backend")).distinct()
+    objects.write_snapshots(lineage.metadata(states.where("n % 5 <> 4"), runs), at)
+    found = objects.with_snapshots(states.select("state_id", "run_id", F.col("t").cast("int").alias("t")), objects.read_snapshot_batches(spark, at))
+    return found.select("state_id", "run_id", "t", "snapshot.task_id", "snapshot.seed", "snapshot.backend", "error")
+
+
+@query("select 'runs/' || conv_id || '/prompts/' || conv_id || '-s' || turn || '.json' as prompt_uri, text as prompt from conversations where text is not null")
+def q49_prompts(spark, sf_dir):
+    at, run = ordered.shared_path(spark, "prompts"), F.col("conv_id").cast("string")
+    objects.write_prompts(d.table(spark, sf_dir, "conversations").select(run.alias("run_id"), F.concat(run, F.lit("-s"), F.col("turn").cast("string")).alias("state_id"), F.col("text").alias("prompt")), at)
+    return objects.read_prompt_batches(spark, at)
+
+
+def _round_trip(spark, sf_dir, kind):
+    files = packed.packed(d.upper(spark, sf_dir), d.sizes(d.disk(spark, sf_dir, 1)), 16, kind).withColumnRenamed("disk", "path")
+    return packed.unpack(files, kind=kind).select("disk", "block_size", "n_blocks", "idx", F.lower(F.hex("data")).alias("data"))
+
+
+@query(f"with {d.DISKS} select disk, 16 as block_size, n_blocks, idx, data from upper join sizes using (disk)")
+def q50_packed_disks(spark, sf_dir):
+    return _round_trip(spark, sf_dir, packed.DISK)
+
+
+@query(f"with {d.DISKS} select disk, 16 as block_size, n_blocks, idx, data from upper join sizes using (disk)")
+def q51_packed_memory(spark, sf_dir):
+    return _round_trip(spark, sf_dir, packed.MEMORY)
+
+
+@query("with t as (select doc_id::varchar as disk, upper(hex(text)) as h, length(hex(text)) // 2 as n from documents) select disk, ((n + 4095) // 4096)::bigint as n_blocks, i::bigint as idx, md5(unhex(rpad(substr(h, (i * 8192 + 1)::int, 8192), 8192, '0'))) as data from (select *, unnest(range(((n + 4095) // 4096)::bigint)) as i from t)")
+def q52_dense_images(spark, sf_dir):
+    """Whole texts as dense images, cut into blocks that are filled up with zeros."""
+    files = d.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return packed.unpack(files, dense_size=delta.BLOCK_SIZE).select("disk", "n_blocks", "idx", F.md5("data").alias("data"))
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey % 3 <> 1")
+def q53_insert_only(spark, sf_dir):
+    """New orders into those that are there."""
+    rows = d.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return upsert.insert_only(rows.where("o_orderkey % 3 = 0"), rows.where("o_orderkey % 3 = 2"), "o_orderkey")
+
+
+@query(f"with {d.DISKS} select disk, idx, data from working where idx % 3 <> 0")
+def q54_diff_from_zeros(spark, sf_dir):
+    """Every third page is empty and so not part of what changed."""
+    pages = d.disk(spark, sf_dir, 1)
+    pages = pages.withColumn("data", F.when(F.col("idx") % 3 == 0, delta.zero(16)).otherwise(F.col("data")))
+    return delta.changed(pages, None, 16).select("disk", "idx", F.lower(F.hex("data")).alias("data"))
+
+
+@query("with s as (select doc_id::varchar as disk, doc_id, case when doc_id % 3 > 0 then 'b' || doc_id % 10 end as base_id, case when doc_id % 4 > 0 then '/u' || doc_id % 7 end as base_uri from documents) select disk, case when doc_id % 3 > 0 and doc_id % 10 < 4 then '/u' || doc_id % 10 when doc_id % 4 > 0 and doc_id % 7 < 4 then '/u' || doc_id % 7 end as base, 'upper' as upper from s")
+def q55_reopen(spark, sf_dir):
+    """Disks on the base that their header names: by id, else by place, else none is known."""
+    doc = F.col("doc_id")
+    stored_ = d.table(spark, sf_dir, "documents").select(doc.cast("string").alias("disk"), F.when(doc % 3 > 0, F.concat(F.lit("b"), (doc % 10).cast("string"))).alias("base_id"), F.when(doc % 4 > 0, F.concat(F.lit("/u"), (doc % 7).cast("string"))).alias("base_uri"), F.lit(None).cast("string").alias("upper"))
+    bases = spark.range(4).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("base_id"), F.concat(F.lit("/u"), F.col("id").cast("string")).alias("uri"))
+    return delta.reopen(stored_, bases)
+
+
+@query("with c as (select conv_id, turn, text, length(text) as n from conversations) select conv_id, turn, case when turn % 2 = 1 then 'observation.list[1]._k' end as path, '{\"list\":[\"' || case when n > 400 then left(text, 400) || '...[' || n || ' chars]' else text end || '\",{\"' || case when turn % 2 = 1 then '_k' else 'k' end || '\":[0,1,2,3,4,\"...3 more\"]}]}' as summary from c where not regexp_matches(text, '[\"\\\\\\x00-\\x1f]')")
+def q56_json_walk(spark, sf_dir):
+    """Nested observations: where a hidden key is, and their summary."""
+    rows = d.table(spark, sf_dir, "conversations").where(~F.col("text").rlike('["\\\\\\x00-\\x1f]'))
+    key = F.when(F.col("turn") % 2 == 1, "_k").otherwise("k")
+    seen = F.concat(F.lit('{"list": ["'), "text", F.lit('", {"'), key, F.lit('": [0, 1, 2, 3, 4, 5, 6, 7]}]}'))
+    return rows.select("conv_id", "turn", js.hidden_key_path(seen).alias("path"), js.summary_json(seen).alias("summary"))
+
+
+@query("select event_id, case when k % 3 = 0 then k when k % 3 = 1 then 128 + k % 20 else 1 end as code from (select event_id, (props->>'$.k')::int as k from events)")
+def q57_exit_codes(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return d.table(spark, sf_dir, "events").select("event_id", values.exit_code(k % 3 == 0, k, F.when(k % 3 == 1, k % 20)).cast("int").alias("code"))
+
+
+_SCRIPTS = {0: ["inc", "peek", "inc", "sample"], 1: ["sample", "peek", "bogus", "inc"]}
+_SCRIPT_SQL = ", ".join(f"({i}, {j}, '{a}')" for i, script in _SCRIPTS.items() for j, a in enumerate(script, 1))
+
+
+@query(f"""with {d.TRAJECTORIES}, script(child, seq, action) as (values {_SCRIPT_SQL}),
+moves as (select state_id || '-b' || child as sandbox_id, s.*, child, seq, action, action in ('inc', 'sample') as spends, sum((action in ('inc', 'sample'))::int) over w as asked from states s, script window w as (partition by state_id, child order by seq)),
+weighed as (select *, case when action = 'bogus' then 'UnknownAction' when spends and asked > steps then 'ActionRefused' end as error from moves)
+select sandbox_id, (t + seq)::bigint as t, action, error, (steps - least(steps, asked))::int as steps, (value + sum((error is null and action = 'inc')::int) over w)::bigint as value, (cursor + sum(case when error is null and action = 'sample' then 3 else 0 end) over w)::bigint as cursor
+from weighed where not done window w as (partition by state_id, child order by seq)""")
+def q58_branches_act(spark, sf_dir):
+    """Two children of each open state, each of which acts on its own."""
+    states = ordered.stage(lineage.states(d.trajectories(spark, sf_dir)), "states").where("not done")
+    kids = lineage.branch(states, len(_SCRIPTS))
+    script = F.array(*[F.struct(F.lit(i).alias("of"), F.lit(j).alias("seq"), F.lit(a).alias("action")) for i, script in _SCRIPTS.items() for j, a in enumerate(script, 1)])
+    acts = kids.select("sandbox_id", "index", F.explode(script).alias("a")).where("index = a.of").select("sandbox_id", "a.seq", "a.action", F.lit(None).cast("int").alias("n"))
+    out = lineage.go_on(kids, states, acts, ["seq"])
+    return out.select(F.col("run_id").alias("sandbox_id"), "t", "action", "error", "steps", "value", "cursor")
+
+
+@query(f"with {d.TRAJECTORIES}, latest as (select run_id, max(t) as t from states group by run_id) select traj.run_id, event_id, traj.t, action, status, error, cost, steps, value, observation from traj join latest using (run_id) where traj.t > latest.t")
+def q59_continued_runs(spark, sf_dir):
+    """Each run restored from its last state and gone on with: what comes out is what the whole run gave."""
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    latest = lineage.states(rows).groupBy("run_id").agg(*[F.max_by(c, "n").alias(c) for c in lineage.STATE])
+    latest = ordered.stage(latest, "latest")
+    later = rows.select("run_id", "event_id", "action", "n", F.col("t").alias("was")).join(latest.select("run_id", F.col("t").alias("since")), "run_id").where("was > since")
+    return fold.fold(later, ["was"], start=latest).select("run_id", "event_id", "t", "action", "status", "error", "cost", "steps", "value", "observation")
+
+
+@query("select o_orderkey as id, case when o_orderkey % 2 = 0 then o_custkey end as found, case when o_orderkey % 2 = 1 then 'StateNotFound' end as error from orders where o_orderkey < 40")
+def q60_point_lookups(spark, sf_dir):
+    """Rows by key; those that are not there have an error in place of a row."""
+    table = d.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    wanted = d.table(spark, sf_dir, "orders").where("o_orderkey < 40").select(F.col("o_orderkey").alias("id"))
+    return events.found(wanted, "id", table.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("found")), "StateNotFound")
+
+
+@query("select unnest(['q61_runs', 'q61_spans', 'q61_states']) as name")
+def q61_catalog(spark, sf_dir):
+    """The stored tables that the session knows, by name."""
+    for name, schema in (("q61_runs", schemas.RUNS), ("q61_spans", schemas.SPANS), ("q61_states", schemas.STATES)):
+        spark.createDataFrame([], schema).createOrReplaceTempView(name)
+    return spark.sql("show tables like 'q61_*'").select(F.col("tableName").alias("name"))
+
+
+_SUBMITTED = "case when action = 'submit' and error is null then '{\"ok\":true,\"value\":' || value || ',\"submission\":null}' else observation end"
+
+
+@query(f"with {d.TRAJECTORIES} select run_id, t::int as t, action, status, error, cost, {_SUBMITTED} as observation from traj")
+def q62_episodes(spark, sf_dir):
+    """The events as a stream of actions through the episode loop, state kept by run."""
+    at = ordered.shared_path(spark, "episodes")
+    acts = d.actions(spark, sf_dir)
+    acts.select("run_id", F.struct("ts", "event_id").alias("seq"), "action", F.to_json(F.struct("n")).alias("params")).write.parquet(f"{at}/arrived")
+    stream = spark.readStream.schema("run_id string, seq struct<ts: timestamp_ntz, event_id: long>, action string, params string").parquet(f"{at}/arrived")
+    flat = stream.select("run_id", F.concat(F.date_format("seq.ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("seq.event_id").cast("string"), 20, "0")).alias("seq"), "action", "params")
+    tasks = episodes.counter_tasks([f"id_{fold.SEED:02d}_{i:04d}" for i in range(fold.ITEMS)])
+    out = episodes.episodes(flat, tasks, {"budget": {"steps": fold.STEPS}, "value": 0, "cursor": 0})
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(episodes.OUT).parquet(f"{at}/out")

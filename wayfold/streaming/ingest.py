@@ -5,6 +5,7 @@ A file source does not see that an object was rewritten in place: corrections ne
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,31 +17,48 @@ def event_stream(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.schema(schemas.EVENT).option("multiLine", True).option("recursiveFileLookup", True).json(root)
 
 
+def _ends(writes: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
+    """The writes that may still matter: the first and the last of each key."""
+    at = F.struct(*seq)
+    ends = writes.groupBy(*keys).agg(F.min_by(F.struct(*writes.columns), at).alias("a"), F.max_by(F.struct(*writes.columns), at).alias("b"))
+    return ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("w")).select("w.*")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """All that is stored at ``path``, with ``batch`` and ``base``: the latest base and the batches after it; None if nothing is."""
+    try:
+        rows = spark.read.option("basePath", path).parquet(path).withColumns({"base": F.col("base").cast("boolean"), "batch": F.col("batch").cast("long")})
+    except AnalysisException:
+        return None
+    upto = rows.where("base").agg(F.max("batch")).first()[0]
+    return rows if upto is None else rows.where((F.col("base") & (F.col("batch") == upto)) | (~F.col("base") & (F.col("batch") > upto)))
+
+
 def run_upserts(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: list[str], first: list[str], last: list[str]) -> int:
-    """Take what has arrived and upsert it: each batch writes a new version of the table.
+    """Take what has arrived and upsert it: each batch adds the writes that matter in it, and no more.
 
-    Versions are numbered by batch, so a batch that is run again writes the same version again. Returns the
-    number of the last batch, -1 if there was none.
+    First and last writes are found in any order of batches, so the table is all batches together; ``compact`` now
+    and then makes one of them. A batch that is run again replaces itself. Returns how many batches there were.
     """
-    spark = stream.sparkSession
-    columns = [*keys, *seq, *first, *last]
+    columns = list(dict.fromkeys([*keys, *seq, *first, *last]))
 
     def upsert(batch: DataFrame, number: int) -> None:
-        # A row for each write that may still matter: the first and the last of its key.
-        new = batch.select(*dict.fromkeys(columns))
-        if number:
-            new = spark.read.parquet(f"{path}/{number - 1}").unionByName(new)
-        at = F.struct(*seq)
-        ends = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), at).alias("a"), F.max_by(F.struct(*new.columns), at).alias("b"))
-        ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("w")).select("w.*").write.mode("overwrite").parquet(f"{path}/{number}")
+        _ends(batch.select(*columns), keys, seq).write.mode("overwrite").parquet(f"{path}/base=false/batch={number}")
 
     query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return max([-1, *(p["batchId"] for p in query.recentProgress if p["numInputRows"])])
+    return sum(1 for p in query.recentProgress if p["numInputRows"])
 
 
-def current(spark: SparkSession, path: str, number: int, keys: list[str], seq: list[str], first: list[str], last: list[str]) -> DataFrame:
-    """The table after batch ``number``."""
-    return partial_upsert(spark.read.parquet(f"{path}/{number}"), keys, seq, first, last)
+def compact(spark: SparkSession, path: str, keys: list[str], seq: list[str]) -> None:
+    """Make one base of all that is stored; what it was made of is no longer read."""
+    rows = _stored(spark, path)
+    if rows is not None:
+        upto = rows.agg(F.max("batch")).first()[0]
+        _ends(rows.drop("base", "batch"), keys, seq).write.mode("overwrite").parquet(f"{path}/base=true/batch={upto}")
 
 
+def current(spark: SparkSession, path: str, keys: list[str], seq: list[str], first: list[str], last: list[str]) -> DataFrame | None:
+    """The table as it stands; None before anything came."""
+    rows = _stored(spark, path)
+    return None if rows is None else partial_upsert(rows, keys, seq, first, last)
