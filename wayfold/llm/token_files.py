@@ -39,8 +39,10 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 FILE_SCHEMA = "part int, before long, doc_id long, n_tokens int, ids array<int>"
 
 
-def cuts_words(made: dict) -> bool:
-    """Whether a vocabulary's file lets words be encoded one by one, as ``Encoder`` does."""
+def cuts_words(path: str) -> bool:
+    """Whether a vocabulary's file lets words be encoded one by one, as ``Encoder`` does. The driver reads it, for all workers."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
     normalises = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
     first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
     special = any(t["content"] == SPECIAL for t in made.get("added_tokens", []))
@@ -56,13 +58,11 @@ class Encoder:
     do all texts with a vocabulary that normalises or cuts in another way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        with open(path, encoding="utf-8") as f:
-            self.by_word = cuts_words(json.load(f))
+        self.tokenizer, self.memo, self.by_word = Tokenizer.from_file(path), {}, by_word
 
     def encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -120,22 +120,23 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, by_word: bool) -> Encoder:
+    return Encoder(path, by_word)
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, by_word: bool) -> Encoder:
     """One encoder for all tasks of a Python worker, so that its memory carries over."""
-    out = _encoder(path)
+    out = _encoder(path, by_word)
     out.memo = worker_memory(f"tokens {path}")
     return out
 
 
 def encoder(path: str, end_id: int, per_call: int = 800):
     """For mapInArrow over (doc_id, text) in file order: rows of ``FILE_SCHEMA``."""
+    by_word = cuts_words(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = worker_encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, before = worker_encoder(path, by_word), TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, per_call):
                 b = whole.slice(at, per_call)
