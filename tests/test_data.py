@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayfold import schemas
 from wayfold.functions import json as js
 from wayfold.functions import values
-from wayfold.operators import delta, events, lineage, quality, upsert
+from wayfold.operators import delta, events, lineage, ordered, quality, upsert
 from wayfold.operators.errors import WayfoldError
 from wayfold.sources import objects, packed
 from wayfold.streaming import episodes, ingest
@@ -286,3 +286,20 @@ def test_stateful_episodes(spark, tmp_path):
     two = run([("a", 3, "sample", '{"n":2}'), ("a", 4, "inc", None), ("a", 5, "submit", '{"answer":7}'), ("a", 6, "peek", None)])
     assert [(r.t, r.error, r.cost) for r in two] == [(3, None, 1), (4, "ActionRefused", 1), (5, None, 0), (6, "EpisodeComplete", 0)]
     assert json.loads(two[2].observation) == {"ok": True, "value": 2, "submission": 7}
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    df = spark.createDataFrame([("a" * 50, 1), (None, 2)], "k string, v int")
+    hinted = lambda **limits: "Hint" in ordered.small(df, **limits)._jdf.queryExecution().analyzed().toString()
+    assert hinted() and hinted(max_rows=2, max_bytes=50) and hinted(max_bytes=50)
+    assert not hinted(max_rows=1) and not hinted(max_bytes=49)
+    assert "Hint" in ordered.small(df.limit(0))._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_facts_of_hot_keys_meet_their_rows_at_any_size(spark, monkeypatch, most):
+    monkeypatch.setattr(ordered, "MOST_BYTES", most)
+    rows_ = spark.createDataFrame([("hot", i) for i in range(20)] + [(None, 20), ("rare", 21), ("lost", 22)], "k string, i int")
+    facts = spark.createDataFrame([("hot", 1), (None, 2), ("rare", 3), ("rare", 4)], "k string, f int")
+    out = ordered.with_facts(rows_, facts, "k", F.col("f") < 3)
+    assert sorted((r.i, r.k, r.f) for r in out.collect()) == [*[(i, "hot", 1) for i in range(20)], (20, None, 2), (21, "rare", 3), (21, "rare", 4)]

@@ -73,10 +73,10 @@ def budget_snapshot(counters: Column) -> Column:
     whole = lambda v: F.when(F.abs(v) < 1e18, v.cast("long").cast("string")).otherwise(v.cast("decimal(38,0)").cast("string"))
     part = lambda v: F.regexp_replace(F.round(v, 4).cast("decimal(38,4)").cast("string"), "([.][0-9]+?)0+$", "$1")
     number = lambda v: F.when(v == F.rint(v), whole(v)).otherwise(part(v))
-    return F.concat(F.lit("{"), F.array_join(F.transform(by_name, lambda e: F.concat(_json_string(e["key"]), F.lit(":"), number(e["value"]))), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(by_name, lambda e: F.concat(json_string(e["key"]), F.lit(":"), number(e["value"]))), ","), F.lit("}"))
 
 
-def _json_string(text: Column) -> Column:
+def json_string(text: Column) -> Column:
     """A string as JSON: what stands between the brackets of the array of it alone."""
     quoted = F.to_json(F.array(text))
     return F.substring(quoted, F.lit(2), F.length(quoted) - 2)

@@ -19,6 +19,8 @@ from .errors import WayfoldError
 
 #: Rows of a group that one task may sort and sum; larger groups are cut into parts. The rows that result are the same.
 LARGE = 1_000_000
+#: What may be broadcast: rows, and bytes of their strings.
+MOST_ROWS, MOST_BYTES = 100_000, 64 << 20
 #: Keys that hold more than this share of all rows are hot: there are fewer than a thousand of them.
 HOT_SHARE = 1e-3
 
@@ -55,24 +57,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it holds at most ``max_rows`` rows, else as it is (a shuffle join follows).
+def _extent(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df``, and the bytes of their strings."""
+    texts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    return tuple(x or 0 for x in df.agg(F.count("*"), F.sum(sum(texts, F.lit(0).cast("long")))).first())
 
-    ``df`` should be staged: the count is an action of its own.
+
+def small(df: DataFrame, max_rows: int = MOST_ROWS, max_bytes: int = MOST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it holds at most ``max_rows`` rows, and ``max_bytes`` in their strings, else as
+    it is (a shuffle join follows).
+
+    ``df`` should be staged: measuring it is an action of its own.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    rows, size = _extent(df)
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, key: str, hot: Column) -> DataFrame:
     """``rows`` joined with ``facts``, which are staged, on ``key``, nulls alike; a hot key's rows stay in the tasks that hold them.
 
     ``hot`` tells from the facts which keys hold more than ``HOT_SHARE`` of all rows: at most a thousand, so these
-    are broadcast, if a key has one row of facts or few; all others meet in a shuffle, where none fills a task.
+    are broadcast, if a key has one row of facts or few; all others meet in a shuffle, where none fills a task. Facts
+    of hot keys that are more than may be broadcast meet their rows in a shuffle as well.
     """
     on = F.col(key).eqNullSafe(F.col(f"_f_{key}"))
     out = [*[F.col(c) for c in rows.columns], *[F.col(f"_f_{c}").alias(c) for c in facts.columns if c != key]]
     named = facts.select(*[F.col(c).alias(f"_f_{c}") for c in facts.columns], F.coalesce(hot, F.lit(False)).alias("_hot"))
-    if not named.where("_hot").take(1):
+    held, size = _extent(named.where("_hot"))
+    if not held or held > MOST_ROWS or size > MOST_BYTES:
         return rows.join(named, on).select(*out)
     both = rows.join(F.broadcast(named.where("_hot")), on, "left")
     rare = both.where("_hot is null").select(*rows.columns).join(named.where("not _hot"), on)

@@ -445,12 +445,12 @@ def q55_reopen(spark, sf_dir):
     return delta.reopen(stored_, bases)
 
 
-@query("with c as (select conv_id, turn, text, length(text) as n from conversations) select conv_id, turn, case when turn % 2 = 1 then 'observation.list[1]._k' end as path, '{\"list\":[\"' || case when n > 400 then left(text, 400) || '...[' || n || ' chars]' else text end || '\",{\"' || case when turn % 2 = 1 then '_k' else 'k' end || '\":[0,1,2,3,4,\"...3 more\"]}]}' as summary from c where not regexp_matches(text, '[\"\\\\\\x00-\\x1f]')")
+@query("with c as (select conv_id, turn, text, length(text) as n from conversations) select conv_id, turn, case when turn % 2 = 1 then 'observation.list[1]._k' end as path, '{\"list\":[' || to_json(case when n > 400 then left(text, 400) || '...[' || n || ' chars]' else text end)::varchar || ',{\"' || case when turn % 2 = 1 then '_k' else 'k' end || '\":[0,1,2,3,4,\"...3 more\"]}]}' as summary from c")
 def q56_json_walk(spark, sf_dir):
     """Nested observations: where a hidden key is, and their summary."""
-    rows = d.table(spark, sf_dir, "conversations").where(~F.col("text").rlike('["\\\\\\x00-\\x1f]'))
+    rows = d.table(spark, sf_dir, "conversations")
     key = F.when(F.col("turn") % 2 == 1, "_k").otherwise("k")
-    seen = F.concat(F.lit('{"list": ["'), "text", F.lit('", {"'), key, F.lit('": [0, 1, 2, 3, 4, 5, 6, 7]}]}'))
+    seen = F.concat(F.lit('{"list": ['), values.json_string(F.col("text")), F.lit(', {"'), key, F.lit('": [0, 1, 2, 3, 4, 5, 6, 7]}]}'))
     return rows.select("conv_id", "turn", js.hidden_key_path(seen).alias("path"), js.summary_json(seen).alias("summary"))
 
 
@@ -489,12 +489,12 @@ def q59_continued_runs(spark, sf_dir):
     return fold.fold(later, ["was"], start=latest).select("run_id", "event_id", "t", "action", "status", "error", "cost", "steps", "value", "observation")
 
 
-@query("select o_orderkey as id, case when o_orderkey % 2 = 0 then o_custkey end as found, case when o_orderkey % 2 = 1 then 'StateNotFound' end as error from orders where o_orderkey < 40")
+@query("select l_orderkey as id, l_linenumber, case when o_orderkey is not null then o_custkey end as found, case when o_orderkey is null then 'StateNotFound' end as error from lineitem left join orders on o_orderkey = l_orderkey and o_orderstatus <> 'F'")
 def q60_point_lookups(spark, sf_dir):
     """Rows by key; those that are not there have an error in place of a row."""
-    table = d.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
-    wanted = d.table(spark, sf_dir, "orders").where("o_orderkey < 40").select(F.col("o_orderkey").alias("id"))
-    return events.found(wanted, "id", table.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("found")), "StateNotFound")
+    orders = d.table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
+    wanted = d.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
+    return events.found(wanted, "id", orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("found")), "StateNotFound")
 
 
 @query("select unnest(['q61_runs', 'q61_spans', 'q61_states']) as name")
@@ -520,3 +520,23 @@ def q62_episodes(spark, sf_dir):
     out = episodes.episodes(flat, tasks, {"budget": {"steps": fold.STEPS}, "value": 0, "cursor": 0})
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(episodes.OUT).parquet(f"{at}/out")
+
+
+@query(f"with {d.TRAJECTORIES} select span_id, run_id, from_state_id, t_start, 0.0::double as created_at, to_state_id, case when to_state_id is not null then t_end end as t_end, case when to_state_id is not null then 'closed' else 'open' end as sandbox_id from spans")
+def q63_span_upserts(spark, sf_dir):
+    """Spans as they are written: once when they open, and again, with other first columns, when they end."""
+    found = ordered.stage(lineage.spans(ordered.stage(d.trajectories(spark, sf_dir), "events")), "spans")
+    none = {"to_state_id": F.lit(None).cast("string"), "t_end": F.lit(None).cast("long")}
+    opened = found.withColumns({**none, "sandbox_id": F.lit("open"), "created_at": F.lit(0.0), "seq": F.lit(1)})
+    ended = found.where("to_state_id is not null").withColumns({"from_state_id": F.lit("late"), "t_start": F.lit(-1).cast("long"), "sandbox_id": F.lit("closed"), "created_at": F.lit(1.0), "seq": F.lit(2)})
+    keys, first, last = upsert.SPANS_RULE
+    return upsert.partial_upsert(ended.unionByName(opened), keys, ["seq"], first, last)
+
+
+@query(f"with {d.TRAJECTORIES} select span_id, t::int as t, {URI} as event_uri, action, case when action = 'peek' then 'error' else status end as status from traj")
+def q64_span_index(spark, sf_dir):
+    """The index of events by span, where all peeks are written again: the last write counts."""
+    rows = events.span_index(stored(spark, sf_dir)).withColumn("seq", F.lit(1))
+    again = rows.where("action = 'peek'").withColumns({"status": F.lit("error"), "seq": F.lit(2)})
+    keys, first, last = upsert.SPAN_INDEX_RULE
+    return upsert.partial_upsert(rows.unionByName(again), keys, ["seq"], first, last)

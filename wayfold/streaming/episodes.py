@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..operators.fold import COUNTER, LISTED, SAMPLED
+
 OUT = "run_id string, t int, action string, status string, error string, cost int, observation string"
 STATE = "state string"
 #: (params, state) -> observation; may change ``state`` (a JSON object), raises Refused to decline.
@@ -62,24 +64,27 @@ def episodes(stream: DataFrame, tasks: dict[str, tuple[int, Step]], initial: dic
 
 
 def counter_tasks(ids: list[str]) -> dict[str, tuple[int, Step]]:
-    """The counter task; its state starts as ``{"budget": {"steps": 20}, "value": 0, "cursor": 0}``."""
-
-    def inc(_: dict, s: dict) -> object:
-        spend(s, "steps", 1)
-        s["value"] += 1
-        return {"value": s["value"]}
-
-    def list_items(_: dict, s: dict) -> object:
-        spend(s, "steps", 1)
-        return {"items": [f"item_{i}" for i in range(8)]}
-
-    def sample(p: dict, s: dict) -> object:
-        spend(s, "steps", 1)
-        s["cursor"] += (n := int(p.get("n") or 3))
-        return {"items": ids[s["cursor"] - n : s["cursor"]]}
-
-    def submit(p: dict, s: dict) -> object:
-        s["done"] = True
-        return {"ok": True, "value": s["value"], "submission": p.get("answer")}
-
-    return {"inc": (1, inc), "peek": (0, lambda _, s: {"value": s["value"]}), "list_items": (1, list_items), "sample": (1, sample), "submit": (0, submit)}
+    """The counter task at the costs of ``COUNTER``; its state starts as ``{"budget": {"steps": 20}, "value": 0, "cursor": 0}``."""
+
+    def seen(action: str, params: dict, now: dict) -> object:
+        if action == "list_items":
+            return {"items": [f"item_{i}" for i in range(LISTED)]}
+        if action == "sample":
+            start = now["cursor"]
+            now["cursor"] += int(params.get("n") or SAMPLED)
+            return {"items": ids[start : now["cursor"]]}
+        now["value"] += action == "inc"
+        if action != "submit":
+            return {"value": now["value"]}
+        now["done"] = True
+        return {"ok": True, "value": now["value"], "submission": params.get("answer")}
+
+    def task(action: str) -> Step:
+        def act(params: dict, now: dict) -> object:
+            if COUNTER[action].spends:
+                spend(now, "steps", 1)
+            return seen(action, params, now)
+
+        return act
+
+    return {action: (known.cost, task(action)) for action, known in COUNTER.items()}
