@@ -47,8 +47,7 @@ def views(said: DataFrame) -> DataFrame:
     who = per.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*INSTRUCTIONS)).join(turns, F.col("conv").eqNullSafe(F.col("of"))).select("conv", F.col("speaker").alias("perspective"), "turns")
     who = stage(who, "chat-views")
     # Long conversations keep their place where their participants are few enough to be broadcast; else the result itself is larger by that number.
-    long_ = F.col("turns") > (HOT_SHARE * total if who.where(F.col("turns") > HOT_SHARE * total).count() <= 100_000 else total)
-    return with_facts(said, who, "conv", long_).drop("turns")
+    return with_facts(said, who, "conv", F.col("turns") > HOT_SHARE * total).drop("turns")
 
 
 def rotate(turns: DataFrame, conversation: Column, turn: Column, speaker: Column, text: Column) -> DataFrame:
