@@ -54,11 +54,15 @@ def shingles(text: str | None, known: dict[str, int]) -> np.ndarray:
 
     A text of one to four words has one shingle, all of it; a null or blank text has none.
     """
-    words = (text or "").lower().split()
+    return word_grams((text or "").lower().split(), SHINGLE_WORDS, known)
+
+
+def word_grams(words: list, width: int, known: dict) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct runs of ``width`` words; of fewer words, the one of all of them; of none, none."""
     if not words:
         return np.empty(0, "uint64")
     w = word_hashes(words, known)
-    n = min(SHINGLE_WORDS, len(w))
+    n = min(width, len(w))
     h = np.full(len(w) - n + 1, n, "uint64")
     for i in range(n):
         h = (h ^ w[i : len(w) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
