@@ -11,6 +11,7 @@ from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .periodic_runs import op11_periodic_runs
 from .perspectives import OP8_SQL, op8_perspectives
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .sentencepieces import op3_sentencepieces
 from .sharding import op6_sharding
 from .sketch_dedup import OP12_SQL, op12_sketch_dedup
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_sketch_dedup": op12_sketch_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op1_licence_scan": OP1_SQL, "op4_mixing": OP4_SQL, "op5_topk_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_perspectives": OP8_SQL, "op12_sketch_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_licence_scan": OP1_SQL, "op4_mixing": OP4_SQL, "op5_topk_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_perspectives": OP8_SQL, "op12_sketch_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
