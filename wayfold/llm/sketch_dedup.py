@@ -6,8 +6,8 @@ more round each, in which all shingles go to that coordinate. So every coordinat
 and the share of coordinates in which two sketches agree keeps close to the similarity.
 
 Sets that share a band of their sketches meet in a bucket. Only components are asked for, so no bucket compares all its
-pairs: in each round its members meet one of them, its pivot; the pairs whose sketches agree are verified on the
-whole sets, and what is linked needs no more comparison. What is left after ``ROUNDS`` are the members outside
+pairs: in each round its members meet one of them, its pivot; each set is verified, on the whole sets, with the pivot
+whose sketch agrees most with its own, and what is linked needs no more comparison. What is left after ``ROUNDS`` are the members outside
 their bucket's main component: each of these meets all other components' members, in blocks. Verification is exact.
 """
 
@@ -96,7 +96,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             sets = [g for g in text_grams(whole.slice(at, 500).column(0).to_pylist()) if len(g)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in sets], "binary"), pa.array([g.tobytes() for g in sets], "binary")], ["key", "grams"])
+            ends = np.cumsum([0, *map(len, sets)], dtype="int32")
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "uint64"), *sets]).view("int64")))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in sets], "binary"), grams], ["key", "grams"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -104,24 +106,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose sketches ``sig_a`` and ``sig_b`` agree often enough."""
+    """The pairs (a, b) whose sketches ``sig_a`` and ``sig_b`` agree often enough, and how often they do."""
     least = least_agreement()
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if len(t):
-            stay = (_matrix(t["sig_a"]) == _matrix(t["sig_b"])).sum(1) >= least
-            yield from t.select(["a", "b"]).filter(pa.array(stay)).to_batches()
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose sets ``grams_a`` and ``grams_b`` are near, counted in full."""
-    for batch in batches:
-        stay = []
-        for x, y in zip(batch.column("grams_a"), batch.column("grams_b")):
-            x, y = (np.frombuffer(g.as_buffer(), "uint64") for g in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            stay.append(NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both))
-        yield from pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(stay, "bool")).to_batches()
+        if batch.num_rows:
+            equal = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(1)
+            yield batch.select(["a", "b"]).append_column("equal", pa.array(equal, "int32")).filter(pa.array(equal >= least))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +192,10 @@ class Sketched:
         need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(self.sets.select("key", "least"), "key")
         wanted = need.select(F.col("least.doc_id").alias("w_id"), F.col("least.text_hash").alias("w_hash"))
         of = self.docs.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
-        grams = stage(of.mapInArrow(_sets, "key binary, grams binary").groupBy("key").agg(F.first("grams").alias("grams")), "sketch-grams")
-        new = stage(self.with_sets(pairs, grams, "grams").mapInArrow(_linked, "a binary, b binary"), "sketch-links")
+        grams = stage(of.mapInArrow(_sets, "key binary, grams array<bigint>").groupBy("key").agg(F.first("grams").alias("grams")), "sketch-grams")
+        both = F.size(F.array_intersect("grams_a", "grams_b"))
+        near = NEAR[1] * both >= NEAR[0] * (F.size("grams_a") + F.size("grams_b") - both)
+        new = stage(self.with_sets(pairs, grams, "grams").where(near).select("a", "b"), "sketch-links")
         self.edges = new if self.edges is None else self.edges.unionByName(new)
         found = stage(components(self.edges), "sketch-labels")
         self.labels = stage(self.sets.select("key").join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("label", "key").alias("label")), "sketch-labelled")
@@ -215,7 +207,8 @@ class Sketched:
         pivots = stage(pivots.where("lo <> hi").select("b", F.col("pivot.key").alias("pivot"), F.col("pivot.label").alias("pivot_label"), "size"), "sketch-pivots")
         met = with_facts(now, pivots, "b", self.hot("size", BANDS)).where("label <> pivot_label")
         pairs = stage(met.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), "sketch-pairs")
-        self.link(stage(self.with_sets(pairs, self.sets.select("key", "sig"), "sig").mapInArrow(_agreeing, "a binary, b binary"), "sketch-agreeing"))
+        agreeing = self.with_sets(pairs, self.sets.select("key", "sig"), "sig").mapInArrow(_agreeing, "a binary, b binary, equal int")
+        self.link(stage(agreeing.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")), "sketch-agreeing"))
 
     def link_rest(self, members: DataFrame) -> None:
         """Each member outside its bucket's main component meets the members of the others."""
