@@ -12,6 +12,7 @@ from wayfold.functions import values
 from wayfold.operators import delta, events, lineage, ordered, quality, upsert
 from wayfold.operators.errors import WayfoldError
 from wayfold.sources import objects, packed
+from wayfold.operators import loop
 from wayfold.streaming import episodes, ingest
 
 
@@ -270,7 +271,7 @@ def test_stream_of_events_is_upserted(spark, tmp_path):
 def test_stateful_episodes(spark, tmp_path):
     path = str(tmp_path / "in")
     schema = "run_id string, seq int, action string, params string"
-    tasks = episodes.counter_tasks([f"id_{i}" for i in range(64)])
+    tasks = loop.counter_tasks([f"id_{i}" for i in range(64)])
     initial = {"budget": {"steps": 3}, "value": 0, "cursor": 0}
 
     def run(rows):

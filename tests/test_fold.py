@@ -5,9 +5,9 @@ import random
 
 import pytest
 
-from wayfold.operators import fold, lineage, ordered
+from wayfold.operators import fold, lineage, loop, ordered
 from wayfold.operators.errors import WayfoldError
-from wayfold.streaming.episodes import counter_tasks, step
+from wayfold.operators.loop import counter_tasks, step
 
 SCHEMA = "run_id string, seq int, action string, n int"
 SCRIPT = [("inc", None), ("inc", None), ("peek", None), ("list_items", None), ("sample", 3), ("sample", 3), ("inc", None), ("peek", None)]
@@ -22,7 +22,7 @@ def by_loop(actions):
     tasks = counter_tasks([f"id_03_{i:04d}" for i in range(64)])
     for run, seq, action, n in sorted(actions, key=lambda a: (str(a[0]), a[1])):
         state = states.setdefault(run, {"t": 0, "budget": {"steps": 20}, "value": 0, "cursor": 0})
-        status, error, cost, seen = step(state, tasks, action, {"n": n} if n is not None else {})
+        status, error, _, cost, seen = step(state, tasks, action, {"n": n} if n is not None else {})
         out.append((run, seq, state["t"], status, error, cost, state["budget"]["steps"], state["value"], None if seen is None else json.dumps(seen, sort_keys=True)))
     return sorted(out, key=str)
 
@@ -213,3 +213,37 @@ def test_recorded_commands(spark):
 def test_clashing_columns(spark):
     df = fold.fold(spark.createDataFrame([("a", 1, "inc", 0, "mine", 5)], SCHEMA + ", status string, closed int"), ["seq"])
     assert [(r.status, r.closed, r.seq) for r in df.collect()] == [("ok", 5, 1)]
+
+
+def by_steps(actions, initial, starts):
+    """What a plain loop gives: (run, seq, t, status, error, message, cost, budget, observation, done)."""
+    tasks, states, out = loop.metered_tasks(), {r: {"t": 0, **json.loads(json.dumps(initial)), **json.loads(s)} for r, s in starts}, []
+    for run, seq, action, params in sorted(actions, key=lambda a: (str(a[0]), a[1])):
+        state = states.setdefault(run, {"t": 0, **json.loads(json.dumps(initial))})
+        status, error, message, cost, seen = step(state, tasks, action, loop.params_of(params))
+        out.append((run, seq, state["t"], status, error, message, cost, sorted(state["budget"].items()), None if seen is None else json.dumps(seen, sort_keys=True, separators=(",", ":")), bool(state.get("done"))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("parts,slice_", [(1, 10_000), (6, 10_000), (7, 3), (40, 1)])
+def test_any_costs_over_any_parts(spark, monkeypatch, parts, slice_):
+    """Fractional costs over two counters; one run holds most rows and spans parts, whatever is held at a time."""
+    monkeypatch.setattr(loop, "SLICE", slice_)
+    rng, initial = random.Random(parts), {"budget": {"steps": 20, "tokens": 11.25}, "value": 0}
+    kinds = ["add", "look", "rest", "rest", "look", "bogus", None] * 6 + ["submit"]
+    actions = [(rng.choice(["hot"] * 6 + ["b", "c", "d", None]), i, rng.choice(kinds), rng.choice([None, "", "[1]", "no json", '{"k":3}', '{"k":0.5}', '{"k":40}'])) for i in range(260)]
+    starts = [("c", json.dumps({"t": 7, "value": 5, "budget": {"steps": 1.0001, "gas": 3}})), ("d", json.dumps({"t": 2, "done": True})), ("unknown", json.dumps({"t": 1}))]
+    for given in ([], starts):
+        df = spark.createDataFrame([(*a, "x", 5) for a in actions], "run_id string, seq int, action string, params string, other string, t int")
+        start = spark.createDataFrame(given, "run_id string, state string") if given else None
+        out = loop.play(df, ["seq"], loop.metered_tasks(), initial, start=start, parts=parts)
+        got_ = sorted(((r.run_id, r.seq, r.t, r.status, r.error, r.message, r.cost, sorted((k, round(v, 4)) for k, v in r.budget.items()), r.observation, r.done) for r in out.collect()), key=str)
+        expected = [(*r[:7], [(k, round(float(v), 4)) for k, v in r[7]], *r[8:]) for r in by_steps(actions, initial, given)]
+        assert got_ == sorted(expected, key=str) and {r.other for r in out.collect()} == {"x"}
+    assert loop.play(df.limit(0), ["seq"], loop.metered_tasks(), initial).count() == 0
+
+
+def test_a_task_must_not_serve_hidden_keys(spark):
+    df = spark.createDataFrame([("a", 1, "leak", None)], "run_id string, seq int, action string, params string")
+    with pytest.raises(Exception, match="HiddenKey|hidden key observation.a"):
+        loop.play(df, ["seq"], {"leak": (0, lambda params, state: {"a": [{"_truth": 1}]})}, {"budget": {}}).collect()

@@ -23,8 +23,8 @@ def json_equal(a: Column, b: Column) -> Column:
     """Whether two JSON texts hold one value; two nulls are equal. ``1`` and ``1.0`` are, ``1`` and ``true`` are not.
 
     Null where a text that is not null has no canonical form: what it holds is not known."""
-    unknown = (a.isNotNull() & canonical(a).isNull()) | (b.isNotNull() & canonical(b).isNull())
-    return F.when(~unknown, canonical(a).eqNullSafe(canonical(b)))
+    one = F.when(canonical(F.coalesce(a, b)).isNotNull(), False)
+    return F.when(a.isNotNull() & b.isNotNull(), canonical(a) == canonical(b)).when(a.isNull() & b.isNull(), True).otherwise(one)
 
 
 def summary_text(text: Column, limit: int = TEXT_LIMIT) -> Column:
@@ -49,7 +49,7 @@ def _parsed(text: str) -> object:
         return None
 
 
-def _walk(value: object) -> str | None:
+def hidden_path(value: object) -> str | None:
     """The first path, in order of the text, to a key with an underscore; a stack in place of recursion, since depth is unbounded."""
     todo: list[tuple[object, str, bool]] = [(value, "observation", False)]
     while todo:
@@ -67,7 +67,7 @@ def _walk(value: object) -> str | None:
 def hidden_key_path(texts: pd.Series) -> pd.Series:
     """The path of the first hidden key, as ``observation.a[2]._k``; null if there is none, or no JSON (or JSON nested
     deeper than Python's parser takes). Depth is unbounded, so no built-in fits."""
-    return texts.map(lambda t: None if t is None else _walk(_parsed(t)))
+    return texts.map(lambda t: None if t is None else hidden_path(_parsed(t)))
 
 
 def _shortened(value: object) -> object:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import json as js
 from ..functions import values
-from ..operators import delta, events, fold, lineage, ordered, quality, upsert
+from ..operators import delta, events, fold, lineage, loop, ordered, quality, upsert
 from ..sources import objects, packed
 from ..streaming import episodes, ingest
 from . import domain as d
@@ -516,7 +516,7 @@ def q62_episodes(spark, sf_dir):
     acts.select("run_id", F.struct("ts", "event_id").alias("seq"), "action", F.to_json(F.struct("n")).alias("params")).write.parquet(f"{at}/arrived")
     stream = spark.readStream.schema("run_id string, seq struct<ts: timestamp_ntz, event_id: long>, action string, params string").parquet(f"{at}/arrived")
     flat = stream.select("run_id", F.concat(F.date_format("seq.ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("seq.event_id").cast("string"), 20, "0")).alias("seq"), "action", "params")
-    tasks = episodes.counter_tasks([f"id_{fold.SEED:02d}_{i:04d}" for i in range(fold.ITEMS)])
+    tasks = loop.counter_tasks([f"id_{fold.SEED:02d}_{i:04d}" for i in range(fold.ITEMS)])
     out = episodes.episodes(flat, tasks, {"budget": {"steps": fold.STEPS}, "value": 0, "cursor": 0})
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(episodes.OUT).parquet(f"{at}/out")
@@ -540,3 +540,26 @@ def q64_span_index(spark, sf_dir):
     again = rows.where("action = 'peek'").withColumns({"status": F.lit("error"), "seq": F.lit(2)})
     keys, first, last = upsert.SPAN_INDEX_RULE
     return upsert.partial_upsert(rows.unionByName(again), keys, ["seq"], first, last)
+
+
+_METERED = """metered as (select run_id, event_id, t, coalesce(k, 0) as k, case action when 'inc' then 'add' when 'peek' then 'look' when 'sample' then 'rest' else action end as action from numbered),
+walk as (
+  select run_id, 0::bigint as t, null::bigint as event_id, null::varchar as action, null::varchar as status, null::varchar as error, 0 as cost, 20.0::double as steps, 60.5::double as tokens, 0::bigint as value, false as done from metered group by run_id
+  union all
+  select run_id, t, event_id, action, case when error is null then 'ok' else 'error' end, error, case when error = 'EpisodeComplete' then 0 when error = 'UnknownAction' then 1 when action = 'add' then 2 when action = 'rest' then 1 else 0 end,
+    steps - case when error in ('EpisodeComplete', 'UnknownAction') then 0 when action = 'add' and steps >= 1.5 then 1.5 when action = 'rest' and steps >= 0.5 then 0.5 else 0 end,
+    tokens - case when error is not null then 0 when action = 'add' then k * 0.25 when action = 'look' then 0.25 else 0 end, value + case when error is null and action = 'add' then k else 0 end, done or (error is null and action = 'submit')
+  from (select m.run_id, m.t, m.event_id, m.action, m.k, w.steps, w.tokens, w.value, w.done,
+      case when w.done then 'EpisodeComplete' when m.action not in ('add', 'look', 'rest', 'submit') then 'UnknownAction' when m.action = 'add' and (w.steps < 1.5 or w.tokens < m.k * 0.25) or m.action = 'look' and w.tokens < 0.25 or m.action = 'rest' and w.steps < 0.5 then 'ActionRefused' end as error
+    from walk w join metered m on m.run_id = w.run_id and m.t = w.t + 1))"""
+_METERS = {"inc": "add", "peek": "look", "sample": "rest"}
+
+
+@query(f"with recursive {d.TRAJECTORIES}, {_METERED} select run_id, event_id, t, action, status, error, cost, steps, tokens, case when error is null then case action when 'rest' then '{{}}' when 'submit' then '{{\"ok\":' || (value > 0) || ',\"value\":' || value || '}}' else '{{\"value\":' || value || '}}' end end as observation from walk where t > 0")
+def q65_metered_episodes(spark, sf_dir):
+    """A task of two counters at fractional costs, over all events."""
+    rows = d.actions(spark, sf_dir)
+    named = F.coalesce(F.create_map(*[F.lit(x) for pair in _METERS.items() for x in pair])[F.col("action")], F.col("action"))
+    rows = rows.select("run_id", "event_id", "ts", named.alias("action"), F.to_json(F.struct("k")).alias("params"))
+    out = loop.play(rows, ["ts", "event_id"], loop.metered_tasks(), {"budget": {"steps": 20, "tokens": 60.5}, "value": 0})
+    return out.select("run_id", "event_id", "t", "action", "status", "error", "cost", F.col("budget")["steps"].alias("steps"), F.col("budget")["tokens"].alias("tokens"), "observation")

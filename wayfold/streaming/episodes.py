@@ -3,48 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.fold import COUNTER, LISTED, SAMPLED
+from ..operators.loop import Tasks, params_of, step
 
 OUT = "run_id string, t int, action string, status string, error string, cost int, observation string"
 STATE = "state string"
-#: (params, state) -> observation; may change ``state`` (a JSON object), raises Refused to decline.
-Step = Callable[[dict, dict], object]
 
-
-class Refused(Exception):
-    pass
-
-
-def spend(state: dict, counter: str, amount: float) -> None:
-    """Take from a counter of the budget; one that the budget does not have costs nothing."""
-    budget = state["budget"]
-    if counter not in budget:
-        return
-    if budget[counter] < amount:
-        raise Refused(f"{counter} exhausted")
-    budget[counter] -= amount
-
-
-def step(state: dict, tasks: dict[str, tuple[int, Step]], action: str | None, params: dict) -> tuple[str, str | None, int, object]:
-    """(status, error, cost, observation) of one action."""
-    state["t"] += 1
-    if state.get("done"):
-        return "error", "EpisodeComplete", 0, None
-    if action not in tasks:
-        return "error", "UnknownAction", 1, None
-    cost, act = tasks[action]
-    try:
-        return "ok", None, cost, act(params, state)
-    except Refused:
-        return "error", "ActionRefused", cost, None
-
-
-def episodes(stream: DataFrame, tasks: dict[str, tuple[int, Step]], initial: dict) -> DataFrame:
+def episodes(stream: DataFrame, tasks: Tasks, initial: dict) -> DataFrame:
     """Rows ``OUT`` for a stream of (run_id, seq, action, params): within a batch by ``seq``, between batches as they come.
 
     ``params`` is JSON or null. A run's state is one JSON object, kept by Spark.
@@ -55,36 +24,9 @@ def episodes(stream: DataFrame, tasks: dict[str, tuple[int, Step]], initial: dic
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
         for action, params in zip(rows["action"], rows["params"]):
-            status, error, cost, seen = step(now, tasks, action, json.loads(params) if params else {})
+            status, error, _, cost, seen = step(now, tasks, action, params_of(params))
             out.append((key[0], now["t"], action, status, error, cost, None if seen is None else json.dumps(seen, separators=(",", ":"))))
         state.update((json.dumps(now),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return stream.groupBy("run_id").applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
-
-
-def counter_tasks(ids: list[str]) -> dict[str, tuple[int, Step]]:
-    """The counter task at the costs of ``COUNTER``; its state starts as ``{"budget": {"steps": 20}, "value": 0, "cursor": 0}``."""
-
-    def seen(action: str, params: dict, now: dict) -> object:
-        if action == "list_items":
-            return {"items": [f"item_{i}" for i in range(LISTED)]}
-        if action == "sample":
-            start = now["cursor"]
-            now["cursor"] += int(params.get("n") or SAMPLED)
-            return {"items": ids[start : now["cursor"]]}
-        now["value"] += action == "inc"
-        if action != "submit":
-            return {"value": now["value"]}
-        now["done"] = True
-        return {"ok": True, "value": now["value"], "submission": params.get("answer")}
-
-    def task(action: str) -> Step:
-        def act(params: dict, now: dict) -> object:
-            if COUNTER[action].spends:
-                spend(now, "steps", 1)
-            return seen(action, params, now)
-
-        return act
-
-    return {action: (known.cost, task(action)) for action, known in COUNTER.items()}
