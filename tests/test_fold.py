@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.operators import fold, lineage, loop, ordered
 from wayfold.operators.errors import WayfoldError
@@ -247,3 +248,28 @@ def test_a_task_must_not_serve_hidden_keys(spark):
     df = spark.createDataFrame([("a", 1, "leak", None)], "run_id string, seq int, action string, params string")
     with pytest.raises(Exception, match="HiddenKey|hidden key observation.a"):
         loop.play(df, ["seq"], {"leak": (0, lambda params, state: {"a": [{"_truth": 1}]})}, {"budget": {}}).collect()
+
+
+def test_a_replay_records_in_a_sibling_span(spark):
+    """Spacing is no divergence; the event that comes out differently is recorded too; the originals stay."""
+    actions = [("a", i, x, n) for i, (x, n) in enumerate(SCRIPT)]
+    rows = ordered.stage(lineage.in_spans(folded(spark, actions), F.col("action") == "list_items"), "events")
+    states, given = lineage.states(rows), rows.select("span_id", "t", "action", "n", "status", F.replace("observation", F.lit(":"), F.lit(" :  ")).alias("observation"))
+    wanted = [("box0", "a-s0", "a-p0", None), ("box1", "a-s1", "a-p1", None), ("box2", "a-s0", "a-p0", 3), ("box3", "a-s1", None, None), ("box4", "no", "a-p0", None), ("box5", "a-s0", "a-p1", None), ("box6", "a-s0", "a-p0", 99)]
+    wanted = spark.createDataFrame(wanted, "sandbox_id string, state_id string, span_id string, stop_before_t int")
+    report, events = lineage.replay_and_record(states, lineage.spans(rows, states), given, wanted)
+    got_ = {r.sandbox_id: (r.events_applied, r.last_t, r.diverged_at, r.error) for r in report.collect()}
+    assert got_ == {"box0": (4, 4, None, None), "box1": (4, 8, None, None), "box2": (2, 2, None, None), "box3": (None, None, None, None), "box4": (None, None, None, "StateNotFound"), "box5": (2, 6, 7, "ReplayDivergence"), "box6": (None, None, None, "StopBeforeTOutOfRange")}
+    out = sorted((r.sandbox_id, r.span_id, r.t, r.replayed_t, r.action, r.observation, r.same) for r in events.collect())
+    assert [o[:5] for o in out if o[0] == "box1"] == [("box1", "box1-p", t, t, a) for t, (a, _) in enumerate(SCRIPT[4:], 5)]
+    # From the first state on the counter stands at 0 where it stood at 2: the third event differs, and ends the replay.
+    assert [(o[2], o[3], o[5], o[6]) for o in out if o[0] == "box5"][2:] == [(3, 7, '{"value":1}', False)] and {o[0] for o in out} == {"box0", "box1", "box2", "box5"}
+    with pytest.raises(WayfoldError, match="one span at a time"):
+        lineage.replay_and_record(states, lineage.spans(rows, states), given, wanted.unionByName(wanted))
+
+
+def test_restore_names_unknown_states(spark):
+    states = lineage.states(lineage.in_spans(folded(spark, [("a", 0, "inc", None)]), F.lit(True)))
+    prompts, wanted = spark.createDataFrame([("a-s0", "hi")], "state_id string, prompt string"), spark.createDataFrame([("a-s0", "b0"), ("a-s1", "b1"), ("a-s1", "b2"), ("x", "b3")], "state_id string, sandbox_id string")
+    got_ = {r.sandbox_id: (r.span_id, r.t_start, r.prompt, r.error) for r in lineage.restore(states, prompts, wanted).collect()}
+    assert got_ == {"b0": ("b0-p", 1, "hi", None), "b1": ("b1-p", 2, None, None), "b2": ("b2-p", 2, None, None), "b3": (None, None, None, "StateNotFound")}

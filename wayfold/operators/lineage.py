@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import json_equal
 from ..functions.values import snapshot_uri
 from ..schemas import PROTOCOL
 from .errors import WayfoldError
@@ -97,20 +98,28 @@ def check_stop(span_bounds: DataFrame, span: str, stop_before_t: int) -> None:
         raise WayfoldError("StopBeforeTOutOfRange", f"stop_before_t={stop_before_t} not in [{lo}, {hi}]", stop_before_t=stop_before_t, t_lo=lo, t_hi=hi)
 
 
-def _replayed(asked: DataFrame, recorded: DataFrame, seed: int) -> DataFrame:
-    """(key, applied, last_t, diverged_at) of each of ``asked`` (key, span_id, stop_before_t, t, steps, value, cursor, done)
-    that has events to replay: what was recorded (span_id, t, action, n, status, observation) is done again, from the
-    state given, and compared. Status and observation count; observations must be canonical."""
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two observations hold one JSON value, however they are written; what is no JSON is compared as text."""
+    return F.when(a.eqNullSafe(b), True).otherwise(F.coalesce(json_equal(a, b), F.lit(False)))
+
+
+def _done_again(asked: DataFrame, recorded: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(report, events) for ``asked`` (key, span_id, stop_before_t, t, steps, value, cursor, done): what was recorded (span_id,
+    t, action, n, status, observation) is done again, from the state given, and compared by status and value of observation.
+
+    The report has (key, applied, last_t, diverged_at) of each key with events to replay; the events, staged, are rows of ``fold``
+    with ``key``, ``r_t`` (the recorded t), ``r_status``, ``r_observation`` and ``same``, up to and with the diverging one.
+    """
     events = recorded.select("span_id", F.col("t").alias("r_t"), "action", "n", F.col("status").alias("r_status"), F.col("observation").alias("r_observation"))
     due = asked.select("key", "span_id", "stop_before_t").join(events, "span_id").where(F.col("stop_before_t").isNull() | (F.col("r_t") < F.col("stop_before_t")))
     start = asked.select(F.col("key").alias("run_id"), "t", "steps", "value", "cursor", "done")
     anew = fold(due.withColumnRenamed("key", "run_id"), ["r_t"], seed=seed, start=start)
-    same = F.col("status").eqNullSafe(F.col("r_status")) & F.col("observation").eqNullSafe(F.col("r_observation"))
-    anew = stage(anew.select(F.col("run_id").alias("key"), "r_t", same.alias("same")), "replayed")
+    same = F.col("status").eqNullSafe(F.col("r_status")) & same_value(F.col("observation"), F.col("r_observation"))
+    anew = stage(anew.withColumnRenamed("run_id", "key").withColumn("same", same), "replayed")
     first_bad = anew.groupBy("key").agg(F.min(F.when(~F.col("same"), F.col("r_t"))).alias("diverged_at"))
-    good = anew.join(first_bad, "key").where(F.col("diverged_at").isNull() | (F.col("r_t") < F.col("diverged_at")))
-    done = good.groupBy("key").agg(F.count("*").alias("applied"), F.max("r_t").alias("last_t"))
-    return first_bad.join(done, "key", "left")
+    upto = anew.join(first_bad, "key").where(F.col("diverged_at").isNull() | (F.col("r_t") <= F.col("diverged_at")))
+    report = upto.groupBy("key").agg(F.sum(F.col("same").cast("long")).alias("applied"), F.max(F.when(F.col("same"), F.col("r_t"))).alias("last_t"), F.first("diverged_at").alias("diverged_at"))
+    return report, upto.drop("diverged_at")
 
 
 def replay(recorded: DataFrame, spans_: DataFrame, states_: DataFrame, stop_before_t: Column | None = None, seed: int = SEED) -> DataFrame:
@@ -123,7 +132,7 @@ def replay(recorded: DataFrame, spans_: DataFrame, states_: DataFrame, stop_befo
     stop = F.lit(None).cast("long") if stop_before_t is None else stop_before_t.cast("long")
     of = states_.select(F.col("state_id").alias("from_state_id"), *STATE)
     asked = stage(spans_.select("span_id", "from_state_id", "t_start", stop.alias("stop_before_t")).join(of, "from_state_id").withColumn("key", F.col("span_id")), "replays")
-    done = _replayed(asked, recorded, seed)
+    done, _ = _done_again(asked, recorded, seed)
     return asked.join(done, "key", "left").select("span_id", F.col("t_start").alias("from_t"), F.coalesce("last_t", "t").alias("last_t"), F.coalesce("applied", F.lit(0)).alias("events_applied"), "diverged_at")
 
 
@@ -145,9 +154,16 @@ def branch(states_: DataFrame, n: int, dirty: Column | None = None, broken: Colu
 
 def restore(states_: DataFrame, prompts: DataFrame, wanted: DataFrame) -> DataFrame:
     """A new span for each (state_id, sandbox_id) of ``wanted``, with the state's prompt: siblings of what was
-    recorded, which stays as it is. Unknown states are left out; see ``quality.orphans``."""
-    found = wanted.join(states_, "state_id").join(prompts, "state_id", "left")
-    return found.select("run_id", F.col("state_id").alias("from_state_id"), "sandbox_id", (F.col("t") + 1).alias("t_start"), "snapshot_uri", "prompt")
+    recorded, which stays as it is. An unknown state gives a row with the error StateNotFound and no span."""
+    of = states_.select("state_id", "run_id", "t", "snapshot_uri")
+    found = wanted.select("state_id", "sandbox_id").join(of, "state_id", "left").join(prompts.select("state_id", "prompt"), "state_id", "left")
+    known = F.col("run_id").isNotNull()
+    return found.select("run_id", "state_id", "sandbox_id", F.when(known, sibling_span(F.col("sandbox_id"))).alias("span_id"), F.when(known, F.col("state_id")).alias("from_state_id"), (F.col("t") + 1).alias("t_start"), "snapshot_uri", "prompt", F.when(~known, "StateNotFound").alias("error"))
+
+
+def sibling_span(sandbox_id: Column) -> Column:
+    """The span that a restored sandbox writes to: its own, beside the recorded ones."""
+    return F.concat(sandbox_id, F.lit("-p"))
 
 
 def metadata(states_: DataFrame, runs: DataFrame) -> DataFrame:
@@ -156,6 +172,34 @@ def metadata(states_: DataFrame, runs: DataFrame) -> DataFrame:
     return states_.select("state_id", "run_id", "t").join(of_run, "run_id").select("state_id", "run_id", "backend", "task_id", "seed", F.col("t").cast("int").alias("t"), F.lit(PROTOCOL).alias("protocol"))
 
 
+def _requests(states_: DataFrame, spans_: DataFrame, wanted: DataFrame, key: Column) -> DataFrame:
+    """``wanted`` (w_state, w_span, w_stop and more) with its key, state and the bounds of its span; ``error`` tells what keeps it from a replay."""
+    known = wanted.join(states_.select("state_id", "run_id", *STATE), F.col("w_state") == F.col("state_id"), "left").drop("state_id")
+    known = known.join(bounds(spans_).join(spans_.select("span_id", "t_start"), "span_id"), F.col("w_span") == F.col("span_id"), "left").drop("span_id")
+    stop = F.coalesce("w_stop", "t_hi")
+    error = (
+        F.when(F.col("run_id").isNull(), "StateNotFound").when(F.col("w_span").isNull(), F.lit(None).cast("string")).when(F.col("t_lo").isNull(), "SpanNotFound")
+        .when(~F.coalesce(stop.between(F.col("t_lo"), F.col("t_hi")), F.lit(False)), "StopBeforeTOutOfRange")
+    )
+    return stage(known.withColumns({"key": key, "stop_before_t": stop, "error": error}), "requests")
+
+
+def _report(known: DataFrame, done: DataFrame, more: list[str]) -> DataFrame:
+    """What each of the requests ``known`` gives, from the report of the replays ``done``."""
+    error = F.coalesce("error", F.when(F.col("diverged_at").isNotNull(), "ReplayDivergence"))
+    replays = F.col("error").isNull() & F.col("w_span").isNotNull()
+    last = F.when(replays, F.coalesce("last_t", "t"))
+    return known.join(done, "key", "left").select(
+        *more, F.col("w_state").alias("state_id"), F.col("w_span").alias("span_id"), "run_id", F.col("t").alias("restored_t"), F.when(F.col("w_span").isNotNull(), F.col("stop_before_t")).alias("stop_before_t"),
+        F.when(F.col("w_span").isNotNull(), F.col("t_start")).alias("from_t"), last.alias("last_t"), F.when(replays, F.coalesce("applied", F.lit(0).cast("long"))).alias("events_applied"),
+        "diverged_at", error.alias("error"), F.when(error.isNull(), F.coalesce(last, F.col("t"))).alias("t"),
+    )
+
+
+def _due(known: DataFrame) -> DataFrame:
+    return known.where("error is null and w_span is not null").withColumnRenamed("w_span", "span_id")
+
+
 def restore_and_replay(states_: DataFrame, spans_: DataFrame, recorded: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
     """What each distinct request of ``wanted`` (state_id, span_id, stop_before_t) gives: the state restored, then the
     span's recorded actions done again from it, whichever state the span itself started at.
@@ -166,23 +210,30 @@ def restore_and_replay(states_: DataFrame, spans_: DataFrame, recorded: DataFram
     ``error`` and leave ``t`` null, where the run else stands. Unknown states give a row with the error StateNotFound.
     """
     asked = wanted.distinct().select(F.col("state_id").alias("w_state"), F.col("span_id").alias("w_span"), F.col("stop_before_t").cast("long").alias("w_stop"))
-    known = asked.join(states_.select("state_id", "run_id", *STATE), F.col("w_state") == F.col("state_id"), "left")
-    known = known.join(bounds(spans_).join(spans_.select("span_id", "t_start"), "span_id"), F.col("w_span") == F.col("span_id"), "left")
-    key = F.concat_ws("|", "w_state", "w_span", F.coalesce(F.col("w_stop").cast("string"), F.lit("")))
-    known = known.withColumns({"key": key, "stop_before_t": F.coalesce("w_stop", "t_hi"), "fits": F.coalesce(F.coalesce("w_stop", "t_hi").between(F.col("t_lo"), F.col("t_hi")), F.lit(False))})
-    known = stage(known.drop("state_id", "span_id"), "requests")
-    done = _replayed(known.where(F.col("run_id").isNotNull() & F.col("fits")).withColumnRenamed("w_span", "span_id"), recorded, seed)
-    error = (
-        F.when(F.col("run_id").isNull(), "StateNotFound").when(F.col("w_span").isNull(), F.lit(None).cast("string")).when(F.col("t_lo").isNull(), "SpanNotFound")
-        .when(~F.col("fits"), "StopBeforeTOutOfRange").when(F.col("diverged_at").isNotNull(), "ReplayDivergence")
-    )
-    replays = F.col("run_id").isNotNull() & F.col("w_span").isNotNull() & F.col("fits")
-    last = F.when(replays, F.coalesce("last_t", "t"))
-    return known.join(done, "key", "left").select(
-        F.col("w_state").alias("state_id"), F.col("w_span").alias("span_id"), "run_id", F.col("t").alias("restored_t"), F.when(F.col("w_span").isNotNull(), F.col("stop_before_t")).alias("stop_before_t"),
-        F.when(F.col("w_span").isNotNull(), F.col("t_start")).alias("from_t"), last.alias("last_t"), F.when(replays, F.coalesce("applied", F.lit(0))).alias("events_applied"),
-        "diverged_at", error.alias("error"), F.when(error.isNull(), F.coalesce(last, F.col("t"))).alias("t"),
+    # Nulls are left out of the JSON and so differ from any value.
+    known = _requests(states_, spans_, asked, F.to_json(F.struct("w_state", "w_span", "w_stop")))
+    done, _ = _done_again(_due(known), recorded, seed)
+    return _report(known, done, [])
+
+
+def replay_and_record(states_: DataFrame, spans_: DataFrame, recorded: DataFrame, wanted: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(report, events) of the requests ``wanted`` (sandbox_id, state_id, span_id, stop_before_t), one for each sandbox.
+
+    The report is that of ``restore_and_replay``, with ``sandbox_id``. The events are what the sandboxes record while they replay:
+    each appends to its own span, a sibling of the recorded ones, which stay as they are; a replay's last event may be the one
+    that came out differently. They have (run_id, span_id, sandbox_id, t, action, n, status, error, cost, steps, observation,
+    replayed_span_id, replayed_t, same); t goes on from the restored state. Two rows for one sandbox are an error, DuplicateSandbox.
+    """
+    asked = wanted.select("sandbox_id", F.col("state_id").alias("w_state"), F.col("span_id").alias("w_span"), F.col("stop_before_t").cast("long").alias("w_stop"))
+    known = _requests(states_, spans_, asked, F.col("sandbox_id"))
+    if known.groupBy("sandbox_id").count().where("count > 1").take(1):
+        raise WayfoldError("DuplicateSandbox", "a sandbox replays one span at a time")
+    done, events = _done_again(_due(known), recorded, seed)
+    of = known.select("key", "run_id", "sandbox_id", F.col("w_span").alias("replayed_span_id"))
+    events = events.drop("run_id").join(of, "key").select(
+        "run_id", sibling_span(F.col("sandbox_id")).alias("span_id"), "sandbox_id", "t", "action", "n", "status", "error", "cost", "steps", "observation", "replayed_span_id", F.col("r_t").alias("replayed_t"), "same"
     )
+    return _report(known, done, ["sandbox_id"]), events
 
 
 def go_on(children: DataFrame, states_: DataFrame, actions: DataFrame, order: list[str], seed: int = SEED) -> DataFrame:

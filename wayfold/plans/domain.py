@@ -32,9 +32,9 @@ def trajectories(spark: SparkSession, sf_dir: str, run: int | None = None) -> Da
 
 
 def tampered(rows: DataFrame) -> DataFrame:
-    """Trajectories as someone changed them: some observations, and some actions under their old observations."""
+    """Trajectories as someone changed them: some observations, some actions under their old observations, and the spacing of some, which is no change."""
     at = lambda k, *names: (F.col("k") == k) & (F.col("status") == "ok") & F.col("action").isin(*names)
-    return rows.select("span_id", "t", F.when(at(17, "inc"), "peek").otherwise(F.col("action")).alias("action"), "n", "status", F.when(at(13, "inc", "peek"), '{"value":-1}').otherwise(F.col("observation")).alias("observation"))
+    return rows.select("span_id", "t", F.when(at(17, "inc"), "peek").otherwise(F.col("action")).alias("action"), "n", "status", F.when(at(13, "inc", "peek"), '{"value":-1}').when(F.col("k") % 7 == 1, F.replace("observation", F.lit(":"), F.lit(" : "))).otherwise(F.col("observation")).alias("observation"))
 
 
 TRAJECTORIES = """

@@ -563,3 +563,27 @@ def q65_metered_episodes(spark, sf_dir):
     rows = rows.select("run_id", "event_id", "ts", named.alias("action"), F.to_json(F.struct("k")).alias("params"))
     out = loop.play(rows, ["ts", "event_id"], loop.metered_tasks(), {"budget": {"steps": 20, "tokens": 60.5}, "value": 0})
     return out.select("run_id", "event_id", "t", "action", "status", "error", "cost", F.col("budget")["steps"].alias("steps"), F.col("budget")["tokens"].alias("tokens"), "observation")
+
+
+@query(f"""with {d.TRAJECTORIES}, {_BOTH},
+sought as (select state_id, run_id, n, state_id || '-r' as sandbox_id, run_id || '-p' || n as span_id, case when n % 4 = 0 then t + 4 end as stop, t as since from states where n % 2 = 0),
+reaching as (select a.*, coalesce(a.stop, p.t_end + 1, p.t_start) as upto, coalesce(a.stop, p.t_end + 1, p.t_start) between coalesce(p.t_lo, p.t_start) and coalesce(p.t_end + 1, p.t_start) as fits from sought a join spans p using (span_id)),
+due as (select r.sandbox_id, r.since, b.*, min(case when bad then b.t end) over (partition by r.sandbox_id) as first_bad from reaching r join both_ b using (span_id) where fits and b.t < upto)
+select e.run_id, d.sandbox_id || '-p' as span_id, d.sandbox_id, e.t::bigint as t, case when e.k = 17 and e.status = 'ok' and e.action = 'inc' then 'peek' else e.action end as action, e.status, {_ANEW} as observation, e.span_id as replayed_span_id, not bad as same
+from due d join traj e using (span_id, t) where first_bad is null or t <= first_bad""")
+def q66_replay_records(spark, sf_dir):
+    """What sandboxes restored from every other state record while they replay the span that it opened, up to and with the first event that comes out differently."""
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    states = ordered.stage(lineage.states(rows), "states")
+    wanted = states.where("n % 2 = 0").select(F.concat("state_id", F.lit("-r")).alias("sandbox_id"), "state_id", lineage.span_id(F.col("run_id"), F.col("n")).alias("span_id"), F.when(F.col("n") % 4 == 0, F.col("t") + 4).alias("stop_before_t"))
+    _, recorded = lineage.replay_and_record(states, lineage.spans(rows, states), d.tampered(rows), wanted)
+    return recorded.select("run_id", "span_id", "sandbox_id", "t", "action", "status", "observation", "replayed_span_id", "same")
+
+
+@query(f"with {d.TRAJECTORIES}, wanted as (select case when n % 3 = 2 then 'lost-' || state_id else state_id end as state_id, state_id || '-box' as sandbox_id from states) select s.run_id, w.state_id, w.sandbox_id, case when s.run_id is not null then w.sandbox_id || '-p' end as span_id, s.state_id as from_state_id, s.t + 1 as t_start, s.snapshot_uri, case when s.n % 2 = 0 then 'go on from ' || s.value end as prompt, case when s.run_id is null then 'StateNotFound' end as error from wanted w left join states s using (state_id)")
+def q67_restore(spark, sf_dir):
+    """A sandbox for each state, with the prompt of every other; every third asks for a state that is not there."""
+    states = ordered.stage(lineage.states(d.trajectories(spark, sf_dir)), "states")
+    prompts = states.where("n % 2 = 0").select("state_id", F.concat(F.lit("go on from "), F.col("value").cast("string")).alias("prompt"))
+    wanted = states.select(F.when(F.col("n") % 3 == 2, F.concat(F.lit("lost-"), F.col("state_id"))).otherwise(F.col("state_id")).alias("state_id"), F.concat("state_id", F.lit("-box")).alias("sandbox_id"))
+    return lineage.restore(states, prompts, wanted)
