@@ -55,6 +55,15 @@ def block_map(upper: DataFrame, size: int = BLOCK_SIZE) -> DataFrame:
     return rows.select("disk", "idx", F.lit("upper").alias("layer"), ((F.col("nth") - 1) * size).alias("offset"))
 
 
+def dirty_runs(blocks: DataFrame) -> DataFrame:
+    """(disk, idx, n): the stored blocks of each disk as runs of ``n`` neighbours from ``idx`` on, a row a run.
+
+    Blocks that are stored twice count once. A disk's numbers are never one row's list, and rows of one disk may be many tasks'.
+    """
+    rows = numbered(stage(blocks.select("disk", "idx").distinct(), "dirty"), ["disk"], ["idx"])
+    return rows.groupBy("disk", (F.col("idx") - F.col("nth")).alias("_run")).agg(F.min("idx").alias("idx"), F.count("*").alias("n")).select("disk", "idx", "n")
+
+
 def headers(sizes: DataFrame, upper: DataFrame, size: int = BLOCK_SIZE) -> DataFrame:
     """(disk, n_blocks, size, n_dirty, dirty_bytes) of each disk of ``sizes``."""
     n = upper.groupBy("disk").agg(F.count("*").alias("n_dirty"))

@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import json as js
 from ..functions import values
 from ..operators import delta, events, fold, lineage, loop, ordered, quality, upsert
-from ..sources import objects, packed
+from ..sources import images, objects, packed
 from ..streaming import episodes, ingest
 from . import domain as d
 
@@ -400,8 +400,9 @@ def q49_prompts(spark, sf_dir):
 
 
 def _round_trip(spark, sf_dir, kind):
-    files = packed.packed(d.upper(spark, sf_dir), d.sizes(d.disk(spark, sf_dir, 1)), 16, kind).withColumnRenamed("disk", "path")
-    return packed.unpack(files, kind=kind).select("disk", "block_size", "n_blocks", "idx", F.lower(F.hex("data")).alias("data"))
+    at = ordered.shared_path(spark, "images")
+    images.write_packed(ordered.stage(d.upper(spark, sf_dir), "upper"), ordered.stage(d.sizes(d.disk(spark, sf_dir, 1)), "sizes"), at, 16, kind)
+    return images.read_images(spark, at, kind=kind).select("disk", "block_size", "n_blocks", "idx", F.lower(F.hex("data")).alias("data"))
 
 
 @query(f"with {d.DISKS} select disk, 16 as block_size, n_blocks, idx, data from upper join sizes using (disk)")
@@ -587,3 +588,24 @@ def q67_restore(spark, sf_dir):
     prompts = states.where("n % 2 = 0").select("state_id", F.concat(F.lit("go on from "), F.col("value").cast("string")).alias("prompt"))
     wanted = states.select(F.when(F.col("n") % 3 == 2, F.concat(F.lit("lost-"), F.col("state_id"))).otherwise(F.col("state_id")).alias("state_id"), F.concat("state_id", F.lit("-box")).alias("sandbox_id"))
     return lineage.restore(states, prompts, wanted)
+
+
+@query(f"with {d.DISKS}, placed as (select disk, idx, idx - row_number() over (partition by disk order by idx) as run from upper) select disk, min(idx) as idx, count(*) as n from placed group by disk, run")
+def q68_dirty_runs(spark, sf_dir):
+    """Which blocks of each disk differ from its base, as runs of neighbours."""
+    return delta.dirty_runs(d.upper(spark, sf_dir))
+
+
+@query(f"with {d.DISKS} select disk, n_blocks, n_blocks * 16 as len, (select count(*) from upper u where u.disk = sizes.disk) as n_dirty from sizes")
+def q69_written_images(spark, sf_dir):
+    """What is told of the memory images that were written."""
+    upper, sizes = ordered.stage(d.upper(spark, sf_dir), "upper"), ordered.stage(d.sizes(d.disk(spark, sf_dir, 1)), "sizes")
+    return images.write_packed(upper, sizes, ordered.shared_path(spark, "images"), 16, images.MEMORY)
+
+
+@query(f"with {d.DISKS}, every as (select disk, n_blocks, unnest(range(n_blocks)) as idx from sizes) select disk, n_blocks, idx, coalesce(u.data, b.data, repeat('0', 32)) as data from every left join upper u using (disk, idx) left join base b using (disk, idx)")
+def q70_dense_files(spark, sf_dir):
+    """Each disk written as a dense image over its base, and read back from the file."""
+    at = ordered.shared_path(spark, "dense")
+    images.write_dense(ordered.stage(d.upper(spark, sf_dir), "upper"), ordered.stage(d.sizes(d.disk(spark, sf_dir, 1)), "sizes"), at, 16, ordered.stage(d.disk(spark, sf_dir, 0), "base"))
+    return images.read_images(spark, at, dense_size=16).select("disk", "n_blocks", "idx", F.lower(F.hex("data")).alias("data"))
