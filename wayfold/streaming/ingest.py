@@ -5,11 +5,11 @@ A file source does not see that an object was rewritten in place: corrections ne
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.ordered import stored
 from ..operators.upsert import partial_upsert
 
 
@@ -26,10 +26,10 @@ def _ends(writes: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """All that is stored at ``path``, with ``batch`` and ``base``: the latest base and the batches after it; None if nothing is."""
-    try:
-        rows = spark.read.option("basePath", path).parquet(path).withColumns({"base": F.col("base").cast("boolean"), "batch": F.col("batch").cast("long")})
-    except AnalysisException:
+    # What is there and cannot be read is an error, not an empty table.
+    if not any(stored(spark, f"{path}/base={kind}") for kind in ("true", "false")):
         return None
+    rows = spark.read.option("basePath", path).parquet(path).withColumns({"base": F.col("base").cast("boolean"), "batch": F.col("batch").cast("long")})
     upto = rows.where("base").agg(F.max("batch")).first()[0]
     return rows if upto is None else rows.where((F.col("base") & (F.col("batch") == upto)) | (~F.col("base") & (F.col("batch") > upto)))
 
