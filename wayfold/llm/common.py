@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.ordered import HOT_SHARE, by_size, numbered, ordered, running, shared_path, small, stage, with_facts
+from ..operators.ordered import HOT_SHARE, by_size, numbered, ordered, running, shared_path, small, stage, stored, with_facts
 
-__all__ = ["HOT_SHARE", "by_size", "new_path", "numbered", "ordered", "running", "small", "stage", "table", "with_facts", "worker_memory"]
+__all__ = ["HOT_SHARE", "by_size", "new_path", "numbered", "ordered", "running", "small", "stage", "stored", "table", "with_facts", "worker_memory"]
 
 new_path = shared_path
 

@@ -1,17 +1,17 @@
 """Sharding by fixed virtual slots (operator 6, DataFrame functions only).
 
 Records are hashed into a fixed number of virtual slots, bytes are summed per slot, and a versioned
-slot-to-shard map says where each slot lives. Rebalancing edits the map and leaves the hash alone. A key that
-weighs as much as many slots has a slot of its own in the map, so that it can be placed by itself.
+slot-to-shard map says where each slot lives. Rebalancing edits the map and leaves the hash alone: for more shards slots
+move to the new ones, for fewer those of the shards that go. A key that weighs as much as many slots has a slot of its
+own in the map, so that it can be placed by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, numbered, ordered, running, stage, table
+from .common import new_path, numbered, ordered, running, small, stage, stored, table
 
 N_SLOTS = 4096
 #: A key that weighs more than this share of a mean shard is heavy; there are fewer than its inverse for each shard.
@@ -53,27 +53,38 @@ def rebalance(held: list[int], slot_bytes: list[int], n_shards: int, tolerance:
 
 
 def packed(heavy: dict[int, int], held: dict[int, int], n_shards: int, mean: float) -> dict[int, int]:
-    """Shards for the keys of ``heavy`` (key to weight) that can stay whole: the heaviest first, each where it was
-    held if it fits there, else on the emptiest shard. Keys that no shard has room for, up to the mean, are left out."""
+    """Shards for the keys of ``heavy`` (key to weight), all whole: the heaviest first, each where it was held if that
+    leaves the shard within the mean or it is the emptiest, else on the emptiest shard."""
     load, to = [0] * n_shards, {}
     for key, weight in sorted(heavy.items(), key=lambda x: (-x[1], x[0])):
         best = min(range(n_shards), key=lambda s: (load[s], s))
         at = held.get(key, best)
-        at = at if at < n_shards and load[at] + weight <= mean else best
-        if load[at] + weight <= mean:
-            to[key] = at
-            load[at] += weight
+        at = at if at < n_shards and (load[at] + weight <= mean or load[at] == load[best]) else best
+        to[key] = at
+        load[at] += weight
     return to
 
 
-def grow(held: list[int], slot_bytes: list[int], n_shards: int) -> list[int]:
-    """The map for one more shard: slots leave the fullest shards for the new one, and none moves elsewhere."""
+def shrink(held: list[int], slot_bytes: list[int], n_shards: int) -> list[int]:
+    """The map for ``n_shards`` shards, fewer than there were: the slots of the shards that go move to the emptiest of the others, and none moves elsewhere."""
+    to, load = list(held), [0] * n_shards
+    for s, shard in enumerate(to):
+        if shard < n_shards:
+            load[shard] += slot_bytes[s]
+    for s in sorted((s for s, shard in enumerate(to) if shard >= n_shards), key=lambda s: (-slot_bytes[s], s)):
+        to[s] = min(range(n_shards), key=lambda i: (load[i], i))
+        load[to[s]] += slot_bytes[s]
+    return to
+
+
+def grow(held: list[int], slot_bytes: list[int], n_shards: int, fixed: frozenset[int] = frozenset()) -> list[int]:
+    """The map for one more shard: slots leave the fullest shards for the new one, and none moves elsewhere; slots of ``fixed`` stay."""
     to, load = list(held), [0] * (n_shards + 1)
     for s, shard in enumerate(to):
         load[shard] += slot_bytes[s]
     share = sum(load) / (n_shards + 1)
     for s in sorted(range(len(to)), key=lambda s: (-slot_bytes[s], s)):
-        if load[to[s]] - slot_bytes[s] / 2 >= share and load[n_shards] + slot_bytes[s] / 2 <= share:
+        if s not in fixed and to[s] < n_shards and load[to[s]] - slot_bytes[s] / 2 >= share and load[n_shards] + slot_bytes[s] / 2 <= share:
             load[to[s]] -= slot_bytes[s]
             load[n_shards] += slot_bytes[s]
             to[s] = n_shards
@@ -92,11 +103,10 @@ def write_map(spark: SparkSession, path: str, version: int, to: list[int], heavy
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame | None:
-    """The latest version of the map at ``path``; None if there is none."""
-    try:
-        rows = spark.read.schema(MAP).parquet(path)
-    except AnalysisException:
+    """The latest version of the map at ``path``; None if there is none. A map that is there and cannot be read is an error."""
+    if not stored(spark, path):
         return None
+    rows = spark.read.schema(MAP).parquet(path)
     latest = rows.agg(F.max("version")).first()[0]
     return None if latest is None else rows.where(F.col("version") == latest)
 
@@ -111,49 +121,57 @@ def shard_by_slots(rows: DataFrame, key: Column, row_id: Column, size: Column, n
     """Deal ``rows`` to shards of near equal ``size``; equal ``key`` values share a slot and so a shard.
 
     Returns the columns of ``keep``, with ``size``, ``virtual_slot``, ``map_version``, ``shard`` and ``slot``
-    (the row's place in its shard, gapless from 0). Every key that weighs a mean shard at most stays whole: heavy
-    ones are placed first, the heaviest before the others, then the slots of all others are moved until sizes are
-    near equal. A key is spread over all slots, by its rows' numbers within it, only if it weighs more than a
-    mean shard or if the heavier ones leave no shard with room for it; else no near equal sizes exist.
-
-    The map at ``map_path`` (a new one if None) is read, edited and stored as its next version, so that a slot
-    moves only where the sizes ask for it. Null keys and ids hash like any value; rows that are alike in all are
-    told apart by number alone; an empty table gives an empty result. The input is read once; every later step
-    reads its staged digest. Places are counted over range partitions, so neither a shard nor a key is one task's.
+    (the row's place in its shard, gapless from 0). Every key that weighs a mean shard at most stays whole, even where
+    sizes are the less equal for it: heavy ones are placed first, the heaviest before the others, then the slots of all
+    others are moved until sizes are near equal. Only a key that weighs more than a mean shard is spread, over all
+    slots, by its rows' numbers within it.
+
+    The map at ``map_path`` (a new one if None) is read, edited and stored as its next version. It keeps its number of
+    slots, whatever ``n_slots``. For more shards than it has, slots move to the new ones alone, for fewer those of the shards
+    that go; beyond that a slot moves only where the sizes ask for it. Null keys and ids hash like any value; rows that are
+    alike in all are told apart by number alone; an empty table gives an empty result. The input is read once; every later
+    step reads its staged digest. Places are counted over range partitions, so neither a shard nor a key is one task's.
     """
     spark, path = rows.sparkSession, map_path or new_path(rows.sparkSession, "shard-map")
+    version, held, held_heavy = held_map(read_map(spark, path))
+    n_slots = len(held) or n_slots
     # The hashed names cannot clash with the caller's columns: only what is kept and hashed goes on.
     kept = F.struct(F.lit(0).alias("_"), *[c.alias(n) for n, c in (keep or {}).items()])
     digest = stage(rows.select(kept.alias("kept"), size.cast("long").alias("size"), F.xxhash64(key).alias("k"), F.xxhash64(row_id, key).alias("r"), F.monotonically_increasing_id().alias("row")), "shard-digest")
-    total = digest.agg(F.sum("size")).first()[0] or 0
-    mean = total / n_shards
-    keys = digest.groupBy("k").agg(F.sum("size").alias("w")).where(F.col("w") > HEAVY_SHARE * mean)
-    heavy = {k: w for k, w in keys.collect()}  # fewer than n_shards / HEAVY_SHARE
-    version, held, held_heavy = held_map(read_map(spark, path))
-    whole = packed(heavy, held_heavy, n_shards, mean)
-    spread = [k for k in heavy if k not in whole]
+    mean = (digest.agg(F.sum("size")).first()[0] or 0) / n_shards
+    # Fewer than n_shards / HEAVY_SHARE.
+    keys = stage(digest.groupBy("k").agg(F.sum("size").alias("w")).where(F.col("w") > HEAVY_SHARE * mean).select("k", "w", (F.col("w") > mean).alias("spread")), "shard-heavy")
+    whole = {r["k"]: r["w"] for r in keys.where("not spread").collect()}
+    placed_whole = packed(whole, held_heavy, n_shards, mean)
 
     columns = ["kept", "size", "k", "r", "row"]
     hashed = lambda c: F.pmod(c, F.lit(n_slots)).cast("int").alias("virtual_slot")
-    own = F.lit(None).cast("int")
-    for n, k in enumerate(whole):
-        own = F.when(F.col("k") == k, n_slots + n).otherwise(own)
-    slotted = digest.where(~F.col("k").isin(spread)).select(*columns, F.coalesce(own, hashed(F.col("k"))).alias("virtual_slot"))
-    if spread:
-        parted = numbered(digest.where(F.col("k").isin(spread)), ["k"], ["r", "row"])
+    marked = digest.join(small(keys.select("k", "spread")), "k", "left")
+    slotted = marked.where("spread is null or not spread").select(*columns, F.when(F.col("spread").isNull(), hashed(F.col("k"))).alias("virtual_slot"))
+    if keys.where("spread").take(1):
+        parted = numbered(stage(marked.where("spread").select(*columns), "shard-spread"), ["k"], ["r", "row"])
         slotted = slotted.unionByName(parted.select(*columns, hashed(F.col("nth"))))
     slotted = stage(slotted, "shard-slotted")
 
-    slot_bytes = [0] * n_slots + [heavy[k] for k in whole]
-    for virtual_slot, n_bytes in slotted.where(F.col("virtual_slot") < n_slots).groupBy("virtual_slot").agg(F.sum("size")).collect():  # n_slots rows at most
+    slot_bytes = [0] * n_slots + [whole[k] for k in placed_whole]
+    for virtual_slot, n_bytes in slotted.where("virtual_slot is not null").groupBy("virtual_slot").agg(F.sum("size")).collect():  # n_slots rows at most
         slot_bytes[virtual_slot] = n_bytes
-    held = held if len(held) == n_slots and max(held) < n_shards else first_map(n_slots, n_shards)
-    to = rebalance(held + list(whole.values()), slot_bytes, n_shards, fixed=frozenset(range(n_slots, len(slot_bytes))))
-    write_map(spark, path, version + 1, to[:n_slots], whole)
-    latest = read_map(spark, path).select(F.col("version").alias("map_version"), F.col("slot").alias("virtual_slot"), "shard")
-
-    # As many rows as the map: a few thousand.
-    placed = running(ordered(slotted.join(F.broadcast(latest), "virtual_slot"), ["shard"], ["virtual_slot", "r", "row"]), ["shard"], {"nth": F.lit(1)})
+    to = (held or first_map(n_slots, n_shards)) + list(placed_whole.values())
+    fixed = frozenset(range(n_slots, len(slot_bytes)))
+    if max(to) >= n_shards:
+        to = shrink(to, slot_bytes, n_shards)
+    for n in range(max(to[:n_slots]) + 1, n_shards):
+        to = grow(to, slot_bytes, n, fixed)
+    to = rebalance(to, slot_bytes, n_shards, fixed=fixed)
+    write_map(spark, path, version + 1, to[:n_slots], placed_whole)
+    latest = stage(read_map(spark, path).select(F.col("version").alias("map_version"), F.col("slot").alias("map_slot"), "key", F.col("shard").alias("map_shard")), "shard-map")
+
+    # As many rows as the map: its slots, a few thousand, and eight heavy keys a shard at most.
+    by_slot, by_key = small(latest.where("key is null").drop("key")), small(latest.where("key is not null"))
+    light = slotted.where("virtual_slot is not null").join(by_slot, F.col("virtual_slot") == F.col("map_slot"))
+    heavy = slotted.where("virtual_slot is null").join(by_key, F.col("k") == F.col("key"))
+    named = [*columns, F.col("map_slot").alias("virtual_slot"), "map_version", F.col("map_shard").alias("shard")]
+    placed = running(ordered(light.select(*named).unionByName(heavy.select(*named)), ["shard"], ["virtual_slot", "r", "row"]), ["shard"], {"nth": F.lit(1)})
     return placed.select(*[F.col("kept")[n].alias(n) for n in keep or {}], "size", "virtual_slot", "map_version", "shard", (F.col("nth") - 1).cast("long").alias("slot"))
 
 
