@@ -532,6 +532,30 @@ def test_language_features_and_votes_equal_brute_force(monkeypatch):
     assert all(loss(w, bias) <= loss(w + 0.02 * rng.randn(8), bias + 0.02 * rng.randn()) + 1e-4 for _ in range(300))
 
 
+def test_no_language_is_too_rare(monkeypatch):
+    """Every labelled language is learned, also beyond the families that are kept apart; alike ones end up in one family."""
+    import pandas as pd
+
+    monkeypatch.setattr(language, "MOST_FAMILIES", 6)
+    rng = random.Random(9)
+    stems = {f"l{i:02d}": [f"{chr(97 + i // 4)}{chr(97 + i % 4)}{rng.choice('xyz')}{k}" for k in "abcdefgh"] for i in range(40)}
+    said = lambda v: " ".join(rng.choices(stems[v], k=30))
+    rows = pd.DataFrame([(said(v), v) for v in stems for _ in range(8)], columns=["text", "lang"])
+    model = language.fit(rows)
+    assert len(model["families"]["kinds"]) == 6 and sorted(v for m in model["within"].values() for v in m["kinds"]) == sorted(stems)
+    assert max(len(m["kinds"]) for m in model["within"].values()) <= 14
+    asked = [v for v in stems for _ in range(3)]
+    got, _ = language.predict([said(v) for v in asked], model)
+    assert sum(a == b for a, b in zip(asked, got)) / len(asked) > 0.95
+
+
+def test_sample_takes_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 50)
+    df = spark.range(30_000).selectExpr("id", "concat('text ', id) as text", "case when id < 300 then concat('rare', id) else concat('l', id % 3) end as lang")
+    counts = Counter(language.sample(df, "id", 50)["lang"])
+    assert len(counts) == 303 and all(counts[f"rare{i}"] == 1 for i in range(300)) and all(4 <= counts[f"l{i}"] <= 40 for i in range(3))
+
+
 def test_language_edges(spark):
     given = [(100 + i, t, lang, "s", 1) for i in range(40) for t, lang in ((f"the house and the river {i}", "en"), (f"das haus und der fluss {i}", "de"))]
     df = frame(spark, given + ODD)

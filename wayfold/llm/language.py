@@ -24,10 +24,12 @@ N_GRAMS = (1, 2, 3, 4)
 UNDETERMINED = "und"
 #: Bytes of a text that are counted at a time.
 SLICE = 1 << 20
-#: The bound of the labelled sample that the machines are fitted on: about so many rows, of whole texts of so
-#: many characters at most, in the so many most frequent languages; rarer ones are unknown to the model. It also
-#: bounds the model: at most so many choose two machines of ``BINS`` numbers (650 MB if no two share a family).
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS = 3200, 20_000, 200
+#: The bound of the labelled sample that the machines are fitted on: about so many rows, of whole texts of so many
+#: characters at most, as many of each language, but at least ``LANG_ROWS`` of each. Every language that is labelled is learned.
+SAMPLE_ROWS, SAMPLE_CHARS, LANG_ROWS = 3200, 20_000, 16
+#: More families than this are merged by likeness, so that a model of very many languages has machines for related ones alone:
+#: 1,128 between families, and for L languages some L * L / 96 within them, of ``BINS`` numbers each.
+MOST_FAMILIES = 48
 LETTER = regex.compile(r"\p{L}")
 #: Language families by code. A language that is missing here is a family of its own.
 FAMILIES = {
@@ -83,13 +85,37 @@ def fit_pairs(x: np.ndarray, names: np.ndarray) -> dict:
     return {"kinds": kinds, "pairs": [(i, j) for i, j, _, _ in machines], "w": np.stack([m[2] for m in machines], 1) if machines else np.zeros((x.shape[1], 0), "float32"), "b": np.array([m[3] for m in machines], "float32")}
 
 
+def families(langs: np.ndarray, texts: np.ndarray) -> dict[str, str]:
+    """The family of each language: by its code, or one of its own. While there are more than ``MOST_FAMILIES``, the smallest
+    joins the one whose mean text is most like its own, of those that are not large already."""
+    of = {v: FAMILY_OF.get(v, v) for v in sorted(set(langs))}
+    members: dict[str, list[str]] = {}
+    for v, f in of.items():
+        members.setdefault(f, []).append(v)
+    if len(members) <= MOST_FAMILIES:
+        return of
+    mean = {f: np.zeros(BINS, "float64") for f in members}
+    for v, t in zip(langs, texts):
+        mean[of[v]] += features(t)
+    room = 2 * -(-len(of) // MOST_FAMILIES)
+    while len(members) > MOST_FAMILIES:
+        small = min(members, key=lambda f: (len(members[f]), f))
+        others = [f for f in members if f != small and len(members[f]) + len(members[small]) <= room] or [f for f in members if f != small]
+        unit = lambda f: mean[f] / max(float(np.sqrt(mean[f] @ mean[f])), 1e-9)
+        to = max(others, key=lambda f: (float(unit(f) @ unit(small)), f))
+        members[to] += members.pop(small)
+        mean[to] += mean.pop(small)
+    return {v: f for f, vs in members.items() for v in vs}
+
+
 def fit(labelled: pd.DataFrame) -> dict:
     """A model from rows (text, lang): machines between families, and between the languages of each."""
     rows = labelled[[bool(t) and bool(LETTER.search(t)) for t in labelled["text"]]]
     if not len(rows):
         return {"families": None, "within": {}}
     langs = rows["lang"].to_numpy(object)
-    family = np.array([FAMILY_OF.get(v, v) for v in langs], object)
+    of = families(langs, rows["text"].to_numpy(object))
+    family = np.array([of[v] for v in langs], object)
     # The sample's matrix is the driver's largest value: it is made once, in order of family, and cut without copies.
     order = np.argsort(family, kind="stable")
     langs, family, texts = langs[order], family[order], rows["text"].to_numpy(object)[order]
@@ -137,16 +163,17 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
 
 
 def sample(labelled: DataFrame, key: str, max_rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """At most about ``max_rows`` labelled rows, as many of each language, chosen by a hash of ``key``."""
+    """About ``max_rows`` labelled rows, or ``LANG_ROWS`` of each language if that is more, chosen by a hash of ``key``; as many of each language."""
     labelled = labelled.where(F.length("text") <= SAMPLE_CHARS)
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(SAMPLE_LANGS).collect()}
+    # One row a language.
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
-    share = max_rows / len(counts)
+    share = max(max_rows / len(counts), LANG_ROWS)
     part = F.pmod(F.xxhash64(key, F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    # A rare language is taken whole: by its rate alone it might have no row.
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, share / n)])
-    picked = labelled.where(part < rate[F.col("lang")]).select("text", "lang").limit(2 * max_rows)
-    return picked.toPandas()
+    return labelled.where(part < rate[F.col("lang")]).select("text", "lang").toPandas()
 
 
 def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
