@@ -271,7 +271,8 @@ def linked(docs: DataFrame) -> DataFrame:
     members = reps.select("key", "n", "sig", band).select("key", "n", "band", F.xxhash64(F.substring("sig", F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS)), "band").alias("b"))
     buckets = stage(members.groupBy("b").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "near-buckets")
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least(F.col("size"), F.col("shingles") / BLOCK_SHINGLES))).cast("int")
-    dealt = with_facts(members, buckets, "b", F.col("size") > HOT_SHARE * BANDS * reps.count()).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    n_sets = reps.count()
+    dealt = with_facts(members, buckets, "b", F.col("size") > HOT_SHARE * BANDS * n_sets).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = dealt.select("key", "band", "b", "mine", other).select("key", "band", "b", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine")
     rows = stage(cells, "near-cells").join(reps.select("key", "n", "sig"), "key").repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj", "key")
@@ -288,12 +289,15 @@ def linked(docs: DataFrame) -> DataFrame:
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    named = reps.select("key", "least", "copies").join(links, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left").select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("label", "key").alias("label"))
+    named = reps.select("key", "least", "copies").join(links, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left").select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("label", "key").alias("label"), "copies")
     named = stage(named, "near-named")
-    classes = named.groupBy("label").agg(F.min("least").alias("head"))
-    of_key = named.join(classes, "label").select("key", "head", "n_links")
+    classes = named.groupBy("label").agg(F.min("least").alias("head"), F.count("*").alias("held"))
+    # Copies of one set, and the sets of one class, may be a large share of all: their rows stay where they are.
+    classes = stage(classes, "near-classes")
+    of_key = with_facts(named, classes, "label", F.col("held") > HOT_SHARE * n_sets).select("key", "head", "n_links", "copies")
+    of_key = stage(of_key, "near-of-key")
     is_first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
-    out = digest.where("n > 0").select("doc_id", "text_hash", "key").join(of_key, "key").select("doc_id", "text_hash", F.col("head.doc_id").alias("class_id"), "n_links", is_first.alias("first"))
+    out = with_facts(digest.where("n > 0").select("doc_id", "text_hash", "key"), of_key, "key", F.col("copies") > HOT_SHARE * n_sets).select("doc_id", "text_hash", F.col("head.doc_id").alias("class_id"), "n_links", is_first.alias("first"))
     return out.unionByName(digest.where("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")))
 
 
