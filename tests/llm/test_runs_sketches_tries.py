@@ -12,7 +12,7 @@ import pytest
 
 from tests.conftest import SF
 from tests.llm.test_text_ops import frame
-from wayfold.llm import periodic_runs, prefix_trie, registry, sketch_dedup
+from wayfold.llm import ngram_join, periodic_runs, prefix_trie, registry, sketch_dedup
 from wayfold.operators import ordered
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,12 +138,12 @@ def copies(rnd, base, n, edits):
         yield " ".join(words)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_components_equal_all_pairs(spark, monkeypatch, rounds):
-    """Groups of near copies, a chain of drifting copies, borderline pairs; without pivots all pairs meet in the last step's blocks."""
-    monkeypatch.setattr(sketch_dedup, "ROUNDS", rounds)
-    monkeypatch.setattr(sketch_dedup, "BLOCK", 16)
-    rnd = random.Random(12 + rounds)
+@pytest.mark.parametrize("block", [16, 256])
+def test_components_equal_all_pairs(spark, monkeypatch, block):
+    """Groups of near copies, a chain of drifting copies, borderline pairs, in buckets of one block and of many."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(sketch_dedup, "PAIRS", 3 * block)
+    rnd = random.Random(12 + block)
     word = lambda: f"v{rnd.randrange(5000)}"
     texts = [None, "", " \t ", "one", "ONE", "two words", "Ä b c", "ä b c", "a b c d", "A B\x0bC\nd"]
     for _ in range(6):
@@ -159,7 +159,7 @@ def test_components_equal_all_pairs(spark, monkeypatch, rounds):
 
 
 def test_large_groups_of_copies(spark):
-    """A third are one text, another third near copies of one: every link is found, and the pivots leave next to nothing for the blocks."""
+    """A third are one text, another third near copies of one: every link is found."""
     rnd = random.Random(5)
     base = [f"b{i}" for i in range(100)]
     texts = ["same text every time it is"] * 1500 + list(copies(rnd, base, 1500, 3)) + [" ".join(f"r{rnd.randrange(10**5)}" for _ in range(30)) for _ in range(1500)]

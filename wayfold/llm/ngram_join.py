@@ -158,7 +158,7 @@ def pairs(starts: np.ndarray, sizes: np.ndarray, cross: np.ndarray, mine: np.nda
                 yield a[meet], b[meet]
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Tables of whole cells, with each cell's first row and size; rows come sorted by (b, bi, bj)."""
     held: list[pa.RecordBatch] = []
 
@@ -189,7 +189,7 @@ def _columns(t: pa.Table):
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of members of at least one pair that stays."""
-    for t, starts, sizes in _by_cell(batches):
+    for t, starts, sizes in by_cell(batches):
         sig, n, band, mine, cross = _columns(t)
         found = np.zeros(t.num_rows, bool)
         for a, b in pairs(starts, sizes, cross, mine):
@@ -230,7 +230,7 @@ def least_linked(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each linked member of a cell: (key, links, root), links being the copies of its partners."""
-    for t, starts, sizes in _by_cell(batches):
+    for t, starts, sizes in by_cell(batches):
         sig, n, band, mine, cross = _columns(t)
         keys, copies = t.column("key").to_pylist(), t.column("copies").to_numpy()
         grams = [np.frombuffer(g, "uint64") for g in t.column("grams").to_pylist()]
@@ -257,6 +257,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], "binary"), pa.array(links[some], "int64"), pa.array([keys[i] for i in root[some]], "binary")], ["key", "links", "root"])
 
 
+def in_cells(members: DataFrame, reps: DataFrame, n_sets: int, bands: int) -> DataFrame:
+    """(key, band, b, bi, bj, mine, n, sig): the ``members`` (key, n, band, b) of every bucket b of two or more, with the
+    signature that ``reps`` (key, n, sig) has of each, sorted by cell.
+
+    A bucket is dealt to blocks; a cell is one block with itself (bi = bj) or two of them, ``mine`` the member's own block.
+    """
+    buckets = stage(members.groupBy("b").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "near-buckets")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least(F.col("size"), F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    dealt = with_facts(members, buckets, "b", F.col("size") > HOT_SHARE * bands * n_sets).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # A member meets its signature once a bucket and takes it along to its cells.
+    dealt = stage(dealt.select("key", "band", "b", "mine", "blocks"), "near-dealt").join(reps.select("key", "n", "sig"), "key")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = dealt.select("key", "band", "b", "mine", "n", "sig", other).select("key", "band", "b", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "n", "sig")
+    return cells.repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj", "key")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, class_id, n_links, first) for each row of ``docs`` (doc_id, text).
 
@@ -269,13 +285,8 @@ def linked(docs: DataFrame) -> DataFrame:
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     members = reps.select("key", "n", "sig", band).select("key", "n", "band", F.xxhash64(F.substring("sig", F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS)), "band").alias("b"))
-    buckets = stage(members.groupBy("b").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "near-buckets")
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least(F.col("size"), F.col("shingles") / BLOCK_SHINGLES))).cast("int")
     n_sets = reps.count()
-    dealt = with_facts(members, buckets, "b", F.col("size") > HOT_SHARE * BANDS * n_sets).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = dealt.select("key", "band", "b", "mine", other).select("key", "band", "b", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine")
-    rows = stage(cells, "near-cells").join(reps.select("key", "n", "sig"), "key").repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj", "key")
+    rows = in_cells(members, reps, n_sets, BANDS)
     kept = stage(rows.mapInArrow(_prune, rows.schema), "near-kept")
 
     # One text of each set that is still in play, read again from the documents.

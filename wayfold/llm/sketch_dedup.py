@@ -5,15 +5,14 @@ a coordinate keeps the least value of the first round that reached it. What T ro
 more round each, in which all shingles go to that coordinate. So every coordinate is filled whatever the set's size,
 and the share of coordinates in which two sketches agree keeps close to the similarity.
 
-Sets that share a band of their sketches meet in a bucket. Only components are asked for, so no bucket compares all its
-pairs: in each round its members meet one of them, its pivot; each set is verified, on the whole sets, with the pivot
-whose sketch agrees most with its own, and what is linked needs no more comparison. What is left after ``ROUNDS`` are the members outside
-their bucket's main component: each of these meets all other components' members, in blocks. Verification is exact.
+Sets that share a band of their sketches meet in a bucket, a large bucket in cells of two blocks each. Pairs whose sketches
+agree are verified on the whole sets, exactly. Only components are asked for: a pair that its cell has joined already is
+not verified again, and a cell gives each linked member the first member of its component there, no pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, stage, table, with_facts, worker_memory
 from .graph import components
-from .ngram_join import MEMO_SIZE, set_key, word_grams
+from .ngram_join import MEMO_SIZE, by_cell, in_cells, least_linked, pairs, set_key, shared, word_grams
 
 SHINGLE_WORDS = 4
 #: The similarity, as a ratio of whole numbers so that the test is exact.
@@ -35,8 +34,8 @@ T = BANDS * BAND_ROWS
 SPREAD = 1024
 #: Chance that the sketches of a pair at 0.8 agree too seldom for the pair to be verified.
 TOLERANCE = 1e-10
-#: Rounds of pivots, and members of a block after them.
-ROUNDS, BLOCK = 2, 256
+#: Pairs of a cell that are compared at a time.
+PAIRS = 50_000
 _VALUE = np.uint64(49)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _seeds = np.random.RandomState(20250311)
@@ -96,137 +95,63 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             sets = [g for g in text_grams(whole.slice(at, 500).column(0).to_pylist()) if len(g)]
-            ends = np.cumsum([0, *map(len, sets)], dtype="int32")
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "uint64"), *sets]).view("int64")))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in sets], "binary"), grams], ["key", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in sets], "binary"), pa.array([g.tobytes() for g in sets], "binary")], ["key", "grams"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, T)
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose sketches ``sig_a`` and ``sig_b`` agree often enough, and how often they do."""
+def agreeing(t: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The function that tells which pairs of rows of ``t`` are to be verified: sizes within the ratio, sketches that agree often
+    enough, met in the first band that they share."""
+    sig, n, band = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, T), t["n"].to_numpy(), t["band"].to_numpy()
     least = least_agreement()
-    for batch in batches:
-        if batch.num_rows:
-            equal = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(1)
-            yield batch.select(["a", "b"]).append_column("equal", pa.array(equal, "int32")).filter(pa.array(equal >= least))
-
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each cell, a member outside the main component with one of another, whose sketches agree; rows come sorted by cell.
-
-    A pair that shares several bands is given in the first one's cell, one of two outsiders by the lesser.
-    """
-    least, held = least_agreement(), []
-
-    def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, labels, outside = (np.array(rows[c].to_pylist(), object) for c in ("key", "label", "outside"))
-        sig, n, band, minor = _matrix(rows["sig"]), rows["n"].to_numpy(), rows["band"][0].as_py(), rows["minor"].to_numpy()
-        mine, others, a, b = np.flatnonzero(minor), np.flatnonzero(~minor), [], []
-        for i in mine:
-            j = others[(labels[others] != labels[i]) & (~outside[others].astype(bool) | (keys[others] > keys[i]))]
-            small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-            j = j[NEAR[1] * small >= NEAR[0] * large]
-            equal = sig[j] == sig[i]
-            bands = equal.reshape(-1, BANDS, BAND_ROWS).all(2)
-            j = j[(equal.sum(1) >= least) & bands.any(1) & (bands.argmax(1) == band)]
-            a += [keys[i]] * len(j)
-            b += keys[j].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, "binary"), pa.array(b, "binary")], ["a", "b"])
-
-    def cut(last: bool) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        ids = np.stack([rows[c].to_numpy() for c in ("b", "bi", "bj")])
-        starts = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)])).tolist() + [len(rows)] * last
-        for lo, hi in zip(starts, starts[1:]):
-            yield from cell(rows.slice(lo, hi - lo))
-        held[:] = [] if last else rows.slice(starts[-1]).to_batches()
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            yield from cut(False)
-    if held:
-        yield from cut(True)
-
-
-class Sketched:
-    """The sets of a table of documents, and the links found between them so far."""
-
-    def __init__(self, docs: DataFrame):
-        self.docs = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
-        self.digest = stage(self.docs.mapInArrow(_digests, self.docs.select("doc_id", "text_hash").schema.add("key", "binary").add("n", "long").add("sig", "binary")), "sketch-digest")
-        row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-        self.sets = stage(self.digest.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(row).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sketch-sets")
-        self.n_sets = self.sets.count()
-        self.edges: DataFrame | None = None
-        self.labels = self.sets.select("key", F.col("key").alias("label"))
-
-    def members(self) -> DataFrame:
-        """(b, band, key) of every set in every bucket of two sets or more."""
-        band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-        all_of = self.sets.select("key", "sig", band).select(F.xxhash64(F.substring("sig", 2 * BAND_ROWS * F.col("band") + 1, F.lit(2 * BAND_ROWS)), "band").alias("b"), "band", "key")
-        buckets = stage(all_of.groupBy("b").agg(F.count("*").alias("size")).where("size > 1"), "sketch-buckets")
-        return stage(with_facts(all_of, buckets, "b", self.hot("size", BANDS)).drop("size"), "sketch-members")
-
-    def hot(self, count: str, times: int = 1):
-        return F.col(count) > HOT_SHARE * times * self.n_sets
-
-    def labelled(self, members: DataFrame) -> DataFrame:
-        return members.join(self.labels, "key").select("b", "band", "key", "label")
-
-    def with_sets(self, pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-        """``pairs`` (a, b) with ``facts`` (key, ``column``) of both; ``b``, a pivot, may be in very many pairs."""
-        count = pairs.groupBy("b").agg(F.count("*").alias("_pairs"))
-        pivots = stage(facts.withColumnRenamed("key", "b").withColumnRenamed(column, f"{column}_b").join(count, "b"), "sketch-side")
-        pairs = pairs.join(facts.withColumnRenamed("key", "a").withColumnRenamed(column, f"{column}_a"), "a")
-        return with_facts(pairs, pivots, "b", self.hot("_pairs")).drop("_pairs")
-
-    def link(self, pairs: DataFrame) -> None:
-        """Verify ``pairs`` (a, b), staged, whose sketches agree, and merge the components of those that are near."""
-        if not pairs.take(1):
-            return
-        # One text of each set that is in play, read again from the documents.
-        need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(self.sets.select("key", "least"), "key")
-        wanted = need.select(F.col("least.doc_id").alias("w_id"), F.col("least.text_hash").alias("w_hash"))
-        of = self.docs.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
-        grams = stage(of.mapInArrow(_sets, "key binary, grams array<bigint>").groupBy("key").agg(F.first("grams").alias("grams")), "sketch-grams")
-        both = F.size(F.array_intersect("grams_a", "grams_b"))
-        near = NEAR[1] * both >= NEAR[0] * (F.size("grams_a") + F.size("grams_b") - both)
-        new = stage(self.with_sets(pairs, grams, "grams").where(near).select("a", "b"), "sketch-links")
-        self.edges = new if self.edges is None else self.edges.unionByName(new)
-        found = stage(components(self.edges), "sketch-labels")
-        self.labels = stage(self.sets.select("key").join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("label", "key").alias("label")), "sketch-labelled")
-
-    def link_pivots(self, members: DataFrame, turn: int) -> None:
-        """Each bucket's members meet one of them; which one, a hash of ``turn`` says, alike in all buckets."""
-        now = stage(self.labelled(members), "sketch-now")
-        pivots = now.groupBy("b").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "label")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        pivots = stage(pivots.where("lo <> hi").select("b", F.col("pivot.key").alias("pivot"), F.col("pivot.label").alias("pivot_label"), "size"), "sketch-pivots")
-        met = with_facts(now, pivots, "b", self.hot("size", BANDS)).where("label <> pivot_label")
-        pairs = stage(met.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), "sketch-pairs")
-        agreeing = self.with_sets(pairs, self.sets.select("key", "sig"), "sig").mapInArrow(_agreeing, "a binary, b binary, equal int")
-        self.link(stage(agreeing.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")), "sketch-agreeing"))
-
-    def link_rest(self, members: DataFrame) -> None:
-        """Each member outside its bucket's main component meets the members of the others."""
-        now = stage(self.labelled(members), "sketch-now")
-        parts = now.groupBy("b", "label").agg(F.count("*").alias("n"))
-        main = parts.groupBy("b").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("size")).where("main.n < size")
-        main = stage(main.select("b", F.col("main.label").alias("main"), "size", (F.col("size") - F.col("main.n")).alias("minors")), "sketch-main")
-        rows = with_facts(now, main, "b", self.hot("size", BANDS)).withColumn("outside", F.col("label") != F.col("main"))
-        blocks, minor_blocks = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("minors") / BLOCK).cast("int")
-        place = lambda n: F.pmod(F.xxhash64("key", F.lit("place")), n).cast("int")
-        to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        columns = ["b", "band", "key", "label", "outside"]
-        each = rows.select(*columns, F.lit(False).alias("minor"), place(blocks).alias("bi"), to(minor_blocks).alias("bj"))
-        minor = rows.where("outside").select(*columns, F.lit(True).alias("minor"), to(blocks).alias("bi"), place(minor_blocks).alias("bj"))
-        cells = stage(each.unionByName(minor), "sketch-cells")
-        if cells.take(1):
-            full = cells.join(self.sets.select("key", "n", "sig"), "key").repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj", "key")
-            self.link(stage(full.mapInArrow(_meet, "a binary, b binary"), "sketch-agreeing"))
+    def stay(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = np.flatnonzero(NEAR[1] * np.minimum(n[a], n[b]) >= NEAR[0] * np.maximum(n[a], n[b]))
+        equal = sig[a[keep]] == sig[b[keep]]
+        some = np.flatnonzero(equal.sum(1) >= least)
+        keep, bands = keep[some], equal[some].reshape(-1, BANDS, BAND_ROWS).all(2)
+        return keep[bands.any(1) & (bands.argmax(1) == band[a[keep]])]
+
+    return stay
+
+
+def _pairs(t: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return pairs(starts, sizes, t["bi"].to_numpy() != t["bj"].to_numpy(), t["mine"].to_numpy(), PAIRS)
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of members of at least one pair that is to be verified."""
+    for t, starts, sizes in by_cell(batches):
+        stay, found = agreeing(t), np.zeros(t.num_rows, bool)
+        for a, b in _pairs(t, starts, sizes):
+            keep = stay(a, b)
+            found[a[keep]] = found[b[keep]] = True
+        yield from t.filter(pa.array(found)).to_batches()
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, root) for each linked member of a cell: the first member of its component there."""
+    for t, starts, sizes in by_cell(batches):
+        stay, keys, root, n = agreeing(t), t["key"].to_pylist(), np.arange(t.num_rows), t["n"].to_numpy()
+        grams = [np.frombuffer(g, "uint64") for g in t["grams"].to_pylist()]
+        for a, b in _pairs(t, starts, sizes):
+            keep = stay(a, b)
+            a, b = a[keep], b[keep]
+            cell = np.searchsorted(starts, a, "right") - 1
+            order = np.argsort(cell, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+                at = cell[part[0]]
+                lo, here, x, y = starts[at], np.arange(sizes[at]), a[part], b[part]
+                # A few at first: what they join needs no more comparison.
+                step = 64
+                while len(x):
+                    x, y, u, v = x[step:], y[step:], x[:step], y[:step]
+                    both = shared(grams, u, v)
+                    near = NEAR[1] * both >= NEAR[0] * (n[u] + n[v] - both)
+                    root[lo + here] = lo + least_linked(len(here), np.append(u[near] - lo, here), np.append(v[near] - lo, root[lo + here] - lo))
+                    apart = root[x] != root[y]
+                    x, y, step = x[apart], y[apart], 4 * step
+        some = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], "binary"), pa.array([keys[i] for i in root[some]], "binary")], ["a", "b"])
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -238,16 +163,31 @@ def near_components(docs: DataFrame) -> DataFrame:
     are separate rows; nulls are the greatest id, so a component of rows with null ids alone has a null component_id and
     its rows are kept. Texts are read whole; an empty table gives an empty result.
     """
-    state = Sketched(docs)
-    members = state.members()
-    for turn in range(ROUNDS):
-        state.link_pivots(members, turn)
-    state.link_rest(members)
-    named = state.sets.select("key", "copies", "least").join(state.labels, "key")
+    docs = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
+    digest = stage(docs.mapInArrow(_digests, docs.select("doc_id", "text_hash").schema.add("key", "binary").add("n", "long").add("sig", "binary")), "sketch-digest")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    sets = stage(digest.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(row).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sketch-sets")
+    n_sets = sets.count()
+
+    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
+    members = sets.select("key", "n", "sig", band).select("key", "n", "band", F.xxhash64(F.substring("sig", 2 * BAND_ROWS * F.col("band") + 1, F.lit(2 * BAND_ROWS)), "band").alias("b"))
+    rows = in_cells(members, sets, n_sets, BANDS)
+    kept = stage(rows.mapInArrow(_prune, rows.schema), "sketch-kept")
+
+    # One text of each set that is still in play, read again from the documents.
+    wanted = kept.select("key").distinct().join(sets.select("key", "least"), "key").select(F.col("least.doc_id").alias("w_id"), F.col("least.text_hash").alias("w_hash"))
+    texts = docs.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
+    grams = texts.mapInArrow(_sets, "key binary, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
+    rows = kept.join(grams, "key").repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj", "key")
+    found = stage(rows.mapInArrow(_verify, "a binary, b binary"), "sketch-links")
+
+    label = components(found)
+    named = stage(sets.select("key", "copies", "least").join(label.withColumnRenamed("node", "key"), "key", "left").select("key", "copies", "least", F.coalesce("label", "key").alias("label")), "sketch-named")
     heads = stage(named.groupBy("label").agg(F.min("least").alias("head"), F.count("*").alias("held")), "sketch-heads")
-    of_set = stage(with_facts(named, heads, "label", state.hot("held")).select("key", "copies", F.col("head.doc_id").alias("component_id")), "sketch-named")
-    digest = state.digest.select("doc_id", "key", F.col("n").alias("n_shingles"))
-    out = with_facts(digest.where("key is not null"), of_set, "key", state.hot("copies")).select("doc_id", "n_shingles", "component_id")
+    hot = lambda count: F.col(count) > HOT_SHARE * n_sets
+    of_set = stage(with_facts(named, heads, "label", hot("held")).select("key", "copies", F.col("head.doc_id").alias("component_id")), "sketch-of-set")
+    digest = digest.select("doc_id", "key", F.col("n").alias("n_shingles"))
+    out = with_facts(digest.where("key is not null"), of_set, "key", hot("copies")).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(digest.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
