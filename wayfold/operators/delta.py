@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import fixed_width, page_of
-from .ordered import numbered, stage
+from .ordered import HOT_SHARE, numbered, stage, with_facts
 
 BLOCK_SIZE = PAGE_SIZE = 4096
 
@@ -98,15 +98,41 @@ def reopen(stored: DataFrame, bases: DataFrame) -> DataFrame:
     return both.select("disk", F.coalesce("by_id", "by_uri").alias("base"), F.coalesce("upper", F.lit("upper")).alias("upper"))
 
 
-def locate(addresses: DataFrame, regions: DataFrame, bin_bytes: int = 1 << 20) -> DataFrame:
+#: Address bits below the sign: an interval of 2**62 is the largest that a region is cut into.
+LEVELS = 63
+
+
+def intervals(regions: DataFrame) -> DataFrame:
+    """``regions`` with (level, at): each region cut into whole intervals [at * 2**level, (at + 1) * 2**level), two a level at most."""
+    end, one = F.col("base") + F.col("size"), F.lit(1).cast("long")
+    cut = regions.where("size > 0").select("*", end.alias("_end"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    # The level's intervals that lie in the region; those that the next level's leave over are an odd first and an odd last one.
+    below = F.call_function("shiftleft", one, F.col("level")) - 1
+    lo = F.call_function("shiftright", F.col("base"), F.col("level")) + F.when(F.col("base").bitwiseAND(below) != 0, 1).otherwise(0)
+    hi = F.call_function("shiftright", F.col("_end"), F.col("level"))
+    ends = F.array(F.when(F.pmod("_lo", F.lit(2)) == 1, F.col("_lo")), F.when(F.pmod("_hi", F.lit(2)) == 1, F.col("_hi") - 1))
+    cut = cut.withColumns({"_lo": lo, "_hi": hi}).where("_lo < _hi")
+    return cut.withColumn("at", F.explode(F.array_compact(ends))).drop("_end", "_lo", "_hi")
+
+
+def locate(addresses: DataFrame, regions: DataFrame) -> DataFrame:
     """(address, region, page) of each address: the first region that holds it, by ordinal; null if none does.
 
-    ``regions`` has (region, base, size, offset, page_size). Both sides are cut into bins of ``bin_bytes``, so the
-    range join is an equi-join and a filter.
+    ``regions`` has (region, base, size, offset, page_size); they may overlap and nest, and hold from one byte to 2**62. Each is cut
+    into at most two intervals for each power of two, and an interval keeps its first region alone. An address lies in
+    one interval of each length that occurs, so the range join is an equi-join of at most 63 rows an address. Intervals that very many
+    addresses lie in are broadcast, so their rows stay in place. Null addresses are in no region.
     """
-    bins = regions.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("base") / bin_bytes), F.floor((F.col("base") + F.col("size") - 1) / bin_bytes))).alias("bin"))
-    asked = addresses.select("address").distinct().withColumn("bin", F.floor(F.col("address") / bin_bytes))
-    hits = asked.join(bins, "bin").where((F.col("address") >= F.col("base")) & (F.col("address") < F.col("base") + F.col("size")))
-    page = page_of(F.col("address"), F.col("base"), F.col("offset"), F.col("page_size"))
-    first = hits.groupBy("address").agg(F.min(F.struct("region", page.alias("page"))).alias("hit"))
-    return addresses.join(first, "address", "left").select("address", "hit.region", "hit.page")
+    first = F.min(F.struct("region", "base", "offset", "page_size")).alias("hit")
+    nodes = stage(intervals(regions).groupBy(F.struct("level", "at").alias("node")).agg(first), "intervals")
+    levels = sorted(r["level"] for r in nodes.select("node.level").distinct().collect())
+    level = F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")).alias("level")
+    asked = addresses.where("address is not null").select("address").distinct().select("address", level)
+    asked = asked.select("address", F.struct("level", F.call_function("shiftright", F.col("address"), F.col("level")).alias("at")).alias("node"))
+    held = asked.groupBy("node").agg(F.count("*").alias("asks"))
+    known = stage(nodes.join(held, "node"), "intervals-asked")
+    total = known.agg(F.sum("asks")).first()[0] or 0
+    hits = with_facts(asked, known, "node", F.col("asks") > HOT_SHARE * total)
+    best = hits.groupBy("address").agg(F.min("hit").alias("hit"))
+    page = page_of(F.col("address"), F.col("hit.base"), F.col("hit.offset"), F.col("hit.page_size"))
+    return addresses.join(best, "address", "left").select("address", "hit.region", page.alias("page"))

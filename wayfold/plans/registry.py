@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import json as js
 from ..functions import values
-from ..operators import delta, events, fold, lineage, loop, ordered, quality, upsert
-from ..sources import images, objects, packed
+from ..operators import delta, events, fold, layers, lineage, loop, ordered, quality, upsert
+from ..sources import images, objects, packed, tables
 from ..streaming import episodes, ingest
 from . import domain as d
 
@@ -498,12 +498,31 @@ def q60_point_lookups(spark, sf_dir):
     return events.found(wanted, "id", orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("found")), "StateNotFound")
 
 
-@query("select unnest(['q61_runs', 'q61_spans', 'q61_states']) as name")
+def _stored_tables(spark, sf_dir):
+    """The trajectories as stored, bucketed tables; gives the database's name."""
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    states = ordered.stage(lineage.states(rows), "states")
+    whole = events.span_events(d.recorded(rows))
+    at = ordered.shared_path(spark, "tables")
+    name = at.rsplit("/", 1)[-1].replace("-", "_")
+    tables.create_database(spark, name, at)
+    for table, df in (("runs", states.select("run_id").distinct()), ("states", states), ("spans", lineage.spans(rows, states)), ("span_index", events.span_index(d.recorded(rows))), ("span_events", whole)):
+        tables.save_table(df, name, table)
+    return name
+
+
+@query(f"with {d.TRAJECTORIES} select 'runs' as name, 16 as buckets, 'run_id' as keys, count(distinct run_id) as n from traj union all select 'states', 16, 'run_id', count(*) from states union all select 'spans', 16, 'span_id', count(*) from spans union all select 'span_index', 16, 'span_id', count(*) from traj union all select 'span_events', 16, 'span_id', count(*) from traj")
 def q61_catalog(spark, sf_dir):
-    """The stored tables that the session knows, by name."""
-    for name, schema in (("q61_runs", schemas.RUNS), ("q61_spans", schemas.SPANS), ("q61_states", schemas.STATES)):
-        spark.createDataFrame([], schema).createOrReplaceTempView(name)
-    return spark.sql("show tables like 'q61_*'").select(F.col("tableName").alias("name"))
+    """The stored tables that the catalog lists, with their layout and rows."""
+    return tables.catalog(spark, _stored_tables(spark, sf_dir))
+
+
+@query(f"with {d.TRAJECTORIES} select p.span_id, e.t::int as t, p.to_state_id, e.action, e.status, {URI.replace('run_id', 'e.run_id').replace('span_id', 'e.span_id').replace('t::', 'e.t::')} as event_uri from spans p join traj e on e.span_id = p.span_id where p.to_state_id is not null")
+def q71_bucketed_join(spark, sf_dir):
+    """The events of closed spans, from stored tables that share their bucketing: no row is shuffled."""
+    db = _stored_tables(spark, sf_dir)
+    closed = spark.table(f"{db}.spans").where("to_state_id is not null").select("span_id", "to_state_id")
+    return closed.join(spark.table(f"{db}.span_index").hint("merge"), "span_id").select("span_id", "t", "to_state_id", "action", "status", "event_uri")
 
 
 _SUBMITTED = "case when action = 'submit' and error is null then '{\"ok\":true,\"value\":' || value || ',\"submission\":null}' else observation end"
@@ -609,3 +628,57 @@ def q70_dense_files(spark, sf_dir):
     at = ordered.shared_path(spark, "dense")
     images.write_dense(ordered.stage(d.upper(spark, sf_dir), "upper"), ordered.stage(d.sizes(d.disk(spark, sf_dir, 1)), "sizes"), at, 16, ordered.stage(d.disk(spark, sf_dir, 0), "base"))
     return images.read_images(spark, at, dense_size=16).select("disk", "n_blocks", "idx", F.lower(F.hex("data")).alias("data"))
+
+
+_LAYERS = """texts as (select doc_id, i as idx, md5(substring(text, (i * 256 + 1)::int, 256)) as data from (select doc_id, text, unnest(range(((length(text) + 255) // 256)::bigint)) as i from documents)),
+layers as (select doc_id, 'd' || doc_id as layer, case when doc_id % 6 > 0 then 'd' || (doc_id - 1) end as parent from documents),
+held as (select doc_id, idx, data from texts where (idx + doc_id) % 3 = 0),
+reach as (select l.doc_id, h.doc_id as source, h.idx, h.data, row_number() over (partition by l.doc_id, h.idx order by h.doc_id desc) as nth from layers l join held h on h.doc_id // 6 = l.doc_id // 6 and h.doc_id <= l.doc_id),
+near as (select * from reach where nth = 1)"""
+
+
+def _layers(spark, sf_dir):
+    """Documents as layers in chains of six, each of which holds every third block of its text."""
+    docs = d.table(spark, sf_dir, "documents")
+    name = lambda i: F.concat(F.lit("d"), i.cast("string"))
+    n = F.floor((F.length("text") + d.BLOCK_CHARS - 1) / d.BLOCK_CHARS)
+    each = docs.where(n > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("idx"))
+    held = each.where((F.col("idx") + F.col("doc_id")) % 3 == 0).select(name(F.col("doc_id")).alias("layer"), "idx", F.unhex(F.md5(F.substring("text", (F.col("idx") * d.BLOCK_CHARS + 1).cast("int"), F.lit(d.BLOCK_CHARS)))).alias("data"))
+    chain = docs.select(name(F.col("doc_id")).alias("layer"), F.when(F.col("doc_id") % 6 > 0, name(F.col("doc_id") - 1)).alias("parent"))
+    return chain, ordered.stage(held, "layer-blocks"), each.select(name(F.col("doc_id")).alias("layer"), "idx")
+
+
+@query(f"with {_LAYERS} select 'd' || t.doc_id as layer, t.idx, coalesce(n.data, repeat('0', 32)) as data, 'd' || n.source as source from texts t left join near n on n.doc_id = t.doc_id and n.idx = t.idx")
+def q72_layered_reads(spark, sf_dir):
+    """Every block of every document through its chain of layers."""
+    chain, held, wanted = _layers(spark, sf_dir)
+    return layers.read_layers(chain, held, wanted, 16).select("layer", "idx", F.lower(F.hex("data")).alias("data"), "source")
+
+
+@query(f"with {_LAYERS}, own as (select doc_id, count(*) as n from held group by 1), whole as (select doc_id, count(*) as n, sum((source <> doc_id)::int) as s from near group by 1) select layer, coalesce(own.n, 0) * 16 as own_bytes, coalesce(whole.n, 0) * 16 as full_bytes, (coalesce(whole.s, 0) * 16)::bigint as shared_bytes from layers left join own using (doc_id) left join whole using (doc_id)")
+def q73_layer_sizes(spark, sf_dir):
+    """What each layer stores, and what its image holds by reference."""
+    chain, held, _ = _layers(spark, sf_dir)
+    return layers.layer_sizes(chain, held, 16)
+
+
+@query("with asked as (select 'd' || doc_id as parent, doc_id, unnest(range(3)) as i from documents), kids as (select case when i = 2 and doc_id % 5 = 0 then parent else parent || '-c' || i end as layer, case when i = 1 and doc_id % 4 = 0 then 'lost' else parent end as parent from asked) select layer, parent, case when layer = parent then 'LayerExists' when parent = 'lost' then 'StateNotFound' when layer like '%0-c0' then 'BranchFailed' end as error from kids where layer = parent or parent = 'lost' or layer like '%0-c0'")
+def q74_fork_failures(spark, sf_dir):
+    """Three children of each layer; some take a name that is there, some have no parent, some cannot be made: each has its error, and the others are made."""
+    docs = d.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("layer"), "doc_id")
+    kids = docs.select(F.col("layer").alias("of"), "doc_id", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i"))
+    named = F.when((F.col("i") == 2) & (F.col("doc_id") % 5 == 0), F.col("of")).otherwise(F.concat("of", F.lit("-c"), F.col("i").cast("string")))
+    kids = kids.select(named.alias("layer"), F.when((F.col("i") == 1) & (F.col("doc_id") % 4 == 0), "lost").otherwise(F.col("of")).alias("parent"))
+    _, failures = layers.fork_layers(docs.select("layer", F.lit(None).cast("string").alias("parent")), kids, F.col("layer").like("%0-c0"))
+    return failures
+
+
+@query("with regions as (select p_partkey::int as region, case p_partkey % 50 when 0 then 0 else p_partkey * 70000 % 1000003 end as base, case p_partkey % 50 when 0 then 1125899906842624 when 1 then 1 else p_size * 20000 end as size, p_partkey * 4096 as off from part), asked as (select distinct event_id * 13577 % 2000003 * case when event_id % 9 = 0 then 1000003 else 1 end as address from events) select address, region, page::bigint as page from (select address, region, (off + (address // 4096) * 4096 - base) // 4096 as page from asked left join regions on address >= base and address < base + size qualify row_number() over (partition by address order by region) = 1)")
+def q75_nested_regions(spark, sf_dir):
+    """Addresses among regions of one byte to 2**50, which overlap and nest: the first that holds each."""
+    p = F.col("p_partkey")
+    base, size = F.when(p % 50 == 0, 0).otherwise(p * 70000 % 1000003), F.when(p % 50 == 0, 1 << 50).when(p % 50 == 1, 1).otherwise(F.col("p_size") * 20000)
+    regions = d.table(spark, sf_dir, "part").select(p.cast("int").alias("region"), base.cast("long").alias("base"), size.cast("long").alias("size"), (p * 4096).alias("offset"), F.lit(4096).cast("long").alias("page_size"))
+    e = F.col("event_id")
+    asked = d.table(spark, sf_dir, "events").select((e * 13577 % 2000003 * F.when(e % 9 == 0, 1000003).otherwise(1)).alias("address")).distinct()
+    return delta.locate(asked, regions)
