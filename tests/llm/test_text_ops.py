@@ -65,7 +65,13 @@ HEADERS = {
     "MPL-2.0": ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"],
     "BSD-2-Clause": [licences.BSD, "Copyright (c) 2020, Jane Roe\nAll rights reserved.\n\n" + licences.BSD.replace(": 1.", ":\n\n1.").replace("disclaimer. 2.", "disclaimer.\n2.") + "\n\n" + licences.BSD_END],
     "BSD-3-Clause": [licences.BSD + licences.BSD_NAMES, "BSD 3-Clause License\n\nCopyright (c) 2020, Jane Roe\n\n" + licences.BSD + "\n\n" + licences.BSD_NAMES + "\n\n" + licences.BSD_END],
-    None: ["SPDX-License-Identifier: WTFPL", "She has a license to drive and a copyright on her song.", "This license is void.", "license", "The version of the license is not known."],
+    "BSD-4-Clause": ["Copyright (c) 1990, Jane Roe\nAll rights reserved.\n\n" + licences.BSD + "\n" + licences.BSD_ADVERTISING + "\n" + licences.BSD_NAMES.replace("3.", "4.") + "\n\n" + licences.BSD_END],
+    "BSD": ["Licensed under the BSD license.", "// Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "Zlib": ["Copyright (c) 1999 Jane Roe\n\nThis software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented."],
+    "Apache-2.0 OR MIT": ["// SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: Apache-2.0 OR MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "This crate is licensed under either of\nApache License, Version 2.0 or MIT license, at your option."],
+    "GPL-2.0 OR MIT": ["/* SPDX-License-Identifier: GPL-2.0-only OR MIT */", "Dual licensed under the MIT license or the GNU General Public License version 2."],
+    "BSD-3-Clause AND MIT": ["# SPDX-License-Identifier: MIT AND BSD-3-Clause"],
+    None: ["This file is not licensed under the MIT License.", "This code isn't released under the Apache License, Version 2.0.", "It is no longer available under the GNU General Public License, version 3.", "SPDX-License-Identifier: WTFPL", "She has a license to drive and a copyright on her song.", "This license is void.", "license", "The version of the license is not known."],
 }
 
 

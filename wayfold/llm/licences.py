@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,7 +22,9 @@ from .common import HOT_SHARE, small, stage, table, with_facts
 NEAR, HELD, SHORT = 0.6, 0.5, 6
 TERM_BREAK = "[^a-z0-9]+"
 #: What a statement must contain, in lower case, and how licence files are named.
-ANCHORS = ("licence", "license", "copyright", "copyleft", "spdx", "creative commons", "public domain", "rights reserved", "permission is hereby", "redistribution", "released under", "free software", "general public", "endorse or promote")
+ANCHORS = ("licence", "license", "copyright", "copyleft", "spdx", "creative commons", "public domain", "rights reserved", "permission is hereby", "redistribution", "released under", "free software", "general public", "endorse or promote", "advertising materials", "permission is granted")
+#: What turns a statement into its opposite: such a sentence or line states nothing.
+NEGATED = r"(?i)(\bnot|\bnever|\bno longer|n't)\s+(\w+\s+){0,2}(licen[cs]ed|released|available|distributed)\s+(\w+\s+){0,2}under\b"
 FILE_NAME = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([-._].*)?$"
 #: The marks that comment lines begin with.
 COMMENT = r"(^|[\r\n])[ \t]*(?:#+|/+\*+|\*+/?|/{2,}|-{2,}|;+|%+)?[ \t]*"
@@ -32,9 +35,10 @@ BSD = (
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 )
 BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_ADVERTISING = " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
 BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."
 GNU = {"GPL-2.0": ("General", "2", "June 1991"), "GPL-3.0": ("General", "3", "29 June 2007"), "LGPL-2.1": ("Lesser General", "2.1", "February 1999"), "LGPL-3.0": ("Lesser General", "3", "29 June 2007"), "AGPL-3.0": ("Affero General", "3", "19 November 2007")}
-SPDX = ("MIT", "MIT-0", "Apache-2.0", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "BSL-1.0", "Zlib", "LGPL-2.0", *GNU)
+SPDX = ("MIT", "MIT-0", "Apache-2.0", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "BSL-1.0", "Zlib", "LGPL-2.0", *GNU)
 #: Licences and how they are usually stated. Notices of the GNU licences and identifiers follow by rule.
 STATED = (
     ("MIT", "Released under the MIT License."),
@@ -60,6 +64,14 @@ STATED = (
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause New or Revised License."),
     ("BSD-3-Clause", BSD + BSD_NAMES),
     ("BSD-3-Clause", BSD + BSD_NAMES + BSD_END),
+    ("BSD-4-Clause", "BSD 4-Clause License"),
+    ("BSD-4-Clause", "Licensed under the BSD 4-Clause Original License."),
+    ("BSD-4-Clause", BSD + BSD_ADVERTISING + BSD_NAMES.replace("3.", "4.")),
+    ("BSD-4-Clause", BSD + BSD_ADVERTISING + BSD_NAMES.replace("3.", "4.") + BSD_END),
+    ("BSD", "Licensed under the BSD license."),
+    ("BSD", "governed by a BSD-style license"),
+    ("Zlib", "zlib License"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("ISC", "ISC License"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSL-1.0", "Boost Software License Version 1.0"),
@@ -92,15 +104,37 @@ def identifiers(name: str) -> list[tuple[str, str]]:
     return [(name, f"SPDX-License-Identifier: {i}") for i in ids]
 
 
-TEMPLATES = (*STATED, *(t for name in GNU for t in gnu_notices(name)), *(t for name in SPDX for t in identifiers(name)))
+#: How the licences that are often offered together are called.
+CALLED = {"Apache-2.0": "Apache License, Version 2.0", "BSD-2-Clause": "BSD 2-Clause license", "BSD-3-Clause": "BSD 3-Clause license", "GPL-2.0": "GNU General Public License version 2", "GPL-3.0": "GNU General Public License version 3", "LGPL-2.1": "GNU Lesser General Public License version 2.1", "MIT": "MIT license", "MPL-2.0": "Mozilla Public License 2.0"}
+#: The share of a statement of two licences that a unit must hold more than: one of them alone is less.
+BOTH_HELD = 0.85
+
+
+#: Two pairs whose statements have the same words in another order, which bags of words cannot tell apart; of these one licence is named.
+ALIKE = {("BSD-2-Clause", "GPL-3.0"), ("BSD-3-Clause", "GPL-2.0")}
+
+
+def together(a: str, b: str) -> list[tuple[str, str]]:
+    """Statements of two licences, as SPDX expressions name them: one of them as the reader likes, or both at once."""
+    named = [(x, y) for x in ([a, f"{a}-only", f"{a}-or-later"] if a in GNU else [a]) for y in ([b, f"{b}-only", f"{b}-or-later"] if b in GNU else [b])]
+    return [
+        *[(f"{a} {word} {b}", f"SPDX-License-Identifier: {x} {word} {y}") for word in ("OR", "AND") for x, y in named],
+        (f"{a} OR {b}", f"Licensed under either of {CALLED[a]} or {CALLED[b]} at your option."),
+        (f"{a} OR {b}", f"Dual licensed under the {CALLED[a]} or the {CALLED[b]}."),
+    ]
+
+
+TEMPLATES = (*STATED, *(t for name in GNU for t in gnu_notices(name)), *(t for name in SPDX for t in identifiers(name)), *(t for pair in combinations(CALLED, 2) if pair not in ALIKE for t in together(*pair)))
 
 
 def template_words(text: str) -> set[str]:
     return {t for t in re.split(TERM_BREAK, text.lower()) if t}
 
 
-def least_held(text: str) -> float:
+def least_held(name: str, text: str) -> float:
     """The share of a template that a unit must hold more than."""
+    if " " in name and not text.startswith("SPDX"):
+        return BOTH_HELD
     return 1 - 1e-6 if text.startswith("SPDX") or len(template_words(text)) <= SHORT else HELD
 
 
@@ -119,6 +153,10 @@ def names_licence(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(a)) for a in ANCHORS])
 
 
+def states_licence(text: Column) -> Column:
+    return names_licence(text) & ~text.rlike(NEGATED)
+
+
 def uncommented(text: Column) -> Column:
     return F.regexp_replace(text, COMMENT, "$1")
 
@@ -127,17 +165,17 @@ def statements(text: Column) -> Column:
     """The sentences that name a licence, in order. Lines that follow each other are one text, whether or not they
     are comments; an empty line or comment ends a sentence."""
     joined = F.translate(F.regexp_replace(F.regexp_replace(uncommented(text), "\r\n?", "\n"), "\n(?:[ \t]*\n)+", BREAK), "\n", " ")
-    return F.filter(F.split(F.regexp_replace(joined, "([.!?])[ \t]+", "$1" + BREAK), BREAK), names_licence)
+    return F.filter(F.split(F.regexp_replace(joined, "([.!?])[ \t]+", "$1" + BREAK), BREAK), states_licence)
 
 
 def lines(text: Column) -> Column:
     """The lines, and sentences within lines, that name a licence, in order."""
-    return F.filter(F.split(F.regexp_replace(uncommented(text), "([.!?])[ \t\r\n]+", "$1\n"), "[\r\n]+"), names_licence)
+    return F.filter(F.split(F.regexp_replace(uncommented(text), "([.!?])[ \t\r\n]+", "$1\n"), "[\r\n]+"), states_licence)
 
 
 def template_terms(spark: SparkSession) -> DataFrame:
     """(template, licence, least, term, tf): a few rows for each of ``TEMPLATES``."""
-    rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("licence"), F.lit(least_held(text)).alias("least"), F.lit(text).alias("text")) for i, (name, text) in enumerate(TEMPLATES)])
+    rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("licence"), F.lit(least_held(name, text)).alias("least"), F.lit(text).alias("text")) for i, (name, text) in enumerate(TEMPLATES)])
     each = spark.range(1).select(F.inline(rows)).select("template", "licence", "least", F.explode(terms(F.col("text"))).alias("term"))
     return each.groupBy("template", "licence", "least", "term").agg(F.count("*").alias("tf"))
 
@@ -177,6 +215,8 @@ def ancestors(directory: Column) -> Column:
 def scan(files: DataFrame, path: Column, text: Column, keep: dict[str, Column], near: float = NEAR) -> DataFrame:
     """The columns of ``keep`` for each row of ``files`` with its path, licence, via, score and declared_in.
 
+    A licence is named by its SPDX identifier; two that are offered or hold together by an expression with OR or AND, their names in
+    order of the alphabet. A sentence that says that something is not licensed so states nothing.
     ``via`` is ``statement`` where the text itself states the licence, or ``inherited``; else it, the
     licence and the score are null. A licence file is one that is so named, or of whose words at least half
     stand in statements. Of a text's units the best counts, then sentences before lines before all together, then
@@ -244,7 +284,7 @@ def _sql_list(strings: tuple[str, ...]) -> str:
 _ANCHORED = " or ".join(f"contains(lower(body), '{a}')" for a in ANCHORS)
 _TOKENS = f"list_filter(regexp_split_to_array(lower(body), '{TERM_BREAK}'), lambda t: t <> '')"
 OP1_SQL = f"""
-with templates(template, licence, least, body) as (values {", ".join(f"({i}, {_sql_list((name,))}, {least_held(text)!r}::double, {_sql_list((text,))})" for i, (name, text) in enumerate(TEMPLATES))}),
+with templates(template, licence, least, body) as (values {", ".join(f"({i}, {_sql_list((name,))}, {least_held(name, text)!r}::double, {_sql_list((text,))})" for i, (name, text) in enumerate(TEMPLATES))}),
 docs as (select doc_id, coalesce(text, '') as body, coalesce(source, '_') || '/' || coalesce(lang, '_') as dir, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(doc_id::varchar, '_') as path from documents),
 words as (select *, {_TOKENS} as toks from docs),
 t_terms as (select template, licence, least, term, count(*) as tf from (select template, licence, least, unnest({_TOKENS}) as term from templates) group by all),
@@ -261,7 +301,7 @@ said as (
   select doc_id, {SENTENCE} as kind, unnest(parts) as body, unnest(generate_series(0, len(parts) - 1)) as pos from (select doc_id, string_split(regexp_replace(body, '([.!?])[ \\t]+', '\\1' || chr(1), 'g'), chr(1)) as parts from joined)
   union all
   select doc_id, {LINE}, unnest(parts), unnest(generate_series(0, len(parts) - 1)) from (select doc_id, regexp_split_to_array(regexp_replace(body, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), '[\\r\\n]+') as parts from bare)),
-stated as (select * from said where {_ANCHORED}),
+stated as (select * from said where ({_ANCHORED}) and not regexp_matches(body, '{NEGATED.replace("'", "''")}')),
 units as (
   select * from stated
   union all select doc_id, {NOTICE}, string_agg(body, ' ' order by pos), 0 from stated where kind = {SENTENCE} group by doc_id having count(*) > 1),
