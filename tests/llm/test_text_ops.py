@@ -36,6 +36,20 @@ FILES = [
 ]
 
 
+def test_registered_queries_of_the_contract(spark):
+    """Queries whose inner functions are tested elsewhere, as they are registered: one row a document, the contract's columns first."""
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    tokens = registry.QUERIES["op2_token_files"](spark, SF)
+    assert tokens.dtypes[:4] == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
+    rows_ = tokens.orderBy("doc_id").collect()
+    assert len(rows_) == n and [r.start for r in rows_] == [sum(x.n_tokens for x in rows_[:i]) for i in range(n)] and all(r.n_tokens > 0 and 0 <= r.ids_crc32 < 1 << 32 for r in rows_)
+    assert registry.QUERIES["op3_sentencepieces"](spark, SF).count() == n
+    near = registry.QUERIES["op9_additive_search"](spark, SF)
+    assert near.dtypes[:4] == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").collect()]
+    assert sorted((r.query_id, r.rank) for r in near.collect()) == [(i, k) for i in sorted(ids) for k in range(1, 6)]
+
+
 def test_licences_by_path(spark):
     df = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(FILES)], "path string, text string, licence int")
     out = {r.licence_: r for r in licences.scan(df, F.col("path"), F.col("text"), {"licence_": F.col("licence")}).collect()}
@@ -213,6 +227,10 @@ def test_mix_of_null_ids_and_rows_alike(spark, monkeypatch, large):
     assert Counter(out) == Counter(again.collect())
     whole = mixing.mixed(df.withColumn("mix_nth", F.lit("mine")).withColumn("take", F.lit(0)))
     assert whole.columns == [*df.columns, "mix_nth", "take"] and whole.count() == sum(r.copies for r in out)
+    # Rows alike in id and text that differ in another column: the same ones, however they lie.
+    other = spark.createDataFrame([(*r, i) for i, r in enumerate(given)], DOCS + ", other int")
+    one, two = (Counter(mixing.mixed(other.repartition(n, *by)).select("other").collect()) for n, by in ((7, ["text"]), (3, ["other"])))
+    assert one == two and sum(one.values()) == whole.count()
 
 
 # 6

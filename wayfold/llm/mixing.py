@@ -87,10 +87,11 @@ def hashed(row_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED} "), parts[0], F.lit(" "), parts[1])), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def with_copies(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+def with_copies(rows: DataFrame, bounds: DataFrame, content: Column) -> DataFrame:
     """``rows`` (source, h and more) with source_size, target and ``copies``: how often the mix takes each, 0 to 2 times.
 
-    Where the boundary falls among rows alike in id and text, these are numbered, and so many are taken as are due.
+    Where the boundary falls among rows alike in id and text, these are numbered by a hash of their whole ``content``, a string, and so
+    many are taken as are due: the same ones in any order and partitioning, and in a task that runs again.
     """
     both = rows.alias("d").join(small(bounds).alias("l"), F.col("d.source").eqNullSafe(F.col("l.source"))).select("d.*", "l.source_size", "l.target", "l.whole", "l.below", "l.rows", "l.take")
     at, out = F.col("h") == F.col("below"), [*rows.columns, "source_size", "target"]
@@ -101,7 +102,8 @@ def with_copies(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     if not bounds.where("rows > 1").take(1):
         return counted(both, (F.col("h") < F.col("below")) | (at & (F.col("take") > 0)))
     tied = at & (F.col("rows") > 1)
-    alike = numbered(both.where(tied).withColumn("tie", F.monotonically_increasing_id()), ["source"], ["tie"], "mix_nth")
+    alike = stage(both.where(tied).withColumns({"tie": F.xxhash64(content), "row": F.monotonically_increasing_id()}), "mix-alike")
+    alike = numbered(alike, ["source"], ["tie", "row"], "mix_nth")
     return counted(both.where(~tied), (F.col("h") < F.col("below")) | (at & (F.col("take") > 0))).unionByName(counted(alike, F.col("mix_nth") <= F.col("take")))
 
 
@@ -114,17 +116,17 @@ def mix(rows: DataFrame, source: Column, row_id: Column, text: Column, size: Col
     an empty result. The same rows give the same mix in any order and partitioning.
     """
     digest = stage(rows.select(row_id.alias("doc_id"), source.alias("source"), size.cast("long").alias("size"), hashed(row_id, text).alias("h")), "mix-digest")
-    return with_copies(digest, limits(digest, weights, budget)).drop("h")
+    return with_copies(digest, limits(digest, weights, budget), F.col("doc_id").cast("string")).drop("h")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source and any more), each as often as the mix takes it.
 
-    Nulls and rows alike count as in ``mix``; of rows that differ only in further columns any are taken.
+    Nulls and rows alike count as in ``mix``; of rows that differ only in further columns the same are taken in any order and partitioning.
     """
     own = docs.select(F.struct("*").alias("kept"), "source", hashed(F.col("doc_id"), F.col("text")).alias("h"))
     digest = stage(docs.select("source", words(F.col("text")).alias("size"), hashed(F.col("doc_id"), F.col("text")).alias("h")), "mix-digest")
-    taken = with_copies(own, limits(digest, weights, budget))
+    taken = with_copies(own, limits(digest, weights, budget), F.to_json("kept"))
     return taken.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("kept.*")
 
 
