@@ -170,6 +170,26 @@ def test_pieces_equal_the_library(spark):
     assert sentencepieces.round_trip(df.limit(0), sentencepieces.vocabulary_path()).count() == 0
 
 
+def test_long_words_equal_the_library():
+    """Words without spaces: cut where no piece spans, however long; the time grows no faster than the length."""
+    import time
+
+    from sentencepiece import SentencePieceProcessor
+
+    path, rng = sentencepieces.vocabulary_path(), random.Random(7)
+    sp, enc = SentencePieceProcessor(model_file=path), sentencepieces.Encoder(path)
+    chars = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(2000)] + list("日本語の人口は多い")
+    long = "".join(rng.choices(chars, k=400_000))
+    for text in (long, "a" * 3000, "".join(rng.choices("ABCDabcd0123+/", k=10_000)), "".join(rng.choices(["the", "ing", "日", "x9", "🙂", "er"], k=5000))):
+        assert enc.batch([text])[0].tolist() == sp.encode(text)
+    began = time.perf_counter()
+    enc.batch([long[::-1]])
+    assert time.perf_counter() - began < 10
+    for _ in range(300):
+        text = "".join(rng.choices(["the", "in", "g", "日本", "語", "x", "9", "🙂", "er", "st", "at", "ion", " "], k=rng.randrange(1, 60)))
+        assert enc.batch([text])[0].tolist() == sp.encode(text)
+
+
 # 4
 def fair(sizes, weights, total):
     """Targets by repeated sharing: what a full source leaves goes to the others by weight."""

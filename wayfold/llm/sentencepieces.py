@@ -120,10 +120,21 @@ def occurrences(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarr
     return at, at + pieces.lengths[which], pieces.ids[which]
 
 
+def segments(n: int, starts: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where words and their segments start: a segment begins where no piece spans.
+
+    No merge crosses such a place, so what stands before it cannot decide what follows, and segments relax side by side."""
+    at, end, _ = edges
+    spans = np.bincount(at + 1, minlength=n + 2) - np.bincount(end, minlength=n + 2)
+    free = np.cumsum(spans)[:n] == 0
+    free[starts] = True
+    return np.flatnonzero(free)
+
+
 def relax(codes: np.ndarray, starts: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """For each position the last piece of the encoding of its word so far, and where that piece begins; -1 if none.
 
-    Edges are relaxed in order of their offset in the word, for all words at once. An unknown character is
+    ``starts`` are those of words and of their segments. Edges are relaxed in order of their offset in the segment, for all at once. An unknown character is
     an edge of its own with no piece, past which nothing merges.
     """
     n = len(codes)
@@ -162,7 +173,8 @@ class Encoder:
         starts = np.cumsum(lengths + 1) - lengths - 1
         codes = p.code_of[np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), "<u4")].astype("int64")
         codes[starts + lengths] = 0
-        last, back = relax(codes, starts, occurrences(codes.astype("uint16"), p), p)
+        edges = occurrences(codes.astype("uint16"), p)
+        last, back = relax(codes, segments(len(codes), starts, edges), edges, p)
         last, back, out = last.tolist(), back.tolist(), []
         for w, s, n in zip(words, starts.tolist(), lengths.tolist()):
             ids, at = [], s + n
