@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import general
 from .ordered import Add, by_size, small, stage
 
 
@@ -112,7 +113,7 @@ def messages(steps: Column, error: Column, action: Column) -> Column:
     return (
         F.when(error == "EpisodeComplete", "this episode has already finished")
         .when(error == "UnknownAction", F.concat(F.lit("no action "), called, F.lit(f"; available: {names}")))
-        .when(error == "ActionRefused", F.concat(F.lit("steps exhausted: "), steps.cast("string"), F.lit(" left, 1 needed")))
+        .when(error == "ActionRefused", F.concat(F.lit("steps exhausted: "), general(steps.cast("double")), F.lit(" left, 1 needed")))
     )
 
 

@@ -682,3 +682,15 @@ def q75_nested_regions(spark, sf_dir):
     e = F.col("event_id")
     asked = d.table(spark, sf_dir, "events").select((e * 13577 % 2000003 * F.when(e % 9 == 0, 1000003).otherwise(1)).alias("address")).distinct()
     return delta.locate(asked, regions)
+
+
+_PRICES = "prices as (select l_orderkey, l_linenumber, l_extendedprice / (l_partkey + 1)::double as price, (l_suppkey % 7 - 3) * l_extendedprice * l_extendedprice / 16 + 0.00005 as sum_ from lineitem)"
+
+
+@query(f"with {_PRICES} select l_orderkey, l_linenumber, case when price = floor(price) then price::bigint::varchar else regexp_replace(printf('%.4f', price), '([.][0-9]+?)0+$', '\\1') end as rounded, printf('%g', price) as general, printf('%g', sum_) as general_sum from prices")
+def q76_exact_decimals(spark, sf_dir):
+    """Doubles to four places and to six digits, rounded by their exact values."""
+    rows = d.table(spark, sf_dir, "lineitem")
+    price, total = F.col("l_extendedprice") / (F.col("l_partkey") + 1).cast("double"), (F.col("l_suppkey") % 7 - 3) * F.col("l_extendedprice") * F.col("l_extendedprice") / 16 + 0.00005
+    text = F.when(price == F.rint(price), price.cast("long").cast("string")).otherwise(values.rounded(price))
+    return rows.select("l_orderkey", "l_linenumber", text.alias("rounded"), values.general(price).alias("general"), values.general(total).alias("general_sum"))
