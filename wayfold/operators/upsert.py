@@ -22,6 +22,13 @@ def partial_upsert(writes: DataFrame, keys: list[str], seq: list[str], first: li
     return writes.groupBy(*keys).agg(*kept, F.max_by(F.struct(*last), at).alias("l")).select(*keys, *[f"f.{c}" for c in first], *[f"l.{c}" for c in last])
 
 
+def write_ends(writes: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
+    """The writes that may still matter: the first and the last of each key."""
+    at = F.struct(*seq)
+    ends = writes.groupBy(*keys).agg(F.min_by(F.struct(*writes.columns), at).alias("a"), F.max_by(F.struct(*writes.columns), at).alias("b"))
+    return ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("w")).select("w.*")
+
+
 def insert_only(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """``table`` with ``rows``; an error if a key is there already or comes twice."""
     twice = rows.groupBy(key).count().where("count > 1").select(key)

@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import json as js
 from ..functions import values
 from ..operators import delta, events, fold, layers, lineage, loop, ordered, quality, upsert
-from ..sources import images, objects, packed, tables
+from ..sources import images, objects, packed, tables, versions
 from ..streaming import episodes, ingest
 from . import domain as d
 
@@ -694,3 +694,14 @@ def q76_exact_decimals(spark, sf_dir):
     price, total = F.col("l_extendedprice") / (F.col("l_partkey") + 1).cast("double"), (F.col("l_suppkey") % 7 - 3) * F.col("l_extendedprice") * F.col("l_extendedprice") / 16 + 0.00005
     text = F.when(price == F.rint(price), price.cast("long").cast("string")).otherwise(values.rounded(price))
     return rows.select("l_orderkey", "l_linenumber", text.alias("rounded"), values.general(price).alias("general"), values.general(total).alias("general_sum"))
+
+
+@query(f"select 1 as version, * from ({_UPSERT_SQL.replace(') group by all', ') where l_partkey % 3 = 0 group by all')}) union all select 3, * from ({_UPSERT_SQL})")
+def q77_versioned_upserts(spark, sf_dir):
+    """The writes of q05 in three batches: the table as its first version has it, and as the third."""
+    writes, keys = ordered.stage(d.writes(spark, sf_dir), "writes"), ["l_orderkey", "l_linenumber"]
+    at = ordered.shared_path(spark, "versions")
+    for k in range(3):
+        versions.upsert_version(writes.where(F.col("l_partkey") % 3 == k), at, keys, d.WRITE_ORDER)
+    one, three = (versions.read_version(spark, at, keys, d.WRITE_ORDER, KEPT, CHANGED, v).select(F.lit(v).alias("version"), *keys, *KEPT, *CHANGED) for v in (1, 3))
+    return one.unionByName(three)

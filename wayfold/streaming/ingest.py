@@ -10,20 +10,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.ordered import stored
-from ..operators.upsert import partial_upsert
+from ..operators.upsert import partial_upsert, write_ends
 
 
 def event_stream(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.schema(schemas.EVENT).option("multiLine", True).option("recursiveFileLookup", True).json(root)
 
 
-def _ends(writes: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
-    """The writes that may still matter: the first and the last of each key."""
-    at = F.struct(*seq)
-    ends = writes.groupBy(*keys).agg(F.min_by(F.struct(*writes.columns), at).alias("a"), F.max_by(F.struct(*writes.columns), at).alias("b"))
-    return ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("w")).select("w.*")
-
-
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """All that is stored at ``path``, with ``batch`` and ``base``: the latest base and the batches after it; None if nothing is."""
     # What is there and cannot be read is an error, not an empty table.
@@ -43,7 +36,7 @@ def run_upserts(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
     columns = list(dict.fromkeys([*keys, *seq, *first, *last]))
 
     def upsert(batch: DataFrame, number: int) -> None:
-        _ends(batch.select(*columns), keys, seq).write.mode("overwrite").parquet(f"{path}/base=false/batch={number}")
+        write_ends(batch.select(*columns), keys, seq).write.mode("overwrite").parquet(f"{path}/base=false/batch={number}")
 
     query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -55,7 +48,7 @@ def compact(spark: SparkSession, path: str, keys: list[str], seq: list[str]) ->
     rows = _stored(spark, path)
     if rows is not None:
         upto = rows.agg(F.max("batch")).first()[0]
-        _ends(rows.drop("base", "batch"), keys, seq).write.mode("overwrite").parquet(f"{path}/base=true/batch={upto}")
+        write_ends(rows.drop("base", "batch"), keys, seq).write.mode("overwrite").parquet(f"{path}/base=true/batch={upto}")
 
 
 def current(spark: SparkSession, path: str, keys: list[str], seq: list[str], first: list[str], last: list[str]) -> DataFrame | None:
