@@ -145,7 +145,7 @@ def test_locate_first_region(spark):
 def test_reopen(spark):
     stored = spark.createDataFrame([("a", "known", None, None), ("b", "lost", "/x", "up"), ("c", "lost", None, None)], "disk string, base_id string, base_uri string, upper string")
     bases = spark.createDataFrame([("known", "/k"), ("other", "/x")], "base_id string, uri string")
-    assert {r.disk: (r.base, r.upper) for r in delta.reopen(stored, bases).collect()} == {"a": ("/k", "upper"), "b": ("/x", "up"), "c": (None, "upper")}
+    assert {r.disk: (r.base, r.upper, r.error) for r in delta.reopen(stored, bases).collect()} == {"a": ("/k", "upper", None), "b": ("/x", "up", None), "c": (None, None, "StateNotFound")}
 
 
 def test_packed_files_round_trip(spark, tmp_path):
@@ -304,3 +304,13 @@ def test_facts_of_hot_keys_meet_their_rows_at_any_size(spark, monkeypatch, most)
     facts = spark.createDataFrame([("hot", 1), (None, 2), ("rare", 3), ("rare", 4)], "k string, f int")
     out = ordered.with_facts(rows_, facts, "k", F.col("f") < 3)
     assert sorted((r.i, r.k, r.f) for r in out.collect()) == [*[(i, "hot", 1) for i in range(20)], (20, None, 2), (21, "rare", 3), (21, "rare", 4)]
+
+
+def test_hidden_keys_of_what_has_no_canonical_form(spark):
+    """Nested deeper than the parsers take, repeated keys, broken texts: what may hold a hidden key counts as if it did."""
+    deep = lambda n, key: '{"a":' * n + f'{{"{key}" : 1}}' + "}" * n
+    given = [deep(1500, "_k"), deep(1500, "k"), deep(200_000, "_k"), deep(200_000, "k"), '{"a": 1, "a": {"\\u005fk": 2}}', '{"a": 1, "a": 2}', '{"_a": ', "plain", None]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string")
+    out = {r.i: (r.h, r.p) for r in df.select("i", js.has_hidden_key(F.col("t")).alias("h"), js.hidden_key_path(F.col("t")).alias("p")).collect()}
+    assert [out[i][0] for i in range(9)] == [True, False, True, False, True, False, True, False, None]
+    assert out[0][1].endswith(".a._k") and out[1][1] is None and (out[2][1] or "").startswith("observation") and out[3][1] is None and out[4][1] == "observation.a._k"

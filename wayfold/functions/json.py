@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 #: Characters and items that a summary keeps, and a hidden key in canonical JSON.
 TEXT_LIMIT, LIST_LIMIT = 400, 5
 HIDDEN_KEY = r'[{,]"_(?:[^"\\]|\\.)*":'
+#: What may be one in a text that has no canonical form.
+MAY_HIDE = r'[{,]\s*"(?:_|\\u005[fF])(?:[^"\\]|\\.)*"\s*:'
 
 
 def canonical(text: Column) -> Column:
@@ -38,15 +41,19 @@ def summary_list(items: Column, limit: int = LIST_LIMIT) -> Column:
 
 
 def has_hidden_key(text: Column) -> Column:
-    """Whether some key, at any depth, begins with an underscore."""
-    return canonical(text).rlike(HIDDEN_KEY)
+    """Whether some key, at any depth, begins with an underscore. Of a text without a canonical form (nested deeper than Spark's
+    parser takes, repeated keys, no JSON) whether it may: what cannot be told is not let pass."""
+    return F.coalesce(canonical(text).rlike(HIDDEN_KEY), text.rlike(MAY_HIDE))
 
 
-def _parsed(text: str) -> object:
+def _hidden_in(text: str | None) -> str | None:
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
+        return None if text is None else hidden_path(json.loads(text))
+    except ValueError:
         return None
+    except RecursionError:
+        # Deeper than Python's parser takes: where the key is cannot be told, that there may be one can.
+        return "observation" if re.search(MAY_HIDE, text) else None
 
 
 def hidden_path(value: object) -> str | None:
@@ -65,9 +72,9 @@ def hidden_path(value: object) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def hidden_key_path(texts: pd.Series) -> pd.Series:
-    """The path of the first hidden key, as ``observation.a[2]._k``; null if there is none, or no JSON (or JSON nested
-    deeper than Python's parser takes). Depth is unbounded, so no built-in fits."""
-    return texts.map(lambda t: None if t is None else hidden_path(_parsed(t)))
+    """The path of the first hidden key, as ``observation.a[2]._k``; null if there is none, or no JSON. Of JSON nested deeper than
+    Python's parser takes ``observation`` alone, if it may hold one. Depth is unbounded, so no built-in fits."""
+    return texts.map(_hidden_in)
 
 
 def _shortened(value: object) -> object:

@@ -43,8 +43,9 @@ def write_blocks(upper: DataFrame, writes: DataFrame) -> DataFrame:
     return upper.join(last, ["disk", "idx"], "left_anti").unionByName(last)
 
 
-def whole(sizes: DataFrame, upper: DataFrame, base: DataFrame, size: int = BLOCK_SIZE) -> DataFrame:
-    """Every block of the disks of ``sizes`` (disk, n_blocks)."""
+def whole(sizes: DataFrame, upper: DataFrame, base: DataFrame | None = None, size: int = BLOCK_SIZE) -> DataFrame:
+    """Every block of the disks of ``sizes`` (disk, n_blocks): from the upper, else from the base (None: there is none), else zeros."""
+    base = upper.limit(0) if base is None else base
     every = sizes.where("n_blocks > 0").select("disk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("idx"))
     return read_blocks(every, upper, base, size)
 
@@ -91,11 +92,13 @@ def fork(upper: DataFrame, children: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def reopen(stored: DataFrame, bases: DataFrame) -> DataFrame:
-    """Disks of ``stored`` (disk, base_id, base_uri, upper) with the base they stand on: by id, else by place; null if it is missing."""
+    """Disks of ``stored`` (disk, base_id, base_uri, upper) with the base they stand on: by id, else by place. A disk whose base is
+    missing has the error StateNotFound and nothing to stand on; the others go on."""
     known = bases.select(F.col("base_id"), F.col("uri").alias("by_id"))
     placed = bases.select(F.col("uri").alias("base_uri"), F.col("uri").alias("by_uri"))
     both = stored.withColumn("base_id", F.coalesce("base_id", F.lit("rootfs"))).join(known, "base_id", "left").join(placed.distinct(), "base_uri", "left")
-    return both.select("disk", F.coalesce("by_id", "by_uri").alias("base"), F.coalesce("upper", F.lit("upper")).alias("upper"))
+    base = F.coalesce("by_id", "by_uri")
+    return both.select("disk", base.alias("base"), F.when(base.isNotNull(), F.coalesce("upper", F.lit("upper"))).alias("upper"), F.when(base.isNull(), "StateNotFound").alias("error"))
 
 
 #: Address bits below the sign: an interval of 2**62 is the largest that a region is cut into.

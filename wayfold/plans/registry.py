@@ -437,7 +437,7 @@ def q54_diff_from_zeros(spark, sf_dir):
     return delta.changed(pages, None, 16).select("disk", "idx", F.lower(F.hex("data")).alias("data"))
 
 
-@query("with s as (select doc_id::varchar as disk, doc_id, case when doc_id % 3 > 0 then 'b' || doc_id % 10 end as base_id, case when doc_id % 4 > 0 then '/u' || doc_id % 7 end as base_uri from documents) select disk, case when doc_id % 3 > 0 and doc_id % 10 < 4 then '/u' || doc_id % 10 when doc_id % 4 > 0 and doc_id % 7 < 4 then '/u' || doc_id % 7 end as base, 'upper' as upper from s")
+@query("with s as (select doc_id::varchar as disk, doc_id, case when doc_id % 3 > 0 then 'b' || doc_id % 10 end as base_id, case when doc_id % 4 > 0 then '/u' || doc_id % 7 end as base_uri from documents) select disk, case when doc_id % 3 > 0 and doc_id % 10 < 4 then '/u' || doc_id % 10 when doc_id % 4 > 0 and doc_id % 7 < 4 then '/u' || doc_id % 7 end as base, case when base is not null then 'upper' end as upper, case when base is null then 'StateNotFound' end as error from s")
 def q55_reopen(spark, sf_dir):
     """Disks on the base that their header names: by id, else by place, else none is known."""
     doc = F.col("doc_id")
@@ -705,3 +705,10 @@ def q77_versioned_upserts(spark, sf_dir):
         versions.upsert_version(writes.where(F.col("l_partkey") % 3 == k), at, keys, d.WRITE_ORDER)
     one, three = (versions.read_version(spark, at, keys, d.WRITE_ORDER, KEPT, CHANGED, v).select(F.lit(v).alias("version"), *keys, *KEPT, *CHANGED) for v in (1, 3))
     return one.unionByName(three)
+
+
+@query(f"with {d.DISKS}, every as (select disk, unnest(range(n_blocks)) as idx from sizes) select disk, idx, coalesce(u.data, repeat('0', 32)) as data, case when u.data is null then 'zero' else 'upper' end as layer from every left join upper u using (disk, idx)")
+def q78_sparse_pages(spark, sf_dir):
+    """The pages that changed as whole memory images, without a base: what is not there is zero."""
+    pages = delta.whole(d.sizes(d.disk(spark, sf_dir, 1)), d.upper(spark, sf_dir), size=16)
+    return pages.select("disk", "idx", F.lower(F.hex("data")).alias("data"), "layer")

@@ -211,7 +211,6 @@ def write_dense(blocks: DataFrame, sizes: DataFrame, path: str, block_size: int,
     """Write each disk of ``sizes`` as a dense image: its ``blocks``, else those of ``base`` (None: zeros), in order of idx. A disk of no blocks is an empty file."""
     if sizes.where("disk is null").take(1):
         raise WayfoldError("UnnamedDisk", "a disk without a name has no file")
-    base = blocks.limit(0) if base is None else base
     each = whole(sizes, blocks, base, block_size).select("disk", F.col("idx").alias("piece"), fixed_width(F.col("data"), block_size).alias("content"))
     none = sizes.where("n_blocks = 0").select("disk", F.lit(0).cast("long").alias("piece"), F.lit(b"").alias("content"))
     _write(each.unionByName(none), path, suffix)
