@@ -28,7 +28,7 @@ Step = Callable[[dict, dict], object]
 Tasks = dict[str, tuple[int, Step]]
 #: What the loop adds to an action's row, and what it keeps beside it until all parts are done.
 ADDED = {"t": "long", "status": "string", "error": "string", "message": "string", "cost": "int", "budget": "map<string,double>", "observation": "string", "done": "boolean"}
-KEPT = {"_part": "int", "_seq": "long", "_first": "boolean", "_end": "string"}
+KEPT = {"_part": "int", "_seq": "long", "_first": "boolean", "_state": "string", "_end": "string"}
 #: Rows whose results are held before they are given out.
 SLICE = 10_000
 
@@ -83,10 +83,11 @@ class _Part:
         self.out: list[tuple] = []
         self.seq = 0
 
-    def end(self) -> None:
-        """Mark the part's last row with what the next part needs."""
+    def end(self, part: bool = True) -> None:
+        """Mark a run's last row here with its state; the part's last one with what the next part needs as well."""
         if self.out:
-            self.out[-1] = (*self.out[-1][:-1], json.dumps({"first": self.first, "last": self.run, "state": self.state}))
+            state = json.dumps(self.state)
+            self.out[-1] = (*self.out[-1][:-2], state, json.dumps({"first": self.first, "last": self.run, "state": self.state}) if part else None)
 
     def add(self, part: int, seq: int, run: str | None, load: str | None, action: str | None, params: str | None) -> None:
         if part != self.part:
@@ -94,6 +95,7 @@ class _Part:
             self.part, self.run, self.first = part, run, run
             self.state = json.loads(self.began[part] if self.began else self.initial)
         elif run != self.run:
+            self.end(part=False)
             self.run, self.state = run, json.loads(self.initial)
         if load is not None:
             self.state = {**json.loads(self.initial), **json.loads(load)}
@@ -102,7 +104,7 @@ class _Part:
             status, error, message, cost, seen = step(self.state, self.tasks, action, params_of(params))
             budget = [(k, round(float(v), 4)) for k, v in self.state["budget"].items()]
             row = (self.state["t"], status, error, message, cost, budget, None if seen is None else json.dumps(seen, sort_keys=True, ensure_ascii=False, separators=(",", ":")), bool(self.state.get("done")))
-        self.out.append((*row, part, seq, run == self.first, None))
+        self.out.append((*row, part, seq, run == self.first, None, None))
 
 
 def _fold(tasks: Tasks, initial: str, began: dict[int, str] | None, given: list[str]):
@@ -125,10 +127,10 @@ def _fold(tasks: Tasks, initial: str, began: dict[int, str] | None, given: list[
                 parts = batch.column("_part").to_pylist() if began else [mine] * batch.num_rows
                 seqs = batch.column("_seq").to_pylist() if began else range(fold.seq, fold.seq + batch.num_rows)
                 fold.seq += batch.num_rows
-                # The last row of a slice may be its part's last one, which only the next slice tells.
+                # The last row of a slice may be its part's or its run's last one, which only the next slice tells.
                 if held is not None:
-                    if parts[0] != fold.part:
-                        fold.end()
+                    if parts[0] != fold.part or batch.column("run_id")[0].as_py() != fold.run:
+                        fold.end(part=parts[0] != fold.part)
                     yield flush(held)
                 for row in zip(parts, seqs, *(batch.column(c).to_pylist() for c in ("run_id", "_load", "action", "params"))):
                     fold.add(*row)
@@ -141,7 +143,12 @@ def _fold(tasks: Tasks, initial: str, began: dict[int, str] | None, given: list[
 
 
 def play(actions: DataFrame, order: list[str], tasks: Tasks, initial: dict, start: DataFrame | None = None, parts: int | None = None) -> DataFrame:
-    """``actions`` (run_id, action, params and ``order``) with what the episode of each run records for them.
+    """The rows of ``play_on`` alone: see there."""
+    return play_on(actions, order, tasks, initial, start, parts)[0]
+
+
+def play_on(actions: DataFrame, order: list[str], tasks: Tasks, initial: dict, start: DataFrame | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, states): ``actions`` (run_id, action, params and ``order``) with what the episode of each run records for them.
 
     ``tasks`` says what each action costs and does; ``initial`` is the state that runs start from: a small JSON object with
     a ``budget`` (counter to number) and whatever else the task keeps. ``start`` (run_id, state) has at most one row a run:
@@ -150,7 +157,8 @@ def play(actions: DataFrame, order: list[str], tasks: Tasks, initial: dict, star
     Adds t, status, error, message, cost, budget (what is left, to four places), observation (canonical JSON) and done. After
     a task sets ``done`` all is EpisodeComplete at no cost; an unknown or null action costs 1; a refused one its cost. Rows equal in
     ``order`` come in any order: make it total. Null run_ids are one run. An empty table gives an empty result. Other columns
-    go along; those named like an added one are replaced. ``parts`` is how many parts the table is sorted into (Spark's choice if None).
+    go along; those named like an added one are replaced. The states (run_id, state) are how each run stands at the end, those of
+    ``start`` without an action included: what a later call goes on from. ``parts`` is how many parts the table is sorted into (Spark's choice if None).
     """
     text = json.dumps({"t": 0, **initial})
     other = [c for c in actions.columns if c not in ("run_id", "action", "params", *ADDED)]
@@ -180,7 +188,9 @@ def play(actions: DataFrame, order: list[str], tasks: Tasks, initial: dict, star
     out = done[0]
     for new in done[1:]:
         out = out.unionByName(new)
-    return out.where("_load is null").select("run_id", "action", "params", *[F.col("_row")[c].alias(c) for c in other], *ADDED)
+    # A run that spans parts has a state in each; the last one's counts.
+    states = out.where("_state is not null").groupBy("run_id").agg(F.max_by("_state", "_part").alias("state"))
+    return out.where("_load is null").select("run_id", "action", "params", *[F.col("_row")[c].alias(c) for c in other], *ADDED), states
 
 
 def counter_tasks(ids: list[str]) -> Tasks:

@@ -712,3 +712,23 @@ def q78_sparse_pages(spark, sf_dir):
     """The pages that changed as whole memory images, without a base: what is not there is zero."""
     pages = delta.whole(d.sizes(d.disk(spark, sf_dir, 1)), d.upper(spark, sf_dir), size=16)
     return pages.select("disk", "idx", F.lower(F.hex("data")).alias("data"), "layer")
+
+
+@query(f"with {d.TRAJECTORIES}, latest as (select run_id, max(t) as t from states group by run_id) select traj.run_id, event_id, traj.t, action, status, error, cost, steps::double as steps, observation from traj join latest using (run_id) where traj.t > latest.t")
+def q79_restored_stream(spark, sf_dir):
+    """Each run restored from its last state and gone on with as a stream of three batches: what comes out is what the whole run gave."""
+    rows = ordered.stage(d.trajectories(spark, sf_dir), "events")
+    latest = ordered.stage(lineage.states(rows).groupBy("run_id").agg(*[F.max_by(c, "n").alias(c) for c in lineage.STATE]), "latest")
+    state = F.to_json(F.struct("t", F.struct("steps").alias("budget"), "value", "cursor", "done"))
+    later = rows.select("run_id", "event_id", "action", F.to_json(F.struct("n")).alias("params"), F.col("t").alias("was")).join(latest.select("run_id", F.col("t").alias("since")), "run_id").where("was > since")
+    later = ordered.stage(later, "later")
+    at = ordered.shared_path(spark, "restored")
+    tasks = loop.counter_tasks([f"id_{fold.SEED:02d}_{i:04d}" for i in range(fold.ITEMS)])
+    begun = latest.select("run_id", state.alias("state"))
+    for third in range(3):
+        # What arrives is taken before more does, so that a run's events come in order.
+        later.where(F.least(F.floor((F.col("was") - F.col("since") - 1) / 4), F.lit(2)) == third).write.mode("append").parquet(f"{at}/arrived")
+        stream = spark.readStream.schema(later.schema).parquet(f"{at}/arrived")
+        episodes.run_batches(stream, ["was"], f"{at}/out", f"{at}/checkpoint", tasks, {"budget": {"steps": fold.STEPS}, "value": 0, "cursor": 0}, begun)
+    out = spark.read.parquet(f"{at}/out/rows")
+    return out.select("run_id", "event_id", "t", "action", "status", "error", "cost", F.col("budget")["steps"].alias("steps"), "observation")
