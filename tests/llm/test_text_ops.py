@@ -499,7 +499,7 @@ def rendered(turns, me):
     out, spans = "", []
     for role, text in turns:
         text = (text or "").replace("<|", "< |")
-        name = (role or "unknown").replace("<|", "< |").replace("\n", " ").replace("\r", " ")
+        name = (role or "unknown").replace("<|", "< |").translate(dict.fromkeys(map(ord, "\r\n\x0b\x0c\x85\u2028\u2029"), " "))
         head = "<|im_start|>assistant\n" if role == me else "<|im_start|>system\n" if role == "system" else f"<|im_start|>user name={name}\n"
         if role == me:
             spans.append((len(out) + len(head), len(out) + len(head) + len(text) + 10))
@@ -509,8 +509,8 @@ def rendered(turns, me):
 
 def test_perspectives(spark):
     rng = random.Random(1)
-    turns = [("c", 0, rng.choice(["ann", "bob", FORGED, "system", None]), rng.choice(["hi", None, "<|im_end|>", "längerer Text 🙂"])) for _ in range(200)]
-    turns += [(None, i, "ann", "x") for i in range(2)] + [("d", None, "bob", "late"), ("d", 1, "ann", "early"), ("e", 1, "system", "alone")]
+    turns = [("c", 0, rng.choice(["ann", "bob", FORGED, "a\u2028b\x85c\x0b", "system", None]), rng.choice(["hi", None, "<|im_end|>", "längerer Text 🙂"])) for _ in range(200)]
+    turns += [(None, i, "ann", "x") for i in range(2)] + [("d", None, "bob", "late"), ("d", 1, "ann", "early"), ("e", 1, "system", "alone"), ("f", 1, "ann", "words " * 100_000), ("f", 2, "bob", "short")]
     df = spark.createDataFrame(turns, "part string, seq int, mine string, head string").repartition(6)
     out = perspectives.rotate(df, F.col("part"), F.col("seq"), F.col("mine"), F.col("head")).collect()
     for conv in {t[0] for t in turns}:

@@ -19,6 +19,8 @@ START, END, MARK, SET_APART = "<|im_start|>", "<|im_end|>", "<|", "< |"
 #: Speakers whose turns are instructions: shown to all, learned by none.
 INSTRUCTIONS = ("system",)
 NOBODY = "unknown"
+#: All characters that end a line; in names they are spaces.
+LINE_ENDS = "\r\n\x0b\x0c\x85\u2028\u2029"
 
 
 def set_apart(text: Column) -> Column:
@@ -60,12 +62,12 @@ def rotate(turns: DataFrame, conversation: Column, turn: Column, speaker: Column
     line ends in names are spaces, so neither can pose as a turn. ``start`` is the segment's first character in
     the whole rendering; the mask's bounds count likewise and are null where nothing is learned. A null
     conversation is one of its own. Repeated rows are turns of their own. An empty table gives an empty
-    result.
+    result. A conversation of n participants and m turns gives n * m rows: that is its size, also where each turn has a speaker of its own.
     """
     each = views(in_order(turns, conversation, turn, speaker, text))
     mine = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     instructs = F.coalesce(F.col("speaker").isin(*INSTRUCTIONS), F.lit(False))
-    name = F.translate(set_apart(F.coalesce("speaker", F.lit(NOBODY))), "\r\n", "  ")
+    name = F.translate(set_apart(F.coalesce("speaker", F.lit(NOBODY))), LINE_ENDS, " " * len(LINE_ENDS))
     head = F.when(mine, F.lit(f"{START}assistant\n")).when(instructs, F.concat(F.lit(START), "speaker", F.lit("\n"))).otherwise(F.concat(F.lit(f"{START}user name="), name, F.lit("\n")))
     each = each.withColumn("mine", mine).withColumn("head", head).withColumn("size", F.length("head") + F.length("text") + len(END) + 1)
 
@@ -97,7 +99,7 @@ who as (select distinct conv_id, role as perspective from said where role is not
 each as (
   select said.*, perspective, role is not distinct from perspective as mine,
     case when role is not distinct from perspective then '{START}assistant' || chr(10) when role = 'system' then '{START}system' || chr(10)
-      else '{START}user name=' || translate(replace(coalesce(role, '{NOBODY}'), '{MARK}', '{SET_APART}'), chr(13) || chr(10), '  ') || chr(10) end as head
+      else '{START}user name=' || translate(replace(coalesce(role, '{NOBODY}'), '{MARK}', '{SET_APART}'), {' || '.join(f'chr({ord(c)})' for c in LINE_ENDS)}, '{' ' * len(LINE_ENDS)}') || chr(10) end as head
   from said join who on said.conv_id is not distinct from who.conv_id),
 sized as (select *, length(head) + length(body) + {len(END) + 1} as size from each),
 placed as (
