@@ -134,3 +134,40 @@ def test_recall_beyond_the_sample(spark, tmp_path, n):
 def test_reranking_grows():
     n = additive_search.RERANK_ROWS
     assert additive_search.reranked(n) == additive_search.RERANK and additive_search.reranked(4 * n) == 2 * additive_search.RERANK
+
+
+def hard(kind, n=12_000, width=32):
+    """Rows that codes tell apart badly: one direction with small changes, many tight groups, wide and rare scales, or kinds that the sample hardly has."""
+    rng = np.random.RandomState(5)
+    if kind == "one direction":
+        return 5 * rng.randn(width) + 0.01 * rng.randn(n, width)
+    if kind == "tight groups":
+        return rng.randn(12, width)[rng.randint(12, size=n)] + 1e-4 * rng.randn(n, width)
+    if kind == "almost equal":
+        return rng.randn(width) + 1e-7 * rng.randn(n, width)
+    x = rng.randn(n, width) * np.exp(3 * rng.randn(width))
+    x[::50] = rng.randn(width) * 1e6 + rng.randn(len(x[::50]), width)
+    return x
+
+
+@pytest.mark.parametrize("kind", ["one direction", "tight groups", "almost equal", "rare kinds"])
+def test_nothing_is_missed(spark, tmp_path, kind):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = hard(kind)
+    n, width = x.shape
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), width).cast(pa.list_(pa.float64()))}), tmp_path / "v.parquet")
+    out = {(r.query_id, r["rank"]): r for r in additive_search.search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 200 == 0).collect()}
+    assert len(out) == 5 * -(-n // 200)
+    x = additive_search.unit(x)
+    for q in range(0, n, 200):
+        s = (x * x[q]).sum(1)
+        s[q] = -9
+        assert [out[q, r].vec_id for r in range(1, 6)] == np.lexsort((np.arange(n), -s))[:5].tolist()
+
+
+def test_equal_vectors_tie(spark):
+    v = [[float(c) for c in row] for row in np.random.RandomState(6).randn(2, 7)]
+    df = spark.createDataFrame([(i, v[min(i, 1)]) for i in range(400, -1, -1)], "vec_id long, embedding array<double>").repartition(6)
+    assert sorted((r["rank"], r.vec_id) for r in additive_search.search(df, F.col("vec_id") == 0).collect()) == [(r, r) for r in range(1, 6)]

@@ -2,7 +2,9 @@
 
 A vector is coded as a sum of one codeword from each of several codebooks over all dimensions, found by beam
 search over the residuals. Inner products with a query are sums of table entries; divided by the stored norm
-of the sum they rank all vectors; the best are ranked again on the original vectors.
+of the sum they rank all vectors; the best are ranked again on the original vectors. Each vector's angle to its sum is
+stored: no vector is nearer to a query than the query is to the sum, less that angle. All vectors that may be
+nearer than the best so far are ranked on the original vectors as well, so none is missed, whatever the vectors are.
 """
 
 from __future__ import annotations
@@ -11,12 +13,11 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
-from .vectors import QUERY_ROWS, SHARD_ROWS, matrix, merged, packed, tiles, usable
+from .vectors import QUERY_ROWS, SHARD_ROWS, merged, packed, tiles, usable
 
 K = 5
 BOOKS, WORDS, BEAM = 24, 256, 4
@@ -24,7 +25,7 @@ BOOKS, WORDS, BEAM = 24, 256, 4
 SWEEPS = 8
 #: Vectors that codebooks are trained on, at most about; all vectors are indexed.
 SAMPLE_ROWS = 16384
-#: Candidates of each query that are ranked again exactly; beyond ``RERANK_ROWS`` rows they grow with the root of the rows.
+#: Candidates of each query that are ranked exactly first, over all shards; beyond ``RERANK_ROWS`` rows they grow with the root of the rows.
 RERANK, RERANK_ROWS = 200, 100_000
 SLICE = 64
 
@@ -107,14 +108,14 @@ def reranked(n: int, rerank: int = RERANK) -> int:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest found of each query by cosine, in double precision.
+    """(query_id, rank, vec_id, score) of the ``k`` nearest of each query by cosine, in double precision.
 
     ``vectors`` has (vec_id, embedding) and what ``is_query`` needs. Vectors that are null, zero or hold null or non-finite components,
     and rows with a null vec_id, take no part. A query's own vec_id is left out with all rows that bear it;
     other repeated ids are candidates of their own, and a repeated query has a list for each of its rows.
     Shorter vectors count as filled up with zeros. Ties go to smaller vec_ids. An empty table gives an
     empty result. Codebooks are fitted on a bounded sample; every vector is indexed and scored. ``rerank``
-    candidates are ranked exactly, more beyond ``RERANK_ROWS`` rows.
+    candidates are ranked exactly, more beyond ``RERANK_ROWS`` rows, then all that their codes don't rule out.
     """
     spark = vectors.sparkSession
     nonzero = F.exists("embedding", lambda x: x != 0)
@@ -131,45 +132,58 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERAN
         x[i, : len(v)] = v
     books = spark.sparkContext.broadcast(pickle.dumps(train(unit(x))))  # BOOKS * WORDS codewords
 
-    def filled(x: np.ndarray, to: int) -> np.ndarray:
-        return np.pad(unit(x), ((0, 0), (0, to - x.shape[1]))).astype("float32")
-
-    def coded(x: np.ndarray) -> dict[str, bytes]:
-        b = pickle.loads(books.value)
-        codes = encode(filled(x, b.shape[2]), b)
-        return {"codes": codes.tobytes(), "norms": np.sqrt((decode(codes, b) ** 2).sum(1)).astype("float32").tobytes()}
+    n_shards = max(1, -(-n // SHARD_ROWS))
+    first = max(k, -(-rerank // n_shards))
+    kind = "float32" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "float64"
 
     def plain(x: np.ndarray) -> dict[str, bytes]:
-        return {"data": filled(x, pickle.loads(books.value).shape[2]).tobytes()}
+        return {"data": np.pad(x, ((0, 0), (0, (width or 1) - x.shape[1]))).astype(kind).tobytes()}
+
+    def whole(block: dict) -> np.ndarray:
+        return unit(np.frombuffer(block["data"], kind).reshape(-1, width or 1).astype("float64"))
+
+    def coded(x: np.ndarray) -> dict[str, bytes]:
+        b, made = pickle.loads(books.value), plain(x)
+        x = whole(made)
+        codes = encode(x.astype("float32"), b)
+        at = decode(codes, b.astype("float64"))
+        norms = np.sqrt((at * at).sum(1))
+        half = np.sqrt(((x - at / np.maximum(norms, 1e-300)[:, None]) ** 2).sum(1)) / 2
+        # A sum of no direction rules nothing out.
+        angles = np.where(norms < 1e-3, np.pi, 2 * np.arcsin(np.minimum(half, 1)))
+        return made | {"codes": codes.tobytes(), "norms": np.maximum(norms, 1e-3).astype("float32").tobytes(), "angles": angles.astype("float32").tobytes()}
 
     def scored(q: dict, s: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         b = pickle.loads(books.value)
-        codes, norms = np.frombuffer(s["codes"], "uint8").reshape(-1, len(b)), np.frombuffer(s["norms"], "float32")
-        x = np.frombuffer(q["data"], "float32").reshape(-1, b.shape[2])
+        codes, norms, angles = np.frombuffer(s["codes"], "uint8").reshape(-1, len(b)), np.frombuffer(s["norms"], "float32"), np.frombuffer(s["angles"], "float32")
+        x, v, own_ids, ids = whole(q), whole(s), np.frombuffer(q["ids"], "int64"), np.frombuffer(s["ids"], "int64")
+        cos, sin = np.cos(angles), np.sin(angles)
+        # Sums of so many entries in single precision are off by less.
+        slack = 3e-7 * len(b) * np.sqrt((b * b).sum(2)).max(1).sum() / norms + np.float32(1e-6)
         for at in range(0, len(x), SLICE):
             of = np.arange(at, min(at + SLICE, len(x)))
             total = np.zeros((len(of), len(codes)), "float32")
             for m in range(len(b)):
-                total += np.take(x[of] @ b[m].T, codes[:, m], axis=1)
-            yield of, total / np.maximum(norms, 1e-9)
-
-    shards = packed(rows, SHARD_ROWS, coded, ["codes", "norms"], n)
+                total += np.take((x[of] @ b[m].T).astype("float32"), codes[:, m], axis=1)
+            total /= norms
+            out = np.full(total.shape, -np.inf)
+            for i, row in enumerate(total):
+                others = np.flatnonzero(ids != own_ids[of[i]])
+                if len(others) > k:
+                    near = others[np.argpartition(-row[others], min(first, len(others)) - 1)[:first]]
+                    floor = np.partition((v[near] * x[of[i]]).sum(1), len(near) - k)[len(near) - k]
+                    most = np.clip(row + slack, -1, 1)
+                    most = np.where(most >= cos, 1, most * cos + np.sqrt(1 - most * most) * sin)
+                    others = others[most[others] >= floor - 1e-5]
+                    rough = v[others] @ x[of[i]] if 2 * len(others) < len(v) else (v @ x[of[i]])[others]
+                    others = others[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+                # Row by row in the same order, so that equal vectors have equal scores.
+                out[i, others] = (v[others] * x[of[i]]).sum(1)
+            yield of, out
+
+    shards = packed(rows, SHARD_ROWS, coded, ["data", "codes", "norms", "angles"], n)
     blocks = packed(asked, QUERY_ROWS, plain, ["data"], asked.count())
-    near = merged(tiles(blocks, shards, scored, rerank), rerank, -(-n // SHARD_ROWS))
-    pairs = near.select(F.col("row").alias("q_row"), "query_id", F.explode("best").alias("hit")).select("q_row", "query_id", F.col("hit.row").alias("row"), F.col("hit.vec_id").alias("vec_id"))
-    pairs = pairs.join(rows.select("row", "v"), "row").join(asked.select(F.col("row").alias("q_row"), F.col("v").alias("q")), "q_row")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v, q = matrix(b.column(4)), matrix(b.column(5))
-            w = max(v.shape[1], q.shape[1])
-            v, q = (unit(np.pad(m, ((0, 0), (0, w - m.shape[1])))) for m in (v, q))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((v * q).sum(axis=1))], ["q_row", "query_id", "row", "vec_id", "score"])
-
-    ranked = pairs.select("q_row", "query_id", "row", "vec_id", "v", "q").mapInArrow(exact, "q_row long, query_id long, row long, vec_id long, score double")
-    best = ranked.groupBy("q_row", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id", "row"))), 1, k).alias("best"))
+    best = merged(tiles(blocks, shards, scored, k), k, n_shards)
     each = best.select("query_id", F.posexplode("best").alias("rank", "hit"))
     return each.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.low")).alias("score"))
 
