@@ -203,6 +203,13 @@ def test_checks(spark):
     assert sorted(one(quality.disagreements(a, b, ["k"], ["v"]))) == [(3, "only first"), (4, "only second")]
 
 
+@pytest.mark.parametrize("n", [400, 401, 413, 414, 415, 1414])
+def test_a_summary_of_its_own_length_is_cut(spark, n):
+    df = spark.createDataFrame([(1, "x" * n)], "k int, text string").withColumn("obs_summary", js.summary_text(F.col("text")))
+    assert quality.cut_observations(df.withColumnRenamed("text", "observation")).count() == 0
+    assert quality.cut_observations(df.withColumn("observation", F.col("obs_summary"))).count() == (n > 400)
+
+
 def test_cut_observations_and_counts(spark):
     long, short = "x" * 401, "y"
     cut = "x" * 400 + "...[401 chars]"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json import summary_text
+from ..functions.json import TEXT_LIMIT, summary_text
 from .ordered import numbered
 
 
@@ -47,8 +47,11 @@ def disagreements(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str
 
 
 def cut_observations(events: DataFrame) -> DataFrame:
-    """Events whose stored observation is not whole: the summary made of it is not the stored one."""
-    return events.where(F.col("obs_summary").isNotNull() & ~summary_text(F.col("observation")).eqNullSafe(F.col("obs_summary")))
+    """Events whose stored observation is not whole: it is a stored summary with its note, or the summary made of it is not the stored one.
+
+    The summary of 414 characters is its own summary again, so it is compared itself; a whole text of that length which ends in its own note can't be told from one."""
+    whole = summary_text(F.col("observation")).eqNullSafe(F.col("obs_summary")) & ~(F.col("observation").eqNullSafe(F.col("obs_summary")) & (F.length("obs_summary") > TEXT_LIMIT))
+    return events.where(F.col("obs_summary").isNotNull() & ~whole)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
