@@ -69,3 +69,13 @@ def test_huge_and_nested_regions(spark):
 def test_bucketed_tables_join_in_place(spark):
     plan = registry.QUERIES["q71_bucketed_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+
+
+def test_lookups_are_aggregated_in_hash_tables(spark, monkeypatch):
+    """Minima of structs are sorted, a task's rows at a time; those of whole numbers are not."""
+    plans, stage = [], delta.stage
+    monkeypatch.setattr(delta, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name))
+    regions = spark.createDataFrame([(2, 0, 8, 0, 4), (1, 4, 4, 4096, 4), (1, 4, 4, 0, 4)], "region int, base long, size long, offset long, page_size long")
+    out = delta.locate(spark.createDataFrame([(5,), (1,), (9,)], "address long"), regions)
+    assert sorted((r.address, r.region, r.page) for r in out.collect() if r.region) == [(1, 2, 0), (5, 1, 0)]
+    assert plans and not any("SortAggregate" in p for p in plans)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import fixed_width, page_of
-from .ordered import HOT_SHARE, numbered, stage, with_facts
+from .ordered import HOT_SHARE, numbered, ordered, stage, with_facts
 
 BLOCK_SIZE = PAGE_SIZE = 4096
 
@@ -126,16 +126,23 @@ def locate(addresses: DataFrame, regions: DataFrame) -> DataFrame:
     one interval of each length that occurs, so the range join is an equi-join of at most 63 rows an address. Intervals that very many
     addresses lie in are broadcast, so their rows stay in place. Null addresses are in no region.
     """
-    first = F.min(F.struct("region", "base", "offset", "page_size")).alias("hit")
-    nodes = stage(intervals(regions).groupBy(F.struct("level", "at").alias("node")).agg(first), "intervals")
+    # A region's place in order stands for it: minima of whole numbers are kept in hash tables, and no row carries a region's columns.
+    placed = ordered(regions.select("region", "base", "size", "offset", "page_size"), ["region", "base", "offset", "page_size"], []).withColumnRenamed("_seq", "place").drop("_part")
+    nodes = stage(intervals(placed).groupBy("level", "at").agg(F.min("place").alias("place")).select(F.struct("level", "at").alias("node"), "place"), "intervals")
     levels = sorted(r["level"] for r in nodes.select("node.level").distinct().collect())
     level = F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")).alias("level")
-    asked = addresses.where("address is not null").select("address").distinct().select("address", level)
+    known = stage(addresses.where("address is not null").select("address").distinct(), "addresses")
+    asked = known.select("address", level)
     asked = asked.select("address", F.struct("level", F.call_function("shiftright", F.col("address"), F.col("level")).alias("at")).alias("node"))
-    held = asked.groupBy("node").agg(F.count("*").alias("asks"))
-    known = stage(nodes.join(held, "node"), "intervals-asked")
+    hits = with_facts(asked, *_asked(asked, nodes, "node"))
+    best = stage(hits.groupBy("address").agg(F.min("place").alias("place")), "places")
+    best = with_facts(best, *_asked(best, placed, "place"))
+    page = page_of(F.col("address"), F.col("base"), F.col("offset"), F.col("page_size"))
+    return addresses.join(best.select("address", "region", page.alias("page")), "address", "left").select("address", "region", "page")
+
+
+def _asked(rows: DataFrame, facts: DataFrame, key: str) -> tuple[DataFrame, str, Column]:
+    """What ``with_facts`` takes: the facts of keys that ``rows`` hold, and which of these are hot."""
+    known = stage(facts.join(rows.groupBy(key).agg(F.count("*").alias("asks")), key), f"{key}-asked")
     total = known.agg(F.sum("asks")).first()[0] or 0
-    hits = with_facts(asked, known, "node", F.col("asks") > HOT_SHARE * total)
-    best = hits.groupBy("address").agg(F.min("hit").alias("hit"))
-    page = page_of(F.col("address"), F.col("hit.base"), F.col("hit.offset"), F.col("hit.page_size"))
-    return addresses.join(best, "address", "left").select("address", "hit.region", page.alias("page"))
+    return known, key, F.col("asks") > HOT_SHARE * total
