@@ -203,6 +203,20 @@ def test_checks(spark):
     assert sorted(one(quality.disagreements(a, b, ["k"], ["v"]))) == [(3, "only first"), (4, "only second")]
 
 
+@pytest.mark.parametrize("large", [upsert.LARGE, 50])
+def test_upserts_sort_tasks_of_bounded_size(spark, monkeypatch, large):
+    """Writes are dealt by key as they are; a key of very many writes has partial aggregates."""
+    monkeypatch.setattr(upsert, "TASK_ROWS", 100)
+    monkeypatch.setattr(upsert, "LARGE", large)
+    writes = spark.createDataFrame([(i % 200 if i < 400 else 7, i, f"a{i}") for i in range(1000)], "k long, seq int, a string")
+    for out in (upsert.partial_upsert(writes, ["k"], ["seq"], [], ["a"], dealt=True), upsert.write_ends(writes, ["k"], ["seq"])):
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == (1 if large > 50 else 2)
+    last = {k: max(i for i in range(1000) if (i % 200 if i < 400 else 7) == k) for k in range(200)}
+    assert {r.k: r.a for r in upsert.partial_upsert(writes, ["k"], ["seq"], [], ["a"], dealt=True).collect()} == {k: f"a{i}" for k, i in last.items()}
+    assert sorted((r.k, r.seq) for r in out.collect()) == sorted([(k, k) for k in range(200)] + [(k, i) for k, i in last.items()])
+
+
 @pytest.mark.parametrize("n", [400, 401, 413, 414, 415, 1414])
 def test_a_summary_of_its_own_length_is_cut(spark, n):
     df = spark.createDataFrame([(1, "x" * n)], "k int, text string").withColumn("obs_summary", js.summary_text(F.col("text")))

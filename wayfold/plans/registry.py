@@ -69,7 +69,7 @@ _UPSERT_SQL = f"select l_orderkey, l_linenumber, {', '.join(f'arg_min_null({c},
 
 @query(_UPSERT_SQL)
 def q05_partial_upsert(spark, sf_dir):
-    return upsert.partial_upsert(d.writes(spark, sf_dir), ["l_orderkey", "l_linenumber"], d.WRITE_ORDER, KEPT, CHANGED)
+    return upsert.partial_upsert(d.writes(spark, sf_dir), ["l_orderkey", "l_linenumber"], d.WRITE_ORDER, KEPT, CHANGED, dealt=True)
 
 
 @query(f"with {d.TRAJECTORIES}, {SPAN_EVENTS} select * replace (case when action = 'peek' then null else observation end as observation, case when action = 'peek' then 'error' else status end as status) from span_ev")

@@ -54,4 +54,4 @@ def compact(spark: SparkSession, path: str, keys: list[str], seq: list[str]) ->
 def current(spark: SparkSession, path: str, keys: list[str], seq: list[str], first: list[str], last: list[str]) -> DataFrame | None:
     """The table as it stands; None before anything came."""
     rows = _stored(spark, path)
-    return None if rows is None else partial_upsert(rows, keys, seq, first, last)
+    return None if rows is None else partial_upsert(rows, keys, seq, first, last, dealt=True)
