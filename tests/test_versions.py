@@ -50,3 +50,20 @@ def test_writers_that_fail_or_meet(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(versions, "manifest", lambda *a: held)
     with pytest.raises(Exception, match="(?i)exists"):
         versions.upsert_version(one, at, ["k"], ["seq"])
+
+
+def test_an_upsert_shuffles_its_rows_once(spark, tmp_path, monkeypatch):
+    """Rows are sorted where the files of their buckets are written; buckets of many rows have several files."""
+    plans, ends = [], versions.write_ends
+
+    def seen(*args):
+        out = ends(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(versions, "write_ends", seen)
+    monkeypatch.setattr(versions, "TASK_ROWS", 40, raising=False)
+    at, df = str(tmp_path / "t"), spark.createDataFrame([(i % 300, i, f"a{i}", f"b{i}") for i in range(900)], SCHEMA)
+    versions.upsert_version(df, at, ["k"], ["seq"], buckets=4)
+    assert plans[0].count("Exchange") == 1 and "_bucket" in plans[0].split("Exchange")[1].split(", REPARTITION_BY_NUM")[0] and "REPARTITION_BY_NUM" in plans[0]
+    assert rows(versions.read_version(spark, at, *ARGS)) == [(k, f"a{k}", f"b{600 + k}") for k in range(300)]

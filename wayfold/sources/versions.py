@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.errors import WayfoldError
-from ..operators.upsert import partial_upsert, write_ends
+from ..operators.upsert import TASK_ROWS, partial_upsert, write_ends
 
 #: A table's buckets; fixed when its first version is written.
 BUCKETS = 64
@@ -66,7 +66,12 @@ def upsert_version(writes: DataFrame, path: str, keys: list[str], seq: list[str]
     old = read_writes(spark, path, [r for r in held if r["bucket"] in touched], writes.schema)
     rows = new if old is None else new.unionByName(old.withColumn("_bucket", _bucket(keys, buckets)))
     folder, version = uuid.uuid4().hex, (held[0]["version"] if held else 0) + 1
-    write_ends(rows, keys, seq).withColumnRenamed("_bucket", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
+    # A bucket is dealt to as many tasks as its rows need; its files are written where its rows were sorted.
+    most = rows.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    parts = -(-most // TASK_ROWS)
+    rows = rows.withColumn("_sub", F.pmod(F.xxhash64(*keys, F.lit("sub")), F.lit(parts)).cast("int"))
+    ends = write_ends(rows, ["_bucket", "_sub", *keys], seq, lambda some, n: some.repartition(min(len(touched) * parts, 4 * n), "_bucket", "_sub"))
+    ends.drop("_sub").withColumnRenamed("_bucket", "bucket").write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
     lines = [(r["bucket"], r["folder"]) for r in held if r["bucket"] not in touched] + [(b, folder) for b in sorted(touched)]
     out = spark.createDataFrame([(b, f, buckets, batch) for b, f in lines], "bucket int, folder string, buckets int, batch long")
     # Errors if another writer has made this version in the meantime.
@@ -77,4 +82,4 @@ def upsert_version(writes: DataFrame, path: str, keys: list[str], seq: list[str]
 def read_version(spark: SparkSession, path: str, keys: list[str], seq: list[str], first: list[str], last: list[str], version: int | None = None) -> DataFrame | None:
     """The table as of ``version`` (None: the latest), one row a key; later upserts don't change it. None before anything came."""
     rows = read_writes(spark, path, manifest(spark, path, version))
-    return None if rows is None else partial_upsert(rows, keys, seq, first, last)
+    return None if rows is None else partial_upsert(rows, keys, seq, first, last, dealt=True)
