@@ -32,3 +32,14 @@ def test_exact_decimals(spark):
 def test_snapshot_of_odd_counters(spark):
     df = spark.createDataFrame([({"usd": 2.675, "z": 1e-9, "steps": 3.0, "neg": -0.00001},), (None,)], "c map<string,double>")
     assert [r.s for r in df.select(values.budget_snapshot(values.F.col("c")).alias("s")).collect()] == ['{"neg":-0.0,"steps":3,"usd":2.675,"z":0.0}', None]
+
+
+def test_products_near_a_half_are_rounded_exactly(spark):
+    """Where the product of doubles can't tell which side of a half a value is on, the whole numbers do."""
+    import math
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    halves = [(k + 0.5) / 10**4 for k in (0, 1, 7, 1234, 99_999, 123_456_789, 2**40 + 1)] + [0.5 + 2.0**-30, 2.0**-49, 3.0]
+    asked = [x for v in halves for x in (math.nextafter(v, 0), v, math.nextafter(v, math.inf))]
+    out = spark.createDataFrame([(x,) for x in asked], "x double").select("x", values.scaled(values.F.col("x"), values.F.lit(4)).alias("n")).collect()
+    assert {r.x: int(r.n) for r in out} == {x: int((Decimal(x) * 10**4).to_integral_value(ROUND_HALF_EVEN)) for x in asked}

@@ -89,10 +89,13 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def scaled(value: Column, places: Column) -> Column:
     """The whole number nearest to ``value`` * 10**``places``, the even one of two, as a decimal; values from 2**-49 to 2**53, places from -10 to 20.
 
-    A double is a whole number times a power of two; so is taken apart, and the division is one of whole numbers.
+    Doubles tell it where their product, which is off by 2**-53 of itself at most, is further than that from a half. Elsewhere a double is a whole number times a
+    power of two; so is taken apart, and the division is one of whole numbers.
     """
-    k = F.least(F.greatest(53 - F.floor(F.log2(value)), F.lit(0)), F.lit(110)).cast("int")
-    parts = F.struct(value.alias("v"), places.cast("int").alias("p"), k.alias("k"))
+
+    def exactly(value: Column, places: Column) -> Column:
+        k = F.least(F.greatest(53 - F.floor(F.log2(value)), F.lit(0)), F.lit(110)).cast("int")
+        return bound(bound(F.struct(value.alias("v"), places.alias("p"), k.alias("k")), ratio), divided)
 
     def ratio(x: Column) -> Column:
         whole = (x["v"] * F.pow(F.lit(2.0), x["k"])).cast("long").cast("decimal(18,0)")
@@ -107,7 +110,11 @@ def scaled(value: Column, places: Column) -> Column:
         gap = x["under"] - x["rest"]
         return x["down"] + F.when((x["rest"] > gap) | ((x["rest"] == gap) & (x["down"] % 2 == 1)), 1).otherwise(0)
 
-    return bound(bound(parts, ratio), divided)
+    # Powers of ten up to 10**22 are doubles, and come exact.
+    ten = F.pow(F.lit(10.0), F.abs(places).cast("double"))
+    product = F.struct(F.when(places < 0, value / ten).otherwise(value * ten).alias("q"), value.alias("v"), places.cast("int").alias("p"))
+    clear = lambda x: (x["q"] < 2.0**50) & (F.abs(x["q"] - F.floor(x["q"]) - 0.5) > x["q"] * 2.0**-52)
+    return bound(product, lambda x: F.when(clear(x), F.rint(x["q"]).cast("long").cast("decimal(38,0)")).otherwise(exactly(x["v"], x["p"]).cast("decimal(38,0)")))
 
 
 #: Below it a number rounds to 0.0000; from it on doubles are whole; below ``PLAIN`` four places are at most 15 digits, which tell doubles apart.
