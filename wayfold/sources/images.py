@@ -13,6 +13,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
@@ -31,6 +32,10 @@ from .packed import DISK, HEAD, MEMORY, SCHEMA, SLICE, VERSION, pieces
 NAME = "wayfold_images"
 #: Bytes of a file that a partition reads, about.
 PART_BYTES = 64 << 20
+#: Files that a commit moves at once.
+MOVERS = 32
+#: Files that a task writes, about.
+TASK_FILES = 500
 PIECES = "disk string, piece long, content binary"
 
 
@@ -149,9 +154,11 @@ class ImageWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, at = opened(self.path)
-        for m in filter(None, messages):
-            for name, _ in m.files:
-                system.move(f"{m.folder}/{name}", f"{at}/{name}")
+        # A disk is a file: one after another, the moves of very many wait for the file system each.
+        with ThreadPoolExecutor(MOVERS) as movers:
+            for m in filter(None, messages):
+                for _ in movers.map(lambda name, folder=m.folder: system.move(f"{folder}/{name}", f"{at}/{name}"), [name for name, _ in m.files]):
+                    pass
         system.delete_dir(f"{at}/_writing-{self.job}")
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -185,12 +192,14 @@ def read_images(spark: SparkSession, path: str, dense_size: int | None = None, k
     return spark.read.format(NAME).options(**options).load(path)
 
 
-def _write(rows: DataFrame, path: str, suffix: str) -> None:
+def _write(rows: DataFrame, path: str, suffix: str, disks: int = 1) -> None:
     spark = rows.sparkSession
     spark.dataSource.register(PackedFiles)
     system, at = opened(path)
     system.create_dir(at)
-    rows.select("disk", "piece", "content").repartition("disk").sortWithinPartitions("disk", "piece").write.format(NAME).option("suffix", suffix).mode("append").save(path)
+    # Opening files takes longer than their bytes: tasks are by the number of disks, a shuffle's at least.
+    tasks = max(1, min(disks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-disks // TASK_FILES))
+    rows.select("disk", "piece", "content").repartition(tasks, "disk").sortWithinPartitions("disk", "piece").write.format(NAME).option("suffix", suffix).mode("append").save(path)
 
 
 def write_packed(blocks: DataFrame, sizes: DataFrame, path: str, block_size: int, kind: bytes = DISK, suffix: str = ".img") -> DataFrame:
@@ -202,7 +211,7 @@ def write_packed(blocks: DataFrame, sizes: DataFrame, path: str, block_size: int
     """
     if sizes.where("disk is null").take(1):
         raise WayfoldError("UnnamedDisk", "a disk without a name has no file")
-    _write(pieces(blocks, sizes, block_size, kind), path, suffix)
+    _write(pieces(blocks, sizes, block_size, kind), path, suffix, sizes.count())
     n = blocks.groupBy("disk").agg(F.count("*").alias("n_dirty"))
     return sizes.join(n, "disk", "left").select("disk", "n_blocks", (F.col("n_blocks") * block_size).alias("len"), F.coalesce("n_dirty", F.lit(0).cast("long")).alias("n_dirty"))
 
@@ -213,7 +222,7 @@ def write_dense(blocks: DataFrame, sizes: DataFrame, path: str, block_size: int,
         raise WayfoldError("UnnamedDisk", "a disk without a name has no file")
     each = whole(sizes, blocks, base, block_size).select("disk", F.col("idx").alias("piece"), fixed_width(F.col("data"), block_size).alias("content"))
     none = sizes.where("n_blocks = 0").select("disk", F.lit(0).cast("long").alias("piece"), F.lit(b"").alias("content"))
-    _write(each.unionByName(none), path, suffix)
+    _write(each.unionByName(none), path, suffix, sizes.count())
 
 
 __all__ = ["DISK", "MEMORY", "PackedFiles", "dirty_runs", "read_images", "write_dense", "write_packed"]
