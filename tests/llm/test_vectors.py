@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wayfold.llm import additive_search, topk_search
+from wayfold.llm import vectors as cells
 
 V = "vec_id long, embedding array<float>, score string"
 
@@ -171,3 +172,39 @@ def test_equal_vectors_tie(spark):
     v = [[float(c) for c in row] for row in np.random.RandomState(6).randn(2, 7)]
     df = spark.createDataFrame([(i, v[min(i, 1)]) for i in range(400, -1, -1)], "vec_id long, embedding array<double>").repartition(6)
     assert sorted((r["rank"], r.vec_id) for r in additive_search.search(df, F.col("vec_id") == 0).collect()) == [(r, r) for r in range(1, 6)]
+
+
+def test_nothing_of_op5_is_broadcast(spark):
+    plan = topk_search.search(vectors(spark)[1], F.col("vec_id") % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
+
+
+def test_cells_at_size():
+    """Fifteen million rows: a worker's queries and lists stay small, and what is sent is a few times the input."""
+    n, asked, vector, k = 15_000_000, 750_000, 80, 20
+    by_query, by_shard = cells.grid(-(-n // 8192), n, asked, n * vector, asked * vector, k, 12)
+    assert asked / by_query * 2 * (vector + k * cells.HIT_BYTES) <= 1.1 * cells.CELL_BYTES
+    assert by_query * by_shard >= 48 and by_query * n * vector + by_shard * asked * (vector + k * cells.HIT_BYTES) <= 16 * n * vector
+    assert cells.grid(1, 0, 0, 0, 0, k, 12) == (1, 1)
+
+
+@pytest.mark.parametrize("sizes", [(1,), (100,), (1, 1e3), (1, 1e5), (1, 1e9, 1e17), (1, 1e200)])
+def test_many_cells(spark, monkeypatch, sizes):
+    """Blocks of all kinds of numbers, many ties, repeated ids and short vectors, over several groups of queries and of shards."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 12)
+    monkeypatch.setattr(topk_search, "SLICE", 5)
+    monkeypatch.setattr(cells, "LEAST_PAIRS", 300)
+    grids = []
+    monkeypatch.setattr(cells, "grid", lambda *a, f=cells.grid: grids.append(f(*a)) or grids[-1])
+    rng = np.random.RandomState(8)
+    given = [(int(rng.randint(90)), [float(sizes[rng.randint(len(sizes))] * v) for v in rng.randint(-2, 3, size=rng.randint(1, 4)) / 2]) for _ in range(160)]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<double>").repartition(3)
+    exact = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in given]
+    wanted = []
+    for q, x in exact:
+        if q % 3 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in exact if i != q)[:7]
+            wanted += [(q, rank, i, max(1 - 2**63, min(2**63 - 1, -low))) for rank, (low, i) in enumerate(best, 1)]
+    out = [tuple(r) for r in topk_search.search(df, F.col("vec_id") % 3 == 0, k=7).collect()]
+    assert sorted(out) == sorted(wanted)
+    assert min(grids[0]) > 1

@@ -3,44 +3,72 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
-from .vectors import QUERY_ROWS, SHARD_ROWS, merged, packed, tiles, usable
+from .common import table
+from .vectors import SHARD_ROWS, chosen, nearest, packed, padded, usable
 
 K = 20
 SCALE = 64
-#: Queries of a tile that are multiplied at a time.
+#: Queries of a cell that are multiplied with a shard at a time.
 SLICE = 256
 
 
 def _whole(x: np.ndarray) -> dict[str, bytes]:
-    # Only whole 64ths matter; the bits below them would not compress. Beyond 2**52 a double is whole.
+    """floor(64 x) in 8 or 16 bits where those hold a block, else whole 64ths in doubles: beyond 2**52 a double is whole, and 64 times it may be too large for one."""
     small = np.abs(x) < 2**52
-    return {"data": np.where(small, np.floor(SCALE * np.where(small, x, 0)) / SCALE, x).tobytes()}
+    y = np.floor(SCALE * np.where(small, x, 0))
+    for kind in ("int8", "int16"):
+        if small.all() and np.iinfo(kind).min <= y.min(initial=0) and y.max(initial=0) <= np.iinfo(kind).max:
+            return {"data": y.astype(kind).tobytes()}
+    return {"data": np.where(small, y / SCALE, x).tobytes()}
+
+
+def _matrix(block: dict) -> np.ndarray:
+    """A block's rows, whole numbers or doubles."""
+    n, width, size = len(block["ids"]), block["width"], len(block["data"])
+    kind = {1: "int8", 2: "int16", 8: "float64"}[size // (n * width)] if size else "int8"
+    return np.frombuffer(block["data"], kind).reshape(n, width)
+
+
+def _together(blocks: list[dict]) -> np.ndarray:
+    parts = [_matrix(b) for b in blocks]
+    if any(p.dtype.kind == "f" for p in parts):
+        parts = [p if p.dtype.kind == "f" else p / SCALE for p in parts]
+    return padded(parts)
+
+
+def _most(x: np.ndarray) -> float:
+    return (1 if x.dtype.kind == "i" else SCALE) * max(-float(x.min(initial=0)), float(x.max(initial=0))) + 1
+
+
+def _scaled(x: np.ndarray, kind: str) -> np.ndarray:
+    return (x if x.dtype.kind == "i" else np.floor(SCALE * x)).astype(kind)
 
 
 def _exact(x: np.ndarray) -> np.ndarray:
-    """floor(64 x) in Python's numbers; beyond 2**52 a double is whole, and 64 times it may be too large for one."""
+    """floor(64 x) in Python's numbers."""
+    if x.dtype.kind == "i":
+        return x.astype(object)
     return np.array([[math.floor(SCALE * v) if abs(v) < 2**52 else SCALE * int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
 
 
-def _products(q: dict, s: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Integer inner products of a tile: in doubles where those hold every sum, else in 64 bits, else in Python's numbers."""
-    width = min(q["width"], s["width"])
-    x, y = (np.frombuffer(b["data"]).reshape(-1, b["width"])[:, :width] if b["width"] else np.zeros((len(b["ids"]) // 8, 0)) for b in (q, s))
-    most = max(width, 1) * (SCALE * float(np.abs(x).max(initial=0)) + 1) * (SCALE * float(np.abs(y).max(initial=0)) + 1)
-    if most < 2**53:
-        x, y = np.floor(SCALE * x), np.floor(SCALE * y)
-    elif most < 2**62:
-        x, y = np.floor(SCALE * x).astype("int64"), np.floor(SCALE * y).astype("int64")
+def _score(x: np.ndarray, query_ids: np.ndarray, s: dict, least: Callable[[slice], np.ndarray], k: int) -> Iterator[tuple]:
+    """Best integer inner products: in floats of 32 or 64 bits where those hold every sum, else in 64 bits, else in Python's numbers."""
+    y = _matrix(s)
+    width = min(x.shape[1], y.shape[1])
+    x, y = x[:, :width], y[:, :width]
+    most = max(width, 1) * _most(x) * _most(y)
+    kind = next((kind for kind, bits in (("float32", 24), ("float64", 53), ("int64", 62)) if most < 2**bits), None)
+    turn = (lambda z: _scaled(z, kind)) if kind else _exact
+    y = turn(y).T
     for at in range(0, len(x), SLICE):
-        of = np.arange(at, min(at + SLICE, len(x)))
-        yield of, x[of] @ y.T if most < 2**62 else _exact(x[of]) @ _exact(y).T
+        of = slice(at, min(at + SLICE, len(x)))
+        yield of, *chosen(turn(x[of]) @ y, query_ids[of], s["ids"], least(of), k)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -54,13 +82,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     nearest number of 64 bits.
     """
     good = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
-    rows = vectors.where(good).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = stage(rows, "search-vectors")
-    asked = rows.where("asks")
-    n, n_asked = rows.count(), asked.count()
-    shards = packed(rows, SHARD_ROWS, _whole, ["data"], n)
-    blocks = packed(asked, QUERY_ROWS, _whole, ["data"], n_asked)
-    best = merged(tiles(blocks, shards, _products, k, whole=True), k, -(-n // SHARD_ROWS))
+    rows = vectors.where(good).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col("embedding").alias("v"))
+    blocks = packed(rows, SHARD_ROWS, _whole, ["data"], rows.count())
+    best = nearest(blocks, ["data"], _together, lambda x, ids, s, least: _score(x, ids, s, least, k), k, whole=True)
     each = best.select("query_id", F.posexplode("best").alias("rank", "hit"))
     # The least number of 64 bits has no negative; it stands for scores beyond the greatest.
     most = F.lit(2**63 - 1)
