@@ -208,3 +208,35 @@ def test_many_cells(spark, monkeypatch, sizes):
     out = [tuple(r) for r in topk_search.search(df, F.col("vec_id") % 3 == 0, k=7).collect()]
     assert sorted(out) == sorted(wanted)
     assert min(grids[0]) > 1
+
+
+def test_nothing_of_op9_is_broadcast(spark):
+    plan = additive_search.search(vectors(spark)[1], F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("kind", ["one direction", "tight groups", "almost equal", "rare kinds"])
+def test_nothing_is_missed_over_many_cells(spark, tmp_path, monkeypatch, kind):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(additive_search, "SHARD_ROWS", 300)
+    monkeypatch.setattr(cells, "LEAST_PAIRS", 20_000)
+    grids = []
+    monkeypatch.setattr(cells, "grid", lambda *a, f=cells.grid: grids.append(f(*a)) or grids[-1])
+    x = hard(kind, n=3000, width=16)
+    x[700:800], ids = x[700], np.arange(len(x))
+    ids[40:50], ids[::7] = 40, ids[::-7][: len(ids[::7])]
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 16).cast(pa.list_(pa.float64()))}), tmp_path / "v.parquet")
+    found = {}
+    for r in additive_search.search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = additive_search.unit(x)
+    for q in np.unique(ids[ids % 20 == 0]):
+        wanted = []
+        for at in np.flatnonzero(ids == q):
+            s = (x * x[at]).sum(1)
+            s[ids == q] = -9
+            wanted += [(r, int(ids[j]), float(s[j])) for r, j in enumerate(np.lexsort((ids, -s))[:5], 1)]
+        assert sorted(found[q]) == sorted(wanted)
+    assert len(found) == len(np.unique(ids[ids % 20 == 0])) and grids[0][0] * grids[0][1] > 3

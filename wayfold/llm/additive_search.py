@@ -5,19 +5,20 @@ search over the residuals. Inner products with a query are sums of table entries
 of the sum they rank all vectors; the best are ranked again on the original vectors. Each vector's angle to its sum is
 stored: no vector is nearer to a query than the query is to the sum, less that angle. All vectors that may be
 nearer than the best so far are ranked on the original vectors as well, so none is missed, whatever the vectors are.
+The first candidates of a cell by their codes give its first best; its later shards go on from the best so far.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
-from .vectors import QUERY_ROWS, SHARD_ROWS, merged, packed, tiles, usable
+from .common import table
+from .vectors import SHARD_ROWS, matrix, nearest, own, packed, padded, usable
 
 K = 5
 BOOKS, WORDS, BEAM = 24, 256, 4
@@ -28,6 +29,8 @@ SAMPLE_ROWS = 16384
 #: Candidates of each query that are ranked exactly first, over all shards; beyond ``RERANK_ROWS`` rows they grow with the root of the rows.
 RERANK, RERANK_ROWS = 200, 100_000
 SLICE = 64
+#: Numbers of vectors that are ranked at a time.
+RANKED = 1 << 21
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -107,6 +110,41 @@ def reranked(n: int, rerank: int = RERANK) -> int:
     return int(np.ceil(rerank * max(1.0, n / RERANK_ROWS) ** 0.5))
 
 
+def reached(near: np.ndarray, v: np.ndarray, x: np.ndarray, first: int, k: int) -> float:
+    """The k-th best cosine of ``x`` and the ``first`` of ``v`` that are nearest by their codes; -inf if these are fewer than ``k``."""
+    if len(near) > first:
+        found = np.flatnonzero(near >= np.partition(near, len(near) - first)[len(near) - first])[:first]
+    else:
+        found = np.arange(len(near))
+    found = found[near[found] > -np.inf]
+    return np.partition((v[found] * x).sum(1), len(found) - k)[len(found) - k] if len(found) >= k else -np.inf
+
+
+def ranked(most: np.ndarray, angles: np.ndarray, v: np.ndarray, q: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, cosine) of all vectors that reach their query's ``floor``; those of no ``most`` are left out.
+
+    ``most`` bounds the cosine of a vector's sum and a query from above. At an angle of ``angles`` from the sum, a vector reaches
+    the floor only if the sum's angle to the query is at most the floor's and that angle together.
+    """
+    low = np.clip(floor - 1e-5, -1, 1)
+    high = np.sqrt(1 - low * low)
+    may = most >= np.cos(angles)[:, None] * low.astype("float32") - np.sin(angles)[:, None] * high.astype("float32")
+    rest = (np.pi - np.arccos(low)).astype("float32")
+    if angles.max() >= rest.min() - 1e-6:  # together half a turn or more: nothing is ruled out
+        may |= (angles[:, None] >= rest - np.float32(1e-6)) & (most > -np.inf)
+    if np.count_nonzero(may) > may.size / 32:
+        may &= v @ q.T >= floor - 1e-9
+    at = np.flatnonzero(may)
+    found, step = [], max(1, RANKED // v.shape[1])
+    for start in range(0, len(at), step):
+        j, i = np.divmod(at[start : start + step], len(q))
+        # Row by row in the same order, so that equal vectors have equal scores.
+        value = (v[j] * q[i]).sum(1)
+        keep = value >= floor[i]
+        found.append((i[keep], j[keep], value[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (at, at, np.zeros(0))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest of each query by cosine, in double precision.
 
@@ -118,33 +156,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERAN
     candidates are ranked exactly, more beyond ``RERANK_ROWS`` rows, then all that their codes don't rule out.
     """
     spark = vectors.sparkSession
+    kind = "float32" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "float64"
     nonzero = F.exists("embedding", lambda x: x != 0)
-    rows = vectors.where(usable(F.col("embedding")) & nonzero & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = stage(rows, "ann-vectors")
+    v = F.col("embedding") if kind == "float32" else F.col("embedding").cast("array<double>")
+    rows = vectors.where(usable(F.col("embedding")) & nonzero & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.coalesce(is_query, F.lit(False)).alias("asks"), v.alias("v"))
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     rerank = reranked(n, rerank)
-    asked = rows.where("asks")
-    sample = rows.where(trained_on(n)).select("v").limit(2 * SAMPLE_ROWS).toPandas()["v"]
+    doubles = rows.select("vec_id", F.col("v").cast("array<double>").alias("v"))
+    sample = doubles.where(trained_on(n)).select("v").limit(2 * SAMPLE_ROWS).toArrow()
     if not len(sample):  # rows alike are all of the sample or none is
-        sample = rows.select("v").limit(SAMPLE_ROWS).toPandas()["v"]
+        sample = doubles.select("v").limit(SAMPLE_ROWS).toArrow()
     x = np.zeros((max(len(sample), 1), width or 1))
-    for i, v in enumerate(sample):
-        x[i, : len(v)] = v
+    if len(sample):
+        found = matrix(sample.column("v").combine_chunks())
+        x[:, : found.shape[1]] = found
     books = spark.sparkContext.broadcast(pickle.dumps(train(unit(x))))  # BOOKS * WORDS codewords
 
     n_shards = max(1, -(-n // SHARD_ROWS))
     first = max(k, -(-rerank // n_shards))
-    kind = "float32" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "float64"
 
     def plain(x: np.ndarray) -> dict[str, bytes]:
         return {"data": np.pad(x, ((0, 0), (0, (width or 1) - x.shape[1]))).astype(kind).tobytes()}
 
-    def whole(block: dict) -> np.ndarray:
-        return unit(np.frombuffer(block["data"], kind).reshape(-1, width or 1).astype("float64"))
+    def plain_matrix(block: dict) -> np.ndarray:
+        return np.frombuffer(block["data"], kind).reshape(-1, width or 1)
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return unit(x.astype("float64"))
 
     def coded(x: np.ndarray) -> dict[str, bytes]:
         b, made = pickle.loads(books.value), plain(x)
-        x = whole(made)
+        x = whole(plain_matrix(made))
         codes = encode(x.astype("float32"), b)
         at = decode(codes, b.astype("float64"))
         norms = np.sqrt((at * at).sum(1))
@@ -153,37 +195,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERAN
         angles = np.where(norms < 1e-3, np.pi, 2 * np.arcsin(np.minimum(half, 1)))
         return made | {"codes": codes.tobytes(), "norms": np.maximum(norms, 1e-3).astype("float32").tobytes(), "angles": angles.astype("float32").tobytes()}
 
-    def scored(q: dict, s: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        b = pickle.loads(books.value)
-        codes, norms, angles = np.frombuffer(s["codes"], "uint8").reshape(-1, len(b)), np.frombuffer(s["norms"], "float32"), np.frombuffer(s["angles"], "float32")
-        x, v, own_ids, ids = whole(q), whole(s), np.frombuffer(q["ids"], "int64"), np.frombuffer(s["ids"], "int64")
-        cos, sin = np.cos(angles), np.sin(angles)
+    def scored(x: np.ndarray, query_ids: np.ndarray, s: dict, least: Callable[[slice], np.ndarray]) -> Iterator[tuple]:
+        b, v = pickle.loads(books.value), whole(plain_matrix(s))
+        codes = np.ascontiguousarray(np.frombuffer(s["codes"], "uint8").reshape(-1, len(b)).T)
+        norms, angles = np.frombuffer(s["norms"], "float32"), np.frombuffer(s["angles"], "float32")
         # Sums of so many entries in single precision are off by less.
         slack = 3e-7 * len(b) * np.sqrt((b * b).sum(2)).max(1).sum() / norms + np.float32(1e-6)
         for at in range(0, len(x), SLICE):
-            of = np.arange(at, min(at + SLICE, len(x)))
-            total = np.zeros((len(of), len(codes)), "float32")
+            of = slice(at, min(at + SLICE, len(x)))
+            q = whole(x[of])
+            near = np.zeros((len(v), len(q)), "float32")
             for m in range(len(b)):
-                total += np.take((x[of] @ b[m].T).astype("float32"), codes[:, m], axis=1)
-            total /= norms
-            out = np.full(total.shape, -np.inf)
-            for i, row in enumerate(total):
-                others = np.flatnonzero(ids != own_ids[of[i]])
-                if len(others) > k:
-                    near = others[np.argpartition(-row[others], min(first, len(others)) - 1)[:first]]
-                    floor = np.partition((v[near] * x[of[i]]).sum(1), len(near) - k)[len(near) - k]
-                    most = np.clip(row + slack, -1, 1)
-                    most = np.where(most >= cos, 1, most * cos + np.sqrt(1 - most * most) * sin)
-                    others = others[most[others] >= floor - 1e-5]
-                    rough = v[others] @ x[of[i]] if 2 * len(others) < len(v) else (v @ x[of[i]])[others]
-                    others = others[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
-                # Row by row in the same order, so that equal vectors have equal scores.
-                out[i, others] = (v[others] * x[of[i]]).sum(1)
-            yield of, out
-
-    shards = packed(rows, SHARD_ROWS, coded, ["data", "codes", "norms", "angles"], n)
-    blocks = packed(asked, QUERY_ROWS, plain, ["data"], asked.count())
-    best = merged(tiles(blocks, shards, scored, k), k, n_shards)
+                near += np.take((b[m] @ q.T).astype("float32"), codes[m], axis=0)
+            near /= norms[:, None]
+            for i, js in own(query_ids[of], s["ids"]):
+                near[js, i] = -np.inf
+            floor = least(of)
+            bare = np.flatnonzero(np.isneginf(floor))
+            for i, row in zip(bare, np.ascontiguousarray(near[:, bare].T)):
+                floor[i] = reached(row, v, q[i], first, k)
+            i, j, value = ranked(near + slack[:, None], angles, v, q, floor)
+            yield of, i, j, value
+
+    blocks = packed(rows, SHARD_ROWS, coded, ["data", "codes", "norms", "angles"], n)
+    best = nearest(blocks, ["data", "codes", "norms", "angles"], lambda parts: padded([plain_matrix(p) for p in parts]), scored, k)
     each = best.select("query_id", F.posexplode("best").alias("rank", "hit"))
     return each.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.low")).alias("score"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-QUERY_ROWS, SHARD_ROWS, FAN_IN = 2048, 8192, 16
+SHARD_ROWS, FAN_IN = 8192, 16
 #: A query's hits, best first: ``low`` is the score negated. Whole scores beyond 64 bits are ranked by ``more``, empty else.
 BEST = "array<struct<low: double, vec_id: long, row: long>>"
 BEST_WHOLE = "array<struct<low: long, more: binary, vec_id: long, row: long>>"
@@ -228,32 +228,6 @@ def chosen(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, least: np
     return at, col, scores[at, col]
 
 
-def tiles(queries: DataFrame, shards: DataFrame, score: Callable[[dict, dict], Iterator[tuple[np.ndarray, np.ndarray]]], k: int, whole: bool = False) -> DataFrame:
-    """The ``k`` best of each query in each tile of a query block and a shard: (row, query_id, shard, best).
-
-    Both sides are dealt to the tile's key, so a tile is one row of two blocks. ``score`` gives, for slices of
-    the query block, row numbers and a matrix of scores, greatest best; a query's own vec_id is left out.
-    Scores are doubles, or with ``whole`` whole numbers: in doubles that hold them, in 64 bits, or as Python's.
-    """
-    n_q, n_s = (df.agg(F.max("part")).first()[0] for df in (queries, shards))
-    if n_q is None or n_s is None:
-        n_q = n_s = 0
-    left = queries.select(F.struct("*").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_s))).alias("shard"))
-    right = shards.select(F.struct("*").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n_q))).alias("block"))
-    tile = left.select("q", "shard", F.col("q.part").alias("block")).join(right.withColumn("shard", F.col("s.part")), ["block", "shard"]).select("q", "s")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, s = r["q"], r["s"]
-                q_ids, q_rows = np.frombuffer(q["ids"], "int64"), np.frombuffer(q["rows"], "int64")
-                s_ids, s_rows = np.frombuffer(s["ids"], "int64"), np.frombuffer(s["rows"], "int64")
-                for of, scores in score(q, s):
-                    yield _best(q_rows[of], q_ids[of], s["part"], s_rows, s_ids, scores, k, whole)
-
-    return tile.mapInArrow(run, f"row long, query_id long, shard int, best {BEST_WHOLE if whole else BEST}")
-
-
 def _lows(scores: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """``low`` and ``more`` of whole scores."""
     most = 2**63 - 1
@@ -263,31 +237,6 @@ def _lows(scores: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array([max(-most - 1, min(most, v)) for v in low], "int64"), pa.array([b"" if -most <= v <= most else (v + (1 << (8 * MORE_BYTES - 1))).to_bytes(MORE_BYTES, "big") for v in low], "binary")
 
 
-def _best(q_rows, q_ids, shard, s_rows, s_ids, scores: np.ndarray, k: int, whole: bool) -> pa.RecordBatch:
-    """Partial selection: all scores at least the k-th, then ties to smaller ids."""
-    own, n = q_ids[:, None] == s_ids[None, :], scores.shape[1]
-    if scores.dtype == object:
-        # Too large for numbers of the machine: in Python, row by row.
-        ranked = [sorted((j for j in range(n) if not own[i, j]), key=lambda j, i=i: (-scores[i, j], s_ids[j], s_rows[j]))[:k] for i in range(len(scores))]
-        at, col = np.repeat(np.arange(len(scores)), [len(r) for r in ranked]), np.array([j for r in ranked for j in r], "int64")
-        value = scores[at, col]
-    else:
-        least_of_all = -np.inf if scores.dtype.kind == "f" else np.iinfo("int64").min
-        scores[own] = least_of_all
-        least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), least_of_all)
-        at, col = np.nonzero((scores >= least[:, None]) & ~own)
-        value = scores[at, col]
-        order = np.lexsort((s_rows[col], s_ids[col], -value, at))
-        at, col, value = at[order], col[order], value[order]
-        first = np.searchsorted(at, np.arange(len(q_ids)))
-        keep = np.arange(len(at)) - first[at] < k
-        at, col, value = at[keep], col[keep], value[keep]
-    ends = np.searchsorted(at, np.arange(len(q_ids) + 1)).astype("int32")
-    ids = [pa.array(s_ids[col]), pa.array(s_rows[col])]
-    items = pa.StructArray.from_arrays([*_lows(value), *ids], ["low", "more", "vec_id", "row"]) if whole else pa.StructArray.from_arrays([pa.array(-value.astype("float64")), *ids], ["low", "vec_id", "row"])
-    return pa.RecordBatch.from_arrays([pa.array(q_rows), pa.array(q_ids), pa.array(np.full(len(q_ids), shard, "int32")), pa.ListArray.from_arrays(pa.array(ends), items)], ["row", "query_id", "shard", "best"])
-
-
 def merged(tops: DataFrame, k: int, n_shards: int) -> DataFrame:
     """Lists of one query merged ``FAN_IN`` at a time, level by level, to (row, query_id, best)."""
     best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
