@@ -186,6 +186,7 @@ def test_cells_at_size():
     assert asked / by_query * 2 * (vector + k * cells.HIT_BYTES) <= 1.1 * cells.CELL_BYTES
     assert by_query * by_shard >= 48 and by_query * n * vector + by_shard * asked * (vector + k * cells.HIT_BYTES) <= 16 * n * vector
     assert cells.grid(1, 0, 0, 0, 0, k, 12) == (1, 1)
+    assert cells.grid(-(-n // 8192), n, 1, n * 304, 272, 5, 12) == (1, round(n * 304 / cells.CELL_BYTES))
 
 
 @pytest.mark.parametrize("sizes", [(1,), (100,), (1, 1e3), (1, 1e5), (1, 1e9, 1e17), (1, 1e200)])

@@ -19,7 +19,7 @@ BEST = "array<struct<low: double, vec_id: long, row: long>>"
 BEST_WHOLE = "array<struct<low: long, more: binary, vec_id: long, row: long>>"
 #: Pairs of a query and a vector that are worth a cell, and that one should hold at most; between the two there are ``CELLS``, or three a core.
 LEAST_PAIRS, MOST_PAIRS, CELLS = 1 << 23, 10**11, 48
-#: Bytes that the queries of a cell and their best lists take in a Python worker, at most about; bytes of a hit.
+#: Bytes that the queries of a cell and their best lists take in a Python worker, at most about, and that its shards have for a few queries; bytes of a hit.
 CELL_BYTES, HIT_BYTES = 128 << 20, 28
 #: Bytes of ``more``: as many as products of doubles need.
 MORE_BYTES = 272
@@ -85,10 +85,11 @@ def grid(blocks: int, rows: int, asked: int, vector_bytes: int, query_bytes: int
     """Groups of query blocks, and of shards; a cell is a pair of them.
 
     A vector is sent to as many cells as there are groups of queries, a query and its lists to as many as there are groups of
-    shards; the groups are those that send the fewest bytes. The queries of a cell and their lists fit a worker.
+    shards; the groups are those that send the fewest bytes. The queries of a cell and their lists fit a worker, and
+    however few these are, a task doesn't go through all shards of a large table.
     """
     pairs = rows * asked
-    cells = max(min(pairs / LEAST_PAIRS, max(CELLS, 3 * cores)), pairs / MOST_PAIRS, 1)
+    cells = max(min(pairs / LEAST_PAIRS, max(CELLS, 3 * cores)), pairs / MOST_PAIRS, vector_bytes / CELL_BYTES, 1)
     moved = query_bytes + asked * k * HIT_BYTES
     # Queries are put together from their blocks, and a hit is joined by others before it is dropped.
     groups = -(-2 * moved // CELL_BYTES)
