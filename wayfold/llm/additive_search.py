@@ -59,17 +59,21 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.RandomState, rounds: int = 8) -
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM, per_slice: int = 2048) -> np.ndarray:
     """Codes of each row, by beam search: at each book the ``beam`` sums with the least residual go on."""
     out = np.empty((len(x), len(books)), "uint8")
+    squares = (books * books).sum(2)
     for at in range(0, len(x), per_slice):
         rest = x[at : at + per_slice, None, :]
         n = len(rest)
         codes = np.zeros((n, 1, 0), "uint8")
-        for book in books:
+        for book, square in zip(books, squares):
             width = rest.shape[1]
-            gain = (rest.reshape(n * width, -1) @ book.T).reshape(n, width, -1) * -2 + (book * book).sum(1) + (rest * rest).sum(2)[:, :, None]
+            gain = (rest.reshape(n * width, -1) @ (-2 * book).T).reshape(n, width, -1)
+            gain += square
+            gain += (rest * rest).sum(2)[:, :, None]
             flat = gain.reshape(n, -1)
-            kept = min(beam, flat.shape[1])
-            best = np.argpartition(flat, kept - 1, axis=1)[:, :kept]
-            best = np.take_along_axis(best, np.argsort(np.take_along_axis(flat, best, 1), axis=1, kind="stable"), 1)
+            best = np.empty((n, min(beam, flat.shape[1])), "int64")
+            for i in range(best.shape[1]):
+                best[:, i] = flat.argmin(axis=1)
+                np.put_along_axis(flat, best[:, i : i + 1], np.inf, 1)
             path, word = best // len(book), best % len(book)
             rest = np.take_along_axis(rest, path[:, :, None], 1) - book[word]
             codes = np.concatenate([np.take_along_axis(codes, path[:, :, None], 1), word[:, :, None].astype("uint8")], 2)
@@ -110,14 +114,17 @@ def reranked(n: int, rerank: int = RERANK) -> int:
     return int(np.ceil(rerank * max(1.0, n / RERANK_ROWS) ** 0.5))
 
 
-def reached(near: np.ndarray, v: np.ndarray, x: np.ndarray, first: int, k: int) -> float:
-    """The k-th best cosine of ``x`` and the ``first`` of ``v`` that are nearest by their codes; -inf if these are fewer than ``k``."""
-    if len(near) > first:
-        found = np.flatnonzero(near >= np.partition(near, len(near) - first)[len(near) - first])[:first]
-    else:
-        found = np.arange(len(near))
-    found = found[near[found] > -np.inf]
-    return np.partition((v[found] * x).sum(1), len(found) - k)[len(found) - k] if len(found) >= k else -np.inf
+def reached(near: np.ndarray, v: np.ndarray, q: np.ndarray, first: int, k: int) -> np.ndarray:
+    """Of each query (a row of ``near``) the k-th best cosine with ``first`` of those nearest by their codes; -inf if these are fewer than ``k``."""
+    first = min(first, near.shape[1])
+    i, j = np.divmod(np.flatnonzero(near >= np.partition(near, -first, axis=1)[:, -first, None]), near.shape[1])
+    kept = (np.arange(len(i)) - np.searchsorted(i, i) < first) & (near[i, j] > -np.inf)
+    i, j = i[kept], j[kept]
+    value = (v[j] * q[i]).sum(1)
+    value = value[np.lexsort((-value, i))]
+    out, start, count = np.full(len(near), -np.inf), np.searchsorted(i, np.arange(len(near))), np.bincount(i, minlength=len(near))
+    out[count >= k] = value[start[count >= k] + k - 1]
+    return out
 
 
 def ranked(most: np.ndarray, angles: np.ndarray, v: np.ndarray, q: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +139,10 @@ def ranked(most: np.ndarray, angles: np.ndarray, v: np.ndarray, q: np.ndarray, f
     rest = (np.pi - np.arccos(low)).astype("float32")
     if angles.max() >= rest.min() - 1e-6:  # together half a turn or more: nothing is ruled out
         may |= (angles[:, None] >= rest - np.float32(1e-6)) & (most > -np.inf)
-    if np.count_nonzero(may) > may.size / 32:
-        may &= v @ q.T >= floor - 1e-9
+    # Products of unit vectors, in single precision and then in double, rule out most of what codes leave.
+    for kind, off in (("float32", (v.shape[1] + 8) * 1.2e-7), ("float64", 1e-9)):
+        if np.count_nonzero(may) > may.size / 32:
+            may &= v.astype(kind) @ q.T.astype(kind) >= (floor - off).astype(kind)
     at = np.flatnonzero(may)
     found, step = [], max(1, RANKED // v.shape[1])
     for start in range(0, len(at), step):
@@ -197,6 +206,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERAN
 
     def scored(x: np.ndarray, query_ids: np.ndarray, s: dict, least: Callable[[slice], np.ndarray]) -> Iterator[tuple]:
         b, v = pickle.loads(books.value), whole(plain_matrix(s))
+        words = b.reshape(-1, b.shape[2]).astype("float64")
         codes = np.ascontiguousarray(np.frombuffer(s["codes"], "uint8").reshape(-1, len(b)).T)
         norms, angles = np.frombuffer(s["norms"], "float32"), np.frombuffer(s["angles"], "float32")
         # Sums of so many entries in single precision are off by less.
@@ -205,15 +215,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERAN
             of = slice(at, min(at + SLICE, len(x)))
             q = whole(x[of])
             near = np.zeros((len(v), len(q)), "float32")
-            for m in range(len(b)):
-                near += np.take((b[m] @ q.T).astype("float32"), codes[m], axis=0)
+            for m, entries in enumerate((words @ q.T).astype("float32").reshape(*b.shape[:2], -1)):
+                near += np.take(entries, codes[m], axis=0)
             near /= norms[:, None]
             for i, js in own(query_ids[of], s["ids"]):
                 near[js, i] = -np.inf
             floor = least(of)
             bare = np.flatnonzero(np.isneginf(floor))
-            for i, row in zip(bare, np.ascontiguousarray(near[:, bare].T)):
-                floor[i] = reached(row, v, q[i], first, k)
+            if len(bare):
+                floor[bare] = reached(np.ascontiguousarray(near[:, bare].T), v, q[bare], first, k)
             i, j, value = ranked(near + slack[:, None], angles, v, q, floor)
             yield of, i, j, value
 
